@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import mixing, sharding
+from cairn.llm import decontaminate, mixing, sharding, token_store, warc
 from cairn.llm.common import table
 
 _shipped: set[str] = set()
@@ -37,9 +37,25 @@ def _over(name: str, operator):
     return query
 
 
+def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return token_store.document_tokens(table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op3_suffix_automaton": op3_suffix_automaton,
+    "op4_token_store": op4_token_store,
     "op5_hilbert_sharding": _over("documents", sharding.document_shards),
     "op6_flow_mixing": _over("documents", mixing.document_mix),
+    "op7_warc_index": _over("pages", warc.page_records),
 }
 
 ORACLE_SQL: dict[str, str] = {}
