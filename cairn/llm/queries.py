@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, mixing, sharding, token_store, warc
+from cairn.llm import decontaminate, mixing, quality, sharding, token_store, warc
 from cairn.llm.common import table
 
 _shipped: set[str] = set()
@@ -50,12 +50,18 @@ def op4_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return token_store.document_tokens(table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_suffix_automaton": op3_suffix_automaton,
     "op4_token_store": op4_token_store,
     "op5_hilbert_sharding": _over("documents", sharding.document_shards),
     "op6_flow_mixing": _over("documents", mixing.document_mix),
     "op7_warc_index": _over("pages", warc.page_records),
+    "op9_kneser_ney": op9_kneser_ney,
 }
 
 ORACLE_SQL: dict[str, str] = {}
