@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, mixing, quality, secrets, sharding, token_store, vector_dedup, warc
+from cairn.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, token_store, vector_dedup, warc
 from cairn.llm.common import table
 
 _shipped: set[str] = set()
@@ -62,6 +62,7 @@ QUERIES = {
     "op5_hilbert_sharding": _over("documents", sharding.document_shards),
     "op6_flow_mixing": _over("documents", mixing.document_mix),
     "op7_warc_index": _over("pages", warc.page_records),
+    "op8_sparse_product": _over("documents", jaccard.near_duplicates),
     "op9_kneser_ney": op9_kneser_ney,
     "op10_randomness_battery": _over("documents", secrets.secret_spans),
 }
