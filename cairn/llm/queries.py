@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, token_store, vector_dedup, warc
+from cairn.llm import decontaminate, jaccard, lm_score, mixing, quality, secrets, sharding, token_store, vector_dedup, warc
 from cairn.llm.common import table
 
 _shipped: set[str] = set()
@@ -57,6 +57,7 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_product_quantisation": _over("embeddings", vector_dedup.vector_duplicates),
+    "op2_bloom_lm": _over("documents", lm_score.scores),
     "op3_suffix_automaton": op3_suffix_automaton,
     "op4_token_store": op4_token_store,
     "op5_hilbert_sharding": _over("documents", sharding.document_shards),
