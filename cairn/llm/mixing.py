@@ -103,7 +103,7 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """Copies of each row, and the sources with their sizes and targets.
 
     ``rows`` has ``doc_id``, ``size`` (tokens) and ``sources`` (array of source names; null is a
-    name). Returns ``rows`` with ``copies`` and a table (source, source_size, target). A document
+    name); other columns stay. Returns ``rows`` with ``copies`` and a table (source, source_size, target). A document
     of two sources counts in the size of both.
     """
     spark = rows.sparkSession
@@ -178,6 +178,15 @@ def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(more, "_uid", "left").withColumn("copies", copies.cast("int")).drop("_bucket", "_whole", "_rest", "_last", "_full", "_more")
 
 
+def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; all columns in their order."""
+    kept = materialise(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
+    rows = kept.select("_mix_row", F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("size"), F.array("source").alias("sources"))
+    copies = mix(rows, seed=seed)[0].where("copies > 0").select("_mix_row", F.col("copies").alias("_mix_copies"))
+    times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
+    return kept.join(copies.hint("merge"), "_mix_row").withColumn("_mix_nth", times).select(*docs.columns)
+
+
 def document_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """Words taken of each document when its source is its only membership."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("size"), F.array("source").alias("sources"))
