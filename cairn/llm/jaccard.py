@@ -32,13 +32,15 @@ from cairn.llm.components import connected_components
 
 WIDTH = 5
 PERCENT = 80
-#: Documents of a shingle from which it goes last and its column is split.
-FREQUENT = 64
+#: Documents of a shingle from which its count is known to the order, and magnitude of the count from which its column is split.
+FREQUENT, SPLIT = 4, 6
 #: Frequent shingles that the order knows; with more, those of the least magnitude count as rare. The order never changes results.
 MAX_FREQUENT = 4_000_000
+#: A first comparison is made when this many times the columns led by one of the two reach what a similar pair meets in.
+FIRST = 4
 #: Parts of a split column.
 PARTS = 64
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 12 << 20
 BLOCK_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
@@ -108,14 +110,23 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def planes(values: np.ndarray) -> bytes:
+    """An array as compressed bytes, first bytes of all items first."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+
+
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    found = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(found.T).view(dtype).ravel()
+
+
 def packed(values: np.ndarray) -> bytes:
     """Ascending integers as compressed bytes of their differences, plane by plane."""
-    return zstandard.compress(np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
 
 
 def unpacked(data: bytes, dtype) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
+    return np.cumsum(from_planes(data, dtype), dtype=dtype)
 
 
 def _frequent_shingles(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +150,7 @@ def _frequent_shingles(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.nda
                 seen.add(node)
                 sets.append(shingles)
                 size += len(shingles)
-                if size >= 1 << 22:
+                if size >= 1 << 21:
                     yield out(sets)
                     sets, size = [], 0
         if sets:
@@ -171,7 +182,7 @@ def magnitudes(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) ->
 
 
 ROW = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-MEMBER = "h long, node long, n long, pos long, lead long"
+MEMBER = "h long, node long, n long, pos long, lead long, lead_n long"
 
 
 def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
@@ -183,16 +194,15 @@ def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
 
         def out(rows):
             rows = np.concatenate(rows)
-            rows = rows[np.argsort(rows["h"], kind="stable")]
             # a split column's nodes go to the ranges of several hashes
-            often = magnitudes(rows["h"], frequent.value) > 0
+            often = magnitudes(rows["h"], frequent.value) >= SPLIT
             part = np.where(often, mixed(rows["node"].astype(np.uint64)) >> np.uint64(40), np.uint64(0)) % np.uint64(PARTS)
             place = ((rows["h"] >> np.uint64(32)).astype(np.int64) * ranges >> 32) + part.astype(np.int64)
             place %= ranges
-            order = np.argsort(place, kind="stable")
+            order = np.lexsort((rows["h"], rows["node"], place))
             rows, place = rows[order], place[order]
             cut = np.flatnonzero(np.diff(place)) + 1
-            parts = [(int(p[0]), np.ascontiguousarray(r).tobytes()) for p, r in zip(np.split(place, cut), np.split(rows, cut)) if len(r)]
+            parts = [(int(p[0]), planes(r)) for p, r in zip(np.split(place, cut), np.split(rows, cut)) if len(r)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts), schema)], schema=schema)
 
         held, size = [], 0
@@ -208,24 +218,26 @@ def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
                 own["h"], own["node"], own["n"], own["pos"] = shingles[: len(own)], node, len(shingles), np.arange(len(own))
                 held.append(own)
                 size += len(own)
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     yield out(held)
                     held, size = [], 0
         if held:
             yield out(held)
 
     def columns(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.frombuffer(r, ROW) for r in rows["rows"]])
+        x = np.concatenate([from_planes(r, ROW) for r in rows["rows"]])
         x = x[np.argsort(x["h"], kind="stable")]
         same = x["h"][1:] == x["h"][:-1]
-        split = magnitudes(x["h"], frequent.value) > 0  # the column goes on in other ranges
+        split = magnitudes(x["h"], frequent.value) >= SPLIT  # the column goes on in other ranges
         x = x[(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(x)] | split]
         x = x[np.lexsort((x["node"], x["n"], x["h"]))]
         x = x[np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["node"][1:] != x["node"][:-1])])] if len(x) else x
         band = np.log(np.maximum(x["n"], 1)) // np.log(1.12)
         begins = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (band[1:] != band[:-1])])[: len(x)]
-        lead = x["node"][np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(x) else x["node"]
-        return pd.DataFrame({"h": x["h"].astype(np.int64), "node": x["node"], "n": x["n"].astype(np.int64), "pos": x["pos"].astype(np.int64), "lead": lead})
+        lead = x[np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(x) else x
+        return pd.DataFrame(
+            {"h": x["h"].astype(np.int64), "node": x["node"], "n": x["n"].astype(np.int64), "pos": x["pos"].astype(np.int64), "lead": lead["node"], "lead_n": lead["n"].astype(np.int64)}
+        )
 
     out = docs.select("text").mapInArrow(emit, "range int, rows binary").groupBy("range").applyInPandas(columns, MEMBER)
     return materialise(out, "shingle-members")
@@ -246,12 +258,25 @@ def _sets(docs: DataFrame, meta: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def overlap_needed(n1, n2):
+    """Overlap that two sizes need to be similar."""
+    return F.ceil((n1 + n2) * F.lit(PERCENT) / (100 + PERCENT) - 1e-9)
+
+
+def met_needed(n1, n2):
+    """Shingles that a similar pair must share inside both prefixes.
+
+    Of the prefix that ends first in the common order, all shingles that the other row has lie in
+    the other's prefix too; at most its size less the overlap are not shared.
+    """
+    return F.greatest(overlap_needed(n1, n2) - F.ceil(F.greatest(n1, n2) * PERCENT / 100 - 1e-9) + 1, F.lit(1))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("set").alias(f"s{c}"))
-    small = sets.select(F.col("node").alias("a"), F.col("n").alias("_na")), sets.select(F.col("node").alias("b"), F.col("n").alias("_nb"))
-    fits = (F.col("_na") * 100 >= F.col("_nb") * PERCENT) & (F.col("_nb") * 100 >= F.col("_na") * PERCENT)
-    pairs = pairs.join(small[0], "a").join(small[1], "b").where(fits).select("a", "b")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, meta, nodes)
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
     schema = arrow_schema("src long, dst long")
 
@@ -275,8 +300,6 @@ def _left(members: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
     split = members.groupBy("h").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("h")
     open_ = materialise(members.join(split, "h", "left_semi"), "shingle-open")
     side = lambda s: open_.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("node", "n", "pos", "label")])
-    # the smaller side must be met in its shorter prefix: the overlap is 2p / (1 + p) of it at least
-    need = F.ceil(F.lit(PERCENT / (100 + PERCENT)) * (F.col("n1") + F.col("n2")) - 1e-9)
     pairs = (
         side("1").join(side("2"), "h").where("node1 < node2 and label1 <> label2")
         .where(f"n1 * 100 >= n2 * {PERCENT} and n2 * 100 >= n1 * {PERCENT}")
@@ -284,11 +307,8 @@ def _left(members: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("met"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2"))
     )
     reach = F.col("met") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1
-    return pairs.where(reach >= need).select(F.col("node1").alias("a"), F.col("node2").alias("b")).join(done, ["a", "b"], "left_anti")
-
-
-def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    return pairs.where((F.col("met") >= met_needed(n1, n2)) & (reach >= overlap_needed(n1, n2))).select(F.col("node1").alias("a"), F.col("node2").alias("b")).join(done, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -308,15 +328,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     meta = materialise(docs.mapInArrow(measure, "doc_id long, node long, n_shingles long"), "shingle-nodes")
     frequent = spark.sparkContext.broadcast(_frequent_shingles(docs, ranges))
     members = _members(docs, frequent, ranges)
-    sets = _sets(docs, meta.where("node <> 0 and doc_id is not null"), members.select("node").distinct())
+    known = meta.where("node <> 0 and doc_id is not null")
     # first comparisons: each node with the smallest of its size class, and the parts of a column with one another
-    leads = members.withColumn("_band", F.floor(F.log(F.greatest("n", F.lit(1))) / np.log(1.12)))
-    lowest = leads.groupBy("h", "_band", "lead").agg(F.lit(1)).groupBy("h", "_band").agg(F.min("lead").alias("_low"), F.count("*").alias("_n")).where("_n > 1").select("h", "_band", "_low")
-    across = leads.select("h", "_band", "lead").distinct().join(lowest, ["h", "_band"])
-    first = _ordered(members, "lead", "node").union(_ordered(across, "_low", "lead")).distinct()
-    first = materialise(first, "shingle-pairs")
-    edges = materialise(_verified(first, sets), "shingle-links")
-    edges = edges.union(materialise(_verified(_left(members, edges, first), sets), "shingle-links"))
+    leads = members.select("h", F.floor(F.log(F.greatest("lead_n", F.lit(1))) / np.log(1.12)).alias("_band"), "lead", "lead_n").distinct()
+    lowest = leads.groupBy("h", "_band").agg(F.min(F.struct("lead_n", "lead")).alias("_low"), F.count("*").alias("_n")).where("_n > 1")
+    across = leads.join(lowest, ["h", "_band"]).select(F.col("_low.lead").alias("lead"), F.col("_low.lead_n").alias("lead_n"), F.col("lead").alias("node"), F.col("lead_n").alias("n"))
+    first = members.select("lead", "lead_n", "node", "n").union(across).where("lead <> node")
+    first = first.groupBy(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).agg(F.count("*").alias("_met"), F.max("n").alias("_n1"), F.max("lead_n").alias("_n2"))
+    # a first choice only: what is left out here and lies in different components is met again below
+    first = materialise(first.where(F.col("_met") * FIRST >= met_needed(F.col("_n1"), F.col("_n2"))).select("a", "b"), "shingle-pairs")
+    edges = materialise(_verified(first, docs, known), "shingle-links")
+    left = materialise(_left(members, edges, first), "shingle-pairs")
+    edges = edges.union(materialise(_verified(left, docs, known), "shingle-links"))
     labels = connected_components(edges)
     rows = meta.join(labels, "node", "left").withColumn("_group", F.when(F.col("node") == 0, F.lit(None)).otherwise(F.coalesce("component", "node")))
     lowest_doc = rows.where("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_low"))
