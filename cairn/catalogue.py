@@ -2,5 +2,546 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn import fixtures as fx
+from cairn import oracles as sql
+from cairn.functions import digests, paths, scalars
+from cairn.operators import hashing, history, ledger, reconcile, reports, rules, tree
+from cairn.sources import adapters
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def report(oracle: str | None):
+    """Registers a query under its name with its SQL."""
+
+    def add(query):
+        QUERIES[query.__name__] = query
+        if oracle:
+            ORACLE_SQL[query.__name__] = oracle
+        return query
+
+    return add
+
+
+def fixture(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    return spark.sql(f"WITH {sql.values('f', columns, rows)} SELECT * FROM f")
+
+
+def fixture_entries(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    found = fixture(spark, fx.ENTRY, rows)
+    return found.withColumns({c: F.col(c).cast("binary") for c in ("path", "parent")} | {c: F.col(c).cast("long") for c in ("id", "root_id", "size", "allocated", "mtime_ns", "ctime_ns", "generation", "observed_at_ns")})
+
+
+def fixture_passes(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    found = fixture(spark, fx.PASS, rows)
+    return found.withColumns({"path": F.col("path").cast("binary")} | {c: F.col(c).cast("long") for c in ("root_id", "generation", "checked_at_ns")})
+
+
+def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.roots(spark, sf_dir)
+
+
+def as_path(df: DataFrame) -> DataFrame:
+    return df.withColumn("path", F.col("path").cast("string"))
+
+
+def work_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file as a hashing task; some were never finished."""
+    e = adapters.entries(spark, sf_dir)
+    return e.select(F.col("id").alias("file_id"), "root_id", "size", F.col("digest").alias("sha256"), F.when(F.col("id") % 11 == 0, "pending").otherwise("complete").alias("status"), "device", "inode", "ctime_ns", "mtime_ns", "allocated")
+
+
+WORK = "work AS (SELECT id AS file_id, root_id, size, digest AS sha256, CASE WHEN id % 11 = 0 THEN 'pending' ELSE 'complete' END AS status, device, inode, ctime_ns, mtime_ns, allocated FROM files)"
+KNOWN = "inode <> '' AND ctime_ns > 0 AND generation > 0"
+
+
+# --- files of equal size, largest files, labels ------------------------------------------------
+
+
+@report(f"""WITH {sql.entries()},
+    objects AS (SELECT size, {KNOWN} AS known, CASE WHEN {KNOWN} THEN inode END AS i, count(*) AS n,
+                       count(DISTINCT (ctime_ns, mtime_ns, allocated)) AS kinds FROM files WHERE size >= 64 GROUP BY ALL)
+    SELECT size, cast(sum(n) AS BIGINT) AS files, count(*) FILTER (known) AS known_objects, cast(coalesce(sum(n - 1) FILTER (known), 0) AS BIGINT) AS repeated,
+           cast(coalesce(sum(n) FILTER (NOT known), 0) AS BIGINT) AS "unknown", count(*) FILTER (known AND kinds > 1) AS conflicting
+    FROM objects GROUP BY size HAVING sum(n) >= 2""")
+def same_size_bands(spark, sf_dir):
+    return reports.same_size_bands(adapters.entries(spark, sf_dir), 64)
+
+
+@report(f"""WITH {sql.entries()} SELECT size, count(*) AS files FROM files GROUP BY size HAVING count(*) > 1""")
+def size_group_counts(spark, sf_dir):
+    return adapters.entries(spark, sf_dir).groupBy("size").agg(F.count("*").alias("files")).where("files > 1")
+
+
+def _page_sql(after: str) -> str:
+    return f"""WITH {sql.entries()}, raw AS (SELECT id, size, row_number() OVER (ORDER BY size DESC, id DESC) AS nth FROM files WHERE size >= 64 {after} QUALIFY nth <= 201),
+    page AS (SELECT * FROM raw WHERE nth <= 200), bands AS (SELECT size, count(*) AS files, string_agg(cast(id AS VARCHAR), ',' ORDER BY id DESC) AS ids FROM page GROUP BY size)"""
+
+
+_FLAGS = """ SELECT size, files, ids, {before} AS continues_before, coalesce(size = (SELECT size FROM raw WHERE nth = 201), FALSE) AS continues_after FROM bands
+    WHERE files > 1 OR {before} OR coalesce(size = (SELECT size FROM raw WHERE nth = 201), FALSE)"""
+
+
+@report(_page_sql("") + _FLAGS.format(before="FALSE"))
+def same_size_page(spark, sf_dir):
+    return reports.same_size_page(adapters.entries(spark, sf_dir), 64, 200)
+
+
+@report(_page_sql("AND (size, id) < (1500, 400)") + _FLAGS.format(before="(size = 1500)"))
+def same_size_page_after(spark, sf_dir):
+    return reports.same_size_page(adapters.entries(spark, sf_dir), 64, 200, (1500, 400))
+
+
+_LARGEST = "SELECT id, root_id, path, size, parent_pass FROM labelled {where} ORDER BY size DESC, id DESC LIMIT 100"
+
+
+@report(f"WITH {sql.entries()} " + _LARGEST.format(where=""))
+def largest_files(spark, sf_dir):
+    found = reports.largest_files(adapters.entries(spark, sf_dir), roots(spark, sf_dir), adapters.directories(spark, sf_dir), 100)
+    return as_path(found).select("id", "root_id", "path", "size", "parent_pass")
+
+
+@report(f"WITH {sql.entries()} " + _LARGEST.format(where="WHERE (size, id) < (5000, 300)"))
+def largest_files_page2(spark, sf_dir):
+    found = reports.largest_files(adapters.entries(spark, sf_dir), roots(spark, sf_dir), adapters.directories(spark, sf_dir), 100, (5000, 300))
+    return as_path(found).select("id", "root_id", "path", "size", "parent_pass")
+
+
+@report(f"""WITH {sql.entries()} SELECT root_id, parent_pass, count(*) AS files, cast(sum(size) AS BIGINT) AS bytes FROM labelled GROUP BY 1, 2""")
+def parent_pass_labels(spark, sf_dir):
+    found = reports.with_parent_pass(adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir))
+    return found.groupBy("root_id", "parent_pass").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@report(f"""WITH {sql.entries()}, codes AS (SELECT * FROM (VALUES ('disabled_root', 0), ('skipped', 1), ('generated_dependency', 2), ('compact_parent', 3), ('invalid_saved_path', 4), ('eligible', 5)) AS t(outcome, position)),
+    judged AS (SELECT CASE WHEN skip_reason <> '' THEN 'skipped' ELSE 'eligible' END AS outcome FROM files)
+    SELECT outcome, position, count(judged.outcome) AS n FROM codes LEFT JOIN judged USING (outcome) GROUP BY outcome, position""")
+def diagnostics_histogram(spark, sf_dir):
+    judged = reports.same_size_outcome(adapters.entries(spark, sf_dir), roots(spark, sf_dir))
+    return reports.histogram(judged, reports.SAME_SIZE_OUTCOMES)
+
+
+@report(f"""WITH {sql.entries()} SELECT (SELECT count(*) FROM roots) AS roots, (SELECT count(*) FROM files) AS entries, (SELECT count(*) FROM dirs) AS directories""")
+def store_summary(spark, sf_dir):
+    return reports.store_summary(roots=roots(spark, sf_dir), entries=adapters.entries(spark, sf_dir), directories=adapters.directories(spark, sf_dir))
+
+
+_JOBS = "id, root_id, kind, status, due_at_ns, attempts"
+
+
+@report(f"""WITH {sql.values('jobs', _JOBS, fx.JOBS)}, {sql.values('r', 'id, enabled', fx.JOB_ROOTS)}
+    SELECT r.id AS root_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (attempts > 1) AS retried
+    FROM r LEFT JOIN jobs ON jobs.root_id = r.id GROUP BY r.id""")
+def root_diagnostics(spark, sf_dir):
+    return reports.root_diagnostics(fixture(spark, "id, enabled", fx.JOB_ROOTS), fixture(spark, _JOBS, fx.JOBS))
+
+
+@report(f"""WITH {sql.values('jobs', _JOBS, fx.JOBS)}, {sql.values('r', 'id, enabled', fx.JOB_ROOTS)},
+    ready AS (SELECT jobs.*, row_number() OVER (PARTITION BY kind ORDER BY due_at_ns, jobs.id) AS nth, count(*) OVER (PARTITION BY kind) AS waiting
+              FROM jobs JOIN r ON r.id = root_id WHERE enabled AND status = 'pending')
+    SELECT kind, due_at_ns, id AS job_id, waiting FROM ready WHERE nth = 1""")
+def due_jobs(spark, sf_dir):
+    return reports.due_jobs(fixture(spark, _JOBS, fx.JOBS), fixture(spark, "id, enabled", fx.JOB_ROOTS))
+
+
+@report(f"WITH {sql.ROOTS} SELECT root_id FROM roots ORDER BY root_id <= 2, root_id LIMIT 3")
+def fair_turn(spark, sf_dir):
+    return reports.fair_turn(roots(spark, sf_dir).select(F.col("id").alias("root_id")), 2, 3)
+
+
+# --- content -----------------------------------------------------------------------------------
+
+
+@report(f"""WITH {sql.entries()}, {WORK},
+    objects AS (SELECT device, inode, count(*) > 1 AS repeated, count(DISTINCT (size, allocated, ctime_ns, mtime_ns)) > 1 OR count(DISTINCT CASE WHEN status = 'complete' THEN sha256 END) > 1 AS conflicting
+                FROM work WHERE inode <> '' GROUP BY 1, 2)
+    SELECT size, sha256, count(*) AS members, min(file_id) AS first_id, max(file_id) AS last_id,
+           count(*) FILTER (coalesce(repeated, FALSE)) AS repeated, count(*) FILTER (coalesce(conflicting, FALSE)) AS conflicting
+    FROM work LEFT JOIN objects USING (device, inode) WHERE status = 'complete' GROUP BY size, sha256 HAVING count(*) >= 2""")
+def hash_groups(spark, sf_dir):
+    return hashing.hash_groups(work_rows(spark, sf_dir))
+
+
+@report(f"""WITH {sql.entries()}, {WORK}, g AS (SELECT count(*) AS n FROM work WHERE status = 'complete' GROUP BY size, sha256 HAVING count(*) >= 2)
+    SELECT count(*) AS selected, count(*) FILTER (status = 'complete') AS completed, count(*) FILTER (status <> 'complete') AS unfinished,
+           cast(count(*) FILTER (status = 'complete') - (SELECT coalesce(sum(n), 0) FROM g) AS BIGINT) AS unmatched, (SELECT count(*) FROM g) AS "groups" FROM work""")
+def hash_coverage(spark, sf_dir):
+    return hashing.hash_coverage(work_rows(spark, sf_dir))
+
+
+@report(f"""WITH {sql.entries()}, {WORK}
+    SELECT size, sha256, count(*) - 1 AS copies, (count(*) - 1) * size AS copy_bytes, 'known' AS copy_status,
+           cast(sum(allocated) - arg_min(allocated, file_id) AS BIGINT) AS copy_allocated, 'known' AS allocated_status
+    FROM work WHERE status = 'complete' GROUP BY size, sha256 HAVING count(*) >= 2""")
+def keeper_sizes(spark, sf_dir):
+    work = work_rows(spark, sf_dir)
+    allocated = work.where("status = 'complete'").groupBy("size", "sha256").agg(F.try_subtract(F.try_sum("allocated"), F.min_by("allocated", "file_id")).alias("copy_allocated"))
+    return hashing.copy_sizes(hashing.hash_groups(work), allocated)
+
+
+@report("""WITH d AS (SELECT doc_id, encode(text) AS b, strlen(text) AS n FROM documents),
+    w AS (SELECT *, (n - 256) // 2 AS mid FROM d),
+    f AS (SELECT *, CASE WHEN n <= 0 THEN [] WHEN n <= 768 THEN [(0, n)] WHEN mid <= 256 THEN [(0, mid + 256), (n - 256, 256)] ELSE [(0, 256), (mid, 256), (n - 256, 256)] END AS ws FROM w)
+    SELECT doc_id, len(ws) AS windows, sha256('sample' || chr(0) || '') IS NOT NULL AS hashed, cast(list_sum([x[2] for x in ws]) AS BIGINT) AS sampled FROM f""")
+def sample_windows(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents")
+    content = F.encode("text", "utf-8")
+    windows = digests.sample_windows(F.octet_length(content), 256)
+    return docs.select(
+        "doc_id", F.size(windows).cast("long").alias("windows"), digests.sample_digest(content, "sample", 256).isNotNull().alias("hashed"),
+        F.when(F.size(windows) > 0, F.aggregate(windows, F.lit(0).cast("long"), lambda a, x: a + x["length"])).alias("sampled"),
+    )
+
+
+@report("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents),
+    w AS (SELECT *, (n - 256) // 2 AS mid FROM d),
+    f AS (SELECT doc_id, h, n, unnest(CASE WHEN n <= 0 THEN [] WHEN n <= 768 THEN [{'s': 0, 'l': n}] WHEN mid <= 256 THEN [{'s': 0, 'l': mid + 256}, {'s': n - 256, 'l': 256}]
+                 ELSE [{'s': 0, 'l': 256}, {'s': mid, 'l': 256}, {'s': n - 256, 'l': 256}] END) AS x FROM w),
+    g AS (SELECT doc_id, n, count(*) AS k, string_agg(lpad(hex(x.s), 16, '0') || lpad(hex(x.l), 16, '0') || substr(h, 2 * x.s + 1, 2 * x.l), '' ORDER BY x.s) AS body FROM f GROUP BY doc_id, n)
+    SELECT doc_id, sha256(unhex('73616D706C65' || lpad(hex(n), 16, '0') || lpad(hex(k), 16, '0') || body)) AS digest FROM g""")
+def sample_digests(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents").where(F.octet_length("text") > 0)
+    return docs.select("doc_id", digests.sample_digest(F.encode("text", "utf-8"), "sample", 256).alias("digest"))
+
+
+_FRESH = "job_id, role, status, sha256"
+FRESH = [
+    (1, "keeper", "complete", "aa"), (1, "copy", "complete", "aa"), (1, "copy", "complete", "aa"), (2, "keeper", "complete", "aa"), (2, "copy", "complete", "bb"), (2, "copy", "complete", "aa"),
+    (3, "keeper", "complete", "aa"), (3, "copy", "pending", None), (3, "copy", "complete", "bb"), (4, "keeper", "blocked", None), (4, "copy", "complete", "aa"),
+]
+
+
+@report(f"""WITH {sql.values('j', _FRESH, FRESH)}, k AS (SELECT * FROM j WHERE role = 'keeper'),
+    r AS (SELECT j.job_id, CASE WHEN j.status = 'blocked' OR k.status = 'blocked' THEN 3 WHEN j.status <> 'complete' OR k.status IS DISTINCT FROM 'complete' THEN 2 WHEN j.sha256 <> k.sha256 THEN 1 ELSE 0 END AS grade
+          FROM j LEFT JOIN k USING (job_id) WHERE j.role = 'copy')
+    SELECT job_id, count(*) AS copies, ['historical_hashes_match', 'historical_hashes_differ', 'incomplete', 'blocked'][max(grade) + 1] AS relation FROM r GROUP BY job_id""")
+def fresh_comparison(spark, sf_dir):
+    return hashing.fresh_comparison(fixture(spark, _FRESH, FRESH))
+
+
+# --- trees -------------------------------------------------------------------------------------
+
+
+@report(f"""WITH {sql.values('m', 'root_id, scope, status, entries_examined, excluded_entries, file_paths, logical_bytes, allocated_bytes, repeated, unconfirmed, incomplete_directories', fx.MEASURED)}
+    SELECT cast(root_id AS BIGINT) AS root_id, scope, status, cast(entries_examined AS BIGINT) AS entries_examined, cast(excluded_entries AS BIGINT) AS excluded_entries, cast(file_paths AS BIGINT) AS file_paths,
+           cast(logical_bytes AS BIGINT) AS logical_bytes, cast(allocated_bytes AS BIGINT) AS allocated_bytes, cast(repeated AS BIGINT) AS repeated, cast(unconfirmed AS BIGINT) AS unconfirmed, cast(incomplete_directories AS BIGINT) AS incomplete_directories FROM m""")
+def directory_measures(spark, sf_dir):
+    scopes = fixture(spark, "root_id, scope", fx.SCOPES).withColumn("root_id", F.col("root_id").cast("long"))
+    return tree.measure_directories(fixture_entries(spark, fx.TREE), fixture_passes(spark, fx.TREE_PASSES), scopes)
+
+
+@report(f"""WITH {sql.entries()}, up AS (SELECT f.*, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent, '.']) AS scope FROM files f),
+    live AS (SELECT u.*, NOT coalesce(p.complete AND p.last_error = '' AND p.generation <> u.generation, FALSE) AS live FROM up u LEFT JOIN dirs p ON p.root_id = u.root_id AND p.path = u.parent),
+    objects AS (SELECT root_id, scope, inode, max(allocated) AS a, count(*) AS n FROM live WHERE live AND inode <> '' GROUP BY ALL),
+    o AS (SELECT root_id, scope, sum(a) AS a, sum(n - 1) AS r FROM objects GROUP BY ALL)
+    SELECT root_id, scope, count(*) AS entries_examined, count(*) FILTER (NOT live) AS excluded_entries, cast(coalesce(sum(size) FILTER (live), 0) AS BIGINT) AS logical_bytes,
+           cast(coalesce(sum(allocated) FILTER (live AND inode = ''), 0) + coalesce(any_value(o.a), 0) AS BIGINT) AS allocated_bytes, cast(coalesce(any_value(o.r), 0) AS BIGINT) AS repeated
+    FROM live LEFT JOIN o USING (root_id, scope) GROUP BY root_id, scope""")
+def directory_sizes(spark, sf_dir):
+    """Every directory above the files as a scope; none of them has a row of its own here, so only the files' own listings exclude."""
+    e, d = adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir)
+    columns = ["root_id", "parent", "size", "allocated", "device", "inode", "generation"]
+    exploded = e.select(*columns, F.explode(paths.ancestors(F.col("path"))).alias("scope"))
+    gone = d.where("complete and last_error = ''").select("root_id", F.col("path").alias("parent"), F.col("generation").alias("_g"))
+    rows = exploded.join(gone, ["root_id", "parent"], "left").withColumn("live", ~F.coalesce(F.col("_g") != F.col("generation"), F.lit(False)))
+    named = F.col("inode") != ""
+    objects = rows.where("live").where(named).groupBy("root_id", "scope", "device", "inode").agg(F.max("allocated").alias("a"), F.count("*").alias("n"))
+    linked = objects.groupBy("root_id", "scope").agg(F.sum("a").alias("a"), F.sum(F.col("n") - 1).alias("r"))
+    sums = rows.groupBy("root_id", "scope").agg(
+        F.count("*").alias("entries_examined"), F.count_if(~F.col("live")).alias("excluded_entries"), F.sum(F.when(F.col("live"), F.col("size")).otherwise(0)).alias("logical_bytes"),
+        F.sum(F.when(F.col("live") & ~named, F.col("allocated")).otherwise(0)).alias("loose"),
+    )
+    return sums.join(linked, ["root_id", "scope"], "left").select(
+        "root_id", "scope", "entries_examined", "excluded_entries", "logical_bytes", (F.col("loose") + F.coalesce("a", F.lit(0))).alias("allocated_bytes"), F.coalesce("r", F.lit(0)).alias("repeated")
+    )
+
+
+@report("""WITH o AS (SELECT l_returnflag AS scope, l_suppkey AS device, l_partkey AS inode, max(cast(round(l_extendedprice * 100) AS BIGINT)) AS a, count(*) AS n, sum(cast(l_quantity * 100 AS BIGINT)) AS l,
+                  count(DISTINCT (cast(round(l_extendedprice * 100) AS BIGINT), cast(l_quantity * 100 AS BIGINT))) > 1 AS differ FROM lineitem GROUP BY 1, 2, 3)
+    SELECT scope, count(*) AS objects, cast(sum(a) AS BIGINT) AS allocated_bytes, cast(sum(l) AS BIGINT) AS logical_bytes, cast(sum(n) AS BIGINT) AS paths, cast(sum(n - 1) AS BIGINT) AS repeated, count(*) FILTER (differ) AS conflicting FROM o GROUP BY scope""")
+def scope_identity_reduction(spark, sf_dir):
+    return tree.identity_reduction(adapters.identities(spark, sf_dir), ["scope"])
+
+
+TARGETS = [(1, 1, "a"), (2, 1, "a/b"), (3, 1, "a-old"), (4, 1, "a/b/c"), (5, 2, "a"), (6, 1, "."), (7, 1, "a0"), (8, 2, "a/x")]
+
+
+@report(f"""WITH {sql.values('t', 'id, root_id, path', TARGETS)}
+    SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM t x JOIN t y ON x.root_id = y.root_id AND x.id <> y.id AND (x.path = y.path OR starts_with(y.path, x.path || '/') OR x.path = '.') GROUP BY 1, 2""")
+def overlap_pairs(spark, sf_dir):
+    found = fixture(spark, "id, root_id, path", TARGETS)
+    return tree.overlapping_pairs(found.withColumn("path", F.col("path").cast("binary")))
+
+
+@report(f"""WITH {sql.entries()} SELECT device, inode, count(DISTINCT path) AS paths, min(id) AS first_id, count(DISTINCT path) * (count(DISTINCT path) - 1) // 2 AS pairs
+    FROM files WHERE inode <> '' GROUP BY 1, 2 HAVING count(DISTINCT path) > 1""")
+def alias_pairs(spark, sf_dir):
+    return tree.alias_groups(adapters.entries(spark, sf_dir))
+
+
+@report(f"""WITH {sql.values('m', 'folders, logical_bytes, logical_reason, allocated_bytes, allocated_reason', [(3, None, 'overlap_detected', None, 'cross_folder_identity_evidence_unavailable')])} SELECT cast(folders AS BIGINT) AS folders, cast(logical_bytes AS BIGINT) AS logical_bytes, logical_reason, cast(allocated_bytes AS BIGINT) AS allocated_bytes, allocated_reason FROM m""")
+def candidate_page_sizes(spark, sf_dir):
+    """The three folders of root 1 of the tree fixture: the root overlaps the others."""
+    measured = directory_measures(spark, sf_dir).where("root_id = 1 and scope <> 'missing'")
+    targets = measured.select(F.xxhash64("scope").alias("id"), "root_id", F.col("scope").cast("binary").alias("path"))
+    return tree.page_size_summary(measured, tree.overlapping_pairs(targets))
+
+
+LINKS = [
+    ("t", "x", "file", None, True), ("t", "a/run", "symlink", "../x", False), ("t", "a/out", "symlink", "../../x", False), ("t", "a/abs", "symlink", "/x", False),
+    ("t", "b/gone", "symlink", "./y", False), ("t", "c", "symlink", "d/./../x", False), ("t", "data", "file", None, False), ("t", "e", "symlink", "data", False),
+]
+LINK_VERDICTS = [("t", "a/run", "x", "valid"), ("t", "a/out", None, "outside"), ("t", "a/abs", None, "outside"), ("t", "b/gone", "b/y", "missing"), ("t", "c", "x", "valid"), ("t", "e", "data", "not_executable")]
+
+
+@report(f"WITH {sql.values('v', 'tree, path, target, verdict', LINK_VERDICTS)} SELECT * FROM v")
+def symlink_targets(spark, sf_dir):
+    return tree.link_targets(fixture(spark, "tree, path, kind, link, executable", LINKS))
+
+
+@report("""SELECT source AS tree, sha256(string_agg(strlen(lpad(cast(doc_id AS VARCHAR), 12, '0')) || ':' || lpad(cast(doc_id AS VARCHAR), 12, '0') || strlen(lang) || ':' || lang, '' ORDER BY doc_id)) AS digest, count(*) AS records FROM documents GROUP BY source""")
+def tree_digests(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents")
+    return tree.tree_digests(docs.select(F.col("source").alias("tree"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("lang").alias("fields")))
+
+
+@report("""SELECT doc_id, 'v1:' || sha256(lower(hex(encode(source))) || ':' || lang || ':1:' || doc_id) AS fingerprint FROM documents""")
+def root_fingerprints(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", digests.root_fingerprint(F.col("source").cast("binary"), F.col("lang"), F.lit("1"), F.col("doc_id").cast("string")).alias("fingerprint"))
+
+
+PATHS = ["a", "a/b", "./a", "a/../b", "/a", "/", ".", "", "a//b", "a/", "/a/b/", "/a/./b", "..", "a/..b", "node_modules/x", "x/node_modules", "a!b", "a0", "a/b c"]
+_PATH_SQL = f"""WITH {sql.values('p', 'path', [(p,) for p in PATHS])}
+    SELECT path, path = '.' OR (path <> '' AND NOT starts_with(path, '/') AND NOT list_bool_or([x IN ('', '.', '..') for x in string_split(path, '/')])) AS relative,
+           path = '/' OR (starts_with(path, '/') AND NOT list_bool_or([x IN ('', '.', '..') for x in string_split(path[2:], '/')])) AS absolute,
+           path = 'a' OR starts_with(path, 'a/') AS within_a,
+           list_contains(string_split(path, '/')[:-2], 'node_modules') AS generated, path = 'a' OR (encode(path) >= encode('a/') AND encode(path) < encode('a0')) AS in_range FROM p"""
+
+
+@report(_PATH_SQL)
+def path_predicates(spark, sf_dir):
+    p = fixture(spark, "path", [(p,) for p in PATHS])
+    b = F.col("path").cast("binary")
+    return p.select(
+        "path", paths.is_relative(b).alias("relative"), paths.is_absolute(b).alias("absolute"), paths.within(b, F.lit(b"a")).alias("within_a"),
+        paths.has_generated_parent(b).alias("generated"), paths.in_subtree(b, b"a").alias("in_range"),
+    )
+
+
+# --- rules -------------------------------------------------------------------------------------
+
+NODE_VERDICTS = {2: "selected", 5: "nested_dependency", 6: "not_directory", 7: "skipped", 8: "manifest_missing_or_unsupported", 9: "parent_incomplete_or_error", 11: "parent_unconfirmed", 13: "timestamp_unknown", 15: "age_not_met"}
+BUILD_VERDICTS = {20: "selected", 30: "manifest_missing_or_unsupported", 40: "age_not_met", 50: "not_directory", 51: "skipped", 52: "profile_missing_or_unsupported"}
+
+
+def _verdict_sql(verdicts: dict, default: str) -> str:
+    rows = [(e[0], e[2], verdicts.get(e[0], default)) for e in fx.PROJECTS]
+    return f"WITH {sql.values('v', 'id, path, outcome', rows)} SELECT cast(id AS BIGINT) AS id, path, outcome FROM v"
+
+
+@report(_verdict_sql(NODE_VERDICTS, "not_node_modules"))
+def node_modules_candidates(spark, sf_dir):
+    found = rules.node_modules(fixture_entries(spark, fx.PROJECTS), fixture_passes(spark, fx.PROJECT_PASSES), fx.AS_OF)
+    return as_path(found).select("id", "path", "outcome")
+
+
+@report(_verdict_sql(BUILD_VERDICTS, "not_target"))
+def cargo_outputs(spark, sf_dir):
+    found = rules.build_outputs(fixture_entries(spark, fx.PROJECTS), fixture_passes(spark, fx.PROJECT_PASSES), fx.AS_OF)
+    return as_path(found).select("id", "path", "outcome")
+
+
+@report(f"WITH {sql.values('e', fx.ENTRY, fx.PROJECTS)} SELECT cast(id AS BIGINT) AS id, path FROM e WHERE kind = 'file' AND NOT starts_with(path, 'p/target/')")
+def same_size_without_build_trees(spark, sf_dir):
+    e, d = fixture_entries(spark, fx.PROJECTS), fixture_passes(spark, fx.PROJECT_PASSES)
+    return as_path(rules.outside_build_outputs(e.where("kind = 'file'"), rules.build_outputs(e, d, fx.AS_OF))).select("id", "path")
+
+
+@report(f"""WITH {sql.values('f', 'path, kind, mtime_ns, generation, skip_reason', fx.CACHE_FILES)}
+    SELECT path, CASE WHEN NOT regexp_matches(path, '^[0-9a-f]{{2}}/[0-9a-f]{{64}}-[ad]$') OR path[1:2] <> path[4:5] THEN 'outside_supported_layout' WHEN kind = 'directory' AND path[-2:] = '-d' THEN 'executable_directory'
+        WHEN kind <> 'file' THEN 'not_regular_file' WHEN skip_reason <> '' THEN 'skipped' WHEN generation <> 1 THEN 'parent_unconfirmed' WHEN mtime_ns <= 0 THEN 'timestamp_unknown'
+        WHEN mtime_ns > {fx.AS_OF - 90 * fx.DAY} THEN 'age_not_met' ELSE 'selected' END AS outcome, 'saved_layout_matches' AS layout FROM f""")
+def go_cache_files(spark, sf_dir):
+    shard = F.lower(F.lpad(F.hex("id"), 2, "0"))
+    row = lambda id_, path, parent, kind, mtime, generation, skip: (
+        id_.alias("id"), F.lit(1).cast("long").alias("root_id"), path.cast("binary").alias("path"), parent.cast("binary").alias("parent"), kind.alias("kind"),
+        mtime.cast("long").alias("mtime_ns"), generation.cast("long").alias("generation"), skip.alias("skip_reason"),
+    )
+    one = lambda v: F.lit(v)
+    shards = spark.range(256).select(*row(F.col("id"), shard, one("."), one("directory"), one(fx.OLD), one(1), one("")))
+    fixed = fixture(spark, "path, kind", [(".", "directory"), ("README", "file")]).select(*row(F.lit(300).cast("long"), F.col("path"), one("."), F.col("kind"), one(fx.OLD), one(1), one("")))
+    files = fixture(spark, "path, kind, mtime_ns, generation, skip_reason", fx.CACHE_FILES)
+    files = files.select(*row(F.xxhash64("path"), F.col("path"), F.substring("path", 1, 2), F.col("kind"), F.col("mtime_ns"), F.col("generation"), F.col("skip_reason")))
+    listed = spark.range(256).select(shard.alias("p")).union(fixture(spark, "p", [(".",)]))
+    passes = listed.select(F.lit(1).cast("long").alias("root_id"), F.col("p").cast("binary").alias("path"), F.lit(1).cast("long").alias("generation"), F.lit(True).alias("complete"), F.lit(2).cast("long").alias("checked_at_ns"), F.lit("").alias("last_error"))
+    rows = shards.union(fixed).union(files)
+    judged = rules.cache_files(rows, passes, fx.AS_OF).where(F.octet_length("path") > 6)
+    return as_path(judged.join(rules.cache_layout(rows, passes), "root_id")).select("path", "outcome", "layout")
+
+
+@report(f"""WITH {sql.entries()}, raw AS (SELECT id, path, parent_pass FROM labelled WHERE id > 50 ORDER BY id LIMIT 400),
+    seen AS (SELECT *, coalesce(sum(CASE WHEN parent_pass = 'partial' THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM raw)
+    SELECT id, path, parent_pass FROM seen WHERE before < 20""")
+def finding_page(spark, sf_dir):
+    rows = reports.with_parent_pass(adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir))
+    outcomes = rows.withColumn("outcome", F.when(F.col("parent_pass") == "partial", "selected").otherwise("other"))
+    return as_path(rules.candidate_page(outcomes, 50, 400, 20)).select("id", "path", "parent_pass")
+
+
+# --- ledgers -----------------------------------------------------------------------------------
+
+
+@report(f"""WITH {sql.RESERVATIONS} SELECT event_id, cast(coalesce(sum(allowance) OVER w, 0) AS BIGINT) AS before, coalesce(sum(allowance) OVER w, 0) + allowance <= 300 AS admitted FROM reservations
+    WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def daily_quota(spark, sf_dir):
+    return ledger.daily_quota(adapters.reservations(spark, sf_dir), 300, ["user_id", "day"]).select("event_id", "before", "admitted")
+
+
+@report(f"""WITH {sql.RESERVATIONS} SELECT cast(day AS VARCHAR) AS day, cast(sum(allowance) AS BIGINT) AS reserved, cast(coalesce(sum(allowance) FILTER (status = 'settled'), 0) AS BIGINT) AS settled,
+    cast(coalesce(sum(allowance) FILTER (status = 'unknown'), 0) AS BIGINT) AS "unknown", cast(coalesce(sum(allowance) FILTER (status = 'reserved'), 0) AS BIGINT) AS outstanding, count(*) AS attempts
+    FROM reservations GROUP BY ROLLUP (day)""")
+def metadata_ledger(spark, sf_dir):
+    return ledger.reservation_totals(adapters.reservations(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@report(f"""WITH {sql.WINDOWS} SELECT event_id, least(greatest(100 * cpu_ns - elapsed_ns, 0), 3600000000000) AS wait_ns, 100 * cpu_ns - elapsed_ns > 3600000000000 AS capped FROM windows""")
+def cpu_backoff(spark, sf_dir):
+    return ledger.cpu_backoff(adapters.cpu_windows(spark, sf_dir)).select("event_id", "wait_ns", "capped")
+
+
+@report(f"""WITH {sql.WINDOWS}, d AS (SELECT *, cpu_ns - coalesce(lag(cpu_ns) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS delta FROM windows)
+    SELECT user_id, epoch_us(date_trunc('hour', ts)) AS hour_us, cast(sum(greatest(delta, 0)) AS BIGINT) AS charged_ns, count(*) FILTER (delta < 0) AS regressions, bool_or(unknown) AS blocked FROM d GROUP BY 1, 2""")
+def hour_day_charges(spark, sf_dir):
+    return ledger.slot_charges(adapters.cpu_windows(spark, sf_dir)).withColumn("hour_us", F.unix_micros("_hour")).drop("_hour")
+
+
+_REVISIT = f"""WITH RECURSIVE {sql.PASSES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS nth FROM passes),
+    s AS (SELECT user_id, day, nth, changed, unknown, 0 AS streak FROM n WHERE nth = 1 UNION ALL
+          SELECT n.user_id, n.day, n.nth, n.changed, n.unknown, CASE WHEN n.changed OR n.unknown THEN 0 ELSE least(2, s.streak + 1) END FROM s JOIN n ON n.user_id = s.user_id AND n.nth = s.nth + 1)"""
+
+
+@report(_REVISIT + " SELECT user_id, cast(day AS VARCHAR) AS day, streak, CASE WHEN streak = 2 THEN 168 ELSE 24 END AS interval_hours FROM s")
+def revisit_schedule(spark, sf_dir):
+    return ledger.adaptive_revisits(adapters.passes(spark, sf_dir)).select("user_id", F.col("day").cast("string").alias("day"), "streak", "interval_hours")
+
+
+@report(_REVISIT + """, l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC) = 1)
+    SELECT count(*) AS roots, count(*) FILTER (streak = 2) AS weekly, count(*) FILTER (streak < 2) AS daily, count(*) FILTER (changed) AS changed, count(*) FILTER (unknown) AS "unknown" FROM l""")
+def revisit_status(spark, sf_dir):
+    return ledger.revisit_status(ledger.adaptive_revisits(adapters.passes(spark, sf_dir)))
+
+
+@report("""WITH l AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS observed FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, event_id, event_type, value, observed FROM l""")
+def latest_observation(spark, sf_dir):
+    return ledger.latest_observation(adapters.observations(spark, sf_dir))
+
+
+@report("""WITH c AS (SELECT user_id, event_type IS DISTINCT FROM lag(event_type) OVER w OR value IS DISTINCT FROM lag(value) OVER w AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, count(*) AS observed, count(*) FILTER (changed) AS changed FROM c GROUP BY 1""")
+def changed_since_last(spark, sf_dir):
+    return ledger.changed_since_last(adapters.observations(spark, sf_dir)).groupBy("user_id").agg(F.count("*").alias("observed"), F.count_if("changed").alias("changed"))
+
+
+@report("""WITH r AS (SELECT o_custkey AS root_id, max(o_orderkey) AS last_pass FROM orders GROUP BY 1) SELECT root_id, greatest(5000, last_pass + 100) AS due FROM r WHERE root_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def fixed_revisits(spark, sf_dir):
+    o = adapters.table(spark, sf_dir, "orders")
+    passes = o.groupBy(F.col("o_custkey").alias("root_id")).agg(F.max("o_orderkey").alias("last_pass"))
+    return ledger.fixed_revisits(passes, o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("root_id")), 5000, 100)
+
+
+@report("""SELECT event_id, CASE WHEN g >= f THEN g ELSE g - g % 64 END AS grant_bytes, cast(ceil(g * 1000000000 / 5242880.0) AS BIGINT) AS cost_ns FROM
+    (SELECT event_id, 100 + event_id % 5000 AS f, least(4096, 1000 + event_id % 700, 100000, 100 + event_id % 5000, 1048576) AS g FROM events)""")
+def read_grants(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").select("event_id")
+    left = 100 + F.col("event_id") % 5000
+    most = F.least(F.lit(4096), 1000 + F.col("event_id") % 700, F.lit(100000), left)
+    return e.select("event_id", scalars.read_grant(F.lit(4096), 1000 + F.col("event_id") % 700, F.lit(100000), left).alias("grant_bytes"), scalars.pacing_cost(most, 5 << 20).alias("cost_ns"))
+
+
+@report("""WITH s AS (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id) AS events FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, event_type AS state, events FROM s""")
+def manual_refresh_states(spark, sf_dir):
+    return ledger.last_state(adapters.observations(spark, sf_dir).withColumnRenamed("event_type", "state"), "user_id", ["ts", "event_id"])
+
+
+CONSENTS, REVOKED, USED = [(1, 0, 100, 50), (2, 0, 10, 50), (3, 0, 100, 50), (4, 0, 100, 50), (5, 60, 100, 50)], [(3,)], [(1, 20), (1, 10), (4, 50)]
+
+
+@report(f"WITH {sql.values('v', 'consent_id, left_bytes', [(1, 20)])} SELECT consent_id, cast(left_bytes AS BIGINT) AS left_bytes FROM v")
+def valid_consents(spark, sf_dir):
+    found = ledger.valid_consents(fixture(spark, "consent_id, from_ns, until_ns, max_bytes", CONSENTS), fixture(spark, "consent_id", REVOKED), fixture(spark, "consent_id, bytes", USED), 50)
+    return found.withColumn("left_bytes", F.col("left_bytes").cast("long"))
+
+
+# --- history and reconciliation ----------------------------------------------------------------
+
+
+@report("""WITH a AS (SELECT user_id AS target, arg_min(event_type, (ts, event_id)) AS kind, count(*) % 7 AS size FROM events WHERE user_id % 5 <> 0 GROUP BY 1),
+    b AS (SELECT user_id AS target, arg_max(event_type, (ts, event_id)) AS kind, count(*) % 7 AS size, bool_or(event_type = 'purchase' AND event_id % 9 = 0) AS sure FROM events WHERE user_id % 7 <> 0 GROUP BY 1)
+    SELECT target, CASE WHEN a.kind IS NULL OR b.kind IS NULL OR a.kind <> b.kind OR a.size <> b.size THEN 'changed' WHEN NOT sure THEN 'unverifiable' ELSE 'matches_saved_inventory' END AS status,
+           concat_ws(',', CASE WHEN a.kind IS DISTINCT FROM b.kind THEN 'kind' END, CASE WHEN a.size IS DISTINCT FROM b.size THEN 'size' END) AS changes FROM a FULL JOIN b USING (target)""")
+def selection_diff(spark, sf_dir):
+    o = adapters.observations(spark, sf_dir)
+    at = F.struct("ts", "event_id")
+    saved = o.where("user_id % 5 <> 0").groupBy(F.col("user_id").alias("target")).agg(F.min_by("event_type", at).alias("kind"), (F.count("*") % 7).alias("size"))
+    current = o.where("user_id % 7 <> 0").groupBy(F.col("user_id").alias("target")).agg(
+        F.max_by("event_type", at).alias("kind"), (F.count("*") % 7).alias("size"), F.bool_or((F.col("event_type") == "purchase") & (F.col("event_id") % 9 == 0)).alias("sure")
+    )
+    return history.selection_check(saved, current, ["kind", "size"], "sure")
+
+
+@report("""WITH p AS (SELECT o_orderkey AS plan_id FROM orders), a AS (SELECT o_orderkey AS plan_id, min(o_custkey) AS approved FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1), r AS (SELECT DISTINCT o_orderkey AS plan_id FROM orders WHERE o_orderkey % 13 = 0)
+    SELECT plan_id, CASE WHEN r.plan_id IS NOT NULL THEN 'revoked' WHEN approved IS NULL THEN 'pending' WHEN approved + 100 <= 600 THEN 'expired' ELSE 'approved' END AS state FROM p LEFT JOIN a USING (plan_id) LEFT JOIN r USING (plan_id)""")
+def plan_reviews(spark, sf_dir):
+    o = adapters.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "plan_id")
+    approvals = o.where("o_orderstatus <> 'O'").select("plan_id", F.col("o_custkey").alias("approved_ns"))
+    return history.plan_reviews(o.select("plan_id"), approvals, o.where("plan_id % 13 = 0").select("plan_id"), 600, 100)
+
+
+@report("""WITH page AS (SELECT doc_id, sha256(cast(doc_id AS VARCHAR)) AS request_id FROM documents), d AS (SELECT doc_id AS id, sha256(cast(doc_id AS VARCHAR)) AS request_id FROM documents WHERE doc_id % 3 = 0)
+    SELECT doc_id, request_id FROM page WHERE request_id NOT IN (SELECT request_id FROM d WHERE id % 2 = 0)""")
+def active_dismissals(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("request_id"))
+    dismissed = docs.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "id")
+    return history.visible_findings(docs, dismissed, dismissed.where("id % 2 = 1").select(F.col("id").alias("dismissal_id")))
+
+
+@report("""WITH e AS (SELECT user_id AS intent_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS outcome FROM events)
+    SELECT intent_id, count(*) AS events, bool_and(NOT (sequence = 5 AND intent_id % 4 = 0)) AND count(*) <= 70 AS valid, arg_max(outcome, sequence) AS outcome FROM e GROUP BY intent_id""")
+def journal_chain(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = adapters.observations(spark, sf_dir).select(F.col("user_id").alias("intent_id"), F.row_number().over(order).alias("sequence"), F.col("event_id").alias("id"), F.lag("event_id").over(order).alias("predecessor_id"), F.col("event_type").alias("outcome"))
+    broken = F.when((F.col("sequence") == 5) & (F.col("intent_id") % 4 == 0), F.lit(-1)).otherwise(F.col("predecessor_id"))
+    return history.journal_states(e.withColumn("predecessor_id", broken), 70)
+
+
+@report(f"WITH {sql.entries()} SELECT f.id, f.path FROM files f JOIN dirs p ON p.root_id = f.root_id AND p.path = f.parent WHERE p.complete AND p.last_error = '' AND p.generation <> f.generation")
+def reconcile_absent(spark, sf_dir):
+    return as_path(reconcile.absent_rows(adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir))).select("id", "path")
+
+
+@report(f"WITH {sql.entries()} SELECT id, path FROM files WHERE NOT (root_id = 2 AND starts_with(path, 'src1/')) AND NOT (root_id = 1 AND starts_with(path, 'src0/b1/'))")
+def purge_subtree(spark, sf_dir):
+    tops = fixture(spark, "root_id, path, keep_anchor", [(2, "src1", True), (1, "src0/b1", False)])
+    tops = tops.withColumns({"root_id": F.col("root_id").cast("long"), "path": F.col("path").cast("binary")})
+    return as_path(reconcile.purge_subtrees(adapters.entries(spark, sf_dir), tops)).select("id", "path")
+
+
+@report(f"""WITH {sql.values('v', 'path, enabled, action', [('a', True, 'kept'), ('b', False, 'disabled'), ('c', True, 'enabled'), ('d', True, 'added'), ('e', False, 'kept')])} SELECT * FROM v""")
+def root_sync(spark, sf_dir):
+    return reconcile.sync_roots(fixture(spark, "path", [("a",), ("c",), ("d",)]), fixture(spark, "path, enabled", [("a", True), ("b", True), ("c", False), ("e", False)]))
+
+
+@report(f"WITH {sql.values('v', 'path', [('a',), ('c',)])} SELECT * FROM v")
+def exclusion_edits(spark, sf_dir):
+    return reconcile.edit_exclusions(fixture(spark, "path", [("a",), ("b",)]), fixture(spark, "path", [("a",), ("c",)]), fixture(spark, "path", [("b",), ("x",)]))
+
+
+@report(f"""WITH {sql.entries()} SELECT root_id, parent, generation, cast(coalesce(sum(size) FILTER (skip_reason = ''), 0) AS BIGINT) AS logical, count(*) FILTER (skip_reason = '') AS files, count(*) FILTER (skip_reason = '' AND inode = '') AS unknown_inodes, count(*) FILTER (skip_reason <> '') AS skipped_files FROM files GROUP BY 1, 2, 3""")
+def compact_totals(spark, sf_dir):
+    return reconcile.compact(adapters.entries(spark, sf_dir))[0].withColumn("parent", F.col("parent").cast("string"))
