@@ -11,7 +11,7 @@ STEP_BYTES, GRAIN = 1 << 20, 64
 
 def cpu_wait(cpu_ns: Column, elapsed_ns: Column, cap_ns: int = HOUR_NS) -> Column:
     """Idle time after which the window's share is one per cent, with a cap."""
-    return F.least(F.greatest(100 * cpu_ns - elapsed_ns, F.lit(0)), F.lit(cap_ns)).cast("long")
+    return F.least(F.greatest(F.lit(100).cast("long") * cpu_ns - elapsed_ns, F.lit(0)), F.lit(cap_ns)).cast("long")
 
 
 def pacing_cost(nbytes: Column, rate: int) -> Column:

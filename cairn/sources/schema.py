@@ -7,38 +7,39 @@ from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
 
-RELATIONS: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
-        "roots": "id long, path binary, enabled boolean, volume_id string, last_scan_ns long, last_error string",
-        "entries": "id long, root_id long, path binary, parent binary, kind string, size long, allocated long, mtime_ns long, ctime_ns long, device string, inode string, generation long, observed_at_ns long, skip_reason string",
-        "directories": "root_id long, path binary, generation long, complete boolean, checked_at_ns long, last_error string",
-        "compact_dirs": "root_id long, path binary, generation long, logical long, files long, unknown_inodes long, skipped_files long",
-        "compact_inodes": "root_id long, path binary, generation long, device string, inode string, allocated long, logical long, paths long, conflicting boolean",
-        "revisions": "root_id long, revision long, scan_revision long",
-        "jobs": "id long, root_id long, kind string, path binary, status string, due_at_ns long, cursor binary, attempts int, lease_token string, lease_until_ns long",
-        "hash_work": "work_id string, file_id long, root_id long, path binary, size long, sha256 string, status string, device string, inode string, ctime_ns long, mtime_ns long, allocated long",
-        "reservations": "token string, scope string, day string, allowance long, status string, observed long",
-        "cpu_windows": "ts_ns long, cpu_ns long, elapsed_ns long, reason string",
-        "passes": "root_id long, epoch long, changed boolean, unknown boolean, finished_ns long",
-        "dismissals": "id string, request_id string, payload string",
-        "dismissal_undos": "dismissal_id string",
-        "journal_events": "intent_id string, sequence int, id string, predecessor_id string, kind string, outcome string",
-    }.items()
+RELATIONS: dict[str, str] = {
+    "roots": "id long, path binary, enabled boolean, volume_id string, last_scan_ns long, last_error string",
+    "entries": "id long, root_id long, path binary, parent binary, kind string, size long, allocated long, mtime_ns long, ctime_ns long, device string, inode string, generation long, observed_at_ns long, skip_reason string",
+    "directories": "root_id long, path binary, generation long, complete boolean, checked_at_ns long, last_error string",
+    "compact_dirs": "root_id long, path binary, generation long, logical long, files long, unknown_inodes long, skipped_files long",
+    "compact_inodes": "root_id long, path binary, generation long, device string, inode string, allocated long, logical long, paths long, conflicting boolean",
+    "revisions": "root_id long, revision long, scan_revision long",
+    "jobs": "id long, root_id long, kind string, path binary, status string, due_at_ns long, cursor binary, attempts int, lease_token string, lease_until_ns long",
+    "hash_work": "work_id string, file_id long, root_id long, path binary, size long, sha256 string, status string, device string, inode string, ctime_ns long, mtime_ns long, allocated long",
+    "reservations": "token string, scope string, day string, allowance long, status string, observed long",
+    "cpu_windows": "ts_ns long, cpu_ns long, elapsed_ns long, reason string",
+    "passes": "root_id long, epoch long, changed boolean, unknown boolean, finished_ns long",
+    "dismissals": "id string, request_id string, payload string",
+    "dismissal_undos": "dismissal_id string",
+    "journal_events": "intent_id string, sequence int, id string, predecessor_id string, kind string, outcome string",
 }
 
 
+def relation(name: str) -> StructType:
+    return StructType.fromDDL(RELATIONS[name])
+
+
 def read_relation(spark: SparkSession, store: str, name: str) -> DataFrame:
     """A saved relation; its stored columns and types must be those declared."""
     found = spark.read.parquet(f"{store}/{name}.parquet")
-    want = [(f.name, f.dataType) for f in RELATIONS[name]]
+    want = [(f.name, f.dataType) for f in relation(name)]
     if [(f.name, f.dataType) for f in found.schema] != want:
         raise ValueError(f"{name} has another schema than version {SCHEMA_VERSION}: {found.schema.simpleString()}")
     return found
 
 
 def write_relation(df: DataFrame, store: str, name: str, mode: str = "errorifexists") -> None:
-    df.select(*RELATIONS[name].names).write.mode(mode).parquet(f"{store}/{name}.parquet")
+    df.select(*relation(name).names).write.mode(mode).parquet(f"{store}/{name}.parquet")
 
 
 def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
