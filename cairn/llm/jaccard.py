@@ -158,18 +158,23 @@ def _frequent_shingles(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.nda
 
     def often(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = np.unique(np.concatenate([unpacked(k, np.uint32) for k in rows["keys"]]), return_counts=True)
-        kept = counts >= FREQUENT
-        return pd.DataFrame({"key": keys[kept].astype(np.int64), "magnitude": np.log2(counts[kept]).astype(np.int32)})
+        keys, sizes = keys[counts >= FREQUENT], np.log2(counts[counts >= FREQUENT]).astype(np.int32)
+        groups = [(m, keys[sizes == m]) for m in np.unique(sizes).tolist()]
+        return pd.DataFrame({"magnitude": [m for m, _ in groups], "n": [len(k) for _, k in groups], "keys": [packed(k) for _, k in groups]})
 
-    found = docs.select("text").mapInArrow(count, "range int, keys binary").groupBy("range").applyInPandas(often, "key long, magnitude int")
+    found = docs.select("text").mapInArrow(count, "range int, keys binary").groupBy("range").applyInPandas(often, "magnitude int, n long, keys binary")
     found = materialise(found, "shingle-counts")
-    sizes = dict(found.groupBy("magnitude").count().collect())
+    sizes = dict(found.groupBy("magnitude").agg(F.sum("n")).collect())
     least, kept = 64, 0
     while sizes.get(least - 1, 0) + kept <= MAX_FREQUENT and least > 0:
         least -= 1
         kept += sizes.get(least, 0)
-    table = found.where(F.col("magnitude") >= least).toPandas().sort_values("key")
-    return table["key"].to_numpy().astype(np.uint32), table["magnitude"].to_numpy().astype(np.uint8)
+    parts = [(r.magnitude, unpacked(bytes(r["keys"]), np.uint32)) for r in found.where(F.col("magnitude") >= least).select("magnitude", "keys").collect()]
+    if not parts:
+        return np.empty(0, np.uint32), np.empty(0, np.uint8)
+    keys = np.concatenate([k for _, k in parts])
+    order = np.argsort(keys)
+    return keys[order], np.concatenate([np.full(len(k), m, np.uint8) for m, k in parts])[order]
 
 
 def magnitudes(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
