@@ -241,8 +241,10 @@ def scores(docs: DataFrame) -> DataFrame:
     out = "doc_id long, nth string, held_out boolean, n_tokens long, n_known long, base_score double, part double"
     schema = arrow_schema(out)
     for number, group in enumerate(groups):
-        loaded = {r.range: bytes(r.bits) for r in segments.where(F.col("range").isin(group)).collect()} if group else {}
+        # a segment at a time, so that the driver holds the group once
+        loaded = {r.range: bytes(r.bits) for r in segments.where(F.col("range").isin(group)).select("range", "bits").toLocalIterator()} if group else {}
         shared = spark.sparkContext.broadcast(loaded)
+        del loaded
 
         def score(batches, shared=shared, first=number == 0):
             filters = {r: np.frombuffer(b, np.uint8) for r, b in shared.value.items()}

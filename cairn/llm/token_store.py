@@ -14,7 +14,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,12 +33,14 @@ END_ID = 0
 #: Stands for a null document id in the index; read back as null.
 NO_ID = -(1 << 63)
 #: Documents whose id arrays the dictionary is trained on, those first in a seeded order.
-TRAINING_DOCUMENTS = 1000
+TRAINING_DOCUMENTS = 400
 DICTIONARY_BYTES = 64 << 10
 CONTAINER_TOKENS = 1 << 20
 #: Distinct runs of text whose ids a worker remembers.
-CACHE_RUNS = 800_000
+CACHE_RUNS = 600_000
 LEVEL = 3
+#: Documents encoded at once.
+SLICE = 256
 
 
 #: The pre-tokeniser's pattern for texts of ASCII and Latin-1 letters; other texts are left to the library as a whole.
@@ -52,11 +56,16 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Memory(dict):
-    """A dict that forgets what it was not asked for during about ``most`` new keys."""
+    """Results of a function by key; forgets what was not asked for during about ``most`` new keys."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, compute):
         super().__init__()
-        self.most, self.old = most // 2, {}
+        self.most, self.compute, self.old = most // 2, compute, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        self[key] = found = self.compute(key) if found is None else found
+        return found
 
     def make_room(self) -> None:
         if len(self) >= self.most:
@@ -79,11 +88,14 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.runs = Memory(CACHE_RUNS)
+        self.runs = Memory(CACHE_RUNS, self._run)
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        found = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -95,16 +107,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned ids of each text, ``width`` bytes each."""
         self.runs.make_room()
-        known, old = self.runs, self.runs.old
+        known = self.runs.__getitem__
         out: list[bytes | None] = []
         for text in texts:
             runs = RUNS.findall(text)
-            if sum(map(len, runs)) != len(text):
-                out.append(None)
-                continue
-            for run in [r for r in set(runs) if r not in known]:
-                known[run] = old.get(run) or self._run(run)
-            out.append(b"".join(map(known.__getitem__, runs)))
+            out.append(b"".join(map(known, runs)) if len("".join(runs)) == len(text) else None)
         whole = iter(self._library([t for t, o in zip(texts, out) if o is None]))
         return [next(whole) if o is None else o for o in out]
 
@@ -133,18 +140,6 @@ class Store:
     containers: DataFrame  # part, seq, first_doc, last_doc, n_docs, n_ids, dict_hash, index, body
 
 
-def _slices(texts: list[str], most: int = 4_000_000):
-    """Ranges of texts with about so many characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 CONTAINER = "part int, seq int, first_doc long, last_doc long, n_docs int, n_ids long, dict_hash string, index binary, body binary"
 
 
@@ -179,9 +174,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                for doc, tokens in zip(doc_ids[a:b], encode(texts[a:b])):
+            for at in range(0, batch.num_rows, SLICE):
+                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                for doc, tokens in zip(doc_ids, encode(texts)):
                     tokens += end
                     ids.append(NO_ID if doc is None else doc)
                     counts.append(len(tokens) // width)
