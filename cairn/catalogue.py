@@ -9,7 +9,8 @@ from cairn import fixtures as fx
 from cairn import oracles as sql
 from cairn.functions import digests, paths, scalars
 from cairn.operators import hashing, history, ledger, reconcile, reports, rules, tree
-from cairn.sources import adapters
+from cairn.plans import store
+from cairn.sources import adapters, metadata
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -545,3 +546,71 @@ def exclusion_edits(spark, sf_dir):
 @report(f"""WITH {sql.entries()} SELECT root_id, parent, generation, cast(coalesce(sum(size) FILTER (skip_reason = ''), 0) AS BIGINT) AS logical, count(*) FILTER (skip_reason = '') AS files, count(*) FILTER (skip_reason = '' AND inode = '') AS unknown_inodes, count(*) FILTER (skip_reason <> '') AS skipped_files FROM files GROUP BY 1, 2, 3""")
 def compact_totals(spark, sf_dir):
     return reconcile.compact(adapters.entries(spark, sf_dir))[0].withColumn("parent", F.col("parent").cast("string"))
+
+
+# --- metadata sources, exports and envelopes ---------------------------------------------------
+
+LOCK = '{"lockfileVersion": 3, "packages": {"": {"dependencies": {"x": "1"}}, "node_modules/x": {}, "node_modules/@s/y": {}}}'
+MANIFESTS = [
+    (1, '{"dependencies": {"x": "1"}}', LOCK), (2, '{"dependencies": {"x": "2"}}', LOCK), (3, '{"a": 1, "a": 2}', LOCK), (4, "{}", '{"lockfileVersion": 1}'),
+    (5, "[]", LOCK), (6, "{}", '{"lockfileVersion": 2, "packages": {"": {}, "../x": {}}}'),
+]
+LAYOUTS = [
+    (1, "supported", 3, "node_modules/@s/y,node_modules/x"), (2, "manifest_differs", 3, ""), (3, "malformed", None, ""), (4, "unsupported_version", None, ""),
+    (5, "malformed", None, ""), (6, "unsupported_path", 2, ""),
+]
+
+
+@report(f"WITH {sql.values('v', 'id, status, version, packages', LAYOUTS)} SELECT * FROM v")
+def lock_layouts(spark, sf_dir):
+    found = fixture(spark, "id, manifest, lock", MANIFESTS).withColumn("v", metadata.lock_layout("manifest", "lock"))
+    return found.select("id", "v.status", "v.version", F.concat_ws(",", "v.packages").alias("packages"))
+
+
+IMAGES = [("c1", '[{"Id": "i1", "RepoTags": ["b", "a"], "Created": 5}, {"Id": "i2", "RepoTags": null, "Created": 6}]'), ("c2", "[]")]
+
+
+@report(f"WITH {sql.values('v', 'context, id, tags, created, truncated', [('c1', 'i1', 'a,b', 5, False), ('c1', 'i2', '', 6, False)])} SELECT context, id, tags, cast(created AS BIGINT) AS created, truncated FROM v")
+def engine_images(spark, sf_dir):
+    return metadata.engine_images(fixture(spark, "context, body", IMAGES))
+
+
+SUPPLIES = [
+    ("a", "Mains", True, "none"), ("a", "Battery", False, "Full"), ("b", "Mains", False, "none"), ("b", "Battery", False, "Discharging"), ("c", "Mains", True, "none"),
+    ("c", "Battery", False, "Discharging"), ("d", "Battery", False, "Charging"), ("e", "Battery", False, "Unknown"),
+]
+
+
+@report(f"WITH {sql.values('v', 'host, state', [('a', 'line'), ('b', 'battery'), ('c', 'ambiguous'), ('d', 'charging'), ('e', 'unknown')])} SELECT * FROM v")
+def power_states(spark, sf_dir):
+    return metadata.power_state(fixture(spark, "host, type, online, status", SUPPLIES))
+
+
+ROLES = [(".", "boundary"), (".bin", "bin"), (".bin/x", "bin"), ("@s", "scope"), ("@s/p", "package"), ("p", "package"), ("p/lib/x", "content"), ("@s/p/x", "content")]
+
+
+@report(f"WITH {sql.values('v', 'path, role', ROLES)} SELECT * FROM v")
+def tree_roles(spark, sf_dir):
+    return fixture(spark, "path", [(p,) for p, _ in ROLES]).select("path", tree.tree_role(F.col("path")).alias("role"))
+
+
+@report("SELECT (SELECT count(*) FROM documents) AS rows, TRUE AS order_free, TRUE AS row_sensitive")
+def export_manifest(spark, sf_dir):
+    """Manifests of the documents, of the same rows in another order, and of all rows but one."""
+    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    named = lambda df, name: store.manifest(df).select(F.col("rows").alias(f"{name}_rows"), F.col("digest").alias(name))
+    all_, other, less = named(docs, "a"), named(docs.repartition(3, "doc_id"), "b"), named(docs.where("doc_id <> 7"), "c")
+    joined = all_.crossJoin(other).crossJoin(less)  # one row each
+    return joined.select(F.col("a_rows").alias("rows"), (F.col("a") == F.col("b")).alias("order_free"), (F.col("a") != F.col("c")).alias("row_sensitive"))
+
+
+@report("""SELECT '{"api_version":1,"ok":true,"command":"report","result":{"region":' || r_regionkey || ',"name":"' || r_name || '"}}' AS document FROM region""")
+def json_envelopes(spark, sf_dir):
+    rows = adapters.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"))
+    return rows.select(metadata.envelope(rows, "report").alias("document"))
+
+
+@report("""SELECT DISTINCT 'plan_' || sha256('{"source":"' || source || '","lang":"' || lang || '"}') AS id FROM documents""")
+def content_addresses(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents").select("source", "lang").distinct()
+    return docs.select(F.concat(F.lit("plan_"), history.request_digest("source", "lang")).alias("id"))
