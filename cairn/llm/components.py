@@ -1,9 +1,9 @@
 """Connected components of an edge table.
 
-Each task first contracts the edges it holds to stars. Then rounds of hooking every node to its
-smallest neighbour, following parents, and contracting the edges go on until none is left; a round
-at least halves the nodes that still have edges. Each round's tables are written to the shared
-folder. Nothing is collected.
+Each task first contracts the edges it holds to stars. While more are left than one task may hold,
+rounds of hooking every node to its smallest neighbour, following parents, and contracting the edges
+go on; a round at least halves the nodes that still have edges. One task then joins the rest, which
+``TASK_EDGES`` bounds. Each round's tables are written to the shared folder. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from cairn.llm.common import arrow_schema, materialise
 
 #: Nodes that a task contracts at once; it starts afresh beyond them.
 TASK_NODES = 1_000_000
+#: Edges, after contraction, that one task joins.
+TASK_EDGES = 250_000
 
 
 class Forest:
@@ -64,12 +66,12 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").mapInArrow(run, "src long, dst long")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component): the smallest node reachable from every node that has an edge. ``edges`` has src and dst, both long."""
     edges = materialise(_contract(edges), "components-edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     labels = nodes.withColumn("component", F.col("node"))
-    while edges.head(1):
+    while edges.count() > task_edges:
         both = edges.union(edges.select("dst", "src"))
         parents = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent")).select("node", F.least("node", "parent").alias("parent"))
         parents = materialise(parents, "components-parents")
@@ -81,4 +83,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         of = lambda c: parents.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}"))
         edges = edges.join(of("src"), "src").join(of("dst"), "dst").where("_src != _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
         edges = materialise(_contract(edges.distinct()), "components-edges")
-    return labels
+    stars = materialise(_contract(edges.coalesce(1)), "components-stars").select(F.col("src").alias("component"), F.col("dst").alias("_top"))
+    return labels.join(stars, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))

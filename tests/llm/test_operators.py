@@ -77,12 +77,13 @@ def test_vector_links_and_components(spark):
     assert vector_dedup.vector_duplicates(df.limit(0)).count() == 0
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("task_edges", [0, 10**6])
+def test_components_of_long_chains(spark, task_edges):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 400)] + [(1000 + i, 1000) for i in range(1, 50)]
     rng.shuffle(edges)
     df = spark.createDataFrame(edges, "src long, dst long").repartition(7)
-    got = {r.node: r.component for r in components.connected_components(df).collect()}
+    got = {r.node: r.component for r in components.connected_components(df, task_edges).collect()}
     assert got == closure({n for e in edges for n in e}, edges)
 
 
