@@ -6,7 +6,7 @@ alike, rare ones first; only these columns are multiplied. The order comes from
 shingles: those of many documents go last, by magnitude.
 
 The product is taken in blocks of columns. In a column's block the documents are compared with the
-smallest one of their size class first; exact verification of these pairs joins most copies. Pairs
+one of their size class with the fewest rarer shingles first; exact verification of these pairs joins most copies. Pairs
 that still lie in different components are then all taken, with their overlaps in the prefixes
 added up, those discarded whose overlap cannot reach the bound set by their sizes and positions,
 and the rest verified. So no link between components is lost, and a group of copies is never
@@ -32,10 +32,12 @@ from cairn.llm.components import connected_components
 
 WIDTH = 5
 PERCENT = 80
-#: Documents of a shingle from which its count is known to the order, and magnitude of the count from which its column is split.
-FREQUENT, SPLIT = 4, 6
-#: Frequent shingles that the order knows; with more, those of the least magnitude count as rare. The order never changes results.
-MAX_FREQUENT = 4_000_000
+#: Magnitude (binary logarithm) of a shingle's count from which the order has it in a list, and from which its column is split.
+LISTED, SPLIT = 2, 6
+#: Shingles in the list; with more, those of the least magnitude are left out. The order never changes results.
+MAX_LISTED = 4_000_000
+#: Bits of the map, at most, of all shingles of two or more documents; others that fall on their bits are ordered with them.
+MAX_BITS = 1 << 28
 #: A first comparison is made when this many times the columns led by one of the two reach what a similar pair meets in.
 FIRST = 4
 #: Parts of a split column.
@@ -129,8 +131,25 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(from_planes(data, dtype), dtype=dtype)
 
 
-def _frequent_shingles(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper halves of the hashes of frequent shingles, ascending, and the magnitudes of their document counts."""
+class Frequency:
+    """Magnitudes of shingles' document counts: a list of the frequent ones and a bit map of those of two or more documents."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        self.keys, self.sizes, self.bits = keys, sizes, bits
+        self.shift = np.uint64(64 - max(len(bits) * 8, 1).bit_length() + 1)
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        at = (shingles >> self.shift).astype(np.int64)
+        found = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        if len(self.keys):
+            upper = (shingles >> np.uint64(32)).astype(np.uint32)
+            place = np.minimum(np.searchsorted(self.keys, upper), len(self.keys) - 1)
+            found = np.where(self.keys[place] == upper, self.sizes[place], found)
+        return found
+
+
+def _frequency(docs: DataFrame, ranges: int) -> Frequency:
+    """Counts of the upper halves of all shingle hashes."""
     schema = arrow_schema("range int, keys binary")
 
     def count(batches):
@@ -158,7 +177,7 @@ def _frequent_shingles(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.nda
 
     def often(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = np.unique(np.concatenate([unpacked(k, np.uint32) for k in rows["keys"]]), return_counts=True)
-        keys, sizes = keys[counts >= FREQUENT], np.log2(counts[counts >= FREQUENT]).astype(np.int32)
+        keys, sizes = keys[counts > 1], np.log2(counts[counts > 1]).astype(np.int32)
         groups = [(m, keys[sizes == m]) for m in np.unique(sizes).tolist()]
         return pd.DataFrame({"magnitude": [m for m, _ in groups], "n": [len(k) for _, k in groups], "keys": [packed(k) for _, k in groups]})
 
@@ -166,24 +185,22 @@ def _frequent_shingles(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.nda
     found = materialise(found, "shingle-counts")
     sizes = dict(found.groupBy("magnitude").agg(F.sum("n")).collect())
     least, kept = 64, 0
-    while sizes.get(least - 1, 0) + kept <= MAX_FREQUENT and least > 0:
+    while least > LISTED and sizes.get(least - 1, 0) + kept <= MAX_LISTED:
         least -= 1
         kept += sizes.get(least, 0)
-    parts = [(r.magnitude, unpacked(bytes(r["keys"]), np.uint32)) for r in found.where(F.col("magnitude") >= least).select("magnitude", "keys").collect()]
-    if not parts:
-        return np.empty(0, np.uint32), np.empty(0, np.uint8)
-    keys = np.concatenate([k for _, k in parts])
+    wanted = 1 << max(10, (8 * sum(sizes.values())).bit_length())
+    bits = np.zeros(min(wanted, MAX_BITS) // 8, np.uint8)
+    shift = np.uint32(32 - (len(bits) * 8).bit_length() + 1)
+    listed = []
+    for magnitude, data in found.select("magnitude", "keys").toLocalIterator():
+        keys = unpacked(bytes(data), np.uint32)
+        at = (keys >> shift).astype(np.int64)
+        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        if magnitude >= least:
+            listed.append((magnitude, keys))
+    keys = np.concatenate([np.empty(0, np.uint32), *[k for _, k in listed]])
     order = np.argsort(keys)
-    return keys[order], np.concatenate([np.full(len(k), m, np.uint8) for m, k in parts])[order]
-
-
-def magnitudes(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    keys, sizes = frequent
-    if not len(keys):
-        return np.zeros(len(shingles), np.uint8)
-    upper = (shingles >> np.uint64(32)).astype(np.uint32)
-    at = np.minimum(np.searchsorted(keys, upper), len(keys) - 1)
-    return np.where(keys[at] == upper, sizes[at], 0)
+    return Frequency(keys[order], np.concatenate([np.empty(0, np.uint8), *[np.full(len(k), m, np.uint8) for m, k in listed]])[order], bits)
 
 
 ROW = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -200,7 +217,7 @@ def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
         def out(rows):
             rows = np.concatenate(rows)
             # a split column's nodes go to the ranges of several hashes
-            often = magnitudes(rows["h"], frequent.value) >= SPLIT
+            often = frequent.value.of(rows["h"]) >= SPLIT
             part = np.where(often, mixed(rows["node"].astype(np.uint64)) >> np.uint64(40), np.uint64(0)) % np.uint64(PARTS)
             place = ((rows["h"] >> np.uint64(32)).astype(np.int64) * ranges >> 32) + part.astype(np.int64)
             place %= ranges
@@ -216,7 +233,7 @@ def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
                 if node == 0 or node in seen:
                     continue
                 seen.add(node)
-                level = magnitudes(shingles, frequent.value)
+                level = frequent.value.of(shingles)
                 if level.any():
                     shingles = shingles[np.argsort(level, kind="stable")]
                 own = np.empty(prefix_length(len(shingles)), ROW)
@@ -233,11 +250,14 @@ def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
         x = np.concatenate([from_planes(r, ROW) for r in rows["rows"]])
         x = x[np.argsort(x["h"], kind="stable")]
         same = x["h"][1:] == x["h"][:-1]
-        split = magnitudes(x["h"], frequent.value) >= SPLIT  # the column goes on in other ranges
+        split = frequent.value.of(x["h"]) >= SPLIT  # the column goes on in other ranges
         x = x[(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(x)] | split]
         x = x[np.lexsort((x["node"], x["n"], x["h"]))]
         x = x[np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["node"][1:] != x["node"][:-1])])] if len(x) else x
         band = np.log(np.maximum(x["n"], 1)) // np.log(1.12)
+        # the node with the fewest rarer shingles of its own leads: it is the likeliest to be what the others are copies of
+        order = np.lexsort((x["node"], x["pos"], band, x["h"]))
+        x, band = x[order], band[order]
         begins = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (band[1:] != band[:-1])])[: len(x)]
         lead = x[np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(x) else x
         return pd.DataFrame(
@@ -308,6 +328,9 @@ def _left(members: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
     pairs = (
         side("1").join(side("2"), "h").where("node1 < node2 and label1 <> label2")
         .where(f"n1 * 100 >= n2 * {PERCENT} and n2 * 100 >= n1 * {PERCENT}")
+        # what a similar pair must meet in lies in prefixes cut for both sizes, and a meeting leaves room for enough overlap
+        .where(F.greatest(F.col("pos1") - F.col("n1"), F.col("pos2") - F.col("n2")) <= -F.ceil(F.greatest("n1", "n2") * PERCENT / 100 - 1e-9))
+        .where(1 + F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1 >= overlap_needed(F.col("n1"), F.col("n2")))
         .groupBy("node1", "node2", "n1", "n2")
         .agg(F.count("*").alias("met"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2"))
     )
@@ -331,7 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], schema=schema)
 
     meta = materialise(docs.mapInArrow(measure, "doc_id long, node long, n_shingles long"), "shingle-nodes")
-    frequent = spark.sparkContext.broadcast(_frequent_shingles(docs, ranges))
+    frequent = spark.sparkContext.broadcast(_frequency(docs, ranges))
     members = _members(docs, frequent, ranges)
     known = meta.where("node <> 0 and doc_id is not null")
     # first comparisons: each node with the smallest of its size class, and the parts of a column with one another
