@@ -288,7 +288,7 @@ def near_copies(seed=4):
     passage = prose(99, 70)
     for g in range(25):
         words = prose(100 + g, 300 if g == 3 else rng.choice([6, 40, 150, 300])).split()
-        for _ in range(rng.choice([1, 2, 5, 90 if g == 3 else 3])):
+        for _ in range(90 if g == 3 else rng.choice([1, 2, 3, 5])):  # 90: its columns are split
             copy = list(words)
             for _ in range(rng.randrange(3)):
                 copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
