@@ -7,9 +7,9 @@ shingles: those of many documents go last, by magnitude.
 
 The product is taken in blocks of columns. In a column's block the documents are compared with the
 one of their size class with the fewest rarer shingles first; exact verification of these pairs joins most copies. Pairs
-that still lie in different components are then all taken, with their overlaps in the prefixes
-added up, those discarded whose overlap cannot reach the bound set by their sizes and positions,
-and the rest verified. So no link between components is lost, and a group of copies is never
+that still lie in different components are then all taken from the parts of the prefixes that
+their two sizes demand, those discarded whose overlap cannot reach the bound set by sizes and
+positions, or whose bit sketches differ in more places than similar sets can, and the rest verified. So no link between components is lost, and a group of copies is never
 multiplied out. Columns of many documents are split by document, and the parts' smallest
 documents are compared with each other.
 
@@ -42,6 +42,8 @@ MAX_BITS = 1 << 28
 FIRST = 4
 #: Parts of a split column.
 PARTS = 64
+#: Columns of a set's sketch: the parity of its shingles in each of 64 cells a column.
+SKETCH = ["s0", "s1", "s2", "s3"]
 RANGE_BYTES = 12 << 20
 BLOCK_BYTES = 1 << 21
 
@@ -108,6 +110,13 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH):
         i = j
 
 
+def sketch(shingles: np.ndarray) -> list[int]:
+    """Parities of the shingles by cell; two sketches differ in no more bits than the sets differ in shingles."""
+    cells = (shingles >> np.uint64(32)) % np.uint64(64 * len(SKETCH))
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
@@ -318,25 +327,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "src long, dst long")
 
 
-def _left(members: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of a column that lie in different components and could still link."""
+def _left(members: DataFrame, edges: DataFrame, done: DataFrame, meta: DataFrame) -> DataFrame:
+    """Pairs of a column that lie in different components and could still link.
+
+    A pair that needs an overlap of o meets before either row has o or more shingles left behind
+    the meeting, so two sizes take no more than this part of their prefixes.
+    """
     labels = connected_components(edges)
     members = members.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
     split = members.groupBy("h").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("h")
     open_ = materialise(members.join(split, "h", "left_semi"), "shingle-open")
-    side = lambda s: open_.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("node", "n", "pos", "label")])
+    sketches = meta.select("node", *SKETCH).dropDuplicates(["node"])
+    open_ = open_.join(sketches, "node")
+    side = lambda s: open_.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "label", *SKETCH)])
+    n1, n2, p1, p2 = F.col("n_1"), F.col("n_2"), F.col("pos_1"), F.col("pos_2")
+    needed = overlap_needed(n1, n2)
+    differ = sum((F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in SKETCH), F.lit(0))
     pairs = (
-        side("1").join(side("2"), "h").where("node1 < node2 and label1 <> label2")
-        .where(f"n1 * 100 >= n2 * {PERCENT} and n2 * 100 >= n1 * {PERCENT}")
-        # what a similar pair must meet in lies in prefixes cut for both sizes, and a meeting leaves room for enough overlap
-        .where(F.greatest(F.col("pos1") - F.col("n1"), F.col("pos2") - F.col("n2")) <= -F.ceil(F.greatest("n1", "n2") * PERCENT / 100 - 1e-9))
-        .where(1 + F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1 >= overlap_needed(F.col("n1"), F.col("n2")))
-        .groupBy("node1", "node2", "n1", "n2")
-        .agg(F.count("*").alias("met"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2"))
+        side("1").join(side("2"), "h").where("node_1 < node_2 and label_1 <> label_2")
+        .where(f"n_1 * 100 >= n_2 * {PERCENT} and n_2 * 100 >= n_1 * {PERCENT}")
+        .where((n1 - p1 >= needed) & (n2 - p2 >= needed))
+        .where(F.least(p1, p2) + F.least(n1 - p1, n2 - p2) >= needed)
+        .where(differ <= n1 + n2 - 2 * needed)
+        .groupBy("node_1", "node_2", "n_1", "n_2")
+        .agg(F.count("*").alias("met"), F.max("pos_1").alias("pos_1"), F.max("pos_2").alias("pos_2"))
     )
-    reach = F.col("met") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1
-    n1, n2 = F.col("n1"), F.col("n2")
-    return pairs.where((F.col("met") >= met_needed(n1, n2)) & (reach >= overlap_needed(n1, n2))).select(F.col("node1").alias("a"), F.col("node2").alias("b")).join(done, ["a", "b"], "left_anti")
+    reach = F.col("met") + F.least(n1 - p1, n2 - p2) - 1
+    return pairs.where(reach >= needed).select(F.col("node_1").alias("a"), F.col("node_2").alias("b")).join(done, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -345,15 +362,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = input_bytes(docs, "text")
     ranges = max(16, -(-total // RANGE_BYTES))
-    schema = arrow_schema("doc_id long, node long, n_shingles long")
+    measured = "doc_id long, node long, n_shingles long, " + ", ".join(f"{c} long" for c in SKETCH)
+    schema = arrow_schema(measured)
 
     def measure(batches):
         for batch in batches:
-            found = [(n, len(s)) for n, s in shingle_sets(batch.column(1).to_pylist())]
-            nodes, sizes = zip(*found) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], schema=schema)
+            found = [(n, len(s), *sketch(s)) for n, s in shingle_sets(batch.column(1).to_pylist())]
+            columns = zip(*found) if found else [[] for _ in schema.names[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
 
-    meta = materialise(docs.mapInArrow(measure, "doc_id long, node long, n_shingles long"), "shingle-nodes")
+    meta = materialise(docs.mapInArrow(measure, measured), "shingle-nodes")
     frequent = spark.sparkContext.broadcast(_frequency(docs, ranges))
     members = _members(docs, frequent, ranges)
     known = meta.where("node <> 0 and doc_id is not null")
@@ -366,7 +384,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a first choice only: what is left out here and lies in different components is met again below
     first = materialise(first.where(F.col("_met") * FIRST >= met_needed(F.col("_n1"), F.col("_n2"))).select("a", "b"), "shingle-pairs")
     edges = materialise(_verified(first, docs, known), "shingle-links")
-    left = materialise(_left(members, edges, first), "shingle-pairs")
+    left = materialise(_left(members, edges, first, known), "shingle-pairs")
     edges = edges.union(materialise(_verified(left, docs, known), "shingle-links"))
     labels = connected_components(edges)
     rows = meta.join(labels, "node", "left").withColumn("_group", F.when(F.col("node") == 0, F.lit(None)).otherwise(F.coalesce("component", "node")))

@@ -299,8 +299,10 @@ def near_copies(seed=4):
     return list(enumerate(rows))
 
 
-def test_jaccard_components_are_exact(spark):
-    rows = [*near_copies(), (9000, None), (9001, ""), (9002, "\t"), (9003, "a b"), (9004, "A B"), (9005, "a b c")]
+@pytest.mark.parametrize("first, seed", [(jaccard.FIRST, 4), (0, 4), (0, 5)])  # 0: no first comparisons, all pairs by the product
+def test_jaccard_components_are_exact(spark, monkeypatch, first, seed):
+    monkeypatch.setattr(jaccard, "FIRST", first)
+    rows = [*near_copies(seed), (9000, None), (9001, ""), (9002, "\t"), (9003, "a b"), (9004, "A B"), (9005, "a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: r for r in jaccard.near_duplicates(df).collect()}
     sets = {}
