@@ -3,8 +3,10 @@
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed.
 A vector is stored in the inverted list of its nearest centroid with one code for each subspace of
 its residual and the distance between it and what the codes say. It probes its own list and all
-lists whose border, the plane half-way between the two centroids, lies within ``PROBE_MARGIN``.
-In a list, table look-ups give the asymmetric distance of a query to every code; by the triangle
+lists whose border, the plane half-way between the two centroids, lies within half the link radius
+sqrt(2 - 2 * threshold). Two linked vectors of different lists lie on different sides of the border
+between these and at most the radius apart, so at least one of them probes the other's list; where
+both do, the pair is counted in the list of the higher number only. In a list, table look-ups give the asymmetric distance of a query to every code; by the triangle
 inequality a linked vector is never farther than the link radius plus its own coding error, so no
 pair of a probed list is lost by the codes. What passes is compared by exact cosine in double
 precision.
@@ -26,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from cairn.llm.common import arrow_schema, materialise
 from cairn.llm.components import connected_components
@@ -34,8 +37,8 @@ from cairn.llm.components import connected_components
 SAMPLE = 20_000
 LIST_SIZE, MAX_LISTS = 512, 4096
 SUBSPACES, CODES = 16, 256
-#: Distance from a list's border within which the list is probed; links reach sqrt(2 - 2 * threshold) in all directions together.
-PROBE_MARGIN = 0.12
+#: Added to the distance from a border within which a list is probed, for rounding.
+PROBE_SLACK = 1e-6
 BLOCK_STORED, BLOCK_QUERIES = 2048, 4096
 
 
@@ -55,6 +58,11 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def link_radius(threshold: float) -> float:
+    """Largest distance between unit vectors whose cosine is the threshold or more."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold))
+
+
 class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int):
         self.coarse = k_means(sample, min(lists, len(sample)))
@@ -62,8 +70,8 @@ class Quantiser:
         self.bounds = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [k_means(residual[:, a:b], min(CODES, len(sample))) for a, b in zip(self.bounds, self.bounds[1:])]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """List, codes, coding error and probed lists beyond the own one of each unit vector."""
+    def encode(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """List, codes, coding error and probed lists beyond the own one of each unit vector, for links of a radius."""
         squares = nearest(x, self.coarse)
         own = squares.argmin(1)
         residual = x - self.coarse[own]
@@ -73,7 +81,7 @@ class Quantiser:
         centres = self.coarse[own]
         apart = np.sqrt(np.maximum((self.coarse**2).sum(1) - 2 * centres @ self.coarse.T + (centres**2).sum(1)[:, None], 1e-12))
         border = (squares - squares[np.arange(len(x)), own][:, None]) / (2 * apart)
-        probed = (border <= PROBE_MARGIN) & (np.arange(len(self.coarse))[None] > own[:, None])
+        probed = (border <= radius / 2 + PROBE_SLACK) & (np.arange(len(self.coarse))[None] != own[:, None])
         return own, codes, error, [np.flatnonzero(p) for p in probed]
 
     def tables(self, queries: np.ndarray, list_id: int) -> np.ndarray:
@@ -88,8 +96,7 @@ class Quantiser:
 
 def linked(quantiser: Quantiser, list_id: int, queries: np.ndarray, stored: np.ndarray, codes: np.ndarray, error: np.ndarray, threshold: float):
     """Pairs (query, stored) of one block with a cosine of the threshold or more; all rows are unit vectors in double precision."""
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    most = (radius + error + 1e-3) ** 2
+    most = (link_radius(threshold) + error + 1e-3) ** 2
     found_q, found_s = [], []
     for i in range(0, len(queries), 256):
         tables = quantiser.tables(queries[i : i + 256], list_id)
@@ -106,14 +113,15 @@ def linked(quantiser: Quantiser, list_id: int, queries: np.ndarray, stored: np.n
     return np.concatenate([*found_q, empty]), np.concatenate([*found_s, empty])
 
 
-def _unit(raw) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _unit(raw, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with the id of their first equal vector (null: never linked), and these firsts with their numbers."""
     v = F.transform("embedding", lambda x: x.cast("double"))
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("_v"))
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("_v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("_v", lambda x: x != 0)
@@ -122,14 +130,14 @@ def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("_v").alias("v"))
     firsts = materialise(firsts, "vector-firsts")
     all_rows = rows.select("vec_id", "_key").join(firsts.select("_key", "rep", F.col("n").alias("_equal")), "_key", "left")
-    return all_rows.select("vec_id", "rep", "_equal"), firsts.select("rep", "n", "v")
+    return all_rows.select("vec_id", "rep", "_equal"), firsts.select("rep", "n", F.col("v").cast("array<float>") if single else "v")
 
 
-ENTRY = "list int, stored boolean, rep long, n long, codes binary, error double, v binary"
+ENTRY = "list int, stored boolean, own int, probed binary, rep long, n long, codes binary, error double, v binary"
 
 
-def _entries(firsts: DataFrame, quantiser) -> DataFrame:
-    """A stored row for each vector in its list and a query row in each list it probes."""
+def _entries(firsts: DataFrame, quantiser, radius: float, kind: str) -> DataFrame:
+    """A stored row for each vector in its list, with the lists it probes, and a query row in each of these."""
     schema = arrow_schema(ENTRY)
 
     def run(batches):
@@ -137,17 +145,25 @@ def _entries(firsts: DataFrame, quantiser) -> DataFrame:
             x = np.array(batch.column(2).to_pylist(), float)
             if not len(x):
                 continue
-            own, codes, error, probed = quantiser.value.encode(x / np.sqrt((x * x).sum(1))[:, None])
-            reps, counts, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [r.astype("<f8").tobytes() for r in x]
-            rows = [(int(own[i]), True, reps[i], counts[i], codes[i].tobytes(), float(error[i]), raw[i]) for i in range(len(x))]
-            rows += [(int(p), False, reps[i], counts[i], b"", 0.0, raw[i]) for i in range(len(x)) for p in probed[i]]
+            own, codes, error, probed = quantiser.value.encode(x / np.sqrt((x * x).sum(1))[:, None], radius)
+            reps, counts, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [r.astype(kind).tobytes() for r in x]
+            rows = [(int(own[i]), True, int(own[i]), probed[i].astype("<i2").tobytes(), reps[i], counts[i], codes[i].tobytes(), float(error[i]), raw[i]) for i in range(len(x))]
+            rows += [(int(p), False, int(own[i]), b"", reps[i], counts[i], b"", 0.0, raw[i]) for i in range(len(x)) for p in probed[i]]
             for j in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[j : j + 20_000]), schema)], schema=schema)
 
     return firsts.mapInArrow(run, ENTRY)
 
 
-def _search(fitted, threshold: float):
+def _probes(raw) -> np.ndarray:
+    """Whether each row probes each list."""
+    out = np.zeros((len(raw), MAX_LISTS), bool)
+    for i, r in enumerate(raw):
+        out[i, np.frombuffer(r, "<i2")] = True
+    return out
+
+
+def _search(fitted, threshold: float, kind: str):
     """The work of one block: link counts of its queries and stored vectors, and the stars of its links."""
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -155,9 +171,12 @@ def _search(fitted, threshold: float):
         if not len(kept) or not len(asked):
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype({"a": "int64", "b": "Int64", "links": "int64"})
         codes = np.frombuffer(b"".join(kept["codes"]), np.uint8).reshape(len(kept), -1)
-        q, s = linked(fitted.value, key[0], _unit(asked["v"]), _unit(kept["v"]), codes, kept["error"].to_numpy(), threshold)
+        q, s = linked(fitted.value, key[0], _unit(asked["v"], kind), _unit(kept["v"], kind), codes, kept["error"].to_numpy(), threshold)
         qr, sr = asked["rep"].to_numpy(), kept["rep"].to_numpy()
-        other = qr[q] != sr[s]
+        home = asked["own"].to_numpy()[q]
+        again = home > key[0]  # guests of later lists: met there already if the stored vector probes that list
+        again[again] = _probes(kept["probed"])[s[again], home[again]]
+        other = (qr[q] != sr[s]) & ~again
         q, s = q[other], s[other]
         to_q = np.bincount(q, weights=kept["n"].to_numpy()[s], minlength=len(qr)).astype(np.int64)
         guest = ~asked["stored"].to_numpy()[q]  # a stored vector is a query of its own list too, so its links count once from each side
@@ -178,13 +197,14 @@ def vector_links(firsts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links): for b null, the vectors linked to a in one block; otherwise an edge between a and b."""
     spark = firsts.sparkSession
     found = None
+    kind = "<f4" if isinstance(firsts.schema["v"].dataType.elementType, FloatType) else "<f8"
     for (dims,) in firsts.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
         own = firsts.where(F.size("v") == dims)
         total = own.count()
         sample = np.array([r.v for r in own.orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()], float)
         sample /= np.sqrt((sample * sample).sum(1))[:, None]
         fitted = spark.sparkContext.broadcast(Quantiser(sample, min(MAX_LISTS, -(-total // LIST_SIZE))))
-        entries = materialise(_entries(own, fitted), "vector-entries")
+        entries = materialise(_entries(own, fitted, link_radius(threshold), kind), "vector-entries")
         blocks = entries.groupBy("list").agg(
             F.greatest(F.ceil(F.count_if("stored") / BLOCK_STORED), F.lit(1)).cast("int").alias("_sb"),
             F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_qb"),
@@ -194,10 +214,10 @@ def vector_links(firsts: DataFrame, threshold: float) -> DataFrame:
         mine = F.pmod(F.xxhash64("rep"), F.col("_sb")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("_qb")).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         kept = entries.where("stored").withColumn("_s", mine[0]).withColumn("_q", every("_qb")).withColumn("_query", F.lit(False))
-        asked = entries.withColumn("_s", every("_sb")).withColumn("_q", mine[1]).withColumn("_query", F.lit(True))
-        columns = ["list", "_s", "_q", "_query", "stored", "rep", "n", "codes", "error", "v"]
+        asked = entries.withColumn("probed", F.lit(b"")).withColumn("_s", every("_sb")).withColumn("_q", mine[1]).withColumn("_query", F.lit(True))
+        columns = ["list", "_s", "_q", "_query", "stored", "own", "probed", "rep", "n", "codes", "error", "v"]
 
-        part = kept.select(*columns).union(asked.select(*columns)).groupBy("list", "_s", "_q").applyInPandas(_search(fitted, threshold), "a long, b long, links long")
+        part = kept.select(*columns).union(asked.select(*columns)).groupBy("list", "_s", "_q").applyInPandas(_search(fitted, threshold, kind), "a long, b long, links long")
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "a long, b long, links long")
