@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cairn.functions import paths
 
@@ -148,9 +153,34 @@ def page_size_summary(measures: DataFrame, overlaps: DataFrame) -> DataFrame:
 
 
 def tree_digests(records: DataFrame) -> DataFrame:
-    """Digest of each tree's records (tree, path, fields) in the order of their paths, fields framed by their lengths."""
+    """Digest of each tree's records (tree, path, fields) in the order of their paths, fields framed by their lengths.
+
+    A digest is of one stream, so a tree is one task; its rows are sorted by Spark, which spills, and
+    pass a hasher in batches. Records with a null are counted only.
+    """
     framed = F.concat(F.octet_length("path").cast("string"), F.lit(":"), "path", F.octet_length("fields").cast("string"), F.lit(":"), "fields")
-    return records.groupBy("tree").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", framed.alias("r")))), lambda x: x["r"]), ""), 256).alias("digest"), F.count("*").alias("records"))
+    rows = records.select("tree", "path", framed.alias("r")).repartition("tree").sortWithinPartitions("tree", "path", "r").select("tree", F.col("r").cast("binary").alias("r"))
+    schema = StructType([records.schema["tree"], StructField("digest", StringType()), StructField("records", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        tree, digest, n = None, None, 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((tree, digest.hexdigest(), n), arrow)], schema=arrow)
+
+        for batch in batches:
+            for own, r in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if digest is None or own != tree:
+                    if digest is not None:
+                        yield row()
+                    tree, digest, n = own, hashlib.sha256(), 0
+                digest.update(r.as_py() or b"")
+                n += 1
+        if digest is not None:
+            yield row()
+
+    return rows.mapInArrow(run, schema)
 
 
 def resolve_link(directory: Column, target: Column) -> Column:
