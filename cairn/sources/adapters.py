@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One root for each language, numbered in its order; a root is a scan scope, of which there are 128 at most."""
-    langs = table(spark, sf_dir, "documents").select("lang").distinct().limit(128)
+    """One root for each language, numbered in its order."""
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
     numbered = langs.withColumn("root_id", F.dense_rank().over(Window.orderBy("lang")).cast("long"))
     return numbered.select(F.col("root_id").alias("id"), "lang", F.concat(F.lit("/"), "lang").cast("binary").alias("path"), F.lit(True).alias("enabled"))
 
@@ -28,7 +28,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.drop("text")
     firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     numbered = roots(spark, sf_dir).select(F.col("id").alias("root_id"), "lang")
-    return docs.join(firsts, "digest").join(F.broadcast(numbered), "lang")
+    return docs.join(firsts, "digest").join(numbered, "lang")
 
 
 def entries(spark: SparkSession, sf_dir: str, own_inode: bool = False) -> DataFrame:
