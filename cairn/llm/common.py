@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,15 @@ WORDS = r"[^\x20\x09-\x0D]+"
 def workspace(spark: SparkSession) -> str:
     """The shared folder for checkpoints and tables written between steps.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session on one machine, as
+    in tests, makes and sets a temporary folder; a cluster is refused.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = context._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="cairn-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(base)
@@ -39,6 +43,36 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = workspace(spark).rstrip("/").split(":")[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """An array as compressed bytes, first bytes of all items first."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+
+
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    found = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(found.T).view(dtype).ravel()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending integers as compressed bytes of their differences, plane by plane."""
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(from_planes(data, dtype), dtype=dtype)
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

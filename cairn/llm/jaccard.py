@@ -23,11 +23,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, input_bytes, materialise
+from cairn.llm.common import arrow_schema, from_planes, input_bytes, materialise, packed, planes, unpacked
 from cairn.llm.components import connected_components
 
 WIDTH = 5
@@ -121,25 +120,6 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def planes(values: np.ndarray) -> bytes:
-    """An array as compressed bytes, first bytes of all items first."""
-    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
-
-
-def from_planes(data: bytes, dtype) -> np.ndarray:
-    found = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(found.T).view(dtype).ravel()
-
-
-def packed(values: np.ndarray) -> bytes:
-    """Ascending integers as compressed bytes of their differences, plane by plane."""
-    return planes(np.diff(values, prepend=values.dtype.type(0)))
-
-
-def unpacked(data: bytes, dtype) -> np.ndarray:
-    return np.cumsum(from_planes(data, dtype), dtype=dtype)
-
-
 class Frequency:
     """Magnitudes of shingles' document counts: a list of the frequent ones and a bit map of those of two or more documents."""
 

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, input_bytes, materialise
-from cairn.llm.jaccard import mixed, packed, unpacked
+from cairn.llm.common import arrow_schema, input_bytes, materialise, packed, unpacked
+from cairn.llm.jaccard import mixed
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 32 << 20

@@ -339,12 +339,60 @@ def test_classifier_separates_junk_and_keeps_clean(spark):
 def test_probabilities_of_a_context_add_up(spark):
     docs = spark.createDataFrame([(prose(1, 200),), ("The quick brown fox.",)], "text string")
     model = quality.train(docs)
+    size = quality.CLASSES
     contexts = [r.h for r in model[-1][1].limit(3).collect()]
-    grams = spark.createDataFrame([(h * 64 + w,) for h in contexts for w in range(64)], "g long")
-    sums = quality.probabilities(grams, model).groupBy(F.expr("g div 64")).agg(F.sum(F.exp("logp")).alias("p")).collect()
+    grams = spark.createDataFrame([(h * size + w,) for h in contexts for w in range(size)], "g long")
+    sums = quality.probabilities(grams, model).groupBy(F.expr(f"g div {size}")).agg(F.sum(F.exp("logp")).alias("p")).collect()
     assert all(math.isclose(r.p, 1.0, rel_tol=1e-9) for r in sums)
 
 
+def brute_log_probability(training: list[str], text: str) -> float:
+    """Interpolated modified Kneser-Ney over bytes, by counting."""
+    order = quality.ORDER
+    grams_of = lambda t: [w[i : i + order] for w in [b"\0" * (order - 1) + t.encode() + b"\0"] for i in range(len(w) - order + 1)]
+    counts = {order: Counter(g for t in training for g in grams_of(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    tables = {}
+    for k, c in counts.items():
+        d = quality.discounts([sum(v == i for v in c.values()) for i in range(1, 5)])
+        total, back = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            back[g[:-1]] += d[min(v, 3) - 1]
+        tables[k] = (c, d, total, back)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        c, d, total, back = tables[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        own = (c[g] - d[min(c[g], 3) - 1]) / total[g[:-1]] if c[g] else 0.0
+        return own + back[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return sum(math.log(p(g)) for g in grams_of(text))
+
+
+def test_perplexities_equal_brute_force(spark, monkeypatch):
+    block = 64  # texts in pieces, many blocks
+    monkeypatch.setattr(quality, "BLOCK_BYTES", block)
+    monkeypatch.setattr(quality, "SALT_BYTES", 1000)
+    monkeypatch.setattr(quality.gram_pieces, "__defaults__", (block,))
+    rows = [(i, prose(i, 30, 40), "en") for i in range(40)] + [(100, "unheard Ünheard", "en"), (101, "", None), (102, None, "en"), (103, "x\0y", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    trained = [t for i, t, _ in rows[:40] if zlib.crc32(str(i).encode()) % 5]
+    got = {r.doc_id: r for r in quality.scored(docs, labels, ["doc_id", "text"], name="q").collect()}
+    held = [(t, brute_log_probability(trained, t)) for i, t, _ in rows[:40] if not zlib.crc32(str(i).encode()) % 5]
+    centre = sum(p for _, p in held) / sum(len(t) + 1 for t, _ in held)
+    for i, t, _ in rows:
+        t = (t or "").replace("\0", " ")
+        n = len(t.encode())
+        want = (brute_log_probability(trained, t) + quality.PRIOR_BYTES * centre) / (n + 1 + quality.PRIOR_BYTES)
+        assert got[i].q_n_bytes == n and math.isclose(got[i].q_logp, want, rel_tol=1e-5)
+
+
 def test_quality_of_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(5, 1, 0), (11, 1, None), (None, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.keep_good(odd_documents, labels)
