@@ -34,12 +34,12 @@ def workspace(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it: its rows are then fixed and its lineage is short."""
     spark = df.sparkSession
     path = f"{workspace(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer = df.write.options(**(options or {}))
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 A store is two tables in the shared folder. ``dictionary`` holds the dictionary and its hash.
 ``containers`` holds blocks of documents in ascending id order: the id range, the hash of the
 dictionary, an offset index (ids, token counts, frame offsets) and the frames back to back. A
-short document is read by pruning on the id range, a search in the index and one frame.
+short document is read by row groups whose id ranges hold it, a search in the index and one frame.
 
 Null texts are empty: their only token is the end id. Rows with equal ids stay apart, in order of
 their texts' hashes. An empty table gives a store without containers.
@@ -32,8 +32,12 @@ from cairn.llm.common import arrow_schema, materialise
 END_ID = 0
 #: Stands for a null document id in the index; read back as null.
 NO_ID = -(1 << 63)
-#: Documents whose id arrays the dictionary is trained on, those first in a seeded order.
+#: Documents whose id arrays the dictionary is trained on, those first in a hashed order of the ids.
 TRAINING_DOCUMENTS = 400
+#: A point read compares the containers' id ranges with this many intervals at most, in which its ids lie.
+INTERVALS = 64
+#: Bytes of a row group of containers, the unit that a point read reads or skips.
+ROW_GROUP = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 CONTAINER_TOKENS = 1 << 20
 #: Distinct runs of text whose ids a worker remembers.
@@ -78,15 +82,17 @@ class Encoder:
 
     Merges never cross the runs that the pre-tokeniser makes. Texts of ASCII and Latin-1 letters
     are cut into these runs here and each new run is encoded once by the library's model; any
-    other text is encoded whole by the library. Both ways give the same ids.
+    other text, and one that holds an added token's content, is encoded whole by the library. Both
+    ways give the ids of the library's plain call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Tokens that the library finds in raw text before it cuts runs.
+        self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.runs = Memory(CACHE_RUNS, self._run)
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
@@ -110,7 +116,7 @@ class Encoder:
         known = self.runs.__getitem__
         out: list[bytes | None] = []
         for text in texts:
-            runs = RUNS.findall(text)
+            runs = RUNS.findall(text) if not any(m in text for m in self.markers) else []
             out.append(b"".join(map(known, runs)) if len("".join(runs)) == len(text) else None)
         whole = iter(self._library([t for t, o in zip(texts, out) if o is None]))
         return [next(whole) if o is None else o for o in out]
@@ -143,10 +149,19 @@ class Store:
 CONTAINER = "part int, seq int, first_doc long, last_doc long, n_docs int, n_ids long, dict_hash string, index binary, body binary"
 
 
+def _sample(docs: DataFrame) -> list:
+    """Rows of the training documents; a threshold on the hash keeps all but about twice as many from the driver."""
+    named = docs.where("doc_id is not null")
+    rate = 2 * TRAINING_DOCUMENTS / max(named.count(), 1)
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    few = named.where(order < int(min(1.0, rate) * (1 << 30)) + 1).select(order.alias("_order"), "doc_id", "text")
+    return few.orderBy("_order", "doc_id", F.xxhash64("text")).limit(TRAINING_DOCUMENTS).select("text").collect()
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Store:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS).collect()
+    sample = _sample(docs)
     trained = Encoder(tokenizer_path)
     width = trained.width
     data = train_dictionary(trained.encode([r.text for r in sample]))
@@ -188,7 +203,18 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
             yield close()
 
     ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return Store(dictionary, materialise(ordered.mapInArrow(containers, CONTAINER), "token-containers"))
+    return Store(dictionary, materialise(ordered.mapInArrow(containers, CONTAINER), "token-containers", options={"parquet.block.size": str(ROW_GROUP)}))
+
+
+def holds_any(ids: list[int], intervals: int = INTERVALS):
+    """Condition that a container's id range meets the ids' intervals: plain comparisons, which the scan skips row groups by."""
+    ids = sorted(ids)
+    gaps = sorted(sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: intervals - 1])
+    out = F.lit(False)
+    for a, b in zip([0, *gaps], [*gaps, len(ids)]):
+        if a < b:
+            out = out | ((F.col("first_doc") <= ids[b - 1]) & (F.col("last_doc") >= ids[a]))
+    return out
 
 
 def read_documents(store: Store, doc_ids: DataFrame | None = None) -> DataFrame:
@@ -203,8 +229,8 @@ def read_documents(store: Store, doc_ids: DataFrame | None = None) -> DataFrame:
     wanted = None
     rows = store.containers
     if doc_ids is not None:
-        wanted = {r.doc_id for r in doc_ids.select("doc_id").distinct().collect()}  # a point read names its documents
-        rows = rows.where(F.exists(F.array(*[F.lit(w).cast("long") for w in sorted(wanted)]), lambda w: (w >= F.col("first_doc")) & (w <= F.col("last_doc"))) if wanted else F.lit(False))
+        wanted = {r.doc_id for r in doc_ids.select("doc_id").where("doc_id is not null").distinct().collect()}  # a point read names its documents
+        rows = rows.where(holds_any(list(wanted)))
 
     def read(batches):
         expand = zstandard.ZstdDecompressor(dict_data=_compression_dictionary(data))
