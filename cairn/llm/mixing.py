@@ -7,12 +7,13 @@ each pattern in a seeded order. Only the patterns and quotas reach the driver.
 
 Null sources form a source of their own, last in order. Documents without words are never taken.
 Rows with equal ids and sizes are told apart by a row number that is fixed when the sizes are
-written. An empty table gives an empty result.
+written. An empty table gives an empty result. Extra columns are carried through by
+``mixed_documents`` and not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from cairn.llm.common import materialise, word_count
 
 #: Buckets of the seeded order for each pattern; only the bucket where the quota ends is sorted.
 BUCKETS = 1024
-#: Patterns and sources that may be routed on the driver.
-MAX_PATTERNS = 100_000
+#: Patterns that may be routed on the driver, some hundred bytes each; more are refused, none is dropped.
+MAX_PATTERNS = 1_000_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -45,58 +46,80 @@ def water_fill(sizes: list[int], weights: list[float], total: float, cap: float)
 
 
 def route(supply: list[int], member_of: list[list[int]], quota: list[int], passes: int) -> list[int]:
-    """Tokens taken of each pattern: a min-cost flow from patterns to quotas by shortest augmenting paths.
+    """Tokens taken of each pattern: a min-cost flow from patterns to quotas.
 
-    Pass k of a pattern has the pattern's size as capacity and costs k squared for each token.
-    Paths run from a pattern with room to a quota with need, and may push tokens of other
-    patterns from one of their sources to another. Returns tokens by pattern.
+    Pass k of a pattern has the pattern's size as capacity and costs k squared for each token. Costs
+    lie on the patterns alone and rise with the pass, so the cheapest flow of every amount is found
+    pass by pass: each adds its capacities and raises the flow as far as it goes, by rounds of
+    shortest augmenting paths, which may move tokens of a pattern from one of its sources to
+    another. A round takes time in proportion to the memberships. Returns tokens by pattern.
     """
     flow: list[dict[int, int]] = [dict.fromkeys(sources, 0) for sources in member_of]
-    used, need = [0] * len(supply), list(quota)
-    patterns_of: dict[int, list[int]] = {}
+    users: list[list[int]] = [[] for _ in quota]
     for p, sources in enumerate(member_of):
         for s in sources:
-            patterns_of.setdefault(s, []).append(p)
-    while True:
-        # cost of one more token of each pattern, then the cheapest way on to a source in need
-        heap = [((used[p] // n) ** 2, p, -1) for p, n in enumerate(supply) if n and used[p] < passes * n]
-        heapq.heapify(heap)
-        came: dict[int, tuple[int, int]] = {}  # source -> (pattern, source that the pattern left, or -1)
-        seen: set[int] = set()
-        goal = -1
-        while heap and goal < 0:
-            cost, p, left = heapq.heappop(heap)
-            if p in seen:
-                continue
-            seen.add(p)
+            users[s].append(p)
+    used, need = [0] * len(supply), list(quota)
+    for _ in range(passes):
+        room = list(supply)
+        while _augment(flow, member_of, users, used, room, need):
+            pass
+    return used
+
+
+def _augment(flow, member_of, users, used, room, need) -> bool:
+    """One round: levels from patterns with room to sources in need, then disjoint paths along them until none is left."""
+    level_p = {p: 0 for p, r in enumerate(room) if r > 0}
+    level_s: dict[int, int] = {}
+    front, depth, found = list(level_p), 0, False
+    while front and not found:
+        sources = []
+        for p in front:
             for s in member_of[p]:
-                if s in came or s == left:
-                    continue
-                came[s] = (p, left)
-                if need[s] > 0:
-                    goal = s
+                if s not in level_s:
+                    level_s[s] = depth
+                    sources.append(s)
+                    found = found or need[s] > 0
+        depth, front = depth + 1, []
+        for s in sources if not found else ():
+            for q in users[s]:
+                if q not in level_p and flow[q][s] > 0:
+                    level_p[q] = depth
+                    front.append(q)
+    if not found:
+        return False
+    next_s, next_p = [0] * len(member_of), [0] * len(need)  # what each node tries next
+    for start in [p for p, d in level_p.items() if d == 0]:
+        while room[start] > 0:
+            path = [start]  # patterns and sources in turn
+            while path:
+                here = path[-1]
+                if len(path) % 2:  # a pattern: on to one of its sources
+                    tries, at, ahead = member_of[here], next_s, lambda s: level_s.get(s) == level_p[here]  # noqa: B023
+                elif need[here] > 0:
                     break
-                for q in patterns_of[s]:  # q gives up tokens at s and serves another of its sources
-                    if q not in seen and flow[q][s] > 0:
-                        heapq.heappush(heap, (cost, q, s))
-        if goal < 0:
-            return used
-        path, s = [], goal
-        while True:
-            p, left = came[s]
-            path.append((p, left, s))
-            if left < 0:
+                else:  # a source: on to a pattern that can leave it
+                    tries, at, ahead = users[here], next_p, lambda q: level_p.get(q) == level_s[here] + 1 and flow[q][here] > 0  # noqa: B023
+                while at[here] < len(tries) and not ahead(tries[at[here]]):
+                    at[here] += 1
+                if at[here] < len(tries):
+                    path.append(tries[at[here]])
+                else:  # a dead end for this round
+                    path.pop()
+                    if path:
+                        (next_p if len(path) % 2 == 0 else next_s)[path[-1]] += 1
+            if not path:
                 break
-            s = left
-        first = path[-1][0]
-        room = supply[first] - used[first] % supply[first]
-        amount = min([need[goal], room, *(flow[p][left] for p, left, _ in path if left >= 0)])
-        for p, left, s in path:
-            flow[p][s] += amount
-            if left >= 0:
-                flow[p][left] -= amount
-        used[first] += amount
-        need[goal] -= amount
+            moved = [(path[i + 1], path[i]) for i in range(1, len(path) - 1, 2)]  # pattern, source it leaves
+            amount = min([room[start], need[path[-1]], *(flow[p][s] for p, s in moved)])
+            for p, s in zip(path[::2], path[1::2]):
+                flow[p][s] += amount
+            for p, s in moved:
+                flow[p][s] -= amount
+            used[start] += amount
+            room[start] -= amount
+            need[path[-1]] -= amount
+    return True
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -179,12 +202,13 @@ def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; all columns in their order."""
-    kept = materialise(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    rows = kept.select("_mix_row", F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("size"), F.array("source").alias("sources"))
-    copies = mix(rows, seed=seed)[0].where("copies > 0").select("_mix_row", F.col("copies").alias("_mix_copies"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
-    return kept.join(copies.hint("merge"), "_mix_row").withColumn("_mix_nth", times).select(*docs.columns)
+    """The documents of the mix, each as often as it is taken; all columns in their order, whatever their names."""
+    name = f"mix_{uuid.uuid4().hex}"  # no column of the documents has it
+    kept = materialise(docs.withColumn(f"{name}_row", F.monotonically_increasing_id()), "mix-documents")
+    rows = kept.select(F.col(f"{name}_row").alias("_mix_row"), F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
+    copies = mix(rows, seed=seed)[0].where("copies > 0").select(F.col("_mix_row").alias(f"{name}_row"), F.col("copies").alias(f"{name}_copies"))
+    times = F.explode(F.sequence(F.lit(1), F.col(f"{name}_copies")))
+    return kept.join(copies.hint("merge"), f"{name}_row").withColumn(f"{name}_nth", times).select(*docs.columns)
 
 
 def document_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
