@@ -8,13 +8,16 @@ A window is ``WINDOW`` consecutive words of an item; a shorter item is one windo
 streamed from a sorted table and the automaton is built for blocks of at most ``block_words``
 words, so what is broadcast has a bound; spans and items of the blocks are merged by document.
 
-Null or wordless texts have no words and are clean. Null or wordless items are never found.
-Repeated rows are each judged. Null item ids are skipped.
+Null, empty or wordless texts have no words and are clean. Null or wordless items are never found,
+nor are any in an empty table of items. Repeated rows are each judged. Null item ids are skipped.
+An empty table of documents gives an empty result. A very long text is read whole, word by word; it
+takes its list of words. Extra columns are carried through and not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import arrow_schema
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+#: Item words of one automaton; measured, 200,000 take 134 MB in the driver and in each worker.
+BLOCK_WORDS = 200_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Lower-cases A-Z and turns everything that is no word byte into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -157,10 +161,13 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[object, l
     yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, columns: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``columns`` of each document with its word count, hit spans (word numbers, [start, end)) and the items found."""
+def contamination(docs: DataFrame, items: DataFrame, columns: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS, name: str = "") -> DataFrame:
+    """``columns`` of each document with its word count, hit spans (word numbers, [start, end)) and the items found.
+
+    The new columns are ``{name}_n_words``, ``{name}_spans`` and ``{name}_items``.
+    """
     spark = docs.sparkSession
-    out = "_n_words long, _spans array<array<int>>, _items array<string>"
+    out = f"`{name}_n_words` long, `{name}_spans` array<array<int>>, `{name}_items` array<string>"
     found = []
     for block in _blocks(items, block_words):
         shared = spark.sparkContext.broadcast(Automaton(block, window))
@@ -171,42 +178,43 @@ def contamination(docs: DataFrame, items: DataFrame, columns: list[str], window:
             automaton = shared.value
             for batch in batches:
                 counts, spans, names = [], [], []
-                for text in batch.column("_text"):
+                for text in batch.column(batch.num_columns - 1):
                     words = words_of(text.as_py())
                     at, who = automaton.find(words)
                     counts.append(len(words))
                     spans.append(at)
                     names.append(sorted(str(x) for x in who))
-                kept = [batch.column(c) for c in columns]
+                kept = [batch.column(i) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(a.cast(arrow.field(i).type) for i, a in enumerate(kept)), pa.array(counts, pa.int64()), pa.array(spans, arrow.field("_spans").type), pa.array(names, arrow.field("_items").type)],
+                    [*(a.cast(arrow.field(i).type) for i, a in enumerate(kept)), pa.array(counts, pa.int64()), pa.array(spans, arrow.field(len(arrow) - 2).type), pa.array(names, arrow.field(len(arrow) - 1).type)],
                     schema=arrow,
                 )
 
-        found.append(docs.select(*columns, F.col("text").alias("_text")).mapInArrow(scan, schema))
+        found.append(docs.select(*columns, F.col("text").alias(f"{name}_text")).mapInArrow(scan, schema))
     if len(found) == 1:
         return found[0]
-    merged = found[0].withColumn("_block", F.lit(0))
+    merged = found[0].withColumn(f"{name}_block", F.lit(0))
     for i, part in enumerate(found[1:], 1):
-        merged = merged.union(part.withColumn("_block", F.lit(i)))
-    return _merge(merged, columns)
+        merged = merged.union(part.withColumn(f"{name}_block", F.lit(i)))
+    return _merge(merged, columns, name)
 
 
-def _merge(parts: DataFrame, columns: list[str]) -> DataFrame:
+def _merge(parts: DataFrame, columns: list[str], name: str) -> DataFrame:
     """One row for each document from its rows by block; equal documents stay apart by their number among equals."""
     from pyspark.sql.window import Window
 
-    nth = F.row_number().over(Window.partitionBy(*columns, "_block").orderBy("_n_words"))
-    joined = F.expr(
-        "aggregate(array_sort(flatten(collect_list(_spans))), cast(array() as array<array<int>>), (acc, s) -> "
-        "if(size(acc) > 0 and element_at(acc, -1)[1] >= s[0], concat(slice(acc, 1, size(acc) - 1), array(array(element_at(acc, -1)[0], greatest(element_at(acc, -1)[1], s[1])))), concat(acc, array(s))))"
-    )
-    grouped = parts.withColumn("_nth", nth).groupBy(*columns, "_nth")
-    return grouped.agg(F.max("_n_words").alias("_n_words"), joined.alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")).drop("_nth")
+    words, spans, items = f"{name}_n_words", f"{name}_spans", f"{name}_items"
+    nth = F.row_number().over(Window.partitionBy(*columns, f"{name}_block").orderBy(words))
+    lists = F.array_sort(F.flatten(F.collect_list(spans)))
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], s[1]))))
+    joined = F.aggregate(lists, F.array().cast("array<array<int>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.get(F.get(acc, F.size(acc) - 1), F.lit(1)) >= s[0]), longer(acc, s)).otherwise(F.concat(acc, F.array(s))))
+    grouped = parts.withColumn(f"{name}_nth", nth).groupBy(*columns, f"{name}_nth")
+    return grouped.agg(F.max(words).alias(words), joined.alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items)).drop(f"{name}_nth")
 
 
-def hit_words():
-    return F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+def hit_words(spans: str = "_spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
 
 
 def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -241,9 +249,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5,
 
     All columns of ``docs`` come back in their order; clean rows are unchanged.
     """
-    columns = docs.columns
-    found = contamination(docs, items, columns, window, block_words)
-    found = found.where((F.size("_spans") == 0) | (hit_words() <= F.col("_n_words") * max_coverage))
+    columns, name = docs.columns, f"hit_{uuid.uuid4().hex}"  # no column of the documents has it
+    spans = f"{name}_spans"
+    found = contamination(docs, items, columns, window, block_words, name)
+    found = found.where((F.size(spans) == 0) | (hit_words(spans) <= F.col(f"{name}_n_words") * max_coverage))
     cut = F.udf(without_spans, "string")
-    hit = F.when(F.size("_spans") > 0, F.col("text"))  # null for clean rows, whose texts then stay in the JVM
-    return found.withColumn("text", F.coalesce(cut(hit, "_spans"), "text")).select(*columns)
+    hit = F.when(F.size(spans) > 0, F.col("text"))  # null for clean rows, whose texts then stay in the JVM
+    return found.withColumn("text", F.coalesce(cut(hit, spans), "text")).select(*columns)
