@@ -2,16 +2,26 @@
 
 Pages become records of WARC files, one gzip member for each record. Of pages with equal payloads
 the one with the largest id is a ``response`` and the others are ``revisit`` records that refer to
-it. Spark writes the archives through its committer, each as one row (name, bytes), so a lost
-executor's half-written archives are never seen.
+it. Spark writes the archives through its committer, each as one row (name, bytes) in a row group
+of its own, so a lost executor's half-written archives are never seen and a reader skips all
+archives but those named.
 
 The index has one entry for each record: reversed-host key, archive, offset, length. Entries are
 range-sorted and packed into compressed blocks; the sparse directory holds one row for each block.
-A lookup searches the directory, then the block, and then reads only the record's bytes.
+A lookup searches the directory for each key, the keys of a block are then searched in it at once,
+and of an archive only the bytes of the wanted ranges are unpacked. A lookup of few urls
+(``read_urls``) reads the archives by name and moves none of them; the round trip of all pages looks
+every page's url up in the same way and meets the archives by a join.
+
+Which record answers for equal payloads is decided on (id, digest, size) rows alone: groups are
+aggregated before the shuffle, joined in ``SALTS`` parts, and the answer is joined to the payloads
+by page, so copies of one page never meet in one task.
 
 A null html is an empty payload. A null url has the empty key and no target header. Repeated rows
 with equal ids and payloads are all written as the response. Pages without an id are written too;
-they are a response only if no page with an id has their payload.
+they are a response only if no page with an id has their payload. An empty table gives an empty
+result. A payload is one row's cell: one of hundreds of MB takes a few times that in a worker. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +44,12 @@ from cairn.llm.common import arrow_schema, materialise
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_ENTRIES = 512
-#: The directory is searched in memory; blocks grow when it would have more rows.
-DIRECTORY_ROWS = 2_000_000
+#: The directory is searched in memory, some hundred bytes a row; blocks grow when it would have more rows.
+DIRECTORY_ROWS = 100_000
+#: Parts that the copies of one payload are joined in.
+SALTS = 16
+#: Archives that ``read_urls`` names in its scan at most; beyond, it joins.
+NAMED_ARCHIVES = 1000
 #: WARC dates name the capture; these tables have none, so a fixed one keeps archives reproducible.
 CAPTURED = "2000-01-01T00:00:00Z"
 
@@ -104,8 +118,13 @@ ARCHIVE = "archive string, bytes binary, captures array<struct<key:string,offset
 def write_collection(pages: DataFrame, min_payload: int = 0) -> Collection:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     pages = pages.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
-    largest = pages.where(F.col("n") >= min_payload).groupBy("digest", "n").agg(F.max("page_id").alias("response_id"))
-    pages = pages.join(largest, ["digest", "n"], "left").select("page_id", "url", "payload", "response_id")
+    names = pages.where(F.col("n") >= min_payload).select("page_id", "digest", "n")
+    copied = names.groupBy("digest", "n").agg(F.max("page_id").alias("response_id"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+    copied = copied.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = names.distinct().withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    answers = named.join(copied, ["digest", "n", "_salt"]).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("n").alias("_n"), "response_id")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n"))
+    pages = pages.join(answers.hint("shuffle_hash"), same, "left").select("page_id", "url", "payload", "response_id")
     schema = arrow_schema(ARCHIVE)
 
     def write(batches):
@@ -123,7 +142,7 @@ def write_collection(pages: DataFrame, min_payload: int = 0) -> Collection:
         if members:
             yield _batch(schema, [(f"part-{part:06d}-{seq:06d}.warc.gz", b"".join(members), captures)])
 
-    archives = materialise(pages.mapInArrow(write, ARCHIVE), "warc-archives")
+    archives = materialise(pages.mapInArrow(write, ARCHIVE), "warc-archives", options={"parquet.block.size": str(ARCHIVE_BYTES)})
     entries = archives.select("archive", F.explode("captures").alias("c")).select("c.key", "archive", "c.offset", "c.length")
     per_block = max(BLOCK_ENTRIES, -(-archives.agg(F.sum(F.size("captures"))).first()[0] // DIRECTORY_ROWS) if archives.head(1) else 0)
     out = "block string, first_key string, last_key string, entries int, data binary"
@@ -154,54 +173,78 @@ def write_collection(pages: DataFrame, min_payload: int = 0) -> Collection:
 CAPTURE = "key string, archive string, offset long, length long"
 
 
-def captures(collection: Collection) -> DataFrame:
-    """Every entry of the index, from its blocks."""
-    schema = arrow_schema(CAPTURE)
+def find(collection: Collection, keys: DataFrame) -> DataFrame:
+    """Entries of the index for the keys asked for (column ``key``), each once.
 
-    def unpack(batches):
+    The directory, ``DIRECTORY_ROWS`` rows at most, is searched in the tasks; the keys of a block
+    meet it by its name and are searched in it.
+    """
+    directory = collection.blocks.select("first_key", "last_key", "block").orderBy("first_key", "last_key", "block").collect()
+    shared = keys.sparkSession.sparkContext.broadcast(([r.first_key for r in directory], [r.last_key for r in directory], [r.block for r in directory]))
+    asked_schema, schema = arrow_schema("block string, key string"), arrow_schema(CAPTURE)
+
+    def blocks_of(batches):
+        first, last, names = shared.value
         for batch in batches:
-            for data in batch.column(0):
-                yield _batch(schema, [tuple(json.loads(line)) for line in zlib.decompress(data.as_py()).decode().split("\n")])
+            rows = []
+            for key in batch.column(0).to_pylist():
+                i = bisect_left(last, key)
+                while i < len(first) and first[i] <= key:
+                    rows.append((names[i], key))
+                    i += 1
+            yield _batch(asked_schema, rows)
+
+    def search(batches):
+        for batch in batches:
+            for data, wanted in zip(batch.column(0), batch.column(1)):
+                rows = [json.loads(line) for line in zlib.decompress(data.as_py()).decode().split("\n")]
+                found = []
+                for key in wanted.as_py():
+                    i = bisect_left(rows, key, key=lambda r: r[0])
+                    while i < len(rows) and rows[i][0] == key:
+                        found.append(tuple(rows[i]))
+                        i += 1
+                yield _batch(schema, found)
 
-    return collection.blocks.select("data").mapInArrow(unpack, CAPTURE)
+    asked = keys.select("key").distinct().mapInArrow(blocks_of, "block string, key string").groupBy("block").agg(F.collect_list("key").alias("keys"))
+    return collection.blocks.select("block", "data").join(asked, "block").select("data", "keys").mapInArrow(search, CAPTURE)
 
 
-def lookup(collection: Collection, urls: DataFrame) -> DataFrame:
-    """Entries of the index for the urls asked for (column ``url``).
+def with_keys(urls: DataFrame) -> DataFrame:
+    """(url, key) of the different urls."""
+    schema = arrow_schema("url string, key string")
 
-    The directory has ``DIRECTORY_ROWS`` rows at most and is searched in the tasks; the blocks
-    found are joined by name and searched in turn.
-    """
-    directory = collection.blocks.select("first_key", "last_key", "block").orderBy("first_key", "last_key", "block").collect()
-    shared = urls.sparkSession.sparkContext.broadcast(([r.first_key for r in directory], [r.last_key for r in directory], [r.block for r in directory]))
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reversed_host_key(u) for u in batch.column(0).to_pylist()], pa.string())], schema=schema)
 
-    @F.udf("array<string>")
-    def blocks_of(key):
-        first, last, names = shared.value
-        found, i = [], bisect_left(last, key)
-        while i < len(first) and first[i] <= key:
-            found.append(names[i])
-            i += 1
-        return found
+    return urls.select("url").distinct().mapInArrow(keys, "url string, key string")
 
-    key_of = F.udf(reversed_host_key, "string")
 
-    @F.udf("array<struct<archive:string,offset:long,length:long>>")
-    def search(data, key):
-        rows = [json.loads(line) for line in zlib.decompress(data).decode().split("\n")]
-        i, found = bisect_left(rows, key, key=lambda r: r[0]), []
-        while i < len(rows) and rows[i][0] == key:
-            found.append(tuple(rows[i][1:]))
-            i += 1
-        return found
+def lookup(collection: Collection, urls: DataFrame) -> DataFrame:
+    """Entries of the index for the urls asked for (column ``url``)."""
+    asked = with_keys(urls)
+    return asked.join(find(collection, asked), "key").select("url", "key", "archive", "offset", "length")
 
-    asked = urls.select("url").distinct().withColumn("key", key_of("url")).withColumn("block", F.explode(blocks_of("key")))
-    found = asked.join(collection.blocks.select("block", "data"), "block").withColumn("c", F.explode(search("data", "key")))
-    return found.select("url", "key", "c.archive", "c.offset", "c.length")
+
+def read_urls(collection: Collection, urls: DataFrame) -> DataFrame:
+    """The records of some urls: archives are read by name where they are, their ranges come with the task."""
+    entries = materialise(find(collection, with_keys(urls)), "warc-found")
+    names = [r.archive for r in entries.select("archive").distinct().limit(NAMED_ARCHIVES + 1).collect()]
+    if len(names) > NAMED_ARCHIVES:
+        return read_records(collection, entries)
+    ranges = entries.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
+    named = collection.archives.where(F.col("archive").isin(names))
+    return _records(named.join(F.broadcast(ranges), "archive"))  # NAMED_ARCHIVES rows at most, each below its archive
 
 
 def read_records(collection: Collection, entries: DataFrame) -> DataFrame:
     """The records of index entries: each archive is met by the list of ranges wanted of it."""
+    ranges = entries.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
+    return _records(collection.archives.join(ranges.hint("merge"), "archive"))
+
+
+def _records(met: DataFrame) -> DataFrame:
     out = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     schema = arrow_schema(out)
 
@@ -223,14 +266,13 @@ def read_records(collection: Collection, entries: DataFrame) -> DataFrame:
                     rows.append((number(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), int(fields["Content-Length"]), digest, kind, refers, payload))
                 yield _batch(schema, rows)
 
-    ranges = entries.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    return collection.archives.join(ranges.hint("merge"), "archive").select("bytes", "ranges").mapInArrow(read, out)
+    return met.select("bytes", "ranges").mapInArrow(read, out)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Each page as its record reads after a round trip through archives and index."""
+    """Each page as its record reads after a round trip: found by its url through directory and block, read by its range."""
     collection = write_collection(pages)
-    found = read_records(collection, captures(collection))
+    found = read_records(collection, find(collection, with_keys(pages)))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
