@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -174,7 +175,9 @@ def test_token_store_round_trip(spark, odd_documents):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    marked = spark.createDataFrame([row(20, "a <|endoftext|> b"), row(21, "<|endoftext|>é<|endoftext|>")], COLUMNS)
+    assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    odd_documents = odd_documents.union(marked)
     docs = odd_documents.where("doc_id is not null")
     start, want = 0, Counter()
     for doc, text in sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: r[0]):
@@ -185,6 +188,8 @@ def test_token_store_round_trip(spark, odd_documents):
     store = token_store.write_store(odd_documents, path)
     asked = token_store.read_documents(store, spark.createDataFrame([(4,), (404,)], "doc_id long")).collect()
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in asked] == [[*library.encode("one two").ids, 0]]
+    plan = token_store.read_documents(store, spark.createDataFrame([(4,), (404,)], "doc_id long"))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(first_doc" in plan and "GreaterThanOrEqual(last_doc" in plan  # pushed to the scan
     assert token_store.document_tokens(odd_documents.limit(0), path).count() == 0
 
 
@@ -199,6 +204,15 @@ def test_runs_encode_like_whole_texts(text):
 # --- 5 and 6: sharding and mixing --------------------------------------------------------------
 
 
+def test_random_strings_encode_like_whole_texts():
+    import public_tokenizers
+
+    encoder, rng = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    alphabet = "abcXYZ 019\t\n\r.,'\"-éÉß\xa0ſ中🙂" + "  's"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    assert encoder.encode(texts) == encoder._library(texts)
+
+
 def test_hilbert_curve_visits_neighbours():
     bits, side = 3, 8
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])
@@ -250,6 +264,51 @@ def test_flow_uses_overlap_before_repetition():
     assert mixing.route([50, 10], [[0], [1]], [100, 20], 2) == [100, 20]
 
 
+def test_flow_is_largest_and_cheapest():
+    def feasible(used, member_of, quota):
+        if not used:
+            return True
+
+        def deal(left, sources, quota):
+            if not sources:
+                return left == 0 and feasible(used[1:], member_of[1:], quota)
+            s = sources[0]
+            return any(deal(left - a, sources[1:], [*quota[:s], quota[s] - a, *quota[s + 1 :]]) for a in range(min(left, quota[s]) + 1))
+
+        return deal(used[0], member_of[0], quota)
+
+    def cost(used, supply):
+        return sum(min(u, n) + 4 * max(u - n, 0) for u, n in zip(used, supply))
+
+    rng = random.Random(1)
+    for _ in range(150):
+        n = rng.randrange(1, 4)
+        member_of = [rng.sample(range(n), rng.randrange(1, n + 1)) for _ in range(rng.randrange(1, 5))]
+        supply, quota = [rng.randrange(4) for _ in member_of], [rng.randrange(6) for _ in range(n)]
+        used = mixing.route(supply, member_of, quota, 2)
+        assert feasible(used, member_of, quota)
+        best = max((u for u in itertools.product(*[range(2 * s + 1) for s in supply]) if feasible(u, member_of, quota)), key=lambda u: (sum(u), -cost(u, supply)))
+        assert (sum(used), cost(used, supply)) == (sum(best), cost(best, supply))
+
+
+def test_sources_that_overlap_meet_their_quotas(spark):
+    rows = [(i, 5 + i % 7, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b", "c"]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")
+    mixed, sources = mixing.mix(df)
+    mixed = mixed.collect()
+    targets = {r.source: r.target for r in sources.collect()}
+    size = Counter()
+    for _, n, names in rows:
+        size.update(dict.fromkeys(names, n))
+    assert math.isclose(sum(targets.values()), 1.5 * sum(n for _, n, _ in rows)) and all(targets[s] <= 2 * size[s] for s in targets)
+    taken = Counter()
+    for r in mixed:
+        taken["".join(r.sources)] += r.size * r.copies
+    whole, reach = sum(targets.values()), 2 * sum(n for _, n, _ in rows)
+    assert whole - 40 <= min(sum(taken.values()), reach) + 40 and sum(taken.values()) <= whole + 40
+    assert all(taken[p] <= 2 * sum(n for _, n, names in rows if "".join(names) == p) for p in taken)
+
+
 # --- 7: archives -------------------------------------------------------------------------------
 
 
@@ -267,8 +326,11 @@ def test_archives_round_trip(spark, tmp_path):
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
     collection = warc.write_collection(df)
     found = warc.lookup(collection, df.where("page_id in (1, 5, 102)").select("url"))
-    rows = warc.read_records(collection, found).collect()
-    assert sorted(r.page_id for r in rows) == [1, 5, 102] and any(r.payload == b"<p>again</p>" for r in rows)
+    assert found.count() == 3  # two of the urls are equal: asked for once, two records
+    for rows in (warc.read_records(collection, found.dropDuplicates(["archive", "offset"])).collect(), warc.read_urls(collection, df.where("page_id in (1, 5, 102)").select("url")).collect()):
+        assert sorted(r.page_id for r in rows) == [1, 5, 102] and any(r.payload == b"<p>again</p>" for r in rows)
+    plan = warc.read_urls(collection, df.where("page_id = 5").select("url"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "In(archive" in plan.replace("EqualTo(archive", "In(archive") and "Exchange hashpartitioning(archive" not in plan.split("BroadcastExchange")[0]
     names = warc.export_archives(collection, str(tmp_path))
     assert names and all((tmp_path / n).read_bytes()[:2] == b"\x1f\x8b" for n in names)
     assert warc.page_records(df.limit(0)).count() == 0
