@@ -401,11 +401,12 @@ def test_classifier_separates_junk_and_keeps_clean(spark):
 def test_probabilities_of_a_context_add_up(spark):
     docs = spark.createDataFrame([(prose(1, 200),), ("The quick brown fox.",)], "text string")
     model = quality.train(docs)
-    size = quality.CLASSES
-    contexts = [r.h for r in model[-1][1].limit(3).collect()]
-    grams = spark.createDataFrame([(h * size + w,) for h in contexts for w in range(size)], "g long")
-    sums = quality.probabilities(grams, model).groupBy(F.expr(f"g div {size}")).agg(F.sum(F.exp("logp")).alias("p")).collect()
-    assert all(math.isclose(r.p, 1.0, rel_tol=1e-9) for r in sums)
+    rows = model.rows.toPandas()
+    contexts = rows[(rows["order"] == quality.ORDER) & rows["context"]]["key"].head(3).to_numpy()
+    grams = (contexts[:, None] * quality.CLASSES + np.arange(quality.CLASSES)).ravel()
+    logp = quality.interpolated(grams, model.common | quality._tables(rows), model.discounts)
+    assert np.allclose(np.exp(logp).reshape(3, -1).sum(1), 1.0)
+    assert (rows[~rows["context"]]["shard"] == quality.shard_of(rows[~rows["context"]]["key"])).all()
 
 
 def brute_log_probability(training: list[str], text: str) -> float:
