@@ -2,25 +2,35 @@
 
 Documents are packed into blocks of token numbers, each with its own sorted vocabulary of word
 hashes, and written once. Unigram counts are exact: the blocks' vocabularies are summed by ranges
-of the hash and the sums go back to the blocks. Bigram counts are summed in the same way,
-quantised to powers of two and entered into Bloom filters, one entry for each level reached; a
-filter is cut into segments by hash, and segments are broadcast in groups below ``MAX_FILTER``
-bytes, one pass over the blocks for each group. A bigram's level is found by probing one level
-after the other until one is missing; the score of a document is the sum over its words, each of
-which needs one segment only, so passes add up.
-
-The probability of a word after another is (q + t * u) / (c + t): q the level's lower bound, u the
-word's smoothed unigram probability, c the exact count of the word before, and t = c ** growth the
-number of different words expected after it; ``growth`` is set so that these numbers add up to the
-distinct bigrams. A text begins after an end and ends with one.
-
-Words are told apart by 64-bit hashes. Null texts are empty: their only token is the end. Without
-training documents every count is 0. Repeated rows count each.
+of the hash and the sums go back to the blocks. Each block's distinct bigrams and trigrams go to
+the range of their hash with their training counts. There the counts of all blocks meet, are
+quantised to powers of two and entered into the range's segment of the Bloom filter, one entry for
+each level reached; the blocks' n-grams then probe the segment, one level after the other until one
+is missing, and their levels go back to the blocks. So the filter may outgrow any worker, n-grams
+move once, and no pass over the documents is repeated: segments go to the work of their range
+instead of all going to every worker.
+
+With q a level's lower bound and D the order's absolute discount from the exact numbers of n-grams
+seen once and twice, the probability of a word after a context is
+
+    max(q - D, 0) / c + D * c ** (growth - 1) * (probability by the shorter context),
+
+c being the context's count (exact for one word, its level's lower bound for two) and c ** growth
+the number of different words expected after it; ``growth`` is set so that these numbers add up to
+the distinct n-grams, and with it the shares left to the shorter contexts to all discounts. One
+discount for all counts: those set for each count take an n-gram seen twice for one seen once where
+documents are copied, and copies would no longer score apart. Words alone have the base model's probability. A text begins after an end
+and ends with one; its first word has a context of one.
+
+Words are told apart by 64-bit hashes, n-grams by 48 bits. Null texts are empty: their only token is
+the end. Without training documents every count is 0. Repeated rows count each. Rows without an id
+train. A very long text is a block of its own and takes some thirty times its bytes in a worker. An
+empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,10 +45,11 @@ from cairn.llm.common import arrow_schema, input_bytes, materialise, packed, unp
 from cairn.llm.jaccard import mixed
 
 BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 32 << 20
+RANGE_BYTES, GRAM_RANGE_BYTES = 32 << 20, 16 << 20
 #: Bits for each entry and probes of a level.
 BITS, PROBES = 8, 3
-MAX_FILTER = 128 << 20
+#: Bits of an n-gram's hash.
+GRAM_BITS = 48
 END = np.uint64(0)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -113,9 +124,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return materialise(docs.select("doc_id", held.alias("held"), "text").mapInArrow(pack, BLOCK), "lm-blocks")
 
 
-def _by_range(values: np.ndarray, ranges: int) -> np.ndarray:
+def _by_range(values: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
     """Where ascending hashes pass from one range to the next."""
-    bounds = np.array([((i << 64) // ranges) for i in range(1, ranges)], np.uint64)
+    bounds = np.array([((i << bits) // ranges) for i in range(1, ranges)], np.uint64)
     return np.searchsorted(values, bounds)
 
 
@@ -158,32 +169,63 @@ def _counted(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
 GROWTHS = [0.4 + 0.05 * i for i in range(13)]
 
 
-def _filter_segments(blocks: DataFrame, ranges: int) -> DataFrame:
-    """(range, bits, entries, distinct): Bloom filter segments of all training bigrams, by ranges of the hash."""
-    schema = arrow_schema("range int, pairs binary, counts binary")
+def _grams(sizes: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the bigrams and the trigrams that end at each token, and where there is one: a text's first token ends no trigram."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    word = words[tokens]
+    before = np.concatenate([[END], word[:-1]])
+    before[starts] = END
+    two = pair_hash(before, word)
+    three = pair_hash(np.concatenate([[END], two[:-1]]), word)
+    inner = np.ones(len(word), bool)
+    inner[starts] = False
+    return [(two >> np.uint64(64 - GRAM_BITS), np.ones(len(word), bool)), (three >> np.uint64(64 - GRAM_BITS), inner)]
+
+
+def _levels(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(block, order, levels by range) of each block's distinct n-grams in ascending order, and figures of each order."""
+    share = "block string, order int, range int, keys binary, counts binary"
+    schema = arrow_schema(share)
 
-    def pairs(batches):
+    def split(batches):
         for batch in batches:
-            for held, sizes, tokens, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                word, before, train = _pairs(held, sizes, _unzip(tokens, np.uint32), unpacked(words, np.uint64))
-                found, counts = np.unique(pair_hash(before[train], word[train]), return_counts=True)
-                cut = _by_range(found, ranges)
-                rows = [(r, packed(p), _zip(c)) for r, (p, c) in enumerate(zip(np.split(found, cut), np.split(counts.astype(np.uint32), cut))) if len(p)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else ([], [], []), schema)], schema=schema)
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        every, at = np.unique(np.concatenate([unpacked(p, np.uint64) for p in rows["pairs"]]), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([_unzip(c, np.uint32) for c in rows["counts"]]))
-        levels = np.log2(sums).astype(np.int64) + 1
-        entries = int(levels.sum())
-        bits = np.zeros(-(-entries * BITS // 64) * 64, bool)
-        for level in range(1, int(levels.max()) + 1):
+            for block, held, sizes, tokens, words in zip(*(batch.column(i) for i in range(5))):
+                sizes = np.frombuffer(sizes.as_py(), np.uint32)
+                train = np.repeat(np.frombuffer(held.as_py(), np.uint8) == 0, sizes)
+                found = _grams(sizes, _unzip(tokens.as_py(), np.uint32), unpacked(words.as_py(), np.uint64))
+                rows = []
+                for order, (keys, there) in enumerate(found, 2):
+                    own, at = np.unique(keys[there], return_inverse=True)
+                    counts = np.bincount(at[train[there]], minlength=len(own)).astype(np.uint32)
+                    cut = _by_range(own, ranges, GRAM_BITS)
+                    rows += [(block.as_py(), order, r, packed(k), _zip(c)) for r, (k, c) in enumerate(zip(np.split(own, cut), np.split(counts, cut))) if len(k)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+
+    def quantise(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [unpacked(k, np.uint64) for k in rows["keys"]]
+        every, at = np.unique(np.concatenate(own), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([_unzip(c, np.uint32) for c in rows["counts"]])).astype(np.int64)
+        known, counts = every[sums > 0], sums[sums > 0]
+        levels = np.log2(counts).astype(np.int64) + 1
+        bits = np.zeros(-(-int(levels.sum()) * BITS // 64) * 64, bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
             for probe in range(PROBES):
-                bits[places(every[levels >= level], level, probe, len(bits))] = True
-        return pd.DataFrame({"range": [int(rows["range"].iloc[0])], "bits": [np.packbits(bits).tobytes()], "entries": [entries], "distinct": [len(every)]})
+                bits[places(known[levels >= level], level, probe, len(bits))] = True
+        found = level_of(every, np.packbits(bits), len(bits)).astype(np.uint8) if len(bits) else np.zeros(len(every), np.uint8)
+        figures = [float((counts == 1).sum()), float((counts == 2).sum()), float(len(counts))]
+        figures += [float((counts.astype(float) ** g).sum()) for g in GROWTHS]
+        ends = np.cumsum([len(k) for k in own])
+        back = [_zip(found[at[e - len(k) : e]]) for e, k in zip(ends, own)]
+        first = np.arange(len(rows)) == 0
+        return pd.DataFrame(
+            {"block": rows["block"], "order": rows["order"], "range": rows["range"], "levels": back, "figures": [figures if f else [0.0] * len(figures) for f in first]}
+        )
 
-    emitted = blocks.select("held", "sizes", "tokens", "words").mapInArrow(pairs, "range int, pairs binary, counts binary")
-    return materialise(emitted.groupBy("range").applyInPandas(build, "range int, bits binary, entries long, distinct long"), "lm-filter")
+    out = "block string, order int, range int, levels binary, figures array<double>"
+    emitted = blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(split, share)
+    found = materialise(emitted.groupBy("order", "range").applyInPandas(quantise, out), "lm-levels")
+    figures = found.groupBy("order").agg(F.array(*[F.sum(F.element_at("figures", i + 1)) for i in range(3 + len(GROWTHS))]).alias("figures"))
+    return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("order", "range", "levels"))).alias("grams")), figures
 
 
 def places(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
@@ -205,99 +247,69 @@ def level_of(hashes: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
     return levels
 
 
-def _pairs(held: bytes, sizes: bytes, tokens: np.ndarray, words: np.ndarray):
-    """Word hashes, those before them (the end at a document's start), and whether they are for training."""
-    sizes = np.frombuffer(sizes, np.uint32)
-    word = words[tokens]
-    before = np.concatenate([[END], word[:-1]])
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)] = END
-    return word, before, np.repeat(np.frombuffer(held, np.uint8) == 0, sizes)
+class Smoothing(NamedTuple):
+    """Discount and the growth of different words with a context's count, of one order."""
+
+    discount: float
+    growth: float
+
+    @classmethod
+    def of(cls, figures: list[float], contexts: list[float]) -> Smoothing:
+        """From an order's figures and its contexts' sums of powers."""
+        once, twice, types = figures[:3]
+        discount = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
+        return cls(discount, float(np.interp(types, contexts, GROWTHS)) if types else 1.0)
+
+    def probability(self, level: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """By n-gram level and context count; by the shorter context alone where this one is unknown."""
+        known = np.maximum(context, 1.0)
+        count = np.minimum(np.where(level > 0, np.exp2(level - 1.0), 0.0), known)
+        own = np.maximum(count - self.discount, 0.0) / known
+        return np.where(context > 0, own + self.discount * known ** (self.growth - 1) * lower, lower)
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """Base and model log-probabilities of every document."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = input_bytes(docs, "text")
-    ranges = max(8, -(-total // RANGE_BYTES))
     blocks = _blocks(docs)
-    shares, sums = _counted(blocks, ranges)
+    shares, sums = _counted(blocks, max(8, -(-total // RANGE_BYTES)))
     sums = sums.first()
     tokens, types = sums.tokens or 0, sums.types or 0
-    segments = _filter_segments(blocks, ranges)
-    sizes = segments.select("range", F.octet_length("bits").alias("n"), "distinct").orderBy("range").collect()  # a row for each range
-    distinct = sum(r.distinct for r in sizes)
-    growth = float(np.interp(distinct, [sums[f"g{i}"] or 0 for i in range(len(GROWTHS))], GROWTHS)) if distinct else 1.0
-    groups, room = [[]], MAX_FILTER
-    for r in sizes:
-        if r.n > room and groups[-1]:
-            groups.append([])
-            room = MAX_FILTER
-        groups[-1].append(r.range)
-        room -= r.n
+    grams, figures = _levels(blocks, max(8, -(-total // GRAM_RANGE_BYTES)))
+    figures = {r.order: list(r.figures) for r in figures.collect()}  # a row for each order
+    none = [0.0] * (3 + len(GROWTHS))
+    bigrams = Smoothing.of(figures.get(2, none), [sums[f"g{i}"] or 0 for i in range(len(GROWTHS))])
+    trigrams = Smoothing.of(figures.get(3, none), figures.get(2, none)[3:])
     norm = tokens + 0.1 * (types + 1)
-    joined = blocks.drop("counts").join(shares, "block").select("block", "doc_ids", "held", "sizes", "tokens", "words", F.col("shares.counts").alias("counts"))
-    parts = []
-    out = "doc_id long, nth string, held_out boolean, n_tokens long, n_known long, base_score double, part double"
+    joined = blocks.drop("counts").join(shares, "block").join(grams, "block").select("doc_ids", "held", "sizes", "tokens", "words", F.col("shares.counts").alias("counts"), "grams")
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     schema = arrow_schema(out)
-    for number, group in enumerate(groups):
-        # a segment at a time, so that the driver holds the group once
-        loaded = {r.range: bytes(r.bits) for r in segments.where(F.col("range").isin(group)).select("range", "bits").toLocalIterator()} if group else {}
-        shared = spark.sparkContext.broadcast(loaded)
-        del loaded
-
-        def score(batches, shared=shared, first=number == 0):
-            filters = {r: np.frombuffer(b, np.uint8) for r, b in shared.value.items()}
-            for batch in batches:
-                for block, ids, held, size, numbers, words, counts in zip(*(batch.column(i) for i in range(7))):
-                    held, size, words = held.as_py(), size.as_py(), unpacked(words.as_py(), np.uint64)
-                    numbers = _unzip(numbers.as_py(), np.uint32)
-                    count = np.concatenate([_unzip(c, np.uint64) for c in counts.as_py()]).astype(float)
-                    unigram = (count + 0.1) / norm
-                    word, before, _ = _pairs(held, size, numbers, words)
-                    hashes = pair_hash(before, word)
-                    each = np.frombuffer(size, np.uint32).astype(np.int64)
-                    starts = np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)
-                    own = np.concatenate([[0], numbers[:-1]])
-                    own[starts] = 0
-                    context = count[own]
-                    expected = np.where(context > 0, context**growth, 1.0)
-                    value = np.zeros(len(hashes))
-                    place = _range_of(hashes, ranges)
-                    order = np.argsort(place, kind="stable")
-                    cut = np.searchsorted(place[order], np.arange(ranges + 1))
-                    for r in range(ranges):
-                        at = order[cut[r] : cut[r + 1]]
-                        if not len(at) or (r not in filters and not (first and r not in every)):
-                            continue
-                        quantised = np.zeros(len(at))
-                        if r in filters:
-                            level = level_of(hashes[at], filters[r], len(filters[r]) * 8)
-                            quantised = np.where(level > 0, np.exp2(level - 1), 0.0)
-                        quantised = np.minimum(quantised, context[at])
-                        value[at] = np.log10((quantised + expected[at] * unigram[numbers[at]]) / (context[at] + expected[at]))
-                    sums_ = [np.add.reduceat(x, starts) for x in (value, np.log10(unigram)[numbers], (count[numbers] > 0).astype(np.int64))]
-                    ids = ids.as_py()
-                    names = [f"{block}-{i}" for i in range(len(ids))]
-                    columns = [ids, names, np.frombuffer(held, np.uint8) > 0, each, sums_[2], sums_[1], sums_[0]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-        every = {r.range for r in sizes}
-        parts.append(joined.mapInArrow(score, out))
-    found = parts[0]
-    if len(parts) > 1:
-        found = _added(parts)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", F.col("part").alias("score"))
-
-
-def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    bounds = np.array([((i << 64) // ranges) for i in range(1, ranges)], np.uint64)
-    return np.searchsorted(bounds, hashes, side="right")
-
-
-def _added(parts: list[DataFrame]) -> DataFrame:
-    """Sums of the passes by document."""
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.union(p)
-    return union.groupBy("doc_id", "nth", "held_out", "n_tokens", "n_known", "base_score").agg(F.sum("part").alias("part"))
+
+    def score(batches):
+        for batch in batches:
+            for ids, held, size, numbers, words, counts, grams in zip(*batch.columns):
+                each = np.frombuffer(size.as_py(), np.uint32).astype(np.int64)
+                numbers, words = _unzip(numbers.as_py(), np.uint32), unpacked(words.as_py(), np.uint64)
+                count = np.concatenate([_unzip(c, np.uint64) for c in counts.as_py()]).astype(float)
+                unigram = ((count + 0.1) / norm)[numbers]
+                starts = np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)
+                shares, levels = grams.as_py(), []
+                for order, (keys, there) in enumerate(_grams(each, numbers, words), 2):
+                    found = np.zeros(len(keys), np.int64)
+                    if there.any():
+                        known = np.concatenate([_unzip(s["levels"], np.uint8) for s in shares if s["order"] == order])
+                        found[there] = known[np.unique(keys[there], return_inverse=True)[1]]
+                    levels.append(found)
+                before = np.concatenate([[0], numbers[:-1]])
+                before[starts] = 0  # the end has the smallest hash
+                one = bigrams.probability(levels[0], count[before], unigram)
+                context = np.concatenate([[0], levels[0][:-1]])
+                context[starts] = 0
+                value = np.log10(trigrams.probability(levels[1], np.where(context > 0, np.exp2(context - 1.0), 0.0), one))
+                sums_ = [np.add.reduceat(x, starts) for x in (value, np.log10(unigram), (count[numbers] > 0).astype(np.int64))]
+                columns = [ids.as_py(), np.frombuffer(held.as_py(), np.uint8) > 0, each, sums_[2], sums_[1], sums_[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    found = joined.mapInArrow(score, out)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -118,10 +118,55 @@ def test_levels_of_a_filter_never_fall_short():
     assert (found >= level).all() and (found == level).mean() > 0.9
 
 
-def test_passes_over_filter_groups_add_up(spark, documents, monkeypatch):
-    whole = {r.doc_id: r.score for r in lm_score.scores(documents).collect()}
-    monkeypatch.setattr(lm_score, "MAX_FILTER", 1)
-    assert {r.doc_id: pytest.approx(r.score) for r in lm_score.scores(documents).collect()} == whole
+@pytest.mark.parametrize("block_bytes", [2000, 8 << 20])
+def test_scores_equal_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(lm_score, "BITS", 64)  # so few false members that none shows
+    rows = [(i, prose(i % 90, 20 + i % 30, 60)) for i in range(120)] + [(500, None), (501, "never heard"), (502, "w1 " * 40)]
+    got = {r.doc_id: r for r in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    tokens = {i: [*lower(t).split(), None] for i, t in rows}
+    counts = [Counter(), Counter(), Counter()]
+    for i, ws in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            counts[0].update(ws)
+            counts[1].update(zip([None, *ws], ws))
+            counts[2].update(zip([None, *ws], ws, ws[1:]))
+    n, v = sum(counts[0].values()), len(counts[0])
+    smooth = []
+    for own, contexts in ((counts[1], counts[0]), (counts[2], counts[1])):
+        once, twice = (sum(c == i for c in own.values()) for i in (1, 2))
+        growth = np.interp(len(own), [sum(c**g for c in contexts.values()) for g in lm_score.GROWTHS], lm_score.GROWTHS)
+        smooth.append((min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5, growth))
+
+    def probability(k, gram, context, below):
+        if not context:
+            return below
+        d, growth = smooth[k]
+        c = counts[k + 1][gram]
+        q = min(2 ** int(math.log2(c)), context) if c else 0
+        own = max(q - d, 0) / context
+        return own + d * context ** (growth - 1) * below
+
+    for i, ws in tokens.items():
+        total = 0.0
+        for j, w in enumerate(ws):
+            u = ws[j - 1] if j else None
+            p = probability(0, (u, w), counts[0][u], (counts[0][w] + 0.1) / (n + 0.1 * (v + 1)))
+            if j:
+                c = counts[1][ws[j - 2] if j > 1 else None, u]
+                p = probability(1, (ws[j - 2] if j > 1 else None, u, w), 2 ** int(math.log2(c)) if c else 0, p)
+            total += math.log10(p)
+        assert math.isclose(got[i].score, total, rel_tol=1e-6), i
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    rows = [(i, prose(i, 80, 30_000)) for i in range(400)] + [(1000 + i, prose(i, 80, 30_000)) for i in range(40)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ids = {i for i, _ in rows}
+    twice = [v for i, v in got.items() if i >= 1000 and i - 1000 in ids]
+    once = sorted(v for i, v in got.items() if 40 <= i < 1000)
+    assert sum(v > once[int(0.9 * len(once))] for v in twice) >= 0.9 * len(twice)
 
 
 # --- 3: decontamination ------------------------------------------------------------------------
