@@ -15,25 +15,31 @@ documents are compared with each other.
 
 Equal word sequences are one node. Null, empty and wordless texts have no shingles and stay alone;
 a text of fewer than ``WIDTH`` words is one shingle. Repeated rows are equal sequences. Rows
-without an id are returned alone.
+without an id are returned alone. A very long text is hashed in pieces that end between words; its
+hashes, some ten bytes for each word, are held at once. An empty table gives an empty result. Extra
+columns are not read by ``near_duplicates`` and carried through by ``keep_first``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, from_planes, input_bytes, materialise, packed, planes, unpacked
+from cairn.llm.common import arrow_schema, discard, from_planes, input_bytes, materialise, packed, planes, unpacked
 from cairn.llm.components import connected_components
 
 WIDTH = 5
 PERCENT = 80
 #: Magnitude (binary logarithm) of a shingle's count from which the order has it in a list, and from which its column is split.
 LISTED, SPLIT = 2, 6
-#: Shingles in the list; with more, those of the least magnitude are left out. The order never changes results.
+#: Shingles in the list; with more, those of the least magnitude are left out and their columns, then below that magnitude's
+#: count, are not split. Results never change.
 MAX_LISTED = 4_000_000
 #: Bits of the map, at most, of all shingles of two or more documents; others that fall on their bits are ordered with them.
 MAX_BITS = 1 << 28
@@ -44,10 +50,11 @@ PARTS = 64
 #: Columns of a set's sketch: the parity of its shingles in each of 64 cells a column.
 SKETCH = ["s0", "s1", "s2", "s3"]
 RANGE_BYTES = 12 << 20
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = bytes(_SPACE.astype(np.uint8))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -81,22 +88,37 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, borders), prepend=0)
 
 
-def shingle_sets(texts: list[str | None], width: int = WIDTH):
+def texts_of(column: pa.Array):
+    """The texts of a column, one at a time."""
+    return (t.as_py() for t in column)
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """A text in pieces of about ``BLOCK_BYTES`` that end between words."""
+    marks, out, begin = text.translate(_MARKS), [], 0
+    while len(text) - begin > BLOCK_BYTES:
+        end = marks.rfind(b"\x01", begin, begin + BLOCK_BYTES) + 1 or marks.find(b"\x01", begin) + 1 or len(text)
+        out.append(text[begin:end])
+        begin = end
+    return [*out, text[begin:]]
+
+
+def shingle_sets(texts: Iterable[str | None], width: int = WIDTH):
     """Yields (node, sorted distinct shingle hashes) of each text; the node is a hash of the word sequence, 0 without words."""
-    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    i = 0
-    while i < len(encoded):
-        j, size = i, 0
-        while j < len(encoded) and (j == i or size + len(encoded[j]) < BLOCK_BYTES):
-            size += len(encoded[j])
-            j += 1
-        words, counts = word_hashes(encoded[i:j])
+
+    def sets(encoded: list[bytes]):
+        if len(encoded) == 1 and len(encoded[0]) > BLOCK_BYTES:
+            words = np.concatenate([word_hashes([p])[0] for p in _pieces(encoded[0])])
+            counts = [len(words)]
+        else:
+            words, counts = word_hashes(encoded)
+            counts = counts.tolist()
         rolled = np.zeros(max(len(words) - width + 1, 0), np.uint64)
         for k in range(width):
             rolled += words[k : k + len(rolled)] * _STEP[2 + k]
         rolled = mixed(rolled)
         at = 0
-        for n in counts.tolist():
+        for n in counts:
             own = words[at : at + n]
             if n == 0:
                 yield 0, own
@@ -106,7 +128,17 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH):
                 node = int(mixed(np.array([(own * np.multiply.accumulate(weight)).sum(dtype=np.uint64) + np.uint64(n)]))[0])
                 yield node - (1 << 64) if node >= 1 << 63 else node, np.unique(rolled[at : at + n - width + 1]) if n >= width else np.array([node], np.uint64)
             at += n
-        i = j
+
+    held, size = [], 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if held and size + len(data) > BLOCK_BYTES:
+            yield from sets(held)
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield from sets(held)
 
 
 def sketch(shingles: np.ndarray) -> list[int]:
@@ -152,7 +184,7 @@ def _frequency(docs: DataFrame, ranges: int) -> Frequency:
 
         sets, size = [], 0
         for batch in batches:
-            for node, shingles in shingle_sets(batch.column(0).to_pylist()):
+            for node, shingles in shingle_sets(texts_of(batch.column(0))):
                 if node == 0 or node in seen:  # copies met in one task count once
                     continue
                 seen.add(node)
@@ -166,30 +198,45 @@ def _frequency(docs: DataFrame, ranges: int) -> Frequency:
 
     def often(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = np.unique(np.concatenate([unpacked(k, np.uint32) for k in rows["keys"]]), return_counts=True)
-        keys, sizes = keys[counts > 1], np.log2(counts[counts > 1]).astype(np.int32)
-        groups = [(m, keys[sizes == m]) for m in np.unique(sizes).tolist()]
-        return pd.DataFrame({"magnitude": [m for m, _ in groups], "n": [len(k) for _, k in groups], "keys": [packed(k) for _, k in groups]})
+        keys, sizes = keys[counts > 1], np.log2(counts[counts > 1]).astype(np.uint8)
+        numbers = np.bincount(sizes, minlength=64)
+        return pd.DataFrame({"n": [numbers.tolist()], "keys": [packed(keys)], "sizes": [planes(sizes)]})
 
-    found = docs.select("text").mapInArrow(count, "range int, keys binary").groupBy("range").applyInPandas(often, "magnitude int, n long, keys binary")
+    found = docs.select("text").mapInArrow(count, "range int, keys binary").groupBy("range").applyInPandas(often, "n array<long>, keys binary, sizes binary")
     found = materialise(found, "shingle-counts")
-    sizes = dict(found.groupBy("magnitude").agg(F.sum("n")).collect())
+    sizes = list(found.agg(*[F.coalesce(F.sum(F.element_at("n", m + 1)), F.lit(0)) for m in range(64)]).first())
     least, kept = 64, 0
-    while least > LISTED and sizes.get(least - 1, 0) + kept <= MAX_LISTED:
+    while least > LISTED and sizes[least - 1] + kept <= MAX_LISTED:
         least -= 1
-        kept += sizes.get(least, 0)
-    wanted = 1 << max(10, (8 * sum(sizes.values())).bit_length())
-    bits = np.zeros(min(wanted, MAX_BITS) // 8, np.uint8)
-    shift = np.uint32(32 - (len(bits) * 8).bit_length() + 1)
-    listed = []
-    for magnitude, data in found.select("magnitude", "keys").toLocalIterator():
-        keys = unpacked(bytes(data), np.uint32)
-        at = (keys >> shift).astype(np.int64)
-        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        if magnitude >= least:
-            listed.append((magnitude, keys))
-    keys = np.concatenate([np.empty(0, np.uint32), *[k for _, k in listed]])
+        kept += sizes[least]
+    width = min(1 << max(10, (8 * sum(sizes)).bit_length()), MAX_BITS)
+    shift = np.uint32(32 - width.bit_length() + 1)
+    parts = arrow_schema("at long, bits binary, keys binary, sizes binary")
+
+    def mark(batches):
+        """A range's part of the bit map, and those of its keys that are listed."""
+        for batch in batches:
+            for keys, magnitudes in zip(batch.column(0), batch.column(1)):
+                keys, magnitudes = unpacked(keys.as_py(), np.uint32), from_planes(magnitudes.as_py(), np.uint8)
+                if len(keys):
+                    at = (keys >> shift).astype(np.int64)
+                    first = int(at[0]) // 8
+                    bits = np.zeros(int(at[-1]) // 8 - first + 1, np.uint8)
+                    np.bitwise_or.at(bits, (at >> 3) - first, np.left_shift(1, at & 7).astype(np.uint8))
+                    top = magnitudes >= least
+                    row = [first, zstandard.compress(bits.tobytes(), 1), keys[top].tobytes(), magnitudes[top].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, parts)], schema=parts)
+
+    bits = np.zeros(width // 8, np.uint8)  # MAX_BITS / 8 bytes at most; the list has MAX_LISTED keys at most
+    listed = [(np.empty(0, np.uint32), np.empty(0, np.uint8))]
+    for at, data, keys, magnitudes in found.select("keys", "sizes").mapInArrow(mark, "at long, bits binary, keys binary, sizes binary").toLocalIterator():
+        part = np.frombuffer(zstandard.decompress(data), np.uint8)
+        bits[at : at + len(part)] |= part
+        listed.append((np.frombuffer(keys, np.uint32), np.frombuffer(magnitudes, np.uint8)))
+    discard(found)
+    keys, magnitudes = (np.concatenate(c) for c in zip(*listed))
     order = np.argsort(keys)
-    return Frequency(keys[order], np.concatenate([np.empty(0, np.uint8), *[np.full(len(k), m, np.uint8) for m, k in listed]])[order], bits)
+    return Frequency(keys[order], magnitudes[order], bits)
 
 
 ROW = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -218,7 +265,7 @@ def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for node, shingles in shingle_sets(batch.column(0).to_pylist()):
+            for node, shingles in shingle_sets(texts_of(batch.column(0))):
                 if node == 0 or node in seen:
                     continue
                 seen.add(node)
@@ -265,8 +312,9 @@ def _sets(docs: DataFrame, meta: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [(n, len(s), s.tobytes()) for n, s in shingle_sets(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)] if found else [pa.array([], f.type) for f in schema], schema=schema)
+            for i in range(0, batch.num_rows, 500):
+                found = [(n, len(s), s.tobytes()) for n, s in shingle_sets(texts_of(batch.column(0).slice(i, 500)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
     sets = texts.select("text").mapInArrow(run, "node long, n long, set binary")
     return materialise(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
@@ -319,12 +367,14 @@ def _left(members: DataFrame, edges: DataFrame, done: DataFrame, meta: DataFrame
     open_ = materialise(members.join(split, "h", "left_semi"), "shingle-open")
     sketches = meta.select("node", *SKETCH).dropDuplicates(["node"])
     open_ = open_.join(sketches, "node")
-    side = lambda s: open_.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "label", *SKETCH)])
+    # sizes of a pair differ by a fifth at most, so they lie in one band or in neighbouring ones
+    band = F.floor(F.log("n") / float(np.log(100 / PERCENT)))
+    side = lambda s, b: open_.select("h", b.alias("_size"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "label", *SKETCH)])
     n1, n2, p1, p2 = F.col("n_1"), F.col("n_2"), F.col("pos_1"), F.col("pos_2")
     needed = overlap_needed(n1, n2)
     differ = sum((F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in SKETCH), F.lit(0))
     pairs = (
-        side("1").join(side("2"), "h").where("node_1 < node_2 and label_1 <> label_2")
+        side("1", band).join(side("2", F.explode(F.array(band - 1, band, band + 1))), ["h", "_size"]).where("node_1 < node_2 and label_1 <> label_2")
         .where(f"n_1 * 100 >= n_2 * {PERCENT} and n_2 * 100 >= n_1 * {PERCENT}")
         .where((n1 - p1 >= needed) & (n2 - p2 >= needed))
         .where(F.least(p1, p2) + F.least(n1 - p1, n2 - p2) >= needed)
@@ -347,7 +397,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def measure(batches):
         for batch in batches:
-            found = [(n, len(s), *sketch(s)) for n, s in shingle_sets(batch.column(1).to_pylist())]
+            found = [(n, len(s), *sketch(s)) for n, s in shingle_sets(texts_of(batch.column(1)))]
             columns = zip(*found) if found else [[] for _ in schema.names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
 
