@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn import fixtures as fx
 from cairn import oracles as sql
 from cairn.functions import digests, paths, scalars
-from cairn.operators import hashing, history, ledger, reconcile, reports, rules, tree
+from cairn.operators import hashing, history, ledger, reconcile, reports, rules, selection, tree
 from cairn.plans import store
 from cairn.sources import adapters, metadata
 
@@ -65,36 +65,37 @@ KNOWN = "inode <> '' AND ctime_ns > 0 AND generation > 0"
 
 @report(f"""WITH {sql.entries()},
     objects AS (SELECT size, {KNOWN} AS known, CASE WHEN {KNOWN} THEN inode END AS i, count(*) AS n,
-                       count(DISTINCT (ctime_ns, mtime_ns, allocated)) AS kinds FROM files WHERE size >= 64 GROUP BY ALL)
+                       count(DISTINCT (ctime_ns, mtime_ns, allocated)) AS kinds FROM files WHERE size >= 64 AND skip_reason = '' GROUP BY ALL)
     SELECT size, cast(sum(n) AS BIGINT) AS files, count(*) FILTER (known) AS known_objects, cast(coalesce(sum(n - 1) FILTER (known), 0) AS BIGINT) AS repeated,
            cast(coalesce(sum(n) FILTER (NOT known), 0) AS BIGINT) AS "unknown", count(*) FILTER (known AND kinds > 1) AS conflicting
     FROM objects GROUP BY size HAVING sum(n) >= 2""")
 def same_size_bands(spark, sf_dir):
-    return reports.same_size_bands(adapters.entries(spark, sf_dir), 64)
+    return reports.same_size_bands(reports.eligible(adapters.entries(spark, sf_dir), roots(spark, sf_dir)), 64)
 
 
 @report(f"""WITH {sql.entries()} SELECT size, count(*) AS files FROM files GROUP BY size HAVING count(*) > 1""")
 def size_group_counts(spark, sf_dir):
-    return adapters.entries(spark, sf_dir).groupBy("size").agg(F.count("*").alias("files")).where("files > 1")
+    return adapters.entries(spark, sf_dir, ["size"]).groupBy("size").agg(F.count("*").alias("files")).where("files > 1")
 
 
 def _page_sql(after: str) -> str:
-    return f"""WITH {sql.entries()}, raw AS (SELECT id, size, row_number() OVER (ORDER BY size DESC, id DESC) AS nth FROM files WHERE size >= 64 {after} QUALIFY nth <= 201),
-    page AS (SELECT * FROM raw WHERE nth <= 200), bands AS (SELECT size, count(*) AS files, string_agg(cast(id AS VARCHAR), ',' ORDER BY id DESC) AS ids FROM page GROUP BY size)"""
+    return f"""WITH {sql.entries()}, raw AS (SELECT id, size, skip_reason, inode, {KNOWN} AS known, row_number() OVER (ORDER BY size DESC, id DESC) AS nth FROM files WHERE size >= 64 {after} QUALIFY nth <= 201),
+    page AS (SELECT * FROM raw WHERE nth <= 200 AND skip_reason = ''),
+    bands AS (SELECT size, count(*) AS files, count(DISTINCT inode) FILTER (known) AS known_objects, count(*) FILTER (NOT known) AS "unknown", string_agg(cast(id AS VARCHAR), ',' ORDER BY id DESC) AS ids FROM page GROUP BY size)"""
 
 
-_FLAGS = """ SELECT size, files, ids, {before} AS continues_before, coalesce(size = (SELECT size FROM raw WHERE nth = 201), FALSE) AS continues_after FROM bands
+_FLAGS = """ SELECT size, files, known_objects, "unknown", ids, {before} AS continues_before, coalesce(size = (SELECT size FROM raw WHERE nth = 201), FALSE) AS continues_after FROM bands
     WHERE files > 1 OR {before} OR coalesce(size = (SELECT size FROM raw WHERE nth = 201), FALSE)"""
 
 
 @report(_page_sql("") + _FLAGS.format(before="FALSE"))
 def same_size_page(spark, sf_dir):
-    return reports.same_size_page(adapters.entries(spark, sf_dir), 64, 200)
+    return reports.same_size_page(adapters.entries(spark, sf_dir), roots(spark, sf_dir), 64, 200)
 
 
 @report(_page_sql("AND (size, id) < (1500, 400)") + _FLAGS.format(before="(size = 1500)"))
 def same_size_page_after(spark, sf_dir):
-    return reports.same_size_page(adapters.entries(spark, sf_dir), 64, 200, (1500, 400))
+    return reports.same_size_page(adapters.entries(spark, sf_dir), roots(spark, sf_dir), 64, 200, (1500, 400))
 
 
 _LARGEST = "SELECT id, root_id, path, size, parent_pass FROM labelled {where} ORDER BY size DESC, id DESC LIMIT 100"
@@ -102,19 +103,19 @@ _LARGEST = "SELECT id, root_id, path, size, parent_pass FROM labelled {where} OR
 
 @report(f"WITH {sql.entries()} " + _LARGEST.format(where=""))
 def largest_files(spark, sf_dir):
-    found = reports.largest_files(adapters.entries(spark, sf_dir), roots(spark, sf_dir), adapters.directories(spark, sf_dir), 100)
+    found = reports.largest_files(adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "kind", "size", "generation"]), roots(spark, sf_dir), adapters.directories(spark, sf_dir), 100)
     return as_path(found).select("id", "root_id", "path", "size", "parent_pass")
 
 
 @report(f"WITH {sql.entries()} " + _LARGEST.format(where="WHERE (size, id) < (5000, 300)"))
 def largest_files_page2(spark, sf_dir):
-    found = reports.largest_files(adapters.entries(spark, sf_dir), roots(spark, sf_dir), adapters.directories(spark, sf_dir), 100, (5000, 300))
+    found = reports.largest_files(adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "kind", "size", "generation"]), roots(spark, sf_dir), adapters.directories(spark, sf_dir), 100, (5000, 300))
     return as_path(found).select("id", "root_id", "path", "size", "parent_pass")
 
 
 @report(f"""WITH {sql.entries()} SELECT root_id, parent_pass, count(*) AS files, cast(sum(size) AS BIGINT) AS bytes FROM labelled GROUP BY 1, 2""")
 def parent_pass_labels(spark, sf_dir):
-    found = reports.with_parent_pass(adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir))
+    found = reports.with_parent_pass(adapters.entries(spark, sf_dir, ["root_id", "parent", "size", "generation"]), adapters.directories(spark, sf_dir))
     return found.groupBy("root_id", "parent_pass").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
@@ -122,13 +123,13 @@ def parent_pass_labels(spark, sf_dir):
     judged AS (SELECT CASE WHEN skip_reason <> '' THEN 'skipped' ELSE 'eligible' END AS outcome FROM files)
     SELECT outcome, position, count(judged.outcome) AS n FROM codes LEFT JOIN judged USING (outcome) GROUP BY outcome, position""")
 def diagnostics_histogram(spark, sf_dir):
-    judged = reports.same_size_outcome(adapters.entries(spark, sf_dir), roots(spark, sf_dir))
+    judged = reports.same_size_outcome(adapters.entries(spark, sf_dir, ["root_id", "path", "skip_reason"]), roots(spark, sf_dir))
     return reports.histogram(judged, reports.SAME_SIZE_OUTCOMES)
 
 
 @report(f"""WITH {sql.entries()} SELECT (SELECT count(*) FROM roots) AS roots, (SELECT count(*) FROM files) AS entries, (SELECT count(*) FROM dirs) AS directories""")
 def store_summary(spark, sf_dir):
-    return reports.store_summary(roots=roots(spark, sf_dir), entries=adapters.entries(spark, sf_dir), directories=adapters.directories(spark, sf_dir))
+    return reports.store_summary(roots=roots(spark, sf_dir), entries=adapters.entries(spark, sf_dir, ["id"]), directories=adapters.directories(spark, sf_dir))
 
 
 _JOBS = "id, root_id, kind, status, due_at_ns, attempts"
@@ -203,9 +204,9 @@ def sample_windows(spark, sf_dir):
     f AS (SELECT doc_id, h, n, unnest(CASE WHEN n <= 0 THEN [] WHEN n <= 768 THEN [{'s': 0, 'l': n}] WHEN mid <= 256 THEN [{'s': 0, 'l': mid + 256}, {'s': n - 256, 'l': 256}]
                  ELSE [{'s': 0, 'l': 256}, {'s': mid, 'l': 256}, {'s': n - 256, 'l': 256}] END) AS x FROM w),
     g AS (SELECT doc_id, n, count(*) AS k, string_agg(lpad(hex(x.s), 16, '0') || lpad(hex(x.l), 16, '0') || substr(h, 2 * x.s + 1, 2 * x.l), '' ORDER BY x.s) AS body FROM f GROUP BY doc_id, n)
-    SELECT doc_id, sha256(unhex('73616D706C65' || lpad(hex(n), 16, '0') || lpad(hex(k), 16, '0') || body)) AS digest FROM g""")
+    SELECT d.doc_id, CASE WHEN d.h IS NOT NULL THEN sha256(unhex('73616D706C65' || lpad(hex(d.n), 16, '0') || lpad(hex(coalesce(k, 0)), 16, '0') || coalesce(body, ''))) END AS digest FROM d LEFT JOIN g USING (doc_id)""")
 def sample_digests(spark, sf_dir):
-    docs = adapters.table(spark, sf_dir, "documents").where(F.octet_length("text") > 0)
+    docs = adapters.table(spark, sf_dir, "documents")
     return docs.select("doc_id", digests.sample_digest(F.encode("text", "utf-8"), "sample", 256).alias("digest"))
 
 
@@ -244,21 +245,30 @@ def directory_measures(spark, sf_dir):
     FROM live LEFT JOIN o USING (root_id, scope) GROUP BY root_id, scope""")
 def directory_sizes(spark, sf_dir):
     """Every directory above the files as a scope; none of them has a row of its own here, so only the files' own listings exclude."""
-    e, d = adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir)
-    columns = ["root_id", "parent", "size", "allocated", "device", "inode", "generation"]
-    exploded = e.select(*columns, F.explode(paths.ancestors(F.col("path"))).alias("scope"))
-    gone = d.where("complete and last_error = ''").select("root_id", F.col("path").alias("parent"), F.col("generation").alias("_g"))
-    rows = exploded.join(gone, ["root_id", "parent"], "left").withColumn("live", ~F.coalesce(F.col("_g") != F.col("generation"), F.lit(False)))
-    named = F.col("inode") != ""
-    objects = rows.where("live").where(named).groupBy("root_id", "scope", "device", "inode").agg(F.max("allocated").alias("a"), F.count("*").alias("n"))
-    linked = objects.groupBy("root_id", "scope").agg(F.sum("a").alias("a"), F.sum(F.col("n") - 1).alias("r"))
-    sums = rows.groupBy("root_id", "scope").agg(
-        F.count("*").alias("entries_examined"), F.count_if(~F.col("live")).alias("excluded_entries"), F.sum(F.when(F.col("live"), F.col("size")).otherwise(0)).alias("logical_bytes"),
-        F.sum(F.when(F.col("live") & ~named, F.col("allocated")).otherwise(0)).alias("loose"),
-    )
-    return sums.join(linked, ["root_id", "scope"], "left").select(
-        "root_id", "scope", "entries_examined", "excluded_entries", "logical_bytes", (F.col("loose") + F.coalesce("a", F.lit(0))).alias("allocated_bytes"), F.coalesce("r", F.lit(0)).alias("repeated")
-    )
+    found = tree.scope_sizes(adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir))
+    return found.select("root_id", "scope", "entries_examined", "excluded_entries", "logical_bytes", "allocated_bytes", "repeated")
+
+
+@report(f"""WITH {sql.entries()}, kept AS (SELECT * FROM files WHERE NOT {sql.COMPACTED}),
+    live AS (SELECT f.*, NOT coalesce(p.complete AND p.last_error = '' AND p.generation <> f.generation, FALSE) AS live FROM kept f LEFT JOIN dirs p ON p.root_id = f.root_id AND p.path = f.parent),
+    every AS (SELECT root_id, parent, size, allocated, inode, observed_at_ns, live, FALSE AS compact, generation FROM live
+              UNION ALL SELECT root_id, parent, size, allocated, inode, NULL, TRUE, TRUE, generation FROM files WHERE {sql.COMPACTED} AND skip_reason = ''),
+    dirs_gone AS (SELECT DISTINCT root_id, parent, generation FROM files WHERE {sql.COMPACTED}),
+    up AS (SELECT e.*, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent, '.']) AS scope FROM every e),
+    gone AS (SELECT root_id, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent, '.']) AS scope FROM dirs_gone),
+    objects AS (SELECT root_id, scope, inode, max(allocated) AS a, count(*) AS n FROM up WHERE live AND inode <> '' GROUP BY ALL),
+    o AS (SELECT root_id, scope, sum(a) AS a, sum(n - 1) AS r FROM objects GROUP BY ALL), g AS (SELECT root_id, scope, count(*) AS c FROM gone GROUP BY ALL),
+    s AS (SELECT root_id, scope, count(*) FILTER (NOT compact) AS entries_examined, count(*) FILTER (live) AS file_paths, cast(coalesce(sum(size) FILTER (live), 0) AS BIGINT) AS logical_bytes,
+                 coalesce(sum(allocated) FILTER (live AND NOT compact AND inode = ''), 0) AS loose, count(*) FILTER (live AND inode = '') AS unknown_inodes, min(observed_at_ns) FILTER (live) AS oldest_ns, max(observed_at_ns) FILTER (live) AS newest_ns FROM up GROUP BY ALL)
+    SELECT root_id, scope, coalesce(entries_examined, 0) AS entries_examined, coalesce(file_paths, 0) AS file_paths, coalesce(logical_bytes, 0) AS logical_bytes, cast(coalesce(loose, 0) + coalesce(o.a, 0) AS BIGINT) AS allocated_bytes,
+           coalesce(unknown_inodes, 0) AS unknown_inodes, cast(coalesce(o.r, 0) AS BIGINT) AS repeated, coalesce(g.c, 0) AS compacted_directories, oldest_ns, newest_ns
+    FROM (SELECT root_id, scope FROM s UNION SELECT root_id, scope FROM g) LEFT JOIN s USING (root_id, scope) LEFT JOIN o USING (root_id, scope) LEFT JOIN g USING (root_id, scope)""")
+def directory_sizes_compacted(spark, sf_dir):
+    """The same where some directories were compacted to totals and identities."""
+    e = adapters.entries(spark, sf_dir)
+    totals, identities = reconcile.compact(e.where(adapters.in_compacted()))
+    found = tree.scope_sizes(e.where(~adapters.in_compacted()), adapters.directories(spark, sf_dir), totals, identities)
+    return found.select("root_id", "scope", "entries_examined", "file_paths", "logical_bytes", "allocated_bytes", "unknown_inodes", "repeated", "compacted_directories", "oldest_ns", "newest_ns")
 
 
 @report("""WITH o AS (SELECT l_returnflag AS scope, l_suppkey AS device, l_partkey AS inode, max(cast(round(l_extendedprice * 100) AS BIGINT)) AS a, count(*) AS n, sum(cast(l_quantity * 100 AS BIGINT)) AS l,
@@ -389,7 +399,7 @@ def go_cache_files(spark, sf_dir):
     seen AS (SELECT *, coalesce(sum(CASE WHEN parent_pass = 'partial' THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM raw)
     SELECT id, path, parent_pass FROM seen WHERE before < 20""")
 def finding_page(spark, sf_dir):
-    rows = reports.with_parent_pass(adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir))
+    rows = reports.with_parent_pass(adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "generation"]), adapters.directories(spark, sf_dir))
     outcomes = rows.withColumn("outcome", F.when(F.col("parent_pass") == "partial", "selected").otherwise("other"))
     return as_path(rules.candidate_page(outcomes, 50, 400, 20)).select("id", "path", "parent_pass")
 
@@ -523,14 +533,14 @@ def journal_chain(spark, sf_dir):
 
 @report(f"WITH {sql.entries()} SELECT f.id, f.path FROM files f JOIN dirs p ON p.root_id = f.root_id AND p.path = f.parent WHERE p.complete AND p.last_error = '' AND p.generation <> f.generation")
 def reconcile_absent(spark, sf_dir):
-    return as_path(reconcile.absent_rows(adapters.entries(spark, sf_dir), adapters.directories(spark, sf_dir))).select("id", "path")
+    return as_path(reconcile.absent_rows(adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "generation"]), adapters.directories(spark, sf_dir))).select("id", "path")
 
 
 @report(f"WITH {sql.entries()} SELECT id, path FROM files WHERE NOT (root_id = 2 AND starts_with(path, 'src1/')) AND NOT (root_id = 1 AND starts_with(path, 'src0/b1/'))")
 def purge_subtree(spark, sf_dir):
     tops = fixture(spark, "root_id, path, keep_anchor", [(2, "src1", True), (1, "src0/b1", False)])
     tops = tops.withColumns({"root_id": F.col("root_id").cast("long"), "path": F.col("path").cast("binary")})
-    return as_path(reconcile.purge_subtrees(adapters.entries(spark, sf_dir), tops)).select("id", "path")
+    return as_path(reconcile.purge_subtrees(adapters.entries(spark, sf_dir, ["id", "root_id", "path"]), tops)).select("id", "path")
 
 
 @report(f"""WITH {sql.values('v', 'path, enabled, action', [('a', True, 'kept'), ('b', False, 'disabled'), ('c', True, 'enabled'), ('d', True, 'added'), ('e', False, 'kept')])} SELECT * FROM v""")
@@ -614,3 +624,168 @@ def json_envelopes(spark, sf_dir):
 def content_addresses(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents").select("source", "lang").distinct()
     return docs.select(F.concat(F.lit("plan_"), history.request_digest("source", "lang")).alias("id"))
+
+
+# --- compacted directories, members, selections and pages ---------------------------------------
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = adapters.entries(spark, sf_dir, ["root_id", "parent", "n"])
+    return found.where(adapters.in_compacted()).select("root_id", F.col("parent").alias("path")).distinct()
+
+
+@report(f"WITH {sql.entries()} SELECT id, root_id, path, size, parent_pass FROM labelled WHERE NOT {sql.COMPACTED} ORDER BY size DESC, id DESC LIMIT 100")
+def largest_files_outside_compacted(spark, sf_dir):
+    e = adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "kind", "size", "generation"])
+    found = reports.largest_files(e, roots(spark, sf_dir), adapters.directories(spark, sf_dir), 100, None, compacted(spark, sf_dir))
+    return as_path(found).select("id", "root_id", "path", "size", "parent_pass")
+
+
+INVENTORY = "0123456789abcdef" * 4
+
+
+@report(f"""WITH {sql.entries()}, p AS (SELECT id, size, row_number() OVER (ORDER BY size DESC, id DESC) AS nth FROM files),
+    c AS (SELECT CASE WHEN (SELECT count(*) FROM files) > 50 THEN rtrim(replace(replace(base64(encode('{{"version":1,"inventory_id":"{INVENTORY}","minimum_bytes":64,"size":' || size || ',"id":' || id || '}}')), '+', '-'), '/', '_'), '=') END AS next_cursor FROM p WHERE nth = 50)
+    SELECT id, size, next_cursor FROM p, c WHERE nth <= 50""")
+def page_cursor(spark, sf_dir):
+    """The first page of largest files, with the cursor of the next on each row."""
+    e = adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "kind", "size", "generation"])
+    page, token = reports.page_with_cursor(reports.largest_files(e, roots(spark, sf_dir), adapters.directories(spark, sf_dir), 51), 50, INVENTORY, 64)
+    return page.select("id", "size", F.lit(token).alias("next_cursor"))
+
+
+@report(f"""WITH {sql.entries()}, codes AS (SELECT * FROM (VALUES ('disabled_root', 0), ('skipped', 1), ('generated_dependency', 2), ('compact_parent', 3), ('invalid_saved_path', 4), ('eligible', 5)) AS t(outcome, position)),
+    judged AS (SELECT CASE WHEN root_id = 2 THEN 'disabled_root' WHEN skip_reason <> '' THEN 'skipped' WHEN id % 7 = 3 THEN 'generated_dependency' WHEN {sql.COMPACTED} THEN 'compact_parent' WHEN id % 11 = 4 THEN 'invalid_saved_path' ELSE 'eligible' END AS outcome FROM files)
+    SELECT outcome, position, count(judged.outcome) AS n FROM codes LEFT JOIN judged USING (outcome) GROUP BY outcome, position""")
+def same_size_outcomes(spark, sf_dir):
+    """All six outcomes: one root is disabled, and some paths lie below a generated directory or are malformed."""
+    e = adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "skip_reason"])
+    path = F.when(F.col("id") % 7 == 3, F.concat(F.lit(b"node_modules/x/"), "path")).when(F.col("id") % 11 == 4, F.concat("path", F.lit(b"/../y"))).otherwise(F.col("path"))
+    some = roots(spark, sf_dir).withColumn("enabled", F.col("id") != 2)
+    return reports.histogram(reports.same_size_outcome(e.withColumn("path", path), some, compacted(spark, sf_dir)), reports.SAME_SIZE_OUTCOMES)
+
+
+_OBJECTS = """objects AS (SELECT device, inode, count(*) > 1 AS repeated, count(DISTINCT (size, allocated, ctime_ns, mtime_ns)) > 1 OR count(DISTINCT CASE WHEN status = 'complete' THEN sha256 END) > 1 AS conflicting
+                FROM work WHERE inode <> '' GROUP BY 1, 2)"""
+
+
+@report(f"""WITH {sql.entries()}, {WORK}, {_OBJECTS}
+    SELECT size, sha256, count(*) OVER (PARTITION BY size, sha256) AS members, file_id, root_id, coalesce(repeated, FALSE) AS repeated, coalesce(conflicting, FALSE) AS conflicting
+    FROM work LEFT JOIN objects USING (device, inode) WHERE status = 'complete' QUALIFY members >= 2""")
+def hash_group_members(spark, sf_dir):
+    return hashing.hash_members(work_rows(spark, sf_dir))
+
+
+@report(f"""WITH {sql.entries()}, k AS (SELECT inode, count(*) AS n, count(DISTINCT (ctime_ns, mtime_ns, size, allocated)) > 1 AS differ FROM files WHERE {KNOWN} GROUP BY 1)
+    SELECT f.id, CASE WHEN NOT ({KNOWN}) THEN 'unknown' WHEN differ THEN 'conflicting' WHEN k.n > 1 THEN 'alias' ELSE 'known' END AS identity_status FROM files f LEFT JOIN k USING (inode)""")
+def cache_identities(spark, sf_dir):
+    e = adapters.entries(spark, sf_dir, ["id", "device", "inode", "size", "allocated", "ctime_ns", "mtime_ns", "generation"])
+    return hashing.identity_status(e, reports.known_identity()).select("id", "identity_status")
+
+
+TOPS = [(1, "/", False), (2, "/src1", True), (3, "/src1/b1", True), (4, "/src2/b0/c0", True), (5, "/src3", False), (6, "/src", True)]
+
+
+@report(f"""WITH {sql.entries()}, {sql.values('tops', 'id, path, enabled', TOPS)},
+    m AS (SELECT f.id, t.id AS root_id, row_number() OVER (PARTITION BY f.id ORDER BY strlen(t.path) DESC) AS nth FROM files f JOIN tops t ON enabled AND ('/' || f.path = t.path OR starts_with('/' || f.path, CASE t.path WHEN '/' THEN '/' ELSE t.path || '/' END)))
+    SELECT f.id, cast(m.root_id AS BIGINT) AS root_id FROM files f LEFT JOIN m ON m.id = f.id AND nth = 1""")
+def containing_roots(spark, sf_dir):
+    tops = fixture(spark, "id, path, enabled", TOPS).select(F.col("id").cast("long").alias("id"), F.col("path").cast("binary").alias("path"), "enabled")
+    e = adapters.entries(spark, sf_dir, ["id", "path"])
+    return selection.root_of(e.select("id", F.concat(F.lit(b"/"), "path").alias("path")), tops)
+
+
+@report(f"""WITH {sql.entries()}, old AS (SELECT * FROM files WHERE id % 9 <> 0)
+    SELECT n.id, o.id IS NULL OR n.id % 6 = 1 OR n.id % 10 = 3 AS changed, n.inode = '' OR n.id % 14 = 5 AS "unknown" FROM files n LEFT JOIN old o ON o.id = n.id""")
+def entry_changes(spark, sf_dir):
+    """Every file against what was saved of it: some are new, some grew, some were skipped since, some have a malformed size."""
+    e = adapters.entries(spark, sf_dir, ["id", *ledger.OBSERVED])
+    size = F.when(F.col("id") % 6 == 1, F.col("size") + 1).otherwise(F.col("size"))
+    reason = F.when(F.col("id") % 10 == 3, F.when(F.col("skip_reason") == "", "excluded or protected").otherwise("")).otherwise(F.col("skip_reason"))
+    kind = F.when(F.col("id") % 14 == 5, "door").otherwise("file")
+    observed = e.withColumns({"size": size, "skip_reason": reason, "kind": kind})
+    return ledger.entry_changes(e.where("id % 9 <> 0").withColumn("kind", kind), observed, ["id"])
+
+
+ASKED = [(1, 1, "src1/b1/c1/f1"), (2, 1, "src0/b0/c0/f0"), (3, 2, "none"), (4, 1, "src1/b1/c1"), (5, 3, "src2/b2/c2/f2")]
+
+
+@report(f"""WITH {sql.entries()}, {sql.values('asked', 'ordinal, root_id, path', ASKED)}
+    SELECT a.ordinal, cast(a.root_id AS BIGINT) AS root_id, a.path, f.id, CASE WHEN f.id IS NOT NULL THEN 'file' END AS kind, f.size, f.generation, own.complete AS own_complete, up.generation AS parent_generation, up.complete AS parent_complete
+    FROM asked a LEFT JOIN files f ON f.root_id = a.root_id AND f.path = a.path LEFT JOIN dirs own ON own.root_id = a.root_id AND own.path = a.path LEFT JOIN dirs up ON up.root_id = a.root_id AND up.path = f.parent""")
+def saved_rows_by_key(spark, sf_dir):
+    asked = fixture(spark, "ordinal, root_id, path", ASKED).withColumn("root_id", F.col("root_id").cast("long"))
+    e = adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "kind", "size", "generation"])
+    return selection.lookup_rows(asked, e, adapters.directories(spark, sf_dir))
+
+
+@report(f"""WITH {sql.entries()}, up AS (SELECT id, root_id, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent]) AS path FROM files)
+    SELECT u.id, count(*) AS levels, count(*) FILTER (coalesce(p.complete AND p.last_error = '', FALSE)) AS listed, FALSE AS chain_valid FROM up u LEFT JOIN dirs p ON p.root_id = u.root_id AND p.path = u.path GROUP BY u.id""")
+def ancestor_chains(spark, sf_dir):
+    """Directories between root and file that a completed pass listed; here only the last level has passes at all, so no chain is whole."""
+    return selection.ancestor_chains(adapters.entries(spark, sf_dir, ["id", "root_id", "path"]), adapters.directories(spark, sf_dir))
+
+
+@report(f"""WITH {sql.entries()}, r AS (SELECT root_id, max(generation) * 10 + root_id AS revision FROM files GROUP BY 1)
+    SELECT id, root_id, revision, device || ':' || inode || ':' || ctime_ns || ':' || generation AS binding FROM files JOIN r USING (root_id)""")
+def selection_bindings(spark, sf_dir):
+    e = adapters.entries(spark, sf_dir, ["id", "root_id", *selection.BINDING])
+    revisions = e.groupBy("root_id").agg((F.max("generation") * 10 + F.col("root_id")).alias("revision"))
+    return selection.bindings(e, revisions).withColumn("binding", F.concat_ws(":", *[F.col("binding")[c].cast("string") for c in selection.BINDING]))
+
+
+@report(f"""WITH {sql.entries()} SELECT id, CASE WHEN id % 8 = 0 OR skip_reason <> '' OR id % 5 = 2 THEN 'blocked' ELSE 'metadata_matches' END AS status,
+    CASE WHEN id % 8 = 0 THEN 'missing' WHEN skip_reason <> '' THEN 'skipped' WHEN id % 5 = 2 THEN 'changed' ELSE '' END AS reason FROM files""")
+def metadata_screen(spark, sf_dir):
+    columns = ("size", "mtime_ns", "ctime_ns")
+    e = adapters.entries(spark, sf_dir, ["id", "skip_reason", *columns])
+    now = e.where("id % 8 <> 0").withColumn("mtime_ns", F.col("mtime_ns") + F.when(F.col("id") % 5 == 2, 1).otherwise(0))
+    return selection.metadata_screen(e, now, columns)
+
+
+@report(f"""WITH {sql.entries()} SELECT id, CASE WHEN id % 6 = 0 THEN 'absent' WHEN inode = '' THEN 'unknown' WHEN id % 4 = 1 THEN 'replaced' ELSE 'present' END AS state FROM files""")
+def recovery_locations(spark, sf_dir):
+    e = adapters.entries(spark, sf_dir, ["id", "device", "inode"])
+    now = e.where("id % 6 <> 0").withColumn("inode", F.when((F.col("id") % 4 == 1) & (F.col("inode") != ""), F.concat(F.lit("9"), "inode")).otherwise(F.col("inode")))
+    return selection.locations(e, now)
+
+
+@report(f"""WITH {sql.entries()}, s AS (SELECT root_id, n, count(*) AS files, cast(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1, 2)
+    SELECT root_id, n, CASE WHEN root_id % 2 = 0 AND n % 3 = 0 THEN files + 1 ELSE files END AS files, CASE WHEN root_id % 2 = 0 AND n % 3 = 0 THEN 0 ELSE bytes END AS bytes, CASE WHEN root_id % 2 = 0 AND n % 3 = 0 THEN 'cached_reduction' ELSE 'computed' END AS source FROM s""")
+def cached_scopes(spark, sf_dir):
+    """Saved figures, marked by other values, stand only where their root's revision is the saved one: that of even roots."""
+    e = adapters.entries(spark, sf_dir, ["root_id", "n", "size"])
+    now = e.groupBy("root_id", "n").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    saved = now.where("n % 3 = 0").select("root_id", "n", (F.col("files") + 1).alias("files"), F.lit(0).cast("long").alias("bytes"), F.lit(7).cast("long").alias("revision"))
+    revisions = roots(spark, sf_dir).select(F.col("id").alias("root_id"), F.when(F.col("id") % 2 == 0, 7).otherwise(8).cast("long").alias("revision"))
+    return selection.cached_or_computed(saved, revisions, now, ["root_id", "n"], ["files", "bytes"])
+
+
+@report("""WITH r AS (SELECT DISTINCT source AS s, cast(substr(source, 4) AS BIGINT) AS root_id FROM documents)
+    SELECT root_id, (SELECT count(*) FROM r WHERE root_id > 3) > 10 AS truncated FROM r WHERE root_id > 3 ORDER BY root_id LIMIT 10""")
+def root_page(spark, sf_dir):
+    found = adapters.table(spark, sf_dir, "documents").select(F.substring("source", 4, 10).cast("long").alias("root_id")).distinct()
+    return reports.root_page(found, 3, 10)
+
+
+@report("""WITH q AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS ready_order FROM orders) SELECT id, CASE WHEN id % 50 = 0 THEN ready_order + (SELECT count(*) FROM q) ELSE ready_order END AS ready_order FROM q""")
+def queue_rotation(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    queue = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    queue = queue.withColumn("ready_order", F.row_number().over(Window.orderBy("id")).cast("long"))  # the fixture's numbers, not the operator
+    return reports.rotation(queue, queue.where("id % 50 = 0"))
+
+
+@report("SELECT 'nations' AS relation, cast(n_nationkey AS VARCHAR) AS id FROM nation UNION ALL SELECT 'regions', cast(r_regionkey AS VARCHAR) FROM region UNION ALL SELECT 'suppliers', cast(s_suppkey AS VARCHAR) FROM supplier")
+def existing_records(spark, sf_dir):
+    of = lambda name, key: adapters.table(spark, sf_dir, name).select(F.col(key).alias("id"))
+    return reports.existing(nations=of("nation", "n_nationkey"), regions=of("region", "r_regionkey"), suppliers=of("supplier", "s_suppkey"))
+
+
+@report("""SELECT source AS store, CASE WHEN count(*) FILTER (text IS NULL OR doc_id % 997 = 5) = 0 THEN cast(sum(strlen(text)) AS BIGINT) END AS bytes,
+    CASE WHEN count(*) FILTER (text IS NULL OR doc_id % 997 = 5) > 0 THEN 'unknown' WHEN sum(strlen(text)) >= 60000 THEN 'limit_reached' ELSE 'within_limit' END AS state FROM documents GROUP BY 1""")
+def state_sizes(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents")
+    size = F.when(F.col("doc_id") % 997 == 5, F.lit(-1)).otherwise(F.octet_length("text")).cast("long")
+    return reports.state_size(docs.select(F.col("source").alias("store"), size.alias("bytes")), 60_000)

@@ -10,8 +10,14 @@ STEP_BYTES, GRAIN = 1 << 20, 64
 
 
 def cpu_wait(cpu_ns: Column, elapsed_ns: Column, cap_ns: int = HOUR_NS) -> Column:
-    """Idle time after which the window's share is one per cent, with a cap."""
-    return F.least(F.greatest(F.lit(100).cast("long") * cpu_ns - elapsed_ns, F.lit(0)), F.lit(cap_ns)).cast("long")
+    """Idle time after which the window's share is one per cent, with a cap; none for a negative share or a window that has no length."""
+    wait = F.lit(100).cast("decimal(38,0)") * cpu_ns - elapsed_ns
+    return F.when((cpu_ns < 0) | (elapsed_ns <= 0), F.lit(0)).otherwise(F.least(F.greatest(wait, F.lit(0)), F.lit(cap_ns))).cast("long")
+
+
+def cpu_wait_capped(cpu_ns: Column, elapsed_ns: Column, cap_ns: int = HOUR_NS) -> Column:
+    """Whether the wait would be longer than its cap."""
+    return (cpu_ns >= 0) & (elapsed_ns > 0) & (F.lit(100).cast("decimal(38,0)") * cpu_ns - elapsed_ns > cap_ns)
 
 
 def pacing_cost(nbytes: Column, rate: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_SELECTION = 20
@@ -36,6 +36,26 @@ def hash_groups(work: DataFrame) -> DataFrame:
     )
 
 
+def hash_members(work: DataFrame) -> DataFrame:
+    """The members of each group of two or more with their object's qualifiers and the group's size; to be read by size downwards, digest and id."""
+    done = identity_evidence(work).where("status = 'complete'")
+    groups = done.groupBy("size", "sha256").agg(F.count("*").alias("members")).where("members >= 2")
+    return done.join(groups, ["size", "sha256"]).select("size", "sha256", "members", "file_id", "root_id", "repeated", "conflicting")
+
+
+def identity_status(files: DataFrame, known: Column) -> DataFrame:
+    """Files with the status of their object among all given: known, alias, conflicting, or unknown where the identity is not ``known``.
+
+    Objects are reduced before they meet the files again; only those seen more than once do.
+    """
+    rows = files.withColumn("_known", known)
+    evidence = F.struct("ctime_ns", "mtime_ns", "size", "allocated")
+    objects = rows.where("_known").groupBy("device", "inode").agg(F.count("*").alias("_rows"), (F.min(evidence) != F.max(evidence)).alias("_differ")).where("_rows > 1")
+    joined = rows.join(objects, ["device", "inode"], "left")
+    status = F.when(~F.col("_known"), "unknown").when(F.col("_differ"), "conflicting").when(F.col("_rows") > 1, "alias").otherwise("known")
+    return joined.withColumn("identity_status", status).drop("_known", "_rows", "_differ")
+
+
 def hash_coverage(work: DataFrame) -> DataFrame:
     """Selected, completed, unfinished and unmatched files in one row."""
     groups = work.where("status = 'complete'").groupBy("size", "sha256").agg(F.count("*").alias("n"))

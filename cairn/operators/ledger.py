@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.scalars import cpu_wait
+from cairn.functions import paths
+from cairn.functions.scalars import cpu_wait, cpu_wait_capped
 
 DAY_HOURS, WEEK_HOURS = 24, 168
 
@@ -29,7 +30,7 @@ def reservation_totals(reservations: DataFrame) -> DataFrame:
 def cpu_backoff(windows: DataFrame) -> DataFrame:
     """The pause after each window, and whether it reaches the cap."""
     wait = cpu_wait(F.col("cpu_ns"), F.col("elapsed_ns"))
-    return windows.withColumn("wait_ns", wait).withColumn("capped", 100 * F.col("cpu_ns") - F.col("elapsed_ns") > 3_600_000_000_000)
+    return windows.withColumn("wait_ns", wait).withColumn("capped", cpu_wait_capped(F.col("cpu_ns"), F.col("elapsed_ns")))
 
 
 def slot_charges(windows: DataFrame) -> DataFrame:
@@ -75,6 +76,25 @@ def changed_since_last(observations: DataFrame) -> DataFrame:
     return observations.withColumn("changed", ~before.eqNullSafe(F.struct("event_type", "value")))
 
 
+#: What one observation of an entry is compared in with the one before.
+OBSERVED = ("kind", "size", "allocated", "mtime_ns", "ctime_ns", "device", "inode", "skip_reason")
+
+
+def comparable(entry: str) -> Column:
+    """Whether an observation (a struct column) is well formed, so that equality means something."""
+    at = lambda c: F.col(f"{entry}.{c}")
+    sane = at("kind").isin("file", "directory", "symlink", "other") & (at("size") >= 0) & (at("allocated") >= 0) & at("skip_reason").isin("", "excluded or protected")
+    return F.coalesce(sane & paths.is_unsigned(at("device"), positive=True) & paths.is_unsigned(at("inode"), positive=True) & at("mtime_ns").isNotNull() & at("ctime_ns").isNotNull(), F.lit(False))
+
+
+def entry_changes(saved: DataFrame, observed: DataFrame, key: list[str]) -> DataFrame:
+    """Each observed entry against the saved one: a new one is changed; one of two that is malformed leaves the comparison unknown."""
+    old, new = saved.select(*key, F.struct(*OBSERVED).alias("old")), observed.select(*key, F.struct(*OBSERVED).alias("new"))
+    changed = F.col("old").isNull() | ~F.col("old").eqNullSafe(F.col("new"))
+    unknown = ~comparable("new") | (F.col("old").isNotNull() & ~comparable("old"))
+    return new.join(old, key, "left").select(*key, changed.alias("changed"), unknown.alias("unknown"))
+
+
 def latest_observation(observations: DataFrame) -> DataFrame:
     """The last observation of each key by time and id."""
     return observations.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("l"), F.count("*").alias("observed")).select(

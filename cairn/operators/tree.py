@@ -109,6 +109,41 @@ def identity_reduction(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def scope_sizes(entries: DataFrame, directories: DataFrame, totals: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
+    """Sizes below every directory above the files, each linked object counted once in each scope.
+
+    Only the files' own listings exclude rows. ``totals`` and ``ledger`` are what ``compact`` left of
+    compacted directories: their sums are added, and their identities meet those of ordinary files.
+    """
+    gone = directories.where("complete and last_error = ''").select("root_id", F.col("path").alias("parent"), F.col("generation").alias("_g"))
+    rows = entries.join(gone, ["root_id", "parent"], "left").withColumn("live", ~F.coalesce(F.col("_g") != F.col("generation"), F.lit(False)))
+    named, live = F.col("inode") != "", F.col("live")
+    # everything of a directory is summed before its scopes are exploded
+    by_parent = rows.groupBy("root_id", "parent").agg(
+        F.count("*").alias("entries_examined"), F.count_if(~live).alias("excluded_entries"), F.count_if(live).alias("file_paths"), F.sum(F.when(live, F.col("size")).otherwise(0)).alias("logical_bytes"),
+        F.sum(F.when(live & ~named, F.col("allocated")).otherwise(0)).alias("loose"), F.count_if(live & ~named).alias("unknown_inodes"),
+        F.min(F.when(live, F.col("observed_at_ns"))).alias("oldest_ns"), F.max(F.when(live, F.col("observed_at_ns"))).alias("newest_ns"), F.lit(0).cast("long").alias("compacted_directories"),
+    )
+    figures = [c for c in by_parent.columns if c not in ("root_id", "parent")]
+    objects = rows.where(live & named).groupBy("root_id", "parent", "device", "inode").agg(F.max("allocated").alias("a"), F.count("*").alias("n"), F.min(F.struct("allocated", "size")).alias("low"), F.max(F.struct("allocated", "size")).alias("high"))
+    if totals is not None:
+        zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+        by_parent = by_parent.unionByName(
+            totals.select("root_id", "parent", zero.alias("entries_examined"), zero.alias("excluded_entries"), F.col("files").alias("file_paths"), F.col("logical").alias("logical_bytes"), zero.alias("loose"),
+                          "unknown_inodes", none.alias("oldest_ns"), none.alias("newest_ns"), F.lit(1).cast("long").alias("compacted_directories"))
+        )
+        objects = objects.unionByName(ledger.select("root_id", "parent", "device", "inode", F.col("allocated").alias("a"), F.col("paths").alias("n"), F.struct("allocated", F.col("logical").alias("size")).alias("low"), F.struct("allocated", F.col("logical").alias("size")).alias("high")))
+    up = F.explode(F.concat(paths.ancestors(F.col("parent")), F.array(paths.as_text(F.col("parent"))))).alias("scope")
+    summed = lambda c: F.min(c) if c == "oldest_ns" else F.max(c) if c == "newest_ns" else F.sum(c)
+    sums = by_parent.select("root_id", up, *figures).groupBy("root_id", "scope").agg(*[summed(c).alias(c) for c in figures])
+    once = objects.select("root_id", up, "device", "inode", "a", "n", "low", "high").groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("differ"))
+    linked = once.groupBy("root_id", "scope").agg(F.sum("a").alias("a"), F.sum(F.col("n") - 1).alias("repeated"), F.count_if("differ").alias("conflicting"))
+    zero_if = lambda c: F.coalesce(c, F.lit(0))
+    return sums.join(linked, ["root_id", "scope"], "left").select(
+        "root_id", "scope", *[c for c in figures if c != "loose"], (F.col("loose") + zero_if("a")).alias("allocated_bytes"), zero_if("repeated").alias("repeated"), zero_if("conflicting").alias("conflicting")
+    )
+
+
 def overlapping_pairs(targets: DataFrame) -> DataFrame:
     """Pairs of targets (id, root_id, path) of which one is the other or lies below it: an equi-join on exploded ancestors."""
     t = targets.select("id", "root_id", paths.as_text(F.col("path")).alias("path"), paths.ancestors(F.col("path")).alias("_above"))

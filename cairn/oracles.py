@@ -4,21 +4,21 @@ from __future__ import annotations
 
 EPOCH, DAY = 1_600_000_000_000_000_000, 86_400_000_000_000
 
-ROOTS = "roots AS (SELECT lang, dense_rank() OVER (ORDER BY lang) AS root_id FROM (SELECT DISTINCT lang FROM documents))"
+ROOTS = "roots AS (SELECT lang, dense_rank() OVER (ORDER BY lang) AS root_id FROM (SELECT DISTINCT coalesce(lang, '') AS lang FROM documents))"
 
 
-def entries(own: bool = False) -> str:
-    """CTEs ``roots``, ``files`` (the documents as files) and ``dirs`` (their listing passes)."""
-    alias = "doc_id" if own else "rep"
+def entries() -> str:
+    """CTEs ``roots``, ``files`` (the documents as files), ``dirs`` (their listing passes) and ``labelled`` (files with their parents' passes)."""
     return f"""
     {ROOTS},
+    t AS (SELECT doc_id, coalesce(lang, '') AS lang, source, coalesce(text, '') AS text FROM documents),
     d AS (SELECT doc_id, lang, source, text, cast(substr(source, 4) AS INT) AS n, strlen(text) AS size, sha256(text) AS digest,
-                 min(doc_id) OVER (PARTITION BY sha256(text)) AS rep FROM documents),
+                 min(doc_id) OVER (PARTITION BY sha256(text)) AS rep FROM t),
     files AS (SELECT doc_id + 1 AS id, root_id, source || '/b' || doc_id % 4 || '/c' || doc_id % 3 AS parent,
                      source || '/b' || doc_id % 4 || '/c' || doc_id % 3 || '/f' || doc_id AS path, size, (size + 4095) // 4096 * 4096 AS allocated,
                      {EPOCH} + (CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE rep END) * {DAY} AS mtime_ns, {EPOCH} + rep * {DAY} AS ctime_ns,
-                     '1' AS device, CASE WHEN doc_id % 19 = 0 THEN '' ELSE cast({alias} + 1 AS VARCHAR) END AS inode,
-                     cast(1 + n % 3 + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS generation,
+                     '1' AS device, CASE WHEN doc_id % 19 = 0 THEN '' ELSE cast(rep + 1 AS VARCHAR) END AS inode,
+                     cast(1 + n % 3 + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS generation, {EPOCH} + doc_id AS observed_at_ns,
                      CASE WHEN doc_id % 17 = 0 THEN 'excluded or protected' ELSE '' END AS skip_reason, digest, n, text
               FROM d JOIN roots USING (lang)),
     dirs AS (SELECT root_id, parent AS path, cast(1 + min(n) % 3 AS BIGINT) AS generation, min(n) % 7 <> 0 AS complete,
@@ -30,6 +30,9 @@ def entries(own: bool = False) -> str:
                  FROM files f LEFT JOIN dirs p ON p.root_id = f.root_id AND p.path = f.parent)"""
 
 
+#: Whether a row of ``files`` lies in a compacted directory.
+COMPACTED = "(n % 5 = 1 AND parent LIKE '%c2')"
+
 PASSES = """passes AS (SELECT user_id, cast(ts AS DATE) AS day, bool_or(event_type = 'purchase') AS changed, bool_or(event_type = 'error') AS unknown
             FROM events GROUP BY 1, 2)"""
 

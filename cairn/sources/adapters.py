@@ -15,50 +15,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One root for each language, numbered in its order."""
-    langs = table(spark, sf_dir, "documents").select("lang").distinct()
-    numbered = langs.withColumn("root_id", F.dense_rank().over(Window.orderBy("lang")).cast("long"))
+    """One root for each language, numbered in its order; documents without one have the empty name."""
+    langs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang")).distinct()
+    numbered = langs.withColumn("root_id", F.dense_rank().over(Window.orderBy("lang")).cast("long"))  # a row for each language
     return numbered.select(F.col("root_id").alias("id"), "lang", F.concat(F.lit("/"), "lang").cast("binary").alias("path"), F.lit(True).alias("enabled"))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their number of source, root, digest and first equal document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    docs = docs.withColumns({"digest": F.sha2("text", 256), "size": F.octet_length("text").cast("long"), "n": F.substring("source", 4, 10).cast("int")})
-    docs = docs.drop("text")
-    firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    numbered = roots(spark, sf_dir).select(F.col("id").alias("root_id"), "lang")
-    return docs.join(firsts, "digest").join(numbered, "lang")
+#: Columns of ``entries`` that need the first equal document, and those that need the text's digest.
+OF_EQUALS, OF_DIGEST = {"mtime_ns", "ctime_ns", "inode"}, {"digest"}
 
 
-def entries(spark: SparkSession, sf_dir: str, own_inode: bool = False) -> DataFrame:
-    """Documents as files. Equal texts share an inode, unless each has its own."""
-    d = _documents(spark, sf_dir)
-    parent = F.concat(F.col("source"), F.lit("/b"), F.col("doc_id") % 4, F.lit("/c"), F.col("doc_id") % 3)
-    alias = F.col("doc_id") if own_inode else F.col("rep")
-    return d.select(
-        (F.col("doc_id") + 1).alias("id"),
-        "root_id",
-        F.concat(parent, F.lit("/f"), F.col("doc_id")).cast("binary").alias("path"),
-        parent.cast("binary").alias("parent"),
-        F.lit("file").alias("kind"),
-        "size",
-        F.expr("(size + 4095) div 4096 * 4096").alias("allocated"),
-        (EPOCH_NS + F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")).otherwise(F.col("rep")) * DAY_NS).alias("mtime_ns"),
-        (EPOCH_NS + F.col("rep") * DAY_NS).alias("ctime_ns"),
-        F.lit("1").alias("device"),
-        F.when(F.col("doc_id") % 19 == 0, "").otherwise((alias + 1).cast("string")).alias("inode"),
-        (1 + F.col("n") % 3 + F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0)).cast("long").alias("generation"),
-        (F.lit(EPOCH_NS) + F.col("doc_id")).alias("observed_at_ns"),
-        F.when(F.col("doc_id") % 17 == 0, "excluded or protected").otherwise("").alias("skip_reason"),
-        "digest",
-        "n",
+def entries(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """Documents as files, a null text being an empty one. Equal texts share an inode.
+
+    Only what ``columns`` need is read, hashed and joined.
+    """
+    wanted = set(columns or ["id", "root_id", "digest", *OF_EQUALS])
+    text = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "source", F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("digest"), F.substring("source", 4, 10).cast("int").alias("n")
     )
+    if wanted & OF_EQUALS:
+        copies = d.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
+        d = d.join(copies, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    if "root_id" in wanted:
+        d = d.join(roots(spark, sf_dir).select(F.col("id").alias("root_id"), "lang"), "lang")
+    parent = F.concat(F.col("source"), F.lit("/b"), F.col("doc_id") % 4, F.lit("/c"), F.col("doc_id") % 3)
+    found = {
+        "id": F.col("doc_id") + 1,
+        "root_id": F.col("root_id"),
+        "path": F.concat(parent, F.lit("/f"), F.col("doc_id")).cast("binary"),
+        "parent": parent.cast("binary"),
+        "kind": F.lit("file"),
+        "size": F.col("size"),
+        "allocated": F.expr("(size + 4095) div 4096 * 4096"),
+        "mtime_ns": EPOCH_NS + F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")).otherwise(F.col("rep")) * DAY_NS,
+        "ctime_ns": EPOCH_NS + F.col("rep") * DAY_NS,
+        "device": F.lit("1"),
+        "inode": F.when(F.col("doc_id") % 19 == 0, "").otherwise((F.col("rep") + 1).cast("string")),
+        "generation": (1 + F.col("n") % 3 + F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0)).cast("long"),
+        "observed_at_ns": F.lit(EPOCH_NS) + F.col("doc_id"),
+        "skip_reason": F.when(F.col("doc_id") % 17 == 0, "excluded or protected").otherwise(""),
+        "digest": F.col("digest"),
+        "n": F.col("n"),
+    }
+    return d.select(*[found[c].alias(c) for c in columns or found])
 
 
 def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing passes of the files' directories; every tenth source has none."""
-    found = entries(spark, sf_dir).where("n % 10 <> 9").groupBy("root_id", F.col("parent").alias("path")).agg(F.min("n").alias("n"))
+    found = entries(spark, sf_dir, ["root_id", "parent", "n"]).where("n % 10 <> 9").groupBy("root_id", F.col("parent").alias("path")).agg(F.min("n").alias("n"))
     return found.select(
         "root_id",
         "path",
@@ -69,6 +75,11 @@ def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_compacted():
+    """Whether a file's directory was compacted to totals: one in four below every fifth source."""
+    return (F.col("n") % 5 == 1) & F.endswith(F.col("parent").cast("string"), F.lit("c2"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,26 +15,47 @@ from cairn.operators.reconcile import upsert
 
 
 class LatestTable:
-    """A table of the last row of each key, rewritten by micro-batch.
+    """A table of the last row of each key, kept by micro-batch.
 
-    Every version is a folder of its own; the pointer to the current one is the folder of the last
-    batch that was written whole, so a batch that is run again after a failure writes the same
-    version again.
+    Keys are dealt to ``parts`` by their hash. A batch rewrites only the parts that it touches, each
+    as a folder named by part and batch, through Spark's committer. The current folder of a part is
+    the one of the highest batch with a ``_SUCCESS`` file, found in the store itself, so a table
+    opened again after a restart goes on from there. A batch run again after a failure starts from
+    the folders of earlier batches and writes its own again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str]):
-        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
-        self.version: str | None = None
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{self.version}") if self.version else None
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], parts: int = 16):
+        self.spark, self.path, self.key, self.order, self.parts = spark, path.rstrip("/"), key, order, parts
+
+    def _folders(self, before: int | None = None) -> dict[int, str]:
+        """Each part's last folder that was written whole, of batches before one."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found: dict[int, tuple[int, str]] = {}
+        for status in store.listStatus(root) if store.exists(root) else []:
+            name = status.getPath().getName()
+            match = re.fullmatch(r"part-(\d+)-batch-(\d+)", name)
+            if match and store.exists(hadoop.Path(status.getPath(), "_SUCCESS")) and (before is None or int(match[2]) < before):
+                found[int(match[1])] = max(found.get(int(match[1]), (-1, "")), (int(match[2]), f"{self.path}/{name}"))
+        return {part: folder for part, (_, folder) in found.items()}
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        folders = sorted(self._folders(before).values())
+        return self.spark.read.parquet(*folders) if folders else None
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        saved = self.read()
-        merged = upsert(batch if saved is None else saved, batch.limit(0) if saved is None else batch, self.key, self.order)
-        name = f"batch-{batch_id:08d}-{uuid.uuid4().hex}"
-        merged.write.parquet(f"{self.path}/{name}")
-        self.version = name
+        part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
+        batch = batch.withColumn("_part", part).persist()
+        saved = self._folders(batch_id)
+        for (number,) in batch.select("_part").distinct().orderBy("_part").collect():  # ``parts`` rows at most
+            own = batch.where(F.col("_part") == number).drop("_part")
+            if number in saved:
+                merged = upsert(self.spark.read.schema(own.schema).parquet(saved[number]), own, self.key, self.order)
+            else:
+                merged = upsert(own, own.limit(0), self.key, self.order)
+            merged.write.mode("overwrite").parquet(f"{self.path}/part-{number:05d}-batch-{batch_id:010d}")
+        batch.unpersist()
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

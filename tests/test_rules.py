@@ -59,10 +59,20 @@ def test_identity_evidence_of_a_band(spark):
 def test_pages_of_equal_sizes(spark):
     mib = 1 << 20
     rows = spark.createDataFrame([(1, 8 * mib), (2, 8 * mib), (3, 8 * mib), (4, 4 * mib), (5, 4 * mib), (6, mib)], "id long, size long")
-    page = lambda after: [tuple(r) for r in reports.same_size_page(rows, mib, 2, after).orderBy(F.desc("size")).collect()]
+    rows = rows.withColumns({"root_id": F.lit(1), "path": F.concat(F.lit("f"), "id").cast("binary"), "parent": F.lit(b"."), "skip_reason": F.lit(""), "device": F.lit("1"), "inode": F.col("id").cast("string")})
+    rows = rows.withColumns({"ctime_ns": F.lit(1), "generation": F.lit(1)})
+    roots = spark.createDataFrame([(1, True)], "id long, enabled boolean")
+
+    def page(after, rows=rows, limit=2):
+        found = reports.same_size_page(rows, roots, mib, limit, after).orderBy(F.desc("size"))
+        return [tuple(r) for r in found.select("size", "files", "ids", "continues_before", "continues_after").collect()]
+
     assert page(None) == [(8 * mib, 2, "3,2", False, True)]
     assert page((8 * mib, 2)) == [(8 * mib, 1, "1", True, False), (4 * mib, 1, "5", False, True)]
     assert page((4 * mib, 5)) == [(4 * mib, 1, "4", True, False)]
+    skipped = rows.withColumn("skip_reason", F.when(F.col("id").isin(3, 4), "excluded or protected").otherwise(""))
+    assert page(None, skipped) == [(8 * mib, 1, "2", False, True)]  # the page is cut first
+    assert page(None, skipped, 6) == [(8 * mib, 2, "2,1", False, False)]
 
 
 def test_largest_files_is_a_bounded_top_k(spark):
@@ -71,7 +81,7 @@ def test_largest_files_is_a_bounded_top_k(spark):
     plan = c.QUERIES["largest_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     with pytest.raises(ValueError):
-        reports.largest_files(spark.range(1), spark.range(1), spark.range(1), 201)
+        reports.largest_files(spark.range(1), spark.range(1), spark.range(1), 202)
 
 
 WORK = "file_id long, size long, sha256 string, status string, device string, inode string, ctime_ns long, mtime_ns long, allocated long"

@@ -26,6 +26,21 @@ def test_latest_rows_by_micro_batch(spark, tmp_path):
     assert sorted(map(tuple, table.read().select("user_id", "event_id").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_latest_rows_survive_restarts_and_repeated_batches(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "user_id long, ts long, event_id long")
+    open_ = lambda: obs.LatestTable(spark, str(tmp_path / "t"), ["user_id"], ["ts", "event_id"], parts=3)
+    open_().write_batch(rows((1, 5, 1), (2, 5, 2), (3, 5, 3)), 0)
+    table = open_()  # as after a restart
+    table.write_batch(rows((1, 4, 9), (2, 6, 4), (8, 1, 5)), 1)
+    want = [(1, 5, 1), (2, 6, 4), (3, 5, 3), (8, 1, 5)]
+    assert sorted(map(tuple, open_().read().collect())) == want
+    open_().write_batch(rows((1, 4, 9), (2, 6, 4), (8, 1, 5)), 1)  # the same batch again
+    assert sorted(map(tuple, open_().read().collect())) == want
+    half = next(tmp_path.glob("t/part-*-batch-0000000001"))
+    (half / "_SUCCESS").unlink()  # a batch that ended half-way does not count
+    assert len(open_().read().collect()) < 5 and {r.user_id for r in open_().read().collect()} <= {1, 2, 3, 8}
+
+
 def test_daily_totals_as_a_stream(spark, tmp_path):
     split(spark, str(tmp_path / "in"))
     stream = obs.daily_totals(obs.read_observations(spark, str(tmp_path / "in")))
