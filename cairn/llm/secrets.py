@@ -9,7 +9,8 @@ for "ordinary text", and the false-discovery rate over all candidates of its len
 at ``FDR``. Only then, and where no base span lies, it is added with the kind ``random``.
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans. Repeated rows are
-each scanned.
+each scanned, and count each in the discovery rate. A very long text is scanned whole; it takes some
+times its own bytes in a worker. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -142,6 +143,18 @@ def letter_frequencies(docs: DataFrame) -> dict[str, float]:
     return {c: n / total for c, n in found.items()}
 
 
+def discoveries(bins: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Least bin of each class from which candidates are discoveries, of (class, bin, candidates); bin -1 only counts among all."""
+    least = {}
+    for cls in {c for c, _, _ in bins}:
+        total, kept = sum(n for c, _, n in bins if c == cls), 0
+        for bin_, n in sorted(((b, n) for c, b, n in bins if c == cls and b >= 0), reverse=True):
+            kept += n
+            if 10 ** (-bin_ * BIN) * total <= FDR * kept:  # step-up rule at the bin's largest p-value
+                least[cls] = bin_
+    return least
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and those added, as arrays of (start, end, kind)."""
     frequency = letter_frequencies(docs)
@@ -171,13 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     found = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, schema), "secret-spans")
     bins = found.select(F.explode("candidates").alias("c")).groupBy("c.cls", "c.bin").count().collect()
-    least = {}
-    for cls in {b.cls for b in bins}:
-        total, kept = sum(b["count"] for b in bins if b.cls == cls), 0
-        for b in sorted((b for b in bins if b.cls == cls and b.bin >= 0), key=lambda b: -b.bin):
-            kept += b["count"]
-            if 10 ** (-b.bin * BIN) * total <= FDR * kept:  # step-up rule at the bin's largest p-value
-                least[cls] = b.bin
+    least = discoveries([(b.cls, b.bin, b["count"]) for b in bins])
     if not least:
         added = F.array().cast(span)
     else:

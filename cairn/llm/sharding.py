@@ -6,7 +6,9 @@ the order is cut into runs. Neighbouring runs hold neighbouring cells in every d
 reader that filters on any of them skips most files by their min/max statistics.
 
 Nulls in a dimension share the lowest cell. Ties on the curve are ordered by the tie columns;
-rows equal in all of them are interchangeable. An empty table gives an empty result.
+rows equal in all of them are interchangeable. Null and empty texts have size 1. An empty table gives
+an empty result. ``hilbert_shards`` refuses columns of its own names; ``document_shards`` reads no
+extra columns.
 """
 
 from __future__ import annotations

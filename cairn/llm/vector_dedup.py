@@ -16,7 +16,9 @@ numbers of stored vectors and queries, so a dense list is many tasks. A block re
 and the stars of its own links, not its pairs.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing. Vectors of
-different lengths never link. Rows without an id are returned unlinked.
+different lengths never link. Rows without an id are returned unlinked. Rows with equal ids and
+equal vectors count each other as links; with equal ids and other vectors the id stands for all of
+them in links and components. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -193,6 +195,13 @@ def _search(fitted, threshold: float, kind: str):
     return search
 
 
+def _sample(vectors: DataFrame, total: int) -> np.ndarray:
+    """The vectors to fit on; a threshold on the hash keeps all but about twice as many from the driver."""
+    order = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+    few = vectors.where(order < int(min(1.0, 2 * SAMPLE / max(total, 1)) * (1 << 30)) + 1)
+    return np.array([r.v for r in few.orderBy(order, "rep").limit(SAMPLE).select("v").toLocalIterator()], float)
+
+
 def vector_links(firsts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links): for b null, the vectors linked to a in one block; otherwise an edge between a and b."""
     spark = firsts.sparkSession
@@ -201,7 +210,7 @@ def vector_links(firsts: DataFrame, threshold: float) -> DataFrame:
     for (dims,) in firsts.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
         own = firsts.where(F.size("v") == dims)
         total = own.count()
-        sample = np.array([r.v for r in own.orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()], float)
+        sample = _sample(own, total)
         sample /= np.sqrt((sample * sample).sum(1))[:, None]
         fitted = spark.sparkContext.broadcast(Quantiser(sample, min(MAX_LISTS, -(-total // LIST_SIZE))))
         entries = materialise(_entries(own, fitted, link_radius(threshold), kind), "vector-entries")

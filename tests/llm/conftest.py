@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, node long, key string, curve long, label long, quality int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, node long, key string, curve long, label long, quality int, _text string, _lang string, _spans long, _items long, _n_words long, _mix_row long, _mix_nth int, _mix_copies int, _sum double, _trusted long, _accepted boolean, _part int, block string, salt int"
 
 
 def prose(seed: int, words: int, vocabulary: int = 400) -> str:
@@ -11,7 +11,7 @@ def prose(seed: int, words: int, vocabulary: int = 400) -> str:
 
 
 def row(doc_id, text, lang="en", source="s0"):
-    return (doc_id, text, lang, source, None if text is None else len(text), 7, 7, 7, "k", 7, 7, 7)
+    return (doc_id, text, lang, source, None if text is None else len(text), 7, 7, 7, "k", 7, 7, 7, "t", "l", 1, 2, 3, 4, 5, 6, 7.0, 8, False, 9, "b", 10)
 
 
 @pytest.fixture(scope="session")

@@ -277,6 +277,28 @@ def test_shards_are_even_and_slots_gapless(spark, documents, odd_documents, no_d
         assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
 
 
+def test_shards_follow_the_curve_and_prune(spark, documents, tmp_path):
+    rows = documents.select("doc_id", F.octet_length("text").alias("bytes"), F.col("lang").alias("language"))
+    dims = {"language": sharding.ordered_prefix(F.col("language")), "bytes": F.col("bytes"), "doc_id": F.col("doc_id")}
+    placed = sharding.hilbert_shards(rows, dims, ["doc_id"], 16).persist()
+    got = sorted(placed.collect(), key=lambda r: (r.shard, r.slot))
+    assert [(r.curve, r.doc_id) for r in got] == sorted((r.curve, r.doc_id) for r in got)
+    near = np.mean([abs(a.doc_id - b.doc_id) for a, b in zip(got, got[1:])])
+    rng = random.Random(1)
+    mixed = rng.sample(got, len(got))
+    assert near < 0.7 * np.mean([abs(a.doc_id - b.doc_id) for a, b in zip(mixed, mixed[1:])])
+    sharding.write_shards(placed, str(tmp_path / "shards"))
+    read = spark.read.parquet(str(tmp_path / "shards"))
+    assert read.count() == len(got)
+    ranges = read.groupBy("shard").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"), F.min("language").alias("la"), F.max("language").alias("lb")).collect()
+    middle = sorted(r.bytes for r in got)[len(got) // 2]
+    met = [r for r in ranges if r.a <= middle <= r.b and r.la <= "de" <= r.lb]
+    assert len(ranges) == 16 and len(met) <= 8  # the others are skipped by their statistics
+    for folder in (tmp_path / "shards").glob("shard=*"):
+        slots = [r.slot for r in spark.read.parquet(str(folder)).collect()]
+        assert slots == sorted(slots)
+
+
 def test_mix_meets_targets(spark, documents):
     rows = mixing.document_mix(documents).collect()
     size = Counter()
@@ -535,6 +557,39 @@ def test_secret_spans(spark, documents, texts):
     assert sum(got[i].n_random for i in texts) <= len(texts) // 50
 
 
+def test_randomness_has_its_size_and_power():
+    rng = random.Random(3)
+    for kind, n in (("hex", 40), ("base32", 40), ("base64", 64)):
+        p = np.array([secrets.randomness("".join(rng.choice(secrets.ALPHABETS[kind]) for _ in range(n)), kind) for _ in range(2000)])
+        assert 0.005 <= (p < 0.05).mean() <= 0.12 and (p < secrets.MIN_RANDOM).mean() <= 0.01
+    assert secrets.randomness("ab" * 32, "hex") < 1e-6 and secrets.randomness("abcdefghijklmnopqrstuvwxyz" * 2, "base64") < 1e-3
+    # chi-squared by its definition
+    run = "".join(rng.choice("0123456789abcdef") for _ in range(64))
+    counts = Counter(run)
+    chi = sum((counts[c] - 4) ** 2 / 4 for c in secrets.ALPHABETS["hex"])
+    z = ((chi / 15) ** (1 / 3) - (1 - 2 / 135)) / math.sqrt(2 / 135)
+    drawn = rng_chi(15, 20_000)
+    assert abs((drawn >= chi).mean() - 0.5 * math.erfc(z / math.sqrt(2))) < 0.02
+
+
+def rng_chi(free, n):
+    return np.random.default_rng(4).chisquare(free, n)
+
+
+def test_discoveries_are_those_of_the_step_up_rule():
+    rng = random.Random(5)
+    for _ in range(50):
+        values = [(rng.randrange(3), rng.choice([-1, *range(30)])) for _ in range(rng.randrange(1, 60))]
+        got = secrets.discoveries([(c, b, n) for (c, b), n in Counter(values).items()])
+        for cls in range(3):
+            own = sorted((10 ** (-b * secrets.BIN) for c, b in values if c == cls and b >= 0))
+            total = sum(c == cls for c, _ in values)
+            last = max((i for i, p in enumerate(own, 1) if p * total <= secrets.FDR * i), default=0)
+            want = {p for p in own[:last]}
+            found = {10 ** (-b * secrets.BIN) for c, b in values if c == cls and b >= got.get(cls, 10**9)}
+            assert found == want
+
+
 # --- odd rows of the rest, and the pipeline ----------------------------------------------------
 
 
