@@ -478,12 +478,14 @@ def manual_refresh_states(spark, sf_dir):
     return ledger.last_state(adapters.observations(spark, sf_dir).withColumnRenamed("event_type", "state"), "user_id", ["ts", "event_id"])
 
 
-CONSENTS, REVOKED, USED = [(1, 0, 100, 50), (2, 0, 10, 50), (3, 0, 100, 50), (4, 0, 100, 50), (5, 60, 100, 50)], [(3,)], [(1, 20), (1, 10), (4, 50)]
 
-
-@report(f"WITH {sql.values('v', 'consent_id, left_bytes', [(1, 20)])} SELECT consent_id, cast(left_bytes AS BIGINT) AS left_bytes FROM v")
+@report("""WITH c AS (SELECT o_orderkey AS consent_id, o_custkey % 80 AS from_ns, o_custkey % 80 + 40 AS until_ns, 50 + o_custkey % 100 AS max_bytes FROM orders),
+    u AS (SELECT l_orderkey AS consent_id, sum(l_linenumber * 10) AS spent FROM lineitem GROUP BY 1)
+    SELECT consent_id, cast(max_bytes - coalesce(spent, 0) AS BIGINT) AS left_bytes FROM c LEFT JOIN u USING (consent_id) WHERE from_ns <= 60 AND until_ns > 60 AND consent_id % 7 <> 0 AND max_bytes - coalesce(spent, 0) > 0""")
 def valid_consents(spark, sf_dir):
-    found = ledger.valid_consents(fixture(spark, "consent_id, from_ns, until_ns, max_bytes", CONSENTS), fixture(spark, "consent_id", REVOKED), fixture(spark, "consent_id, bytes", USED), 50)
+    o = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("consent_id"), (F.col("o_custkey") % 80).alias("from_ns"), (50 + F.col("o_custkey") % 100).alias("max_bytes"))
+    used = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("consent_id"), (F.col("l_linenumber") * 10).alias("bytes"))
+    found = ledger.valid_consents(o.withColumn("until_ns", F.col("from_ns") + 40), o.where("consent_id % 7 = 0").select("consent_id"), used, 60)
     return found.withColumn("left_bytes", F.col("left_bytes").cast("long"))
 
 
@@ -543,14 +545,19 @@ def purge_subtree(spark, sf_dir):
     return as_path(reconcile.purge_subtrees(adapters.entries(spark, sf_dir, ["id", "root_id", "path"]), tops)).select("id", "path")
 
 
-@report(f"""WITH {sql.values('v', 'path, enabled, action', [('a', True, 'kept'), ('b', False, 'disabled'), ('c', True, 'enabled'), ('d', True, 'added'), ('e', False, 'kept')])} SELECT * FROM v""")
+@report("""WITH w AS (SELECT DISTINCT o_custkey AS path FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT c_custkey AS path, c_custkey % 4 <> 0 AS enabled FROM customer WHERE c_custkey % 5 <> 0)
+    SELECT coalesce(w.path, s.path) AS path, w.path IS NOT NULL AS enabled,
+           CASE WHEN s.path IS NULL THEN 'added' WHEN w.path IS NULL AND s.enabled THEN 'disabled' WHEN w.path IS NOT NULL AND NOT s.enabled THEN 'enabled' ELSE 'kept' END AS action FROM w FULL JOIN s ON w.path = s.path""")
 def root_sync(spark, sf_dir):
-    return reconcile.sync_roots(fixture(spark, "path", [("a",), ("c",), ("d",)]), fixture(spark, "path, enabled", [("a", True), ("b", True), ("c", False), ("e", False)]))
+    wanted = adapters.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("path")).distinct()
+    saved = adapters.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 4 != 0).alias("enabled"))
+    return reconcile.sync_roots(wanted, saved)
 
 
-@report(f"WITH {sql.values('v', 'path', [('a',), ('c',)])} SELECT * FROM v")
+@report("""SELECT p_partkey AS path FROM part WHERE (p_partkey % 2 = 0 OR p_partkey % 3 = 0) AND p_partkey % 5 <> 0""")
 def exclusion_edits(spark, sf_dir):
-    return reconcile.edit_exclusions(fixture(spark, "path", [("a",), ("b",)]), fixture(spark, "path", [("a",), ("c",)]), fixture(spark, "path", [("b",), ("x",)]))
+    part = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"))
+    return reconcile.edit_exclusions(part.where("path % 2 = 0"), part.where("path % 3 = 0"), part.where("path % 5 = 0"))
 
 
 @report(f"""WITH {sql.entries()} SELECT root_id, parent, generation, cast(coalesce(sum(size) FILTER (skip_reason = ''), 0) AS BIGINT) AS logical, count(*) FILTER (skip_reason = '') AS files, count(*) FILTER (skip_reason = '' AND inode = '') AS unknown_inodes, count(*) FILTER (skip_reason <> '') AS skipped_files FROM files GROUP BY 1, 2, 3""")
@@ -585,23 +592,28 @@ def engine_images(spark, sf_dir):
     return metadata.engine_images(fixture(spark, "context, body", IMAGES))
 
 
-SUPPLIES = [
-    ("a", "Mains", True, "none"), ("a", "Battery", False, "Full"), ("b", "Mains", False, "none"), ("b", "Battery", False, "Discharging"), ("c", "Mains", True, "none"),
-    ("c", "Battery", False, "Discharging"), ("d", "Battery", False, "Charging"), ("e", "Battery", False, "Unknown"),
-]
-
 
-@report(f"WITH {sql.values('v', 'host, state', [('a', 'line'), ('b', 'battery'), ('c', 'ambiguous'), ('d', 'charging'), ('e', 'unknown')])} SELECT * FROM v")
+@report("""WITH s AS (SELECT user_id AS host, CASE WHEN event_id % 2 = 0 THEN 'Mains' ELSE 'Battery' END AS type, event_id % 3 = 0 AND user_id % 4 <> 1 AS online,
+                  CASE WHEN user_id % 5 = 0 THEN 'Unknown' WHEN user_id % 3 = 0 AND event_id % 7 = 1 THEN 'Discharging' WHEN event_id % 5 = 1 THEN 'Full' WHEN event_id % 5 = 2 THEN 'Charging' ELSE 'Unknown' END AS status FROM events),
+    h AS (SELECT host, bool_or(type = 'Mains' AND online) AS line, bool_or(type = 'Battery' AND status = 'Discharging') AS leaving, bool_or(type = 'Battery' AND status IN ('Charging', 'Full')) AS filling FROM s GROUP BY 1)
+    SELECT host, CASE WHEN line AND leaving THEN 'ambiguous' WHEN line THEN 'line' WHEN leaving THEN 'battery' WHEN filling THEN 'charging' ELSE 'unknown' END AS state FROM h""")
 def power_states(spark, sf_dir):
-    return metadata.power_state(fixture(spark, "host, type, online, status", SUPPLIES))
+    e = adapters.observations(spark, sf_dir)
+    id_, user = F.col("event_id"), F.col("user_id")
+    status = F.when(user % 5 == 0, "Unknown").when((user % 3 == 0) & (id_ % 7 == 1), "Discharging").when(id_ % 5 == 1, "Full").when(id_ % 5 == 2, "Charging").otherwise("Unknown")
+    supplies = e.select(user.alias("host"), F.when(id_ % 2 == 0, "Mains").otherwise("Battery").alias("type"), ((id_ % 3 == 0) & (user % 4 != 1)).alias("online"), status.alias("status"))
+    return metadata.power_state(supplies)
+
 
 
-ROLES = [(".", "boundary"), (".bin", "bin"), (".bin/x", "bin"), ("@s", "scope"), ("@s/p", "package"), ("p", "package"), ("p/lib/x", "content"), ("@s/p/x", "content")]
+_ROLE_PATHS = "concat_ws('/', CASE doc_id % 4 WHEN 0 THEN '.bin' WHEN 1 THEN '@s' WHEN 2 THEN 'p' ELSE '@t' END, CASE WHEN doc_id % 3 > 0 THEN 'q' END, CASE WHEN doc_id % 5 > 2 AND doc_id % 3 > 0 THEN 'f' || doc_id END)"
 
 
-@report(f"WITH {sql.values('v', 'path, role', ROLES)} SELECT * FROM v")
+@report(f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '.' ELSE {_ROLE_PATHS} END AS path FROM documents), x AS (SELECT *, string_split(path, '/') AS c FROM p)
+    SELECT doc_id, path, CASE WHEN path = '.' THEN 'boundary' WHEN c[1] = '.bin' THEN 'bin' WHEN starts_with(c[1], '@') THEN CASE len(c) WHEN 1 THEN 'scope' WHEN 2 THEN 'package' ELSE 'content' END WHEN len(c) = 1 THEN 'package' ELSE 'content' END AS role FROM x""")
 def tree_roles(spark, sf_dir):
-    return fixture(spark, "path", [(p,) for p, _ in ROLES]).select("path", tree.tree_role(F.col("path")).alias("role"))
+    found = adapters.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 0, ".").otherwise(F.expr(_ROLE_PATHS)).alias("path"))
+    return found.select("doc_id", "path", tree.tree_role(F.col("path")).alias("role"))
 
 
 @report("SELECT (SELECT count(*) FROM documents) AS rows, TRUE AS order_free, TRUE AS row_sensitive")

@@ -18,9 +18,9 @@ def purge_subtrees(entries: DataFrame, tops: DataFrame) -> DataFrame:
     """Entries without those below a purged path (root_id, path, keep_anchor), and without the path itself unless it is kept."""
     above = entries.select("root_id", "id", F.explode(paths.ancestors(F.col("path"))).alias("_top"))
     t = tops.select("root_id", paths.as_text(F.col("path")).alias("_top"))
-    below = above.join(F.broadcast(t), ["root_id", "_top"], "left_semi").select("root_id", "id")
+    below = above.join(t, ["root_id", "_top"], "left_semi").select("root_id", "id")
     anchors = tops.where("not keep_anchor").select("root_id", "path")
-    return entries.join(below, ["root_id", "id"], "left_anti").join(F.broadcast(anchors), ["root_id", "path"], "left_anti")
+    return entries.join(below, ["root_id", "id"], "left_anti").join(anchors, ["root_id", "path"], "left_anti")
 
 
 def sync_roots(wanted: DataFrame, saved: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def store_summary(**relations: DataFrame) -> DataFrame:
 
 def due_jobs(jobs: DataFrame, roots: DataFrame) -> DataFrame:
     """For each kind, the earliest pending job of an enabled root and how many wait."""
-    ready = jobs.where("status = 'pending'").join(F.broadcast(roots.where("enabled").select(F.col("id").alias("root_id"))), "root_id", "left_semi")
+    ready = jobs.where("status = 'pending'").join(roots.where("enabled").select(F.col("id").alias("root_id")), "root_id", "left_semi")
     return ready.groupBy("kind").agg(F.min(F.struct("due_at_ns", "id")).alias("_m"), F.count("*").alias("waiting")).select("kind", F.col("_m.due_at_ns").alias("due_at_ns"), F.col("_m.id").alias("job_id"), "waiting")
 
 

@@ -50,7 +50,7 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
     """
     rows = _chains(entries, directories)
     wanted = scopes.select("root_id", "scope").distinct()
-    in_scope = rows.select("*", F.explode("chain").alias("_top")).withColumn("scope", F.col("_top._path")).join(F.broadcast(wanted), ["root_id", "scope"])
+    in_scope = rows.select("*", F.explode("chain").alias("_top")).withColumn("scope", F.col("_top._path")).join(wanted, ["root_id", "scope"])
     below = F.slice("chain", F.col("_top._level") + 2, MAX_DEPTH)
     # from the row upwards: the first level without a row ends what exclusion can reach
     walk = F.aggregate(
