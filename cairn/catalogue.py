@@ -801,3 +801,21 @@ def state_sizes(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents")
     size = F.when(F.col("doc_id") % 997 == 5, F.lit(-1)).otherwise(F.octet_length("text")).cast("long")
     return reports.state_size(docs.select(F.col("source").alias("store"), size.alias("bytes")), 60_000)
+
+
+@report("""WITH s AS (SELECT s_nationkey AS context, 'k' || s_suppkey AS id, CASE WHEN s_nationkey % 5 = 4 THEN 'door' WHEN s_suppkey % 2 = 0 THEN 'regular' ELSE 'internal' END AS type,
+                  CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 = 1 END AS in_use, s_suppkey % 7 AS usage_count FROM supplier),
+    c AS (SELECT n_nationkey AS context, (SELECT count(*) FROM s WHERE s.context = n_nationkey) AS n FROM nation),
+    v AS (SELECT context, CASE WHEN context % 6 = 5 THEN 'malformed' WHEN n > 128 THEN 'out_of_bounds' WHEN n > 0 AND context % 5 = 4 THEN 'malformed' WHEN n = 0 THEN 'empty' ELSE 'observed' END AS status FROM c)
+    SELECT v.context, status, id, type, in_use, CASE WHEN id IS NOT NULL THEN TRUE END AS shared, cast(usage_count AS BIGINT) AS usage_count FROM v LEFT JOIN s ON s.context = v.context AND status = 'observed'""")
+def engine_cache(spark, sf_dir):
+    """A response for each nation with its suppliers as records; some lack the list, some hold a type that is none."""
+    s = adapters.table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    kind = F.when(F.col("s_nationkey") % 5 == 4, "door").when(key % 2 == 0, "regular").otherwise("internal")
+    record = F.struct(F.concat(F.lit("k"), key).alias("ID"), kind.alias("Type"), F.when(key % 3 > 0, key % 3 == 1).alias("InUse"), F.lit(True).alias("Shared"), (key % 7).alias("UsageCount"))
+    lists = s.groupBy(F.col("s_nationkey").alias("context")).agg(F.collect_list(record).alias("BuildCache"))  # a fixture's bodies
+    bodies = adapters.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("context")).join(lists, "context", "left")
+    none = F.array().cast("array<struct<ID:string,Type:string,InUse:boolean,Shared:boolean,UsageCount:bigint>>")
+    body = F.when(F.col("context") % 6 == 5, F.lit("{}")).otherwise(F.to_json(F.struct(F.coalesce("BuildCache", none).alias("BuildCache"))))
+    return metadata.engine_cache(bodies.select("context", body.alias("body")))

@@ -19,6 +19,26 @@ def engine_images(responses: DataFrame) -> DataFrame:
     return rows.select("context", F.col("i.Id").alias("id"), F.concat_ws(",", F.array_sort(F.coalesce("i.RepoTags", F.array().cast("array<string>")))).alias("tags"), F.col("i.Created").alias("created"), "truncated")
 
 
+CACHE = "struct<BuildCache:array<struct<ID:string,Type:string,InUse:boolean,Shared:boolean,UsageCount:bigint>>>"
+#: Kinds of records that an engine's build cache may list (fixed values).
+CACHE_TYPES = ("internal", "frontend", "source.local", "source.git.checkout", "exec.cachemount", "regular")
+
+
+def engine_cache(responses: DataFrame) -> DataFrame:
+    """Records of an engine's build cache from its response bodies (context, body); flags it does not tell stay null.
+
+    A body without the list, with a record of no id, an unknown type or a negative count, or with an
+    id twice is ``malformed``; one of more than 128 records is ``out_of_bounds``. Such a context is one
+    row without a record, as is one whose cache is ``empty``.
+    """
+    parsed = responses.withColumn("_r", F.from_json("body", CACHE)["BuildCache"])
+    odd = F.exists("_r", lambda r: F.coalesce(r["ID"], F.lit("")).isin("") | (F.length(r["ID"]) > 128) | ~F.coalesce(r["Type"].isin(*CACHE_TYPES), F.lit(False)) | F.coalesce(r["UsageCount"] < 0, F.lit(False)))
+    twice = F.size(F.array_distinct(F.transform("_r", lambda r: r["ID"]))) < F.size("_r")
+    status = F.when(F.col("_r").isNull(), "malformed").when(F.size("_r") > MAX_OBJECTS, "out_of_bounds").when(odd | twice, "malformed").when(F.size("_r") == 0, "empty").otherwise("observed")
+    rows = parsed.withColumn("status", status).select("context", "status", F.explode_outer(F.when(F.col("status") == "observed", F.col("_r"))).alias("r"))
+    return rows.select("context", "status", F.col("r.ID").alias("id"), F.col("r.Type").alias("type"), F.col("r.InUse").alias("in_use"), F.col("r.Shared").alias("shared"), F.col("r.UsageCount").alias("usage_count"))
+
+
 def strict_object(text: str, depth: int = 64, values: int = 50_000) -> dict:
     """A JSON object without repeated keys and within bounds."""
     seen = 0
