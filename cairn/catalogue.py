@@ -819,3 +819,15 @@ def engine_cache(spark, sf_dir):
     none = F.array().cast("array<struct<ID:string,Type:string,InUse:boolean,Shared:boolean,UsageCount:bigint>>")
     body = F.when(F.col("context") % 6 == 5, F.lit("{}")).otherwise(F.to_json(F.struct(F.coalesce("BuildCache", none).alias("BuildCache"))))
     return metadata.engine_cache(bodies.select("context", body.alias("body")))
+
+
+@report(f"""WITH {sql.entries()}, t AS (SELECT DISTINCT root_id, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent]) AS path FROM files)
+    SELECT x.root_id, x.path AS upper, count(*) AS lower_paths FROM t x JOIN t y ON x.root_id = y.root_id AND starts_with(y.path, x.path || '/') GROUP BY 1, 2""")
+def overlapping_directories(spark, sf_dir):
+    """All directories above files as targets: how many others lie below each."""
+    e = adapters.entries(spark, sf_dir, ["root_id", "parent"]).distinct()
+    t = e.select("root_id", F.explode(F.concat(paths.ancestors(F.col("parent")), F.array(paths.as_text(F.col("parent"))))).alias("path")).where("path <> '.'").distinct()
+    t = t.withColumn("id", F.struct("root_id", "path"))
+    pairs = tree.overlapping_pairs(t.withColumn("path", F.col("path").cast("binary")))
+    upper = F.when(F.startswith(F.col("b.path"), F.concat(F.col("a.path"), F.lit("/"))), F.col("a")).otherwise(F.col("b"))
+    return pairs.select(upper.alias("u")).groupBy(F.col("u.root_id").alias("root_id"), F.col("u.path").alias("upper")).agg(F.count("*").alias("lower_paths"))

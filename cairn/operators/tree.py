@@ -12,15 +12,15 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cairn.functions import paths
 
-#: Levels above a path that are followed.
-MAX_DEPTH = 256
 
+def _marked(entries: DataFrame, directories: DataFrame) -> DataFrame:
+    """Each row with the deepest levels on its way from the root at which a row is missing, gone, or not sure.
 
-def _chains(entries: DataFrame, directories: DataFrame) -> DataFrame:
-    """Each row with its chain: for every level from the root's children down to the row itself, whether the listing of the parent says the node is gone, and whether it confirms it.
-
-    Only the immediate parent row decides: a level whose parent row is missing is neither gone by
-    its parent's kind nor confirmed, and what is gone above a missing row does not reach below it.
+    Levels count from the root's 0 down to the row itself. A level is gone where its parent is no
+    directory or the listing of its parent was completed without it, and sure where that listing
+    confirms it. Only the immediate parent row decides: a level whose parent row is missing is
+    neither gone by its parent's kind nor confirmed, and what is gone above a missing row does not
+    reach below it.
     """
     passes = directories.select(
         "root_id", paths.as_text(F.col("path")).alias("_p"), F.col("generation").alias("_pg"), F.col("complete").alias("_pc"), (F.col("last_error") != "").alias("_pe"), F.col("checked_at_ns").alias("_pt")
@@ -35,10 +35,11 @@ def _chains(entries: DataFrame, directories: DataFrame) -> DataFrame:
     nodes = nodes.withColumn("gone", gone).withColumn("sure", sure).withColumn("parent_partial", F.coalesce(~F.col("_pc") | F.col("_pe"), F.lit(False)))
     levels = nodes.select("root_id", "id", F.posexplode(F.concat(paths.ancestors(F.col("path")), F.array("_path"))).alias("_level", "_path"))
     known = nodes.select("root_id", "_path", F.lit(True).alias("there"), "gone", "sure")
-    chain = levels.join(known, ["root_id", "_path"], "left").groupBy("root_id", "id").agg(
-        F.array_sort(F.collect_list(F.struct("_level", "_path", F.coalesce("there", F.lit(False)).alias("there"), F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("sure", F.lit(False)).alias("sure")))).alias("chain")
+    at = lambda condition: F.coalesce(F.max(F.when(condition, F.col("_level"))), F.lit(-1))
+    marks = levels.join(known, ["root_id", "_path"], "left").groupBy("root_id", "id").agg(
+        at(F.col("there").isNull()).alias("missing_at"), at(F.coalesce("gone", F.lit(False))).alias("gone_at"), at(~F.coalesce("sure", F.lit(False))).alias("unsure_at")
     )
-    return nodes.join(chain, ["root_id", "id"])
+    return nodes.join(marks, ["root_id", "id"])
 
 
 def measure_directories(entries: DataFrame, directories: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -48,21 +49,13 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
     that is not there, or that its own parent's completed listing does not hold, is ``unknown`` with
     null sizes. Sizes that overflow raise.
     """
-    rows = _chains(entries, directories)
+    rows = _marked(entries, directories)
     wanted = scopes.select("root_id", "scope").distinct()
-    in_scope = rows.select("*", F.explode("chain").alias("_top")).withColumn("scope", F.col("_top._path")).join(wanted, ["root_id", "scope"])
-    below = F.slice("chain", F.col("_top._level") + 2, MAX_DEPTH)
-    # from the row upwards: the first level without a row ends what exclusion can reach
-    walk = F.aggregate(
-        F.reverse(below),
-        F.struct(F.lit(True).alias("linked"), F.lit(False).alias("excluded"), F.lit(True).alias("confirmed")),
-        lambda s, x: F.struct(
-            (s["linked"] & x["there"]).alias("linked"),
-            (s["excluded"] | (s["linked"] & x["there"] & x["gone"])).alias("excluded"),
-            (s["confirmed"] & x["sure"]).alias("confirmed"),
-        ),
-    )
-    r = in_scope.withColumn("_w", walk).withColumns({"excluded": F.col("_w.excluded"), "confirmed": F.col("_w.confirmed")})
+    kept = ["root_id", "_path", "kind", "size", "allocated", "device", "inode", "skip_reason", "observed_at_ns", "own_complete", "own_error", "own_checked_ns", "parent_partial", "gone", "missing_at", "gone_at", "unsure_at"]
+    above = F.posexplode(F.concat(paths.ancestors(F.col("path")), F.array("_path"))).alias("_level", "scope")
+    r = rows.select(*kept, above).join(wanted, ["root_id", "scope"])
+    # only what lies below the scope counts, and of what is gone only what no missing row cuts off
+    r = r.withColumns({"excluded": F.col("gone_at") > F.greatest("_level", "missing_at"), "confirmed": F.col("unsure_at") <= F.col("_level")})
     live, file, directory = ~F.col("excluded"), F.col("kind") == "file", F.col("kind") == "directory"
     incomplete = directory & ~F.coalesce(F.col("own_complete") & ~F.col("own_error"), F.lit(False))
     partial = (F.col("skip_reason") != "") | incomplete | (F.col("parent_partial") & (F.col("_path") != F.col("scope")))
