@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import os
 import tempfile
 import uuid
@@ -54,6 +56,45 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses to the system; Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def frugal(work):
+    """A function for ``mapInArrow`` (a generator) or for groups that gives its memory back when it ends."""
+    if inspect.isgeneratorfunction(work):
+
+        def batches_out(batches):
+            try:
+                yield from work(batches)
+            finally:
+                give_back()
+
+        return batches_out
+    if len(inspect.signature(work).parameters) == 1:
+
+        def of_group(rows):
+            try:
+                return work(rows)
+            finally:
+                give_back()
+
+        return of_group
+
+    def of_two(first, second):
+        try:
+            return work(first, second)
+        finally:
+            give_back()
+
+    return of_two
+
+
 def planes(values: np.ndarray) -> bytes:
     """An array as compressed bytes, first bytes of all items first."""
     return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
@@ -73,6 +114,14 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(from_planes(data, dtype), dtype=dtype)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 8) -> DataFrame:
+    """Left join on a key that many rows of ``left`` may share: they are split by another column and ``right``, narrow and with each key once, is repeated."""
+    salt = "_salt_of_join"
+    split = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return split.join(repeated, [key, salt], "left").drop(salt)
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, discard, from_planes, input_bytes, materialise, packed, planes, unpacked
+from cairn.llm.common import arrow_schema, discard, from_planes, frugal, input_bytes, materialise, packed, planes, salted_join, unpacked
 from cairn.llm.components import connected_components
 
 WIDTH = 5
@@ -202,7 +202,7 @@ def _frequency(docs: DataFrame, ranges: int) -> Frequency:
         numbers = np.bincount(sizes, minlength=64)
         return pd.DataFrame({"n": [numbers.tolist()], "keys": [packed(keys)], "sizes": [planes(sizes)]})
 
-    found = docs.select("text").mapInArrow(count, "range int, keys binary").groupBy("range").applyInPandas(often, "n array<long>, keys binary, sizes binary")
+    found = docs.select("text").mapInArrow(frugal(count), "range int, keys binary").groupBy("range").applyInPandas(frugal(often), "n array<long>, keys binary, sizes binary")
     found = materialise(found, "shingle-counts")
     sizes = list(found.agg(*[F.coalesce(F.sum(F.element_at("n", m + 1)), F.lit(0)) for m in range(64)]).first())
     least, kept = 64, 0
@@ -229,7 +229,7 @@ def _frequency(docs: DataFrame, ranges: int) -> Frequency:
 
     bits = np.zeros(width // 8, np.uint8)  # MAX_BITS / 8 bytes at most; the list has MAX_LISTED keys at most
     listed = [(np.empty(0, np.uint32), np.empty(0, np.uint8))]
-    for at, data, keys, magnitudes in found.select("keys", "sizes").mapInArrow(mark, "at long, bits binary, keys binary, sizes binary").toLocalIterator():
+    for at, data, keys, magnitudes in found.select("keys", "sizes").mapInArrow(frugal(mark), "at long, bits binary, keys binary, sizes binary").toLocalIterator():
         part = np.frombuffer(zstandard.decompress(data), np.uint8)
         bits[at : at + len(part)] |= part
         listed.append((np.frombuffer(keys, np.uint32), np.frombuffer(magnitudes, np.uint8)))
@@ -300,7 +300,7 @@ def _members(docs: DataFrame, frequent, ranges: int) -> DataFrame:
             {"h": x["h"].astype(np.int64), "node": x["node"], "n": x["n"].astype(np.int64), "pos": x["pos"].astype(np.int64), "lead": lead["node"], "lead_n": lead["n"].astype(np.int64)}
         )
 
-    out = docs.select("text").mapInArrow(emit, "range int, rows binary").groupBy("range").applyInPandas(columns, MEMBER)
+    out = docs.select("text").mapInArrow(frugal(emit), "range int, rows binary").groupBy("range").applyInPandas(frugal(columns), MEMBER)
     return materialise(out, "shingle-members")
 
 
@@ -316,7 +316,7 @@ def _sets(docs: DataFrame, meta: DataFrame, nodes: DataFrame) -> DataFrame:
                 found = [(n, len(s), s.tobytes()) for n, s in shingle_sets(texts_of(batch.column(0).slice(i, 500)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
-    sets = texts.select("text").mapInArrow(run, "node long, n long, set binary")
+    sets = texts.select("text").mapInArrow(frugal(run), "node long, n long, set binary")
     return materialise(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
 
 
@@ -352,7 +352,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame) -> DataFrame:
                     kept.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*kept) if kept else ([], []))], schema=schema)
 
-    return joined.mapInArrow(run, "src long, dst long")
+    return joined.mapInArrow(frugal(run), "src long, dst long")
 
 
 def _left(members: DataFrame, edges: DataFrame, done: DataFrame, meta: DataFrame) -> DataFrame:
@@ -401,9 +401,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             columns = zip(*found) if found else [[] for _ in schema.names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
 
-    meta = materialise(docs.mapInArrow(measure, measured), "shingle-nodes")
+    meta = materialise(docs.mapInArrow(frugal(measure), measured), "shingle-nodes")
     frequent = spark.sparkContext.broadcast(_frequency(docs, ranges))
     members = _members(docs, frequent, ranges)
+    frequent.destroy()  # the members are written
     known = meta.where("node <> 0 and doc_id is not null")
     # first comparisons: each node with the smallest of its size class, and the parts of a column with one another
     leads = members.select("h", F.floor(F.log(F.greatest("lead_n", F.lit(1))) / np.log(1.12)).alias("_band"), "lead", "lead_n").distinct()
@@ -416,10 +417,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = materialise(_verified(first, docs, known), "shingle-links")
     left = materialise(_left(members, edges, first, known), "shingle-pairs")
     edges = edges.union(materialise(_verified(left, docs, known), "shingle-links"))
-    labels = connected_components(edges)
-    rows = meta.join(labels, "node", "left").withColumn("_group", F.when(F.col("node") == 0, F.lit(None)).otherwise(F.coalesce("component", "node")))
-    lowest_doc = rows.where("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_low"))
-    return rows.join(lowest_doc, "_group", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_low", "doc_id")).alias("component_id"))
+    # documents are reduced to nodes, nodes to groups; what a group says goes back the same way, past copies by the thousand
+    labels = connected_components(edges).withColumnRenamed("component", "_group")
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_copies"))
+    grouped = nodes.join(labels, "node", "left")
+    lowest = grouped.where("_group is not null").groupBy("_group").agg(F.min("_least").alias("_low"))
+    answers = salted_join(grouped, lowest, "_group", "node").where("_copies > 1 or _low is not null").select("node", F.coalesce("_low", "_least").alias("_low"))
+    rows = salted_join(meta, answers, "node", "doc_id")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_low", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, input_bytes, materialise, packed, unpacked
+from cairn.llm.common import arrow_schema, frugal, input_bytes, materialise, packed, unpacked
 from cairn.llm.jaccard import mixed
 
 BLOCK_BYTES = 8 << 20
@@ -121,7 +121,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield close()
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    return materialise(docs.select("doc_id", held.alias("held"), "text").mapInArrow(pack, BLOCK), "lm-blocks")
+    return materialise(docs.select("doc_id", held.alias("held"), "text").mapInArrow(frugal(pack), BLOCK), "lm-blocks")
 
 
 def _by_range(values: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
@@ -160,7 +160,7 @@ def _counted(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
         )
 
     out = "block string, range int, counts binary, tokens long, types long, growth array<double>"
-    counted = blocks.select("block", "words", "counts").mapInArrow(split, share).groupBy("range").applyInPandas(total, out)
+    counted = blocks.select("block", "words", "counts").mapInArrow(frugal(split), share).groupBy("range").applyInPandas(frugal(total), out)
     counted = materialise(counted, "lm-counts")
     sums = counted.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), *[F.sum(F.element_at("growth", i + 1)).alias(f"g{i}") for i in range(len(GROWTHS))])
     return counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "counts"))).alias("shares")), sums
@@ -222,8 +222,8 @@ def _levels(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
         )
 
     out = "block string, order int, range int, levels binary, figures array<double>"
-    emitted = blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(split, share)
-    found = materialise(emitted.groupBy("order", "range").applyInPandas(quantise, out), "lm-levels")
+    emitted = blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(frugal(split), share)
+    found = materialise(emitted.groupBy("order", "range").applyInPandas(frugal(quantise), out), "lm-levels")
     figures = found.groupBy("order").agg(F.array(*[F.sum(F.element_at("figures", i + 1)) for i in range(3 + len(GROWTHS))]).alias("figures"))
     return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("order", "range", "levels"))).alias("grams")), figures
 
@@ -311,5 +311,5 @@ def scores(docs: DataFrame) -> DataFrame:
                 columns = [ids.as_py(), np.frombuffer(held.as_py(), np.uint8) > 0, each, sums_[2], sums_[1], sums_[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    found = joined.mapInArrow(score, out)
+    found = joined.mapInArrow(frugal(score), out)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

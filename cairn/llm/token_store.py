@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import arrow_schema, materialise
+from cairn.llm.common import arrow_schema, frugal, materialise
 
 END_ID = 0
 #: Stands for a null document id in the index; read back as null.
@@ -203,7 +203,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> S
             yield close()
 
     ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return Store(dictionary, materialise(ordered.mapInArrow(containers, CONTAINER), "token-containers", options={"parquet.block.size": str(ROW_GROUP)}))
+    return Store(dictionary, materialise(ordered.mapInArrow(frugal(containers), CONTAINER), "token-containers", options={"parquet.block.size": str(ROW_GROUP)}))
 
 
 def holds_any(ids: list[int], intervals: int = INTERVALS):
@@ -249,7 +249,7 @@ def read_documents(store: Store, doc_ids: DataFrame | None = None) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return rows.mapInArrow(read, out)
+    return rows.mapInArrow(frugal(read), out)
 
 
 def container_starts(store: Store) -> DataFrame:
@@ -278,5 +278,5 @@ def document_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    rows = read_documents(store).mapInArrow(digest, out)
+    rows = read_documents(store).mapInArrow(frugal(digest), out)
     return rows.join(container_starts(store), ["part", "seq"]).select("doc_id", (F.col("start") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from cairn.llm.common import arrow_schema, materialise
+from cairn.llm.common import arrow_schema, frugal, materialise, salted_join
 from cairn.llm.components import connected_components
 
 #: Vectors that centroids and codebooks are fitted on, those first in a hashed order.
@@ -131,8 +131,9 @@ def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("_key", F.when(usable, key))
     firsts = rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("_v").alias("v"))
     firsts = materialise(firsts, "vector-firsts")
-    all_rows = rows.select("vec_id", "_key").join(firsts.select("_key", "rep", F.col("n").alias("_equal")), "_key", "left")
-    return all_rows.select("vec_id", "rep", "_equal"), firsts.select("rep", "n", F.col("v").cast("array<float>") if single else "v")
+    copied = firsts.where("n > 1").select("_key", "rep", F.col("n").alias("_equal"))
+    all_rows = salted_join(rows.select("vec_id", "_key"), copied, "_key", "vec_id")
+    return all_rows.select("vec_id", F.when(F.col("_key").isNotNull(), F.coalesce("rep", "vec_id")).alias("rep"), "_equal"), firsts.select("rep", "n", F.col("v").cast("array<float>") if single else "v")
 
 
 ENTRY = "list int, stored boolean, own int, probed binary, rep long, n long, codes binary, error double, v binary"
@@ -154,7 +155,7 @@ def _entries(firsts: DataFrame, quantiser, radius: float, kind: str) -> DataFram
             for j in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[j : j + 20_000]), schema)], schema=schema)
 
-    return firsts.mapInArrow(run, ENTRY)
+    return firsts.mapInArrow(frugal(run), ENTRY)
 
 
 def _probes(raw) -> np.ndarray:
@@ -258,13 +259,10 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_links"))
     labels = connected_components(found.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     component = F.coalesce("component", "rep", "vec_id")
-    return (
-        rows.join(links, "rep", "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "vec_id",
-            (F.coalesce("_links", F.lit(0)) + F.coalesce("_equal", F.lit(1)) - 1).cast("long").alias("n_links"),
-            component.alias("component_id"),
-            (F.col("vec_id") == component).alias("kept"),
-        )
+    found = links.join(labels.withColumnRenamed("node", "rep"), "rep", "full")
+    return salted_join(rows, found, "rep", "vec_id").select(
+        "vec_id",
+        (F.coalesce("_links", F.lit(0)) + F.coalesce("_equal", F.lit(1)) - 1).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        (F.col("vec_id") == component).alias("kept"),
     )

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, materialise
+from cairn.llm.common import arrow_schema, frugal, materialise
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_ENTRIES = 512
@@ -142,7 +142,7 @@ def write_collection(pages: DataFrame, min_payload: int = 0) -> Collection:
         if members:
             yield _batch(schema, [(f"part-{part:06d}-{seq:06d}.warc.gz", b"".join(members), captures)])
 
-    archives = materialise(pages.mapInArrow(write, ARCHIVE), "warc-archives", options={"parquet.block.size": str(ARCHIVE_BYTES)})
+    archives = materialise(pages.mapInArrow(frugal(write), ARCHIVE), "warc-archives", options={"parquet.block.size": str(ARCHIVE_BYTES)})
     entries = archives.select("archive", F.explode("captures").alias("c")).select("c.key", "archive", "c.offset", "c.length")
     per_block = max(BLOCK_ENTRIES, -(-archives.agg(F.sum(F.size("captures"))).first()[0] // DIRECTORY_ROWS) if archives.head(1) else 0)
     out = "block string, first_key string, last_key string, entries int, data binary"
@@ -167,7 +167,7 @@ def write_collection(pages: DataFrame, min_payload: int = 0) -> Collection:
             yield _batch(block_schema, [close(held)])
 
     ordered = entries.repartitionByRange("key", "archive", "offset").sortWithinPartitions("key", "archive", "offset")
-    return Collection(archives.select("archive", "bytes"), materialise(ordered.mapInArrow(pack, out), "warc-index"), per_block)
+    return Collection(archives.select("archive", "bytes"), materialise(ordered.mapInArrow(frugal(pack), out), "warc-index"), per_block)
 
 
 CAPTURE = "key string, archive string, offset long, length long"
@@ -207,7 +207,7 @@ def find(collection: Collection, keys: DataFrame) -> DataFrame:
                 yield _batch(schema, found)
 
     asked = keys.select("key").distinct().mapInArrow(blocks_of, "block string, key string").groupBy("block").agg(F.collect_list("key").alias("keys"))
-    return collection.blocks.select("block", "data").join(asked, "block").select("data", "keys").mapInArrow(search, CAPTURE)
+    return collection.blocks.select("block", "data").join(asked, "block").select("data", "keys").mapInArrow(frugal(search), CAPTURE)
 
 
 def with_keys(urls: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def _records(met: DataFrame) -> DataFrame:
                     rows.append((number(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), int(fields["Content-Length"]), digest, kind, refers, payload))
                 yield _batch(schema, rows)
 
-    return met.select("bytes", "ranges").mapInArrow(read, out)
+    return met.select("bytes", "ranges").mapInArrow(frugal(read), out)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
