@@ -821,8 +821,8 @@ def engine_cache(spark, sf_dir):
     return metadata.engine_cache(bodies.select("context", body.alias("body")))
 
 
-@report(f"""WITH {sql.entries()}, t AS (SELECT DISTINCT root_id, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent]) AS path FROM files)
-    SELECT x.root_id, x.path AS upper, count(*) AS lower_paths FROM t x JOIN t y ON x.root_id = y.root_id AND starts_with(y.path, x.path || '/') GROUP BY 1, 2""")
+@report(f"""WITH {sql.entries()}, targets AS (SELECT DISTINCT root_id, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent]) AS path FROM files)
+    SELECT x.root_id, x.path AS upper, count(*) AS lower_paths FROM targets x JOIN targets y ON x.root_id = y.root_id AND starts_with(y.path, x.path || '/') GROUP BY 1, 2""")
 def overlapping_directories(spark, sf_dir):
     """All directories above files as targets: how many others lie below each."""
     e = adapters.entries(spark, sf_dir, ["root_id", "parent"]).distinct()
