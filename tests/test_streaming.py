@@ -60,3 +60,21 @@ def test_revisit_state_matches_the_batch_form(spark, tmp_path):
     got = spark.table("revisits")
     assert got.where("rollback").isEmpty()
     assert sorted(map(tuple, got.drop("rollback").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_refresh_phases_as_a_stream(spark, tmp_path):
+    script = {
+        1: [("request", None, True, "pending"), ("activate", None, False, "pending"), ("activate", None, True, "active"), ("request", None, True, "active"), ("witness", 7, True, "active"), ("restart", None, True, "active"), ("finalize", 7, True, "completed")],
+        2: [("activate", None, True, "none"), ("request", None, True, "pending"), ("activate", None, True, "active"), ("restart", None, True, "unknown"), ("finalize", 7, True, "unknown"), ("request", None, True, "pending")],
+        3: [("request", None, True, "pending"), ("activate", None, True, "active"), ("witness", 7, True, "active"), ("finalize", 8, True, "unknown")],
+    }
+    schema = "root_id long, at long, kind string, generation long, ok boolean"
+    for part in range(2):  # two batches: the state outlives the first
+        rows = [(root, at, *event[:3]) for root, events in script.items() for at, event in enumerate(events) if (at >= 3) == part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = obs.refresh_stream(stream).writeStream.format("memory").queryName("refreshes").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.root_id, r.at): r.phase for r in spark.table("refreshes").collect()}
+    assert got == {(root, at): event[3] for root, events in script.items() for at, event in enumerate(events)}
+    assert spark.table("refreshes").where("phase = 'completed'").first().qualification == "historical_pass_completed"
