@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Names whose contents are not listed.
 EXCLUDED_NAMES = (b".git", b".Trash", b".Trashes", b".snapshots", b"Backups.backupdb")
+#: Children of a directory that are told at once, and the kind of the row that ends a listing.
+BATCH, LISTING = 128, "listing"
 FIELDS = pa.schema(
     [
         ("path", pa.binary()), ("parent", pa.binary()), ("kind", pa.string()), ("size", pa.int64()), ("allocated", pa.int64()), ("mtime_ns", pa.int64()),
@@ -21,34 +23,64 @@ FIELDS = pa.schema(
 DDL = "path binary, parent binary, kind string, size long, allocated long, mtime_ns long, ctime_ns long, device string, inode string, skip_reason string"
 
 
-def observe(top: bytes, path: bytes, device: int) -> tuple:
-    """A row for one path below the root."""
+def observe(top: bytes, path: bytes, device: int, excluded: frozenset[bytes] = frozenset()) -> tuple:
+    """A row for one path below the root; ``excluded`` holds paths, not names."""
     found = os.lstat(os.path.join(top, path))
     kind = "directory" if stat.S_ISDIR(found.st_mode) else "symlink" if stat.S_ISLNK(found.st_mode) else "file" if stat.S_ISREG(found.st_mode) else "other"
-    skip = "excluded or protected" if os.path.basename(path) in EXCLUDED_NAMES else "mount boundary" if found.st_dev != device else ""
+    left_out = os.path.basename(path) in EXCLUDED_NAMES or path in excluded
+    skip = "excluded or protected" if left_out else "mount boundary" if found.st_dev != device else ""
     return (path, os.path.dirname(path) or b".", kind, max(found.st_size, 0), max(found.st_blocks * 512, 0), found.st_mtime_ns, found.st_ctime_ns, str(found.st_dev), str(found.st_ino), skip)
 
 
-def scan_tree(spark: SparkSession, root: str, parallel: int = 8) -> DataFrame:
-    """Rows of everything below a root that executors can reach, level by level: the directories of a level are dealt to tasks."""
-    top = os.fsencode(root)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
+
+
+def list_directory(top: bytes, directory: bytes, device: int, excluded: frozenset[bytes]) -> Iterator[list[tuple]]:
+    """Rows of one directory in batches of ``BATCH`` children, then one of kind ``listing`` that tells the fault, if any, in its skip_reason."""
+    rows, fault = [], ""
+    try:
+        with os.scandir(os.path.join(top, directory)) as found:
+            for entry in found:
+                try:
+                    rows.append(observe(top, entry.name if directory == b"." else directory + b"/" + entry.name, device, excluded))
+                except FileNotFoundError:  # gone since it was listed
+                    continue
+                if len(rows) >= BATCH:
+                    yield rows
+                    rows = []
+    except OSError as failed:
+        fault = os.strerror(failed.errno) if failed.errno else "listing failed"
+    yield [*rows, (directory, b"", LISTING, None, None, None, None, None, None, fault)]
+
+
+def scan_tree(spark: SparkSession, root: str, store: str, parallel: int = 8, exclude: tuple[bytes, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Entries and listing passes of everything below a root that executors can reach, level by level: the directories of a level are dealt to tasks.
+
+    Levels are written below ``store``, so a scan that was broken off goes on from its last whole
+    level, and nothing is held in memory.
+    """
+    top, excluded = os.fsencode(root), frozenset(exclude)
     device = os.lstat(top).st_dev
 
     def list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for directory in batch.column(0).to_pylist():
-                with os.scandir(os.path.join(top, directory)) as found:
-                    names = sorted(entry.name for entry in found)
-                rows += [observe(top, name if directory == b"." else directory + b"/" + name, device) for name in names]
-            columns = zip(*rows) if rows else [[] for _ in FIELDS]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
-
-    level = spark.createDataFrame([(bytearray(b"."),)], "path binary")
-    out = None
+                for rows in list_directory(top, directory, device, excluded):
+                    yield _batch(rows)
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    level, folders = spark.createDataFrame([(bytearray(b"."),)], "path binary"), []
     while True:
-        rows = level.repartition(parallel).mapInArrow(list_level, DDL).persist()
-        out = rows if out is None else out.union(rows)
-        level = rows.where((F.col("kind") == "directory") & (F.col("skip_reason") == "")).select("path")
+        folder = f"{store.rstrip('/')}/level-{len(folders):05d}"
+        done = hadoop.Path(folder, "_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            level.repartition(parallel).mapInArrow(list_level, DDL).write.mode("overwrite").parquet(folder)
+        folders.append(folder)
+        level = spark.read.schema(DDL).parquet(folder).where((F.col("kind") == "directory") & (F.col("skip_reason") == "")).select("path")
         if level.isEmpty():
-            return out
+            break
+    rows = spark.read.schema(DDL).parquet(*folders)
+    passes = rows.where(F.col("kind") == LISTING).select("path", (F.col("skip_reason") == "").alias("complete"), F.col("skip_reason").alias("last_error"))
+    return rows.where(F.col("kind") != LISTING), passes

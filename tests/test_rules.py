@@ -127,16 +127,26 @@ def test_tree_roles(spark):
     assert [r.v for r in rows.select(tree.tree_role(F.col("p")).alias("v")).collect()] == ["boundary", "bin", "bin", "scope", "package", "package", "content"]
 
 
-def test_filesystem_scan(spark, tmp_path):
-    (tmp_path / "a" / ".git").mkdir(parents=True)
-    (tmp_path / "a" / ".git" / "hidden").write_text("x")
-    (tmp_path / "a" / "f").write_text("hello")
-    (tmp_path / "a" / "link").symlink_to("f")
-    (tmp_path / "a" / "hard").hardlink_to(tmp_path / "a" / "f")
-    rows = {bytes(r.path): r for r in filesystem.scan_tree(spark, str(tmp_path), 2).collect()}
-    assert set(rows) == {b"a", b"a/.git", b"a/f", b"a/link", b"a/hard"}
+def test_filesystem_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(filesystem, "BATCH", 2)
+    top, store = tmp_path / "tree", str(tmp_path / "store")
+    for folder in ("a/.git", "b", "c"):
+        (top / folder).mkdir(parents=True)
+    for name in ("a/.git/hidden", "b/inside", "c/g"):
+        (top / name).write_text("x")
+    (top / "a" / "f").write_text("hello")
+    (top / "a" / "link").symlink_to("f")
+    (top / "a" / "hard").hardlink_to(top / "a" / "f")
+    entries, passes = filesystem.scan_tree(spark, str(top), store, 2, exclude=(b"b",))
+    rows = {bytes(r.path): r for r in entries.collect()}
+    assert set(rows) == {b"a", b"b", b"c", b"a/.git", b"a/f", b"a/link", b"a/hard", b"c/g"}
     assert rows[b"a/f"].inode == rows[b"a/hard"].inode and rows[b"a/f"].size == 5
-    assert rows[b"a/link"].kind == "symlink" and rows[b"a/.git"].skip_reason == "excluded or protected"
+    assert rows[b"a/link"].kind == "symlink" and rows[b"a/.git"].skip_reason == rows[b"b"].skip_reason == "excluded or protected"
+    assert {bytes(r.path) for r in passes.where("complete").collect()} == {b".", b"a", b"c"}
+    (top / "late").write_text("x")  # a scan begun again keeps the levels it has
+    assert filesystem.scan_tree(spark, str(top), store, 2)[0].count() == len(rows)
+    gone = next(filesystem.list_directory(str(top).encode(), b"none", 0, frozenset()))
+    assert gone[0][2] == filesystem.LISTING and gone[0][9]
 
 
 def test_locks_engines_and_power(spark):
