@@ -7,6 +7,8 @@ import inspect
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch in the jobs that write tables.
+BATCH_ROWS = 500
+
 #: ASCII white space as the operators define it: space, tab, line feed, vertical tab, form feed, carriage return.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -36,12 +41,25 @@ def workspace(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that go to a Python worker at once while something runs: texts and sets of thousands of rows would be tens of MB in several copies."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str, partition_by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it: its rows are then fixed and its lineage is short."""
     spark = df.sparkSession
     path = f"{workspace(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = df.write.options(**(options or {}))
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with batches_of(spark, BATCH_ROWS):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
