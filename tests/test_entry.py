@@ -21,7 +21,8 @@ def test_entry_imports_without_the_optional_part(tmp_path):
     with_pipeline = tmp_path / "with"  # whether or not corpus_pipeline.py is left behind
     shutil.copytree(tmp_path / "cairn", with_pipeline / "cairn")
     for name in ("__spark_entry__.py", "corpus_pipeline.py"):
-        shutil.copy(REPO / name, with_pipeline)
+        if (REPO / name).exists():
+            shutil.copy(REPO / name, with_pipeline)
     found = names(tmp_path)
     assert found == names(with_pipeline)
     assert "same_size_bands" in found and not any(n.startswith("op") and n[2].isdigit() for n in found)
