@@ -362,11 +362,12 @@ def _left(members: DataFrame, edges: DataFrame, done: DataFrame, meta: DataFrame
     the meeting, so two sizes take no more than this part of their prefixes.
     """
     labels = connected_components(edges)
-    members = members.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
+    # a long text is a node of many members, so they are split by column
+    members = salted_join(members, labels, "node", "h").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
     split = members.groupBy("h").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("h")
     open_ = materialise(members.join(split, "h", "left_semi"), "shingle-open")
-    sketches = meta.select("node", *SKETCH).dropDuplicates(["node"])
-    open_ = open_.join(sketches, "node")
+    sketches = meta.select("node", *SKETCH).join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    open_ = salted_join(open_, sketches, "node", "h")
     # sizes of a pair differ by a fifth at most, so they lie in one band or in neighbouring ones
     band = F.floor(F.log("n") / float(np.log(100 / PERCENT)))
     side = lambda s, b: open_.select("h", b.alias("_size"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "label", *SKETCH)])
