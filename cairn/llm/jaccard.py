@@ -69,9 +69,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the folded words of all texts, and the number of words of each."""
-    data = _FOLD[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, folded unless told otherwise, and the number of words of each."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    data = _FOLD[data] if fold else data
     space = _SPACE[data]
     # a word's hash: its bytes' values times powers of an odd number, from differences of running sums
     powers = np.full(len(data), _STEP[0], np.uint64)

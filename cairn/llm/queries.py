@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, jaccard, lm_score, mixing, quality, secrets, sharding, token_store, vector_dedup, warc
+from cairn.llm import decontaminate, jaccard, lm_score, mixing, quality, secrets, sharding, spelling, substring_dedup, token_store, vector_codes, vector_dedup, warc
 from cairn.llm.common import table
 
 _shipped: set[str] = set()
@@ -55,6 +55,11 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_product_quantisation": _over("embeddings", vector_dedup.vector_duplicates),
     "op2_bloom_lm": _over("documents", lm_score.scores),
@@ -66,6 +71,9 @@ QUERIES = {
     "op8_sparse_product": _over("documents", jaccard.near_duplicates),
     "op9_kneser_ney": op9_kneser_ney,
     "op10_randomness_battery": _over("documents", secrets.secret_spans),
+    "op11_levenshtein_trie": _over("documents", spelling.spelling_variants),
+    "op12_difference_cover": op12_difference_cover,
+    "op13_elkan_lloyd": _over("embeddings", vector_codes.vector_codes),
 }
 
 ORACLE_SQL: dict[str, str] = {}
