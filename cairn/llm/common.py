@@ -115,7 +115,7 @@ def frugal(work):
 
 def planes(values: np.ndarray) -> bytes:
     """An array as compressed bytes, first bytes of all items first."""
-    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes(), 1)
 
 
 def from_planes(data: bytes, dtype) -> np.ndarray:
@@ -140,6 +140,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, salts:
     return split.join(repeated, [key, salt], "left").drop(salt)
 
 
+def counted_join(left: DataFrame, right: DataFrame, key: str, spread: str, most: int) -> DataFrame:
+    """Inner join on a key of ``right``, wide and with each key once; keys with more than ``most`` rows of ``left`` are split by another column and only theirs repeated."""
+    salt = "_salt_of_join"
+    often = left.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).where("_salts > 1")
+    salts = F.coalesce("_salts", F.lit(1))
+    split = salted_join(left, often, key, spread).withColumn(salt, F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    repeated = right.join(often, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return split.join(repeated, [key, salt]).drop(salt)
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
