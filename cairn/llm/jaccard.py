@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, discard, from_planes, frugal, input_bytes, materialise, packed, planes, salted_join, unpacked
+from cairn.llm.common import WORDS, arrow_schema, counted_join, discard, from_planes, frugal, input_bytes, materialise, packed, planes, salted_join, unpacked
 from cairn.llm.components import connected_components
 
 WIDTH = 5
@@ -47,6 +47,8 @@ MAX_BITS = 1 << 28
 FIRST = 4
 #: Parts of a split column.
 PARTS = 64
+#: Pairs of one node that meet its set in one place; further ones meet another copy of it.
+PAIRS_OF_KEY = 1000
 #: Columns of a set's sketch: the parity of its shingles in each of 64 cells a column.
 SKETCH = ["s0", "s1", "s2", "s3"]
 RANGE_BYTES = 12 << 20
@@ -340,7 +342,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(docs, meta, nodes)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    joined = counted_join(counted_join(pairs, side("b"), "b", "a", PAIRS_OF_KEY), side("a"), "a", "b", PAIRS_OF_KEY).select("a", "b", "sa", "sb")
     schema = arrow_schema("src long, dst long")
 
     def run(batches):
@@ -388,20 +390,20 @@ def _left(members: DataFrame, edges: DataFrame, done: DataFrame, meta: DataFrame
     return pairs.where(reach >= needed).select(F.col("node_1").alias("a"), F.col("node_2").alias("b")).join(done, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, number of shingles and smallest document reachable by links, for every row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text, number of shingles, group and smallest document of the group, for every row; the group is null without words or id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     total = input_bytes(docs, "text")
     ranges = max(16, -(-total // RANGE_BYTES))
-    measured = "doc_id long, node long, n_shingles long, " + ", ".join(f"{c} long" for c in SKETCH)
+    measured = "doc_id long, digest long, node long, n_shingles long, " + ", ".join(f"{c} long" for c in SKETCH)
     schema = arrow_schema(measured)
 
     def measure(batches):
         for batch in batches:
             found = [(n, len(s), *sketch(s)) for n, s in shingle_sets(texts_of(batch.column(1)))]
-            columns = zip(*found) if found else [[] for _ in schema.names[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+            columns = zip(*found) if found else [[] for _ in schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
 
     meta = materialise(docs.mapInArrow(frugal(measure), measured), "shingle-nodes")
     frequent = spark.sparkContext.broadcast(_frequency(docs, ranges))
@@ -424,14 +426,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_copies"))
     grouped = nodes.join(labels, "node", "left")
     lowest = grouped.where("_group is not null").groupBy("_group").agg(F.min("_least").alias("_low"))
-    answers = salted_join(grouped, lowest, "_group", "node").where("_copies > 1 or _low is not null").select("node", F.coalesce("_low", "_least").alias("_low"))
+    answers = salted_join(grouped, lowest, "_group", "node").where("_copies > 1 or _low is not null").select("node", "_group", F.coalesce("_low", "_least").alias("_low"))
     rows = salted_join(meta, answers, "node", "doc_id")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_low", "doc_id")).alias("component_id"))
+    named = F.col("doc_id").isNotNull()
+    group = F.when(named & (F.col("node") != 0), F.coalesce("_group", "node"))
+    return rows.select("doc_id", "digest", "n_shingles", group.alias("group"), F.when(named, F.coalesce("_low", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, number of shingles and smallest document reachable by links, for every row."""
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Repeated rows of it are kept as one."""
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest id, then hash of its text. Equal rows of id and text are one.
+
+    Rows that share an id are judged by their own texts. Rows without an id or without words all stay.
+    """
+    firsts = _grouped(docs).where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("_first"))
+    first = firsts.select(F.col("_first.doc_id").alias("_first_id"), F.col("_first.digest").alias("_first_digest"))
+    named = (F.col("doc_id").cast("long") == F.col("_first_id")) & (F.xxhash64("text") == F.col("_first_digest"))
+    own = ["doc_id", "_first_digest"]
+    found = docs.join(first, named).drop("_first_id").dropDuplicates(own).select(*docs.columns)
+    worded = F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
+    return found.union(docs.where(F.col("doc_id").isNull() | ~worded))
