@@ -5,47 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn import fixtures as fx
 from cairn import oracles as sql
 from cairn.functions import digests, paths, scalars
 from cairn.operators import hashing, history, ledger, reconcile, reports, rules, selection, tree
 from cairn.plans import store
+from cairn.registry import ORACLE_SQL, QUERIES, report  # noqa: F401
 from cairn.sources import adapters, metadata
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def report(oracle: str | None):
-    """Registers a query under its name with its SQL."""
-
-    def add(query):
-        QUERIES[query.__name__] = query
-        if oracle:
-            ORACLE_SQL[query.__name__] = oracle
-        return query
-
-    return add
-
-
 def fixture(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"WITH {sql.values('f', columns, rows)} SELECT * FROM f")
 
 
-def fixture_entries(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    found = fixture(spark, fx.ENTRY, rows)
-    return found.withColumns({c: F.col(c).cast("binary") for c in ("path", "parent")} | {c: F.col(c).cast("long") for c in ("id", "root_id", "size", "allocated", "mtime_ns", "ctime_ns", "generation", "observed_at_ns")})
-
-
-def fixture_passes(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    found = fixture(spark, fx.PASS, rows)
-    return found.withColumns({"path": F.col("path").cast("binary")} | {c: F.col(c).cast("long") for c in ("root_id", "generation", "checked_at_ns")})
-
-
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.roots(spark, sf_dir)
 
 
+def some_directories(entries: DataFrame) -> DataFrame:
+    """The same rows, some of them being directories."""
+    return entries.withColumn("kind", F.when(F.col("id") % 41 == 7, "directory").otherwise(F.col("kind")))
+
+
 def as_path(df: DataFrame) -> DataFrame:
     return df.withColumn("path", F.col("path").cast("string"))
 
@@ -65,12 +44,12 @@ KNOWN = "inode <> '' AND ctime_ns > 0 AND generation > 0"
 
 @report(f"""WITH {sql.entries()},
     objects AS (SELECT size, {KNOWN} AS known, CASE WHEN {KNOWN} THEN inode END AS i, count(*) AS n,
-                       count(DISTINCT (ctime_ns, mtime_ns, allocated)) AS kinds FROM files WHERE size >= 64 AND skip_reason = '' GROUP BY ALL)
+                       count(DISTINCT (ctime_ns, mtime_ns, allocated)) AS kinds FROM files WHERE size >= 64 AND skip_reason = '' AND id % 41 <> 7 GROUP BY ALL)
     SELECT size, cast(sum(n) AS BIGINT) AS files, count(*) FILTER (known) AS known_objects, cast(coalesce(sum(n - 1) FILTER (known), 0) AS BIGINT) AS repeated,
            cast(coalesce(sum(n) FILTER (NOT known), 0) AS BIGINT) AS "unknown", count(*) FILTER (known AND kinds > 1) AS conflicting
     FROM objects GROUP BY size HAVING sum(n) >= 2""")
 def same_size_bands(spark, sf_dir):
-    return reports.same_size_bands(reports.eligible(adapters.entries(spark, sf_dir), roots(spark, sf_dir)), 64)
+    return reports.same_size_bands(reports.eligible(some_directories(adapters.entries(spark, sf_dir)), roots(spark, sf_dir)), 64)
 
 
 @report(f"""WITH {sql.entries()} SELECT size, count(*) AS files FROM files GROUP BY size HAVING count(*) > 1""")
@@ -79,7 +58,7 @@ def size_group_counts(spark, sf_dir):
 
 
 def _page_sql(after: str) -> str:
-    return f"""WITH {sql.entries()}, raw AS (SELECT id, size, skip_reason, inode, {KNOWN} AS known, row_number() OVER (ORDER BY size DESC, id DESC) AS nth FROM files WHERE size >= 64 {after} QUALIFY nth <= 201),
+    return f"""WITH {sql.entries()}, raw AS (SELECT id, size, skip_reason, inode, {KNOWN} AS known, row_number() OVER (ORDER BY size DESC, id DESC) AS nth FROM files WHERE size >= 64 AND id % 41 <> 7 {after} QUALIFY nth <= 201),
     page AS (SELECT * FROM raw WHERE nth <= 200 AND skip_reason = ''),
     bands AS (SELECT size, count(*) AS files, count(DISTINCT inode) FILTER (known) AS known_objects, count(*) FILTER (NOT known) AS "unknown", string_agg(cast(id AS VARCHAR), ',' ORDER BY id DESC) AS ids FROM page GROUP BY size)"""
 
@@ -90,12 +69,12 @@ _FLAGS = """ SELECT size, files, known_objects, "unknown", ids, {before} AS cont
 
 @report(_page_sql("") + _FLAGS.format(before="FALSE"))
 def same_size_page(spark, sf_dir):
-    return reports.same_size_page(adapters.entries(spark, sf_dir), roots(spark, sf_dir), 64, 200)
+    return reports.same_size_page(some_directories(adapters.entries(spark, sf_dir)), roots(spark, sf_dir), 64, 200)
 
 
 @report(_page_sql("AND (size, id) < (1500, 400)") + _FLAGS.format(before="(size = 1500)"))
 def same_size_page_after(spark, sf_dir):
-    return reports.same_size_page(adapters.entries(spark, sf_dir), roots(spark, sf_dir), 64, 200, (1500, 400))
+    return reports.same_size_page(some_directories(adapters.entries(spark, sf_dir)), roots(spark, sf_dir), 64, 200, (1500, 400))
 
 
 _LARGEST = "SELECT id, root_id, path, size, parent_pass FROM labelled {where} ORDER BY size DESC, id DESC LIMIT 100"
@@ -120,10 +99,10 @@ def parent_pass_labels(spark, sf_dir):
 
 
 @report(f"""WITH {sql.entries()}, codes AS (SELECT * FROM (VALUES ('disabled_root', 0), ('skipped', 1), ('generated_dependency', 2), ('compact_parent', 3), ('invalid_saved_path', 4), ('eligible', 5)) AS t(outcome, position)),
-    judged AS (SELECT CASE WHEN skip_reason <> '' THEN 'skipped' ELSE 'eligible' END AS outcome FROM files)
+    judged AS (SELECT CASE WHEN skip_reason <> '' THEN 'skipped' ELSE 'eligible' END AS outcome FROM files WHERE id % 41 <> 7)
     SELECT outcome, position, count(judged.outcome) AS n FROM codes LEFT JOIN judged USING (outcome) GROUP BY outcome, position""")
 def diagnostics_histogram(spark, sf_dir):
-    judged = reports.same_size_outcome(adapters.entries(spark, sf_dir, ["root_id", "path", "skip_reason"]), roots(spark, sf_dir))
+    judged = reports.same_size_outcome(some_directories(adapters.entries(spark, sf_dir, ["id", "kind", "root_id", "path", "skip_reason"])), roots(spark, sf_dir))
     return reports.histogram(judged, reports.SAME_SIZE_OUTCOMES)
 
 
@@ -132,24 +111,6 @@ def store_summary(spark, sf_dir):
     return reports.store_summary(roots=roots(spark, sf_dir), entries=adapters.entries(spark, sf_dir, ["id"]), directories=adapters.directories(spark, sf_dir))
 
 
-_JOBS = "id, root_id, kind, status, due_at_ns, attempts"
-
-
-@report(f"""WITH {sql.values('jobs', _JOBS, fx.JOBS)}, {sql.values('r', 'id, enabled', fx.JOB_ROOTS)}
-    SELECT r.id AS root_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (attempts > 1) AS retried
-    FROM r LEFT JOIN jobs ON jobs.root_id = r.id GROUP BY r.id""")
-def root_diagnostics(spark, sf_dir):
-    return reports.root_diagnostics(fixture(spark, "id, enabled", fx.JOB_ROOTS), fixture(spark, _JOBS, fx.JOBS))
-
-
-@report(f"""WITH {sql.values('jobs', _JOBS, fx.JOBS)}, {sql.values('r', 'id, enabled', fx.JOB_ROOTS)},
-    ready AS (SELECT jobs.*, row_number() OVER (PARTITION BY kind ORDER BY due_at_ns, jobs.id) AS nth, count(*) OVER (PARTITION BY kind) AS waiting
-              FROM jobs JOIN r ON r.id = root_id WHERE enabled AND status = 'pending')
-    SELECT kind, due_at_ns, id AS job_id, waiting FROM ready WHERE nth = 1""")
-def due_jobs(spark, sf_dir):
-    return reports.due_jobs(fixture(spark, _JOBS, fx.JOBS), fixture(spark, "id, enabled", fx.JOB_ROOTS))
-
-
 @report(f"WITH {sql.ROOTS} SELECT root_id FROM roots ORDER BY root_id <= 2, root_id LIMIT 3")
 def fair_turn(spark, sf_dir):
     return reports.fair_turn(roots(spark, sf_dir).select(F.col("id").alias("root_id")), 2, 3)
@@ -210,32 +171,9 @@ def sample_digests(spark, sf_dir):
     return docs.select("doc_id", digests.sample_digest(F.encode("text", "utf-8"), "sample", 256).alias("digest"))
 
 
-_FRESH = "job_id, role, status, sha256"
-FRESH = [
-    (1, "keeper", "complete", "aa"), (1, "copy", "complete", "aa"), (1, "copy", "complete", "aa"), (2, "keeper", "complete", "aa"), (2, "copy", "complete", "bb"), (2, "copy", "complete", "aa"),
-    (3, "keeper", "complete", "aa"), (3, "copy", "pending", None), (3, "copy", "complete", "bb"), (4, "keeper", "blocked", None), (4, "copy", "complete", "aa"),
-]
-
-
-@report(f"""WITH {sql.values('j', _FRESH, FRESH)}, k AS (SELECT * FROM j WHERE role = 'keeper'),
-    r AS (SELECT j.job_id, CASE WHEN j.status = 'blocked' OR k.status = 'blocked' THEN 3 WHEN j.status <> 'complete' OR k.status IS DISTINCT FROM 'complete' THEN 2 WHEN j.sha256 <> k.sha256 THEN 1 ELSE 0 END AS grade
-          FROM j LEFT JOIN k USING (job_id) WHERE j.role = 'copy')
-    SELECT job_id, count(*) AS copies, ['historical_hashes_match', 'historical_hashes_differ', 'incomplete', 'blocked'][max(grade) + 1] AS relation FROM r GROUP BY job_id""")
-def fresh_comparison(spark, sf_dir):
-    return hashing.fresh_comparison(fixture(spark, _FRESH, FRESH))
-
-
 # --- trees -------------------------------------------------------------------------------------
 
 
-@report(f"""WITH {sql.values('m', 'root_id, scope, status, entries_examined, excluded_entries, file_paths, logical_bytes, allocated_bytes, repeated, unconfirmed, incomplete_directories', fx.MEASURED)}
-    SELECT cast(root_id AS BIGINT) AS root_id, scope, status, cast(entries_examined AS BIGINT) AS entries_examined, cast(excluded_entries AS BIGINT) AS excluded_entries, cast(file_paths AS BIGINT) AS file_paths,
-           cast(logical_bytes AS BIGINT) AS logical_bytes, cast(allocated_bytes AS BIGINT) AS allocated_bytes, cast(repeated AS BIGINT) AS repeated, cast(unconfirmed AS BIGINT) AS unconfirmed, cast(incomplete_directories AS BIGINT) AS incomplete_directories FROM m""")
-def directory_measures(spark, sf_dir):
-    scopes = fixture(spark, "root_id, scope", fx.SCOPES).withColumn("root_id", F.col("root_id").cast("long"))
-    return tree.measure_directories(fixture_entries(spark, fx.TREE), fixture_passes(spark, fx.TREE_PASSES), scopes)
-
-
 @report(f"""WITH {sql.entries()}, up AS (SELECT f.*, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent, '.']) AS scope FROM files f),
     live AS (SELECT u.*, NOT coalesce(p.complete AND p.last_error = '' AND p.generation <> u.generation, FALSE) AS live FROM up u LEFT JOIN dirs p ON p.root_id = u.root_id AND p.path = u.parent),
     objects AS (SELECT root_id, scope, inode, max(allocated) AS a, count(*) AS n FROM live WHERE live AND inode <> '' GROUP BY ALL),
@@ -278,42 +216,12 @@ def scope_identity_reduction(spark, sf_dir):
     return tree.identity_reduction(adapters.identities(spark, sf_dir), ["scope"])
 
 
-TARGETS = [(1, 1, "a"), (2, 1, "a/b"), (3, 1, "a-old"), (4, 1, "a/b/c"), (5, 2, "a"), (6, 1, "."), (7, 1, "a0"), (8, 2, "a/x")]
-
-
-@report(f"""WITH {sql.values('t', 'id, root_id, path', TARGETS)}
-    SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM t x JOIN t y ON x.root_id = y.root_id AND x.id <> y.id AND (x.path = y.path OR starts_with(y.path, x.path || '/') OR x.path = '.') GROUP BY 1, 2""")
-def overlap_pairs(spark, sf_dir):
-    found = fixture(spark, "id, root_id, path", TARGETS)
-    return tree.overlapping_pairs(found.withColumn("path", F.col("path").cast("binary")))
-
-
 @report(f"""WITH {sql.entries()} SELECT device, inode, count(DISTINCT path) AS paths, min(id) AS first_id, count(DISTINCT path) * (count(DISTINCT path) - 1) // 2 AS pairs
     FROM files WHERE inode <> '' GROUP BY 1, 2 HAVING count(DISTINCT path) > 1""")
 def alias_pairs(spark, sf_dir):
     return tree.alias_groups(adapters.entries(spark, sf_dir))
 
 
-@report(f"""WITH {sql.values('m', 'folders, logical_bytes, logical_reason, allocated_bytes, allocated_reason', [(3, None, 'overlap_detected', None, 'cross_folder_identity_evidence_unavailable')])} SELECT cast(folders AS BIGINT) AS folders, cast(logical_bytes AS BIGINT) AS logical_bytes, logical_reason, cast(allocated_bytes AS BIGINT) AS allocated_bytes, allocated_reason FROM m""")
-def candidate_page_sizes(spark, sf_dir):
-    """The three folders of root 1 of the tree fixture: the root overlaps the others."""
-    measured = directory_measures(spark, sf_dir).where("root_id = 1 and scope <> 'missing'")
-    targets = measured.select(F.xxhash64("scope").alias("id"), "root_id", F.col("scope").cast("binary").alias("path"))
-    return tree.page_size_summary(measured, tree.overlapping_pairs(targets))
-
-
-LINKS = [
-    ("t", "x", "file", None, True), ("t", "a/run", "symlink", "../x", False), ("t", "a/out", "symlink", "../../x", False), ("t", "a/abs", "symlink", "/x", False),
-    ("t", "b/gone", "symlink", "./y", False), ("t", "c", "symlink", "d/./../x", False), ("t", "data", "file", None, False), ("t", "e", "symlink", "data", False),
-]
-LINK_VERDICTS = [("t", "a/run", "x", "valid"), ("t", "a/out", None, "outside"), ("t", "a/abs", None, "outside"), ("t", "b/gone", "b/y", "missing"), ("t", "c", "x", "valid"), ("t", "e", "data", "not_executable")]
-
-
-@report(f"WITH {sql.values('v', 'tree, path, target, verdict', LINK_VERDICTS)} SELECT * FROM v")
-def symlink_targets(spark, sf_dir):
-    return tree.link_targets(fixture(spark, "tree, path, kind, link, executable", LINKS))
-
-
 @report("""SELECT source AS tree, sha256(string_agg(strlen(lpad(cast(doc_id AS VARCHAR), 12, '0')) || ':' || lpad(cast(doc_id AS VARCHAR), 12, '0') || strlen(lang) || ':' || lang, '' ORDER BY doc_id)) AS digest, count(*) AS records FROM documents GROUP BY source""")
 def tree_digests(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents")
@@ -326,75 +234,6 @@ def root_fingerprints(spark, sf_dir):
     return docs.select("doc_id", digests.root_fingerprint(F.col("source").cast("binary"), F.col("lang"), F.lit("1"), F.col("doc_id").cast("string")).alias("fingerprint"))
 
 
-PATHS = ["a", "a/b", "./a", "a/../b", "/a", "/", ".", "", "a//b", "a/", "/a/b/", "/a/./b", "..", "a/..b", "node_modules/x", "x/node_modules", "a!b", "a0", "a/b c"]
-_PATH_SQL = f"""WITH {sql.values('p', 'path', [(p,) for p in PATHS])}
-    SELECT path, path = '.' OR (path <> '' AND NOT starts_with(path, '/') AND NOT list_bool_or([x IN ('', '.', '..') for x in string_split(path, '/')])) AS relative,
-           path = '/' OR (starts_with(path, '/') AND NOT list_bool_or([x IN ('', '.', '..') for x in string_split(path[2:], '/')])) AS absolute,
-           path = 'a' OR starts_with(path, 'a/') AS within_a,
-           list_contains(string_split(path, '/')[:-2], 'node_modules') AS generated, path = 'a' OR (encode(path) >= encode('a/') AND encode(path) < encode('a0')) AS in_range FROM p"""
-
-
-@report(_PATH_SQL)
-def path_predicates(spark, sf_dir):
-    p = fixture(spark, "path", [(p,) for p in PATHS])
-    b = F.col("path").cast("binary")
-    return p.select(
-        "path", paths.is_relative(b).alias("relative"), paths.is_absolute(b).alias("absolute"), paths.within(b, F.lit(b"a")).alias("within_a"),
-        paths.has_generated_parent(b).alias("generated"), paths.in_subtree(b, b"a").alias("in_range"),
-    )
-
-
-# --- rules -------------------------------------------------------------------------------------
-
-NODE_VERDICTS = {2: "selected", 5: "nested_dependency", 6: "not_directory", 7: "skipped", 8: "manifest_missing_or_unsupported", 9: "parent_incomplete_or_error", 11: "parent_unconfirmed", 13: "timestamp_unknown", 15: "age_not_met"}
-BUILD_VERDICTS = {20: "selected", 30: "manifest_missing_or_unsupported", 40: "age_not_met", 50: "not_directory", 51: "skipped", 52: "profile_missing_or_unsupported"}
-
-
-def _verdict_sql(verdicts: dict, default: str) -> str:
-    rows = [(e[0], e[2], verdicts.get(e[0], default)) for e in fx.PROJECTS]
-    return f"WITH {sql.values('v', 'id, path, outcome', rows)} SELECT cast(id AS BIGINT) AS id, path, outcome FROM v"
-
-
-@report(_verdict_sql(NODE_VERDICTS, "not_node_modules"))
-def node_modules_candidates(spark, sf_dir):
-    found = rules.node_modules(fixture_entries(spark, fx.PROJECTS), fixture_passes(spark, fx.PROJECT_PASSES), fx.AS_OF)
-    return as_path(found).select("id", "path", "outcome")
-
-
-@report(_verdict_sql(BUILD_VERDICTS, "not_target"))
-def cargo_outputs(spark, sf_dir):
-    found = rules.build_outputs(fixture_entries(spark, fx.PROJECTS), fixture_passes(spark, fx.PROJECT_PASSES), fx.AS_OF)
-    return as_path(found).select("id", "path", "outcome")
-
-
-@report(f"WITH {sql.values('e', fx.ENTRY, fx.PROJECTS)} SELECT cast(id AS BIGINT) AS id, path FROM e WHERE kind = 'file' AND NOT starts_with(path, 'p/target/')")
-def same_size_without_build_trees(spark, sf_dir):
-    e, d = fixture_entries(spark, fx.PROJECTS), fixture_passes(spark, fx.PROJECT_PASSES)
-    return as_path(rules.outside_build_outputs(e.where("kind = 'file'"), rules.build_outputs(e, d, fx.AS_OF))).select("id", "path")
-
-
-@report(f"""WITH {sql.values('f', 'path, kind, mtime_ns, generation, skip_reason', fx.CACHE_FILES)}
-    SELECT path, CASE WHEN NOT regexp_matches(path, '^[0-9a-f]{{2}}/[0-9a-f]{{64}}-[ad]$') OR path[1:2] <> path[4:5] THEN 'outside_supported_layout' WHEN kind = 'directory' AND path[-2:] = '-d' THEN 'executable_directory'
-        WHEN kind <> 'file' THEN 'not_regular_file' WHEN skip_reason <> '' THEN 'skipped' WHEN generation <> 1 THEN 'parent_unconfirmed' WHEN mtime_ns <= 0 THEN 'timestamp_unknown'
-        WHEN mtime_ns > {fx.AS_OF - 90 * fx.DAY} THEN 'age_not_met' ELSE 'selected' END AS outcome, 'saved_layout_matches' AS layout FROM f""")
-def go_cache_files(spark, sf_dir):
-    shard = F.lower(F.lpad(F.hex("id"), 2, "0"))
-    row = lambda id_, path, parent, kind, mtime, generation, skip: (
-        id_.alias("id"), F.lit(1).cast("long").alias("root_id"), path.cast("binary").alias("path"), parent.cast("binary").alias("parent"), kind.alias("kind"),
-        mtime.cast("long").alias("mtime_ns"), generation.cast("long").alias("generation"), skip.alias("skip_reason"),
-    )
-    one = lambda v: F.lit(v)
-    shards = spark.range(256).select(*row(F.col("id"), shard, one("."), one("directory"), one(fx.OLD), one(1), one("")))
-    fixed = fixture(spark, "path, kind", [(".", "directory"), ("README", "file")]).select(*row(F.lit(300).cast("long"), F.col("path"), one("."), F.col("kind"), one(fx.OLD), one(1), one("")))
-    files = fixture(spark, "path, kind, mtime_ns, generation, skip_reason", fx.CACHE_FILES)
-    files = files.select(*row(F.xxhash64("path"), F.col("path"), F.substring("path", 1, 2), F.col("kind"), F.col("mtime_ns"), F.col("generation"), F.col("skip_reason")))
-    listed = spark.range(256).select(shard.alias("p")).union(fixture(spark, "p", [(".",)]))
-    passes = listed.select(F.lit(1).cast("long").alias("root_id"), F.col("p").cast("binary").alias("path"), F.lit(1).cast("long").alias("generation"), F.lit(True).alias("complete"), F.lit(2).cast("long").alias("checked_at_ns"), F.lit("").alias("last_error"))
-    rows = shards.union(fixed).union(files)
-    judged = rules.cache_files(rows, passes, fx.AS_OF).where(F.octet_length("path") > 6)
-    return as_path(judged.join(rules.cache_layout(rows, passes), "root_id")).select("path", "outcome", "layout")
-
-
 @report(f"""WITH {sql.entries()}, raw AS (SELECT id, path, parent_pass FROM labelled WHERE id > 50 ORDER BY id LIMIT 400),
     seen AS (SELECT *, coalesce(sum(CASE WHEN parent_pass = 'partial' THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM raw)
     SELECT id, path, parent_pass FROM seen WHERE before < 20""")
@@ -478,7 +317,6 @@ def manual_refresh_states(spark, sf_dir):
     return ledger.last_state(adapters.observations(spark, sf_dir).withColumnRenamed("event_type", "state"), "user_id", ["ts", "event_id"])
 
 
-
 @report("""WITH c AS (SELECT o_orderkey AS consent_id, o_custkey % 80 AS from_ns, o_custkey % 80 + 40 AS until_ns, 50 + o_custkey % 100 AS max_bytes FROM orders),
     u AS (SELECT l_orderkey AS consent_id, sum(l_linenumber * 10) AS spent FROM lineitem GROUP BY 1)
     SELECT consent_id, cast(max_bytes - coalesce(spent, 0) AS BIGINT) AS left_bytes FROM c LEFT JOIN u USING (consent_id) WHERE from_ns <= 60 AND until_ns > 60 AND consent_id % 7 <> 0 AND max_bytes - coalesce(spent, 0) > 0""")
@@ -567,31 +405,6 @@ def compact_totals(spark, sf_dir):
 
 # --- metadata sources, exports and envelopes ---------------------------------------------------
 
-LOCK = '{"lockfileVersion": 3, "packages": {"": {"dependencies": {"x": "1"}}, "node_modules/x": {}, "node_modules/@s/y": {}}}'
-MANIFESTS = [
-    (1, '{"dependencies": {"x": "1"}}', LOCK), (2, '{"dependencies": {"x": "2"}}', LOCK), (3, '{"a": 1, "a": 2}', LOCK), (4, "{}", '{"lockfileVersion": 1}'),
-    (5, "[]", LOCK), (6, "{}", '{"lockfileVersion": 2, "packages": {"": {}, "../x": {}}}'),
-]
-LAYOUTS = [
-    (1, "supported", 3, "node_modules/@s/y,node_modules/x"), (2, "manifest_differs", 3, ""), (3, "malformed", None, ""), (4, "unsupported_version", None, ""),
-    (5, "malformed", None, ""), (6, "unsupported_path", 2, ""),
-]
-
-
-@report(f"WITH {sql.values('v', 'id, status, version, packages', LAYOUTS)} SELECT * FROM v")
-def lock_layouts(spark, sf_dir):
-    found = fixture(spark, "id, manifest, lock", MANIFESTS).withColumn("v", metadata.lock_layout("manifest", "lock"))
-    return found.select("id", "v.status", "v.version", F.concat_ws(",", "v.packages").alias("packages"))
-
-
-IMAGES = [("c1", '[{"Id": "i1", "RepoTags": ["b", "a"], "Created": 5}, {"Id": "i2", "RepoTags": null, "Created": 6}]'), ("c2", "[]")]
-
-
-@report(f"WITH {sql.values('v', 'context, id, tags, created, truncated', [('c1', 'i1', 'a,b', 5, False), ('c1', 'i2', '', 6, False)])} SELECT context, id, tags, cast(created AS BIGINT) AS created, truncated FROM v")
-def engine_images(spark, sf_dir):
-    return metadata.engine_images(fixture(spark, "context, body", IMAGES))
-
-
 
 @report("""WITH s AS (SELECT user_id AS host, CASE WHEN event_id % 2 = 0 THEN 'Mains' ELSE 'Battery' END AS type, event_id % 3 = 0 AND user_id % 4 <> 1 AS online,
                   CASE WHEN user_id % 5 = 0 THEN 'Unknown' WHEN user_id % 3 = 0 AND event_id % 7 = 1 THEN 'Discharging' WHEN event_id % 5 = 1 THEN 'Full' WHEN event_id % 5 = 2 THEN 'Charging' ELSE 'Unknown' END AS status FROM events),
@@ -605,7 +418,6 @@ def power_states(spark, sf_dir):
     return metadata.power_state(supplies)
 
 
-
 _ROLE_PATHS = "concat_ws('/', CASE doc_id % 4 WHEN 0 THEN '.bin' WHEN 1 THEN '@s' WHEN 2 THEN 'p' ELSE '@t' END, CASE WHEN doc_id % 3 > 0 THEN 'q' END, CASE WHEN doc_id % 5 > 2 AND doc_id % 3 > 0 THEN 'f' || doc_id END)"
 
 
@@ -667,11 +479,11 @@ def page_cursor(spark, sf_dir):
 
 
 @report(f"""WITH {sql.entries()}, codes AS (SELECT * FROM (VALUES ('disabled_root', 0), ('skipped', 1), ('generated_dependency', 2), ('compact_parent', 3), ('invalid_saved_path', 4), ('eligible', 5)) AS t(outcome, position)),
-    judged AS (SELECT CASE WHEN root_id = 2 THEN 'disabled_root' WHEN skip_reason <> '' THEN 'skipped' WHEN id % 7 = 3 THEN 'generated_dependency' WHEN {sql.COMPACTED} THEN 'compact_parent' WHEN id % 11 = 4 THEN 'invalid_saved_path' ELSE 'eligible' END AS outcome FROM files)
+    judged AS (SELECT CASE WHEN root_id = 2 THEN 'disabled_root' WHEN skip_reason <> '' THEN 'skipped' WHEN id % 7 = 3 THEN 'generated_dependency' WHEN {sql.COMPACTED} THEN 'compact_parent' WHEN id % 11 = 4 THEN 'invalid_saved_path' ELSE 'eligible' END AS outcome FROM files WHERE id % 41 <> 7)
     SELECT outcome, position, count(judged.outcome) AS n FROM codes LEFT JOIN judged USING (outcome) GROUP BY outcome, position""")
 def same_size_outcomes(spark, sf_dir):
     """All six outcomes: one root is disabled, and some paths lie below a generated directory or are malformed."""
-    e = adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "skip_reason"])
+    e = some_directories(adapters.entries(spark, sf_dir, ["id", "root_id", "path", "parent", "kind", "skip_reason"]))
     path = F.when(F.col("id") % 7 == 3, F.concat(F.lit(b"node_modules/x/"), "path")).when(F.col("id") % 11 == 4, F.concat("path", F.lit(b"/../y"))).otherwise(F.col("path"))
     some = roots(spark, sf_dir).withColumn("enabled", F.col("id") != 2)
     return reports.histogram(reports.same_size_outcome(e.withColumn("path", path), some, compacted(spark, sf_dir)), reports.SAME_SIZE_OUTCOMES)
@@ -731,13 +543,6 @@ def saved_rows_by_key(spark, sf_dir):
     return selection.lookup_rows(asked, e, adapters.directories(spark, sf_dir))
 
 
-@report(f"""WITH {sql.entries()}, up AS (SELECT id, root_id, unnest([split_part(parent, '/', 1), split_part(parent, '/', 1) || '/' || split_part(parent, '/', 2), parent]) AS path FROM files)
-    SELECT u.id, count(*) AS levels, count(*) FILTER (coalesce(p.complete AND p.last_error = '', FALSE)) AS listed, FALSE AS chain_valid FROM up u LEFT JOIN dirs p ON p.root_id = u.root_id AND p.path = u.path GROUP BY u.id""")
-def ancestor_chains(spark, sf_dir):
-    """Directories between root and file that a completed pass listed; here only the last level has passes at all, so no chain is whole."""
-    return selection.ancestor_chains(adapters.entries(spark, sf_dir, ["id", "root_id", "path"]), adapters.directories(spark, sf_dir))
-
-
 @report(f"""WITH {sql.entries()}, r AS (SELECT root_id, max(generation) * 10 + root_id AS revision FROM files GROUP BY 1)
     SELECT id, root_id, revision, device || ':' || inode || ':' || ctime_ns || ':' || generation AS binding FROM files JOIN r USING (root_id)""")
 def selection_bindings(spark, sf_dir):
@@ -831,3 +636,6 @@ def overlapping_directories(spark, sf_dir):
     pairs = tree.overlapping_pairs(t.withColumn("path", F.col("path").cast("binary")))
     upper = F.when(F.startswith(F.col("b.path"), F.concat(F.col("a.path"), F.lit("/"))), F.col("a")).otherwise(F.col("b"))
     return pairs.select(upper.alias("u")).groupBy(F.col("u.root_id").alias("root_id"), F.col("u.path").alias("upper")).agg(F.count("*").alias("lower_paths"))
+
+
+from cairn import tree_reports  # noqa: E402, F401  (registers its reports)

@@ -97,8 +97,8 @@ def same_size_bands(files: DataFrame, minimum: int) -> DataFrame:
 
 
 def same_size_outcome(entries: DataFrame, roots: DataFrame, compacted: DataFrame | None = None) -> DataFrame:
-    """First rule that keeps each row from the same-size report, or ``eligible``."""
-    rows = entries.join(roots.select(F.col("id").alias("root_id"), "enabled"), "root_id")
+    """First rule that keeps each regular file from the same-size report, or ``eligible``; other rows are not examined."""
+    rows = entries.where("kind = 'file'").join(roots.select(F.col("id").alias("root_id"), "enabled"), "root_id")
     under = F.lit(False)
     if compacted is not None:
         rows = rows.join(compacted.select("root_id", F.col("path").alias("parent"), F.lit(True).alias("_compact")), ["root_id", "parent"], "left")
@@ -120,13 +120,13 @@ def eligible(entries: DataFrame, roots: DataFrame, compacted: DataFrame | None =
 
 
 def same_size_page(files: DataFrame, roots: DataFrame, minimum: int, limit: int, after: tuple[int, int] | None = None, compacted: DataFrame | None = None) -> DataFrame:
-    """Bands of equal size on a page of raw rows.
+    """Bands of equal size on a page of raw rows, regular files alone.
 
     The page is cut before any exclusion; only eligible rows then enter bands. A band whose size is
     the cursor's continues one before; one whose size is the next raw row's continues after; a
     single row that does neither is dropped.
     """
-    rows = files.where(F.col("size") >= minimum)
+    rows = files.where((F.col("kind") == "file") & (F.col("size") >= minimum))
     if after:
         rows = rows.where((F.col("size") < after[0]) | ((F.col("size") == after[0]) & (F.col("id") < after[1])))
     raw = rows.orderBy(F.desc("size"), F.desc("id")).limit(limit + 1).withColumn("_nth", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("id"))))

@@ -9,8 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from cairn.functions import paths
+from cairn.sources.written import written
+
+#: Levels above a scope that are looked at.
+ANCESTORS = 256
+#: Figures of a measured scope.
+MEASURES = (
+    "entries_examined", "excluded_entries", "file_paths", "logical_bytes", "allocated_bytes", "unknown_inodes", "repeated", "unconfirmed", "skipped_entries", "incomplete_directories",
+    "directory_errors", "compacted_directories", "compacted_files", "oldest_ns", "newest_ns", "truncated",
+)
 
 
 def _marked(entries: DataFrame, directories: DataFrame) -> DataFrame:
@@ -42,51 +52,120 @@ def _marked(entries: DataFrame, directories: DataFrame) -> DataFrame:
     return nodes.join(marks, ["root_id", "id"])
 
 
-def measure_directories(entries: DataFrame, directories: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Sizes below each scope (root_id, scope as text), each linked object counted once.
+def _chains(scopes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each scope's way up to its root: why it is unknown, if it is, and whether a level makes it partial or stale.
+
+    The walk goes from the scope upwards and ends at the first level that leaves it unknown; beyond
+    ``ANCESTORS`` levels it is given up as partial.
+    """
+    path = F.col("scope").cast("binary")
+    levels = scopes.select("root_id", "scope", F.posexplode(F.concat(paths.ancestors(path), F.array("scope"))).alias("_level", "_path"), F.size(paths.ancestors(path)).alias("_depth"))
+    inner = F.col("_path") != "."
+    absent = inner & F.coalesce(F.col("_pc") & ~F.col("_pe") & (F.col("_pg") != F.col("generation")), F.lit(False))
+    reason = F.when(F.col("id").isNull(), "not_observed").when(F.col("kind") != "directory", "not_a_directory").when(absent, "absent_from_parent_listing")
+    unlisted = F.coalesce(F.col("own_checked_ns"), F.lit(0)) == 0
+    partial = (F.col("skip_reason") != "") | F.coalesce("_pe", F.lit(False)) | unlisted | (inner & ~F.coalesce("_pc", F.lit(False)))
+    stale = (~unlisted & (F.col("observed_at_ns") > F.col("own_checked_ns"))) | (inner & (F.col("generation") != F.coalesce("_pg", F.lit(0))))
+    near = F.col("_depth") - F.col("_level") < ANCESTORS
+    flags = rows.select("root_id", "_path", "id", "kind", "skip_reason", "generation", "observed_at_ns", "own_checked_ns", "_pc", "_pe", "_pg")
+    judged = levels.where(near).join(flags, ["root_id", "_path"], "left").withColumn("_reason", reason)
+    return judged.groupBy("root_id", "scope").agg(
+        F.max(F.when(F.col("_reason").isNotNull(), F.struct("_level", "_reason"))).getField("_reason").alias("unknown_reason"),
+        (F.bool_or(partial) | (F.max("_depth") >= ANCESTORS)).alias("_chain_partial"), F.bool_or(stale).alias("_chain_stale"),
+    )
+
+
+def _first_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """The first rows of each scope by path and whether more follow; parts of a scope are cut before the scope is gathered."""
+    order = [F.asc("_path")]
+    part = Window.partitionBy("root_id", "scope", F.pmod(F.xxhash64("_path"), F.lit(64))).orderBy(*order)
+    few = rows.withColumn("_nth", F.row_number().over(part)).where(F.col("_nth") <= limit + 1)
+    ranked = few.withColumn("_nth", F.row_number().over(Window.partitionBy("root_id", "scope").orderBy(*order))).where(F.col("_nth") <= limit + 1)
+    return ranked.withColumn("_truncated", F.max("_nth").over(Window.partitionBy("root_id", "scope")) > limit).where(F.col("_nth") <= limit).drop("_nth")
+
+
+def measure_directories(entries: DataFrame, directories: DataFrame, scopes: DataFrame, root_errors: DataFrame | None = None, totals: DataFrame | None = None, ledger: DataFrame | None = None, entry_limit: int | None = None) -> DataFrame:
+    """Sizes below each scope (root_id, scope as text) with their status, each linked object counted once.
 
     Rows that a completed listing says are gone are counted as examined and excluded only. A scope
-    that is not there, or that its own parent's completed listing does not hold, is ``unknown`` with
-    null sizes. Sizes that overflow raise.
+    that is not there, or above which something is no directory or gone, is ``unknown`` with null
+    sizes and the reason. ``root_errors`` names roots whose scopes are stale. ``totals`` and ``ledger``
+    are what ``compact`` left of compacted directories: they replace the files there, and their
+    identities meet those of ordinary files; where one holds files without identity, allocated bytes
+    are unknown. ``entry_limit`` measures the first rows of each scope by path only, and says so.
+    Sizes that overflow raise.
     """
+    if totals is not None:
+        gone = totals.select("root_id", "parent", F.lit(True).alias("_compact")).distinct()
+        entries = entries.join(gone, ["root_id", "parent"], "left").where("kind <> 'file' or _compact is null").drop("_compact")
     rows = _marked(entries, directories)
+    zero = F.lit(0).cast("long")
+    compacted = ["logical", "files", "unknown_inodes", "skipped_files"]
+    if totals is not None:
+        rows = rows.join(totals.select("root_id", paths.as_text(F.col("parent")).alias("_path"), F.col("generation").alias("_cg"), *[F.col(c).alias(f"_c_{c}") for c in compacted]), ["root_id", "_path"], "left")
+    else:
+        rows = rows.withColumns({"_cg": zero} | {f"_c_{c}": zero for c in compacted})
+    rows = written(rows, "measured-rows")
     wanted = scopes.select("root_id", "scope").distinct()
-    kept = ["root_id", "_path", "kind", "size", "allocated", "device", "inode", "skip_reason", "observed_at_ns", "own_complete", "own_error", "own_checked_ns", "parent_partial", "gone", "missing_at", "gone_at", "unsure_at"]
+    kept = ["root_id", "_path", "kind", "size", "allocated", "device", "inode", "skip_reason", "observed_at_ns", "own_complete", "own_error", "own_checked_ns", "parent_partial", "missing_at", "gone_at", "unsure_at", "_cg", *[f"_c_{c}" for c in compacted]]
     above = F.posexplode(F.concat(paths.ancestors(F.col("path")), F.array("_path"))).alias("_level", "scope")
-    r = rows.select(*kept, above).join(wanted, ["root_id", "scope"])
+    r = rows.select(*kept, above).join(wanted, ["root_id", "scope"]).withColumn("_truncated", F.lit(False))
+    r = _first_rows(r, entry_limit) if entry_limit else r
     # only what lies below the scope counts, and of what is gone only what no missing row cuts off
     r = r.withColumns({"excluded": F.col("gone_at") > F.greatest("_level", "missing_at"), "confirmed": F.col("unsure_at") <= F.col("_level")})
-    live, file, directory = ~F.col("excluded"), F.col("kind") == "file", F.col("kind") == "directory"
-    incomplete = directory & ~F.coalesce(F.col("own_complete") & ~F.col("own_error"), F.lit(False))
-    partial = (F.col("skip_reason") != "") | incomplete | (F.col("parent_partial") & (F.col("_path") != F.col("scope")))
-    stale = (~F.col("confirmed") & (F.col("_path") != F.col("scope"))) | (directory & F.coalesce(F.col("observed_at_ns") > F.col("own_checked_ns"), F.lit(False)))
+    live, file, directory, inside = ~F.col("excluded"), F.col("kind") == "file", F.col("kind") == "directory", F.col("_path") != F.col("scope")
+    incomplete, failed = directory & ~F.coalesce("own_complete", F.lit(False)), directory & F.coalesce("own_error", F.lit(False))
+    compact = live & directory & (F.coalesce("_cg", zero) > 0)
+    of = lambda c: F.when(compact, F.col(f"_c_{c}")).otherwise(0)
+    partial = (F.col("skip_reason") != "") | incomplete | failed | (F.col("parent_partial") & inside) | (of("unknown_inodes") > 0) | (of("skipped_files") > 0)
+    stale = (~F.col("confirmed") & inside) | (directory & F.coalesce((F.col("own_checked_ns") > 0) & (F.col("observed_at_ns") > F.col("own_checked_ns")), F.lit(False)))
     named = (F.col("device") != "") & (F.col("inode") != "")
+    total = lambda c: F.coalesce(F.sum(c), zero)
     by_row = r.groupBy("root_id", "scope").agg(
         F.count("*").alias("entries_examined"),
         F.count_if("excluded").alias("excluded_entries"),
-        F.count_if(live & file).alias("file_paths"),
-        F.coalesce(F.sum(F.when(live & file, F.col("size"))), F.lit(0)).alias("logical_bytes"),
-        F.coalesce(F.sum(F.when(live & file & ~named, F.col("allocated"))), F.lit(0)).alias("_loose"),
-        F.count_if(live & ~F.col("confirmed") & (F.col("_path") != F.col("scope"))).alias("unconfirmed"),
+        (F.count_if(live & file) + total(of("files"))).alias("file_paths"),
+        (total(F.when(live & file, F.col("size"))) + total(of("logical"))).alias("logical_bytes"),
+        total(F.when(live & file & ~named, F.col("allocated"))).alias("_loose"),
+        (F.count_if(live & file & ~named) + total(of("unknown_inodes"))).alias("unknown_inodes"),
+        F.bool_or(of("unknown_inodes") > 0).alias("_unknown"),
+        F.count_if(live & ~F.col("confirmed") & inside).alias("unconfirmed"),
+        (F.count_if(live & (F.col("skip_reason") != "")) + total(of("skipped_files"))).alias("skipped_entries"),
         F.count_if(live & incomplete).alias("incomplete_directories"),
+        F.count_if(live & failed).alias("directory_errors"),
+        F.count_if(compact).alias("compacted_directories"),
+        total(of("files")).alias("compacted_files"),
+        F.min(F.when(live, F.col("observed_at_ns"))).alias("oldest_ns"),
+        F.max(F.when(live, F.greatest("observed_at_ns", F.when(compact & (F.col("own_checked_ns") > 0), F.col("own_checked_ns"))))).alias("newest_ns"),
         F.bool_or(live & partial).alias("_partial"),
         F.bool_or(live & stale).alias("_stale"),
-        F.bool_or((F.col("_path") == F.col("scope")) & ~F.col("gone")).alias("_there"),
+        F.bool_or("_truncated").alias("truncated"),
     )
     figures = F.struct("allocated", "size")
     objects = r.where(live & file & named).groupBy("root_id", "scope", "device", "inode").agg(
-        F.max("allocated").alias("_a"), F.count("*").alias("_n"), (F.min(figures) != F.max(figures)).alias("_differ")
+        F.max("allocated").alias("a"), F.count("*").alias("n"), F.min(figures).alias("low"), F.max(figures).alias("high"), F.lit(False).alias("differ")
     )
-    by_object = objects.groupBy("root_id", "scope").agg(F.sum("_a").alias("_linked"), F.sum(F.col("_n") - 1).alias("repeated"), F.bool_or("_differ").alias("_differ"))
-    found = wanted.join(by_row, ["root_id", "scope"], "left").join(by_object, ["root_id", "scope"], "left")
-    known = F.coalesce(F.col("_there"), F.lit(False))
-    status = F.when(~known, "unknown").when(F.col("_stale") | F.coalesce("_differ", F.lit(False)), "stale").when(F.col("_partial"), "partial").otherwise("recorded_complete")
+    if ledger is not None:
+        met = r.where(compact).select("root_id", "scope", "_path", F.col("_cg").alias("generation"))
+        own = ledger.withColumn("_path", paths.as_text(F.col("parent")))
+        figures = F.struct("allocated", F.col("logical").alias("size"))
+        objects = objects.unionByName(met.join(own, ["root_id", "_path", "generation"]).select("root_id", "scope", "device", "inode", F.col("allocated").alias("a"), F.col("paths").alias("n"), figures.alias("low"), figures.alias("high"), F.col("conflicting").alias("differ")))
+    once = objects.groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.bool_or("differ") | (F.min("low") != F.max("high"))).alias("differ"))
+    by_object = once.groupBy("root_id", "scope").agg(F.sum("a").alias("_linked"), F.sum(F.col("n") - 1).alias("repeated"), F.bool_or("differ").alias("_differ"))
+    found = wanted.join(_chains(wanted, rows), ["root_id", "scope"], "left").join(by_row, ["root_id", "scope"], "left").join(by_object, ["root_id", "scope"], "left")
+    if root_errors is not None:
+        found = found.join(root_errors.select("root_id", F.lit(True).alias("_root_error")).distinct(), "root_id", "left")
+    else:
+        found = found.withColumn("_root_error", F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    known = F.col("unknown_reason").isNull() & F.col("entries_examined").isNotNull()
+    stale, partial = F.col("_stale") | yes("_differ") | yes("_root_error") | yes("_chain_stale"), F.col("_partial") | F.col("truncated") | yes("_chain_partial")
+    status = F.when(~known, "unknown").when(stale, "stale").when(partial, "partial").otherwise("recorded_complete")
     only = lambda c: F.when(known, c)
+    plain = [c for c in MEASURES if c not in ("allocated_bytes", "repeated")]
     return found.select(
-        "root_id", "scope", status.alias("status"),
-        only(F.col("entries_examined")).alias("entries_examined"), only(F.col("excluded_entries")).alias("excluded_entries"), only(F.col("file_paths")).alias("file_paths"),
-        only(F.col("logical_bytes")).alias("logical_bytes"), only(F.col("_loose") + F.coalesce("_linked", F.lit(0))).alias("allocated_bytes"), only(F.coalesce("repeated", F.lit(0))).alias("repeated"),
-        only(F.col("unconfirmed")).alias("unconfirmed"), only(F.col("incomplete_directories")).alias("incomplete_directories"),
+        "root_id", "scope", status.alias("status"), "unknown_reason", *[only(F.col(c)).alias(c) for c in plain],
+        only(F.when(~F.col("_unknown"), F.col("_loose") + F.coalesce("_linked", zero))).alias("allocated_bytes"), only(F.coalesce("repeated", zero)).alias("repeated"),
     )
 
 

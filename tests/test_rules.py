@@ -59,7 +59,7 @@ def test_identity_evidence_of_a_band(spark):
 def test_pages_of_equal_sizes(spark):
     mib = 1 << 20
     rows = spark.createDataFrame([(1, 8 * mib), (2, 8 * mib), (3, 8 * mib), (4, 4 * mib), (5, 4 * mib), (6, mib)], "id long, size long")
-    rows = rows.withColumns({"root_id": F.lit(1), "path": F.concat(F.lit("f"), "id").cast("binary"), "parent": F.lit(b"."), "skip_reason": F.lit(""), "device": F.lit("1"), "inode": F.col("id").cast("string")})
+    rows = rows.withColumns({"root_id": F.lit(1), "path": F.concat(F.lit("f"), "id").cast("binary"), "parent": F.lit(b"."), "kind": F.lit("file"), "skip_reason": F.lit(""), "device": F.lit("1"), "inode": F.col("id").cast("string")})
     rows = rows.withColumns({"ctime_ns": F.lit(1), "generation": F.lit(1)})
     roots = spark.createDataFrame([(1, True)], "id long, enabled boolean")
 
