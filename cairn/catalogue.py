@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import oracles as sql
 from cairn.functions import digests, paths, scalars
-from cairn.operators import hashing, history, ledger, reconcile, reports, rules, selection, tree
+from cairn.operators import hashing, history, ledger, ranking, reconcile, reports, rules, selection, tree
 from cairn.plans import store
 from cairn.registry import ORACLE_SQL, QUERIES, report  # noqa: F401
 from cairn.sources import adapters, metadata
@@ -264,12 +264,6 @@ def cpu_backoff(spark, sf_dir):
     return ledger.cpu_backoff(adapters.cpu_windows(spark, sf_dir)).select("event_id", "wait_ns", "capped")
 
 
-@report(f"""WITH {sql.WINDOWS}, d AS (SELECT *, cpu_ns - coalesce(lag(cpu_ns) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS delta FROM windows)
-    SELECT user_id, epoch_us(date_trunc('hour', ts)) AS hour_us, cast(sum(greatest(delta, 0)) AS BIGINT) AS charged_ns, count(*) FILTER (delta < 0) AS regressions, bool_or(unknown) AS blocked FROM d GROUP BY 1, 2""")
-def hour_day_charges(spark, sf_dir):
-    return ledger.slot_charges(adapters.cpu_windows(spark, sf_dir)).withColumn("hour_us", F.unix_micros("_hour")).drop("_hour")
-
-
 _REVISIT = f"""WITH RECURSIVE {sql.PASSES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS nth FROM passes),
     s AS (SELECT user_id, day, nth, changed, unknown, 0 AS streak FROM n WHERE nth = 1 UNION ALL
           SELECT n.user_id, n.day, n.nth, n.changed, n.unknown, CASE WHEN n.changed OR n.unknown THEN 0 ELSE least(2, s.streak + 1) END FROM s JOIN n ON n.user_id = s.user_id AND n.nth = s.nth + 1)"""
@@ -312,11 +306,6 @@ def read_grants(spark, sf_dir):
     return e.select("event_id", scalars.read_grant(F.lit(4096), 1000 + F.col("event_id") % 700, F.lit(100000), left).alias("grant_bytes"), scalars.pacing_cost(most, 5 << 20).alias("cost_ns"))
 
 
-@report("""WITH s AS (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id) AS events FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, event_type AS state, events FROM s""")
-def manual_refresh_states(spark, sf_dir):
-    return ledger.last_state(adapters.observations(spark, sf_dir).withColumnRenamed("event_type", "state"), "user_id", ["ts", "event_id"])
-
-
 @report("""WITH c AS (SELECT o_orderkey AS consent_id, o_custkey % 80 AS from_ns, o_custkey % 80 + 40 AS until_ns, 50 + o_custkey % 100 AS max_bytes FROM orders),
     u AS (SELECT l_orderkey AS consent_id, sum(l_linenumber * 10) AS spent FROM lineitem GROUP BY 1)
     SELECT consent_id, cast(max_bytes - coalesce(spent, 0) AS BIGINT) AS left_bytes FROM c LEFT JOIN u USING (consent_id) WHERE from_ns <= 60 AND until_ns > 60 AND consent_id % 7 <> 0 AND max_bytes - coalesce(spent, 0) > 0""")
@@ -406,18 +395,6 @@ def compact_totals(spark, sf_dir):
 # --- metadata sources, exports and envelopes ---------------------------------------------------
 
 
-@report("""WITH s AS (SELECT user_id AS host, CASE WHEN event_id % 2 = 0 THEN 'Mains' ELSE 'Battery' END AS type, event_id % 3 = 0 AND user_id % 4 <> 1 AS online,
-                  CASE WHEN user_id % 5 = 0 THEN 'Unknown' WHEN user_id % 3 = 0 AND event_id % 7 = 1 THEN 'Discharging' WHEN event_id % 5 = 1 THEN 'Full' WHEN event_id % 5 = 2 THEN 'Charging' ELSE 'Unknown' END AS status FROM events),
-    h AS (SELECT host, bool_or(type = 'Mains' AND online) AS line, bool_or(type = 'Battery' AND status = 'Discharging') AS leaving, bool_or(type = 'Battery' AND status IN ('Charging', 'Full')) AS filling FROM s GROUP BY 1)
-    SELECT host, CASE WHEN line AND leaving THEN 'ambiguous' WHEN line THEN 'line' WHEN leaving THEN 'battery' WHEN filling THEN 'charging' ELSE 'unknown' END AS state FROM h""")
-def power_states(spark, sf_dir):
-    e = adapters.observations(spark, sf_dir)
-    id_, user = F.col("event_id"), F.col("user_id")
-    status = F.when(user % 5 == 0, "Unknown").when((user % 3 == 0) & (id_ % 7 == 1), "Discharging").when(id_ % 5 == 1, "Full").when(id_ % 5 == 2, "Charging").otherwise("Unknown")
-    supplies = e.select(user.alias("host"), F.when(id_ % 2 == 0, "Mains").otherwise("Battery").alias("type"), ((id_ % 3 == 0) & (user % 4 != 1)).alias("online"), status.alias("status"))
-    return metadata.power_state(supplies)
-
-
 _ROLE_PATHS = "concat_ws('/', CASE doc_id % 4 WHEN 0 THEN '.bin' WHEN 1 THEN '@s' WHEN 2 THEN 'p' ELSE '@t' END, CASE WHEN doc_id % 3 > 0 THEN 'q' END, CASE WHEN doc_id % 5 > 2 AND doc_id % 3 > 0 THEN 'f' || doc_id END)"
 
 
@@ -587,10 +564,7 @@ def root_page(spark, sf_dir):
 
 @report("""WITH q AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS ready_order FROM orders) SELECT id, CASE WHEN id % 50 = 0 THEN ready_order + (SELECT count(*) FROM q) ELSE ready_order END AS ready_order FROM q""")
 def queue_rotation(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    queue = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    queue = queue.withColumn("ready_order", F.row_number().over(Window.orderBy("id")).cast("long"))  # the fixture's numbers, not the operator
+    queue = ranking.ranked(adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), [], ["id"], "ready_order")
     return reports.rotation(queue, queue.where("id % 50 = 0"))
 
 
@@ -638,4 +612,4 @@ def overlapping_directories(spark, sf_dir):
     return pairs.select(upper.alias("u")).groupBy(F.col("u.root_id").alias("root_id"), F.col("u.path").alias("upper")).agg(F.count("*").alias("lower_paths"))
 
 
-from cairn import tree_reports  # noqa: E402, F401  (registers its reports)
+from cairn import ledger_reports, tree_reports  # noqa: E402, F401  (they register their reports)

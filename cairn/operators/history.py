@@ -49,6 +49,35 @@ def journal_states(events: DataFrame, most: int = 16) -> DataFrame:
     )
 
 
+def verified_journal(events: DataFrame, prefix: str, most: int = 16) -> DataFrame:
+    """Journals (intent_id, sequence, id, payload) checked event by event; payload is the JSON that was saved.
+
+    An event's id must be the digest of its payload's bytes; the payload must name the intent, the
+    sequence, the event before by its id and a time not before that event's; sequences must run from 1
+    without gaps, ``most`` at most. So a byte changed anywhere breaks its own event, and an event put in, left
+    out or moved breaks the next. The first broken link of an intent is told with its reason; its state
+    then is unknown, and else that of its last event.
+    """
+    record = F.from_json("payload", "intent_id string, expected_sequence int, predecessor_id string, created_at_us long, kind string, outcome string")
+    order = Window.partitionBy("intent_id").orderBy("sequence", "id")
+    rows = events.withColumn("_r", record)
+    rows = rows.withColumns({"_nth": F.row_number().over(order), "_before": F.lag("id").over(order), "_time": F.lag("_r.created_at_us").over(order)})
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    fault = (
+        F.when(no(F.col("id") == F.concat(F.lit(prefix), F.sha2(F.col("payload").cast("binary"), 256))), "digest_differs")
+        .when(no(F.col("_r.intent_id") == F.col("intent_id").cast("string")), "other_intent")
+        .when((F.col("sequence") != F.col("_nth")) | no(F.col("_r.expected_sequence") == F.col("sequence")), "sequence_broken")
+        .when(no(F.col("_r.predecessor_id").eqNullSafe(F.col("_before"))), "predecessor_differs")
+        .when(F.col("_time").isNotNull() & no(F.col("_r.created_at_us") >= F.col("_time")), "time_runs_back")
+        .when(F.col("_nth") > most, "too_many_events")
+    )
+    first = F.min(F.when(F.col("_fault").isNotNull(), F.struct("_nth", "_fault")))
+    state = F.max_by(F.when(F.col("_r.kind") == "attempt_recorded", "outcome_unknown").otherwise(F.col("_r.outcome")), "_nth")
+    found = rows.withColumn("_fault", fault).groupBy("intent_id").agg(F.count("*").alias("events"), first.alias("_first"), state.alias("_state"))
+    whole = F.col("_first").isNull()
+    return found.select("intent_id", "events", whole.alias("valid"), F.col("_first._nth").cast("long").alias("broken_at"), F.col("_first._fault").alias("reason"), F.when(whole, F.col("_state")).otherwise("outcome_unknown").alias("state"))
+
+
 def exact_selection(findings: DataFrame, ids: list[int]) -> DataFrame:
     """The findings asked for; refused unless all of them, each once, are still selected."""
     if len(set(ids)) != len(ids) or not 1 <= len(ids) <= 20:

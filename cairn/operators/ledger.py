@@ -33,18 +33,6 @@ def cpu_backoff(windows: DataFrame) -> DataFrame:
     return windows.withColumn("wait_ns", wait).withColumn("capped", cpu_wait_capped(F.col("cpu_ns"), F.col("elapsed_ns")))
 
 
-def slot_charges(windows: DataFrame) -> DataFrame:
-    """Charges of a session's growing counter by the hour its samples end in; an unknown sample blocks its hour, a counter that falls closes the session."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    delta = F.col("cpu_ns") - F.coalesce(F.lag("cpu_ns").over(order), F.lit(0))
-    rows = windows.withColumn("_delta", delta).withColumn("_hour", F.date_trunc("hour", "ts"))
-    return rows.groupBy("user_id", "_hour").agg(
-        F.sum(F.greatest("_delta", F.lit(0))).alias("charged_ns"),
-        F.count_if(F.col("_delta") < 0).alias("regressions"),
-        F.bool_or("unknown").alias("blocked"),
-    )
-
-
 def adaptive_revisits(passes: DataFrame) -> DataFrame:
     """Streak and interval after each pass: two quiet passes in a row make the interval a week. The first pass counts as unknown."""
     order = Window.partitionBy("user_id").orderBy("day")
@@ -108,11 +96,6 @@ def fixed_revisits(roots: DataFrame, pending: DataFrame, now: int, interval: int
     return idle.select("root_id", F.greatest(F.lit(now), F.col("last_pass") + interval).alias("due"))
 
 
-def last_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """State of each key after its last event."""
-    return events.groupBy(key).agg(F.max_by("state", F.struct(*order)).alias("state"), F.count("*").alias("events"))
-
-
 def valid_consents(consents: DataFrame, revocations: DataFrame, used: DataFrame, now: int) -> DataFrame:
     """Consents that are neither expired, revoked nor used up, with what is left of them."""
     spent = used.groupBy("consent_id").agg(F.sum("bytes").alias("spent"))

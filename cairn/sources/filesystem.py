@@ -1,7 +1,8 @@
-"""A directory tree as rows: one task for each directory at a level, links never followed."""
+"""A directory tree as rows, step by step and resumable inside directories; links are never followed."""
 
 from __future__ import annotations
 
+import heapq
 import os
 import stat
 from collections.abc import Iterator
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Names whose contents are not listed.
 EXCLUDED_NAMES = (b".git", b".Trash", b".Trashes", b".snapshots", b"Backups.backupdb")
-#: Children of a directory that are told at once, and the kind of the row that ends a listing.
-BATCH, LISTING = 128, "listing"
+#: Children of a directory that are told at once, and in one step; kinds of the rows that end a listing or say where it goes on.
+BATCH, STEP, LISTING, CURSOR = 128, 100_000, "listing", "cursor"
 FIELDS = pa.schema(
     [
         ("path", pa.binary()), ("parent", pa.binary()), ("kind", pa.string()), ("size", pa.int64()), ("allocated", pa.int64()), ("mtime_ns", pa.int64()),
@@ -37,50 +38,67 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
 
 
-def list_directory(top: bytes, directory: bytes, device: int, excluded: frozenset[bytes]) -> Iterator[list[tuple]]:
-    """Rows of one directory in batches of ``BATCH`` children, then one of kind ``listing`` that tells the fault, if any, in its skip_reason."""
-    rows, fault = [], ""
+def list_directory(top: bytes, directory: bytes, device: int, excluded: frozenset[bytes], after: bytes = b"", limit: int | None = None) -> Iterator[list[tuple]]:
+    """Rows of the children of one directory whose names follow ``after``, ``limit`` of them, in batches of ``BATCH`` by name.
+
+    Then one of kind ``listing`` that tells the fault, if any, in its skip_reason, or one of kind
+    ``cursor`` with the last name if more follow. Names are told apart in one reading of the directory;
+    only those of the batch are held.
+    """
+    fault, names = "", []
     try:
         with os.scandir(os.path.join(top, directory)) as found:
-            for entry in found:
-                try:
-                    rows.append(observe(top, entry.name if directory == b"." else directory + b"/" + entry.name, device, excluded))
-                except FileNotFoundError:  # gone since it was listed
-                    continue
-                if len(rows) >= BATCH:
-                    yield rows
-                    rows = []
+            later = (entry.name for entry in found if entry.name > after)
+            names = heapq.nsmallest(limit + 1, later) if limit else sorted(later)
     except OSError as failed:
         fault = os.strerror(failed.errno) if failed.errno else "listing failed"
-    yield [*rows, (directory, b"", LISTING, None, None, None, None, None, None, fault)]
+    more = bool(limit) and len(names) > limit
+    rows = []
+    for name in names[:limit] if limit else names:
+        try:
+            rows.append(observe(top, name if directory == b"." else directory + b"/" + name, device, excluded))
+        except FileNotFoundError:  # gone since it was listed
+            continue
+        if len(rows) >= BATCH:
+            yield rows
+            rows = []
+    if more:
+        yield [*rows, (directory, names[limit - 1], CURSOR, None, None, None, None, None, None, "")]
+    else:
+        yield [*rows, (directory, b"", LISTING, None, None, None, None, None, None, fault)]
 
 
-def scan_tree(spark: SparkSession, root: str, store: str, parallel: int = 8, exclude: tuple[bytes, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Entries and listing passes of everything below a root that executors can reach, level by level: the directories of a level are dealt to tasks.
+def scan_tree(spark: SparkSession, root: str, store: str, parallel: int = 8, exclude: tuple[bytes, ...] = (), step: int | None = STEP, steps: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries and listing passes of everything below a root that executors can reach.
 
-    Levels are written below ``store``, so a scan that was broken off goes on from its last whole
-    level, and nothing is held in memory.
+    The work of a step is directories, and places inside directories: at most ``step`` children of each
+    are told, and where more follow a cursor is left for the next step. Steps are written below
+    ``store``, so a scan that was broken off goes on from its last whole step, inside a large directory
+    as well, and nothing is held in memory. ``steps`` ends a call after so many steps; a later call goes on.
     """
     top, excluded = os.fsencode(root), frozenset(exclude)
     device = os.lstat(top).st_dev
 
-    def list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for directory in batch.column(0).to_pylist():
-                for rows in list_directory(top, directory, device, excluded):
+            for directory, after in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for rows in list_directory(top, directory, device, excluded, after, step):
                     yield _batch(rows)
 
     hadoop = spark._jvm.org.apache.hadoop.fs
-    level, folders = spark.createDataFrame([(bytearray(b"."),)], "path binary"), []
-    while True:
-        folder = f"{store.rstrip('/')}/level-{len(folders):05d}"
+    work, folders, begun = spark.createDataFrame([(bytearray(b"."), bytearray(b""))], "path binary, after binary"), [], 0
+    while steps is None or begun < steps:
+        folder = f"{store.rstrip('/')}/step-{len(folders):06d}"
         done = hadoop.Path(folder, "_SUCCESS")
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            level.repartition(parallel).mapInArrow(list_level, DDL).write.mode("overwrite").parquet(folder)
+            work.repartition(parallel).mapInArrow(list_step, DDL).write.mode("overwrite").parquet(folder)
+            begun += 1
         folders.append(folder)
-        level = spark.read.schema(DDL).parquet(folder).where((F.col("kind") == "directory") & (F.col("skip_reason") == "")).select("path")
-        if level.isEmpty():
+        found = spark.read.schema(DDL).parquet(folder)
+        below = found.where((F.col("kind") == "directory") & (F.col("skip_reason") == "")).select("path", F.lit(b"").alias("after"))
+        work = below.union(found.where(F.col("kind") == CURSOR).select("path", F.col("parent").alias("after")))
+        if work.isEmpty():
             break
     rows = spark.read.schema(DDL).parquet(*folders)
     passes = rows.where(F.col("kind") == LISTING).select("path", (F.col("skip_reason") == "").alias("complete"), F.col("skip_reason").alias("last_error"))
-    return rows.where(F.col("kind") != LISTING), passes
+    return rows.where(~F.col("kind").isin(LISTING, CURSOR)), passes

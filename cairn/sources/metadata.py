@@ -91,14 +91,43 @@ def lock_layout(manifest: str, lock: str) -> Column:
     return F.udf(_lock_layout, "struct<status:string,version:int,packages:array<string>>")(manifest, lock)
 
 
+#: Types of supplies that are not batteries (fixed values).
+EXTERNAL = ("Mains", "USB", "USB_DCP", "USB_CDP", "USB_ACA", "USB_C", "USB_PD", "USB_PD_DRP", "BrickID", "Wireless")
+
+
+def supply_class(scope: Column, type_: Column, online: Column, present: Column, status: Column) -> Column:
+    """What one supply's attributes say: nothing of the system, a battery or one that is discharging, or why it is ambiguous. A missing attribute is null and never assumed."""
+    battery = (
+        F.when(~F.coalesce(present.isin("0", "1"), F.lit(False)), "battery_presence_unconfirmed")
+        .when(present == "0", "absent")
+        .when(status == "Discharging", "discharging")
+        .when(status.isin("Charging", "Not charging", "Full"), "battery")
+        .otherwise("battery_status_unconfirmed")
+    )
+    external = F.when(~type_.isin(*EXTERNAL), "supply_type_outside_profile").when(F.coalesce(online.isin("0", "1", "2"), F.lit(False)), "external").otherwise("external_supply_unconfirmed")
+    return (
+        F.when(scope == "Device", "outside")
+        .when(~scope.eqNullSafe(F.lit("System")), "system_scope_unconfirmed")
+        .when(type_.isNull(), "supply_type_unconfirmed")
+        .when(type_ == "Battery", battery)
+        .otherwise(external)
+    )
+
+
 def power_state(supplies: DataFrame) -> DataFrame:
-    """State of each host from its supplies (host, type, online, status)."""
-    main, battery = F.col("type") == "Mains", F.col("type") == "Battery"
-    found = supplies.groupBy("host").agg(
-        F.bool_or(main & F.col("online")).alias("_line"), F.bool_or(main).alias("_has_line"),
-        F.bool_or(battery & (F.col("status") == "Discharging")).alias("_out"), F.bool_or(battery & F.col("status").isin("Charging", "Full")).alias("_in"),
+    """Whether a discharging system battery was seen on each host among its supplies (host, name, scope, type, online, present, status).
+
+    That none was seen says nothing: the state then is unknown, with the first ambiguous supply's reason by name.
+    """
+    rows = supplies.withColumn("_c", supply_class(*[F.col(c) for c in ("scope", "type", "online", "present", "status")]))
+    odd = ~F.col("_c").isin("outside", "absent", "external", "battery", "discharging")
+    found = rows.groupBy("host").agg(
+        F.count_if(F.col("_c").isin("battery", "discharging")).alias("confirmed_batteries"), F.count_if(F.col("_c") == "discharging").alias("discharging_batteries"), F.count_if(odd).alias("ambiguous"),
+        F.min(F.when(odd, F.struct("name", "_c"))).getField("_c").alias("_why"),
     )
-    return found.select("host", F.when(F.col("_line") & ~F.col("_out"), "line").when(F.col("_out") & ~F.coalesce("_line", F.lit(False)), "battery").when(F.col("_line") & F.col("_out"), "ambiguous").when(F.col("_in"), "charging").otherwise("unknown").alias("state"))
+    seen = F.col("discharging_batteries") > 0
+    reason = F.when(seen, "confirmed_system_battery_discharge_witness").otherwise(F.coalesce("_why", F.lit("no_system_battery_discharge_witness")))
+    return found.select("host", F.when(seen, "system_battery_discharging_observed").otherwise("unknown").alias("status"), reason.alias("reason"), "confirmed_batteries", "discharging_batteries", "ambiguous")
 
 
 def envelope(rows: DataFrame, command: str) -> Column:

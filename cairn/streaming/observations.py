@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairn.operators.reconcile import upsert
+from cairn.operators.sessions import QUALIFICATIONS, next_phase
 
 
 class LatestTable:
@@ -103,30 +104,6 @@ def revisit_stream(passes: DataFrame) -> DataFrame:
 REFRESH = "root_id long, at long, phase string, qualification string"
 
 
-def next_phase(phase: str, witness: int, kind: str, generation: int | None, ok: bool) -> tuple[str, int]:
-    """Phase of a requested refresh after an event, and the generation of the root's listing that was witnessed (0: none).
-
-    A request opens a refresh unless one is open; a drained root activates it; a listing read to its
-    end is its witness; a restart before that loses it; and at the end it is completed only if the
-    root's complete listing is still the witnessed one.
-    """
-    if kind == "request" and phase in ("none", "completed", "unknown"):
-        return "pending", 0
-    if kind == "activate" and phase == "pending" and ok:
-        return "active", 0
-    if phase == "active":
-        if kind == "witness" and generation:
-            return phase, generation
-        if kind == "restart" and not witness:
-            return "unknown", 0
-        if kind == "finalize":
-            return ("completed" if ok and witness and witness == generation else "unknown"), witness
-    return phase, witness
-
-
-QUALIFICATIONS = {"active": "historical_root_listing_pending", "completed": "historical_pass_completed", "unknown": "activation_lineage_unknown"}
-
-
 def refresh_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Phase after each event (at, kind, generation, ok) of one root; only phase and witness are kept."""
     phase, witness = state.get if state.exists else ("none", 0)

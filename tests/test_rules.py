@@ -158,8 +158,20 @@ def test_locks_engines_and_power(spark):
     assert found[0].v.packages == ["node_modules/@s/y", "node_modules/x"]
     images = metadata.engine_images(spark.createDataFrame([("c", '[{"Id": "i", "RepoTags": ["b", "a"], "Created": 5}]')], "context string, body string"))
     assert tuple(images.first()) == ("c", "i", "a,b", 5, False)
-    power = metadata.power_state(spark.createDataFrame([("h", "Mains", True, None), ("h", "Battery", None, "Full"), ("k", "Battery", None, "Discharging")], "host string, type string, online boolean, status string"))
-    assert {tuple(r) for r in power.collect()} == {("h", "line"), ("k", "battery")}
+
+
+def test_power_supplies(spark):
+    # host, name, scope, type, online, present, status
+    rows = [
+        ("h", "a", "System", "Mains", "1", None, None), ("h", "b", "System", "Battery", None, "1", "Discharging"), ("h", "c", "Device", "Battery", None, "1", "Discharging"),
+        ("k", "a", "System", "Battery", None, "1", "Not charging"), ("k", "b", "System", "Battery", None, "0", "Discharging"), ("l", "b", None, "Battery", None, "1", "Full"), ("l", "a", "System", "Battery", None, None, "Full"),
+        ("m", "a", "System", "Solar", "1", None, None), ("n", "a", "System", "USB_C", "3", None, None),
+    ]
+    found = metadata.power_state(spark.createDataFrame(rows, "host string, name string, scope string, type string, online string, present string, status string"))
+    assert {r.host: (r.reason, r.confirmed_batteries, r.discharging_batteries, r.ambiguous) for r in found.collect()} == {
+        "h": ("confirmed_system_battery_discharge_witness", 1, 1, 0), "k": ("no_system_battery_discharge_witness", 1, 0, 0), "l": ("battery_presence_unconfirmed", 0, 0, 2),
+        "m": ("supply_type_outside_profile", 0, 0, 1), "n": ("external_supply_unconfirmed", 0, 0, 1),
+    }
 
 
 def test_records_are_content_addressed_and_never_change(spark, tmp_path):
