@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import oracles as sql
 from cairn.functions import paths
-from cairn.operators import hashing, reconcile, reports, rules, selection, tree
+from cairn.operators import hashing, maintenance, reconcile, reports, rules, selection, tree
+from cairn.plans.clustered import ClusteredTable, purge_relations
 from cairn.registry import report
 from cairn.sources import adapters, metadata, projects
-from cairn.sources.written import written
+from cairn.sources.written import shared_folder, written
 
 PROJECTS = f"{sql.ROOTS}, {projects.sql()}"
 #: A root whose last scan failed.
@@ -351,3 +354,56 @@ def engine_images(spark, sf_dir):
     image = F.struct(F.concat(F.lit("s"), key.cast("string")).alias("Id"), F.when(key % 4 != 0, F.array(tag("b"), tag("a"))).alias("RepoTags"), (key * 10).alias("Created"))
     bodies = adapters.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("context")).agg(F.to_json(F.collect_list(image)).alias("body"))
     return metadata.engine_images(bodies)
+
+
+# --- sums kept by changes, and subtrees purged from clustered relations -------------------------------
+
+_EDITED = """ed AS (SELECT * REPLACE (CASE WHEN id % 17 = 3 THEN size + 5000 ELSE size END AS size, CASE WHEN id % 17 = 3 THEN allocated + 8192 ELSE allocated END AS allocated, CASE WHEN id % 23 = 4 AND inode <> '' THEN '10000400' ELSE inode END AS inode) FROM pe WHERE NOT (id % 13 = 6))"""
+
+
+def edited(entries: DataFrame) -> DataFrame:
+    """A later state of the inventory: some files grew, some became one object, some are gone."""
+    grown, linked = F.col("id") % 17 == 3, (F.col("id") % 23 == 4) & (F.col("inode") != "")
+    more = lambda c, n: F.col(c) + F.when(grown, n).otherwise(0)
+    return entries.where("id % 13 <> 6").withColumns({"size": more("size", 5000), "allocated": more("allocated", 8192), "inode": F.when(linked, "10000400").otherwise(F.col("inode"))})
+
+
+@report(f"""WITH {PROJECTS}, {_EDITED}, lf AS (SELECT e.* FROM ed e LEFT JOIN pd p ON p.root_id = e.root_id AND p.path = e.parent WHERE kind = 'file' AND NOT coalesce(p.complete AND p.last_error = '' AND p.generation <> e.generation, FALSE)),
+    up AS (SELECT l.*, unnest({_LEVELS.format(p='parent')}) AS scope FROM lf l), uo AS (SELECT root_id, scope, device, inode, max(allocated) AS a, count(*) AS n, count(DISTINCT (allocated, size)) > 1 AS differ FROM up WHERE inode <> '' GROUP BY ALL),
+    us AS (SELECT root_id, scope, count(*) AS objects, sum(a) AS a, sum(n - 1) AS repeated, count(*) FILTER (differ) AS conflicting FROM uo GROUP BY ALL)
+    SELECT u.root_id, u.scope, count(*) AS file_paths, cast(sum(size) AS BIGINT) AS logical_bytes, cast(coalesce(sum(allocated) FILTER (inode = ''), 0) + coalesce(any_value(us.a), 0) AS BIGINT) AS allocated_bytes, count(*) FILTER (inode = '') AS unknown_inodes,
+           coalesce(any_value(us.objects), 0) AS objects, cast(coalesce(any_value(us.repeated), 0) AS BIGINT) AS repeated, coalesce(any_value(us.conflicting), 0) AS conflicting FROM up u LEFT JOIN us ON us.root_id = u.root_id AND us.scope = u.scope GROUP BY 1, 2""")
+def directory_sizes_by_changes(spark, sf_dir):
+    """Sizes after an edit, from the ledger of the state before and the edit's signed changes alone."""
+    e, d = written(projects.entries(spark, sf_dir).drop("link"), "project-entries"), written(projects.passes(spark, sf_dir), "project-passes")
+    before, after = maintenance.live_files(e, d), maintenance.live_files(edited(e), d)
+    kept = maintenance.ScopeLedger(spark, f"{shared_folder(spark).rstrip('/')}/scope-ledger-{uuid.uuid4().hex}", 16)
+    kept.apply(before.withColumn("sign", F.lit(1).cast("long")), 0)
+    kept.apply(maintenance.signed(before.drop("path"), after.drop("path")), 1)
+    return kept.sizes()
+
+
+_TOPS = "tp AS (SELECT root_id, path, id % 2 = 0 AS keep_anchor FROM pe WHERE kind = 'directory' AND path LIKE '%/target' AND id // 64 % 10 = 2)"
+_GONE = "EXISTS (SELECT 1 FROM tp t WHERE t.root_id = x.root_id AND (starts_with(x.path, t.path || '/') OR (x.path = t.path AND {anchor})))"
+
+
+@report(f"""WITH {PROJECTS}, {_TOPS}, cd AS (SELECT root_id, parent AS path, count(*) AS files FROM pe WHERE kind = 'file' GROUP BY ALL)
+    SELECT 'entries' AS relation, root_id, path, 1 AS n FROM pe x WHERE NOT {_GONE.format(anchor='NOT keep_anchor')}
+    UNION ALL SELECT 'directories', root_id, path, 1 FROM pd x WHERE NOT {_GONE.format(anchor='TRUE')} UNION ALL SELECT 'compact_dirs', root_id, path, files FROM cd x WHERE NOT {_GONE.format(anchor='TRUE')}""")
+def purged_relations(spark, sf_dir):
+    """What three clustered relations hold after some build outputs were purged from all of them."""
+    e, d = projects.entries(spark, sf_dir).drop("link"), projects.passes(spark, sf_dir)
+    e = written(e, "project-entries")
+    compact = e.where("kind = 'file'").groupBy("root_id", F.col("parent").alias("path")).agg(F.count("*").alias("files"))
+    tops = written(e.where("kind = 'directory' and endswith(cast(path as string), '/target') and id div 64 % 10 = 2").select("root_id", "path", (F.col("id") % 2 == 0).alias("keep_anchor")), "tops")
+    folder = f"{shared_folder(spark).rstrip('/')}/clustered-{uuid.uuid4().hex}"
+    tables = {n: ClusteredTable(spark, f"{folder}/{n}") for n in ("entries", "directories", "compact_dirs")}
+    for name, df in (("entries", e), ("directories", d), ("compact_dirs", compact)):
+        tables[name].write(df, 16)
+    # in blocks, as a purge takes a bounded number of tops
+    block = F.pmod(F.xxhash64("root_id", "path"), F.lit(max(1, -(-tops.count() // 500)))).cast("int")
+    marked = tops.withColumn("_block", block)
+    for (number,) in marked.select("_block").distinct().orderBy("_block").collect():
+        purge_relations(tables, marked.where(F.col("_block") == number))
+    rows = lambda n, count: as_path(tables[n].read()).select(F.lit(n).alias("relation"), "root_id", "path", count.cast("long").alias("n"))
+    return rows("entries", F.lit(1)).union(rows("directories", F.lit(1))).union(rows("compact_dirs", F.col("files")))
