@@ -106,11 +106,6 @@ def diagnostics_histogram(spark, sf_dir):
     return reports.histogram(judged, reports.SAME_SIZE_OUTCOMES)
 
 
-@report(f"""WITH {sql.entries()} SELECT (SELECT count(*) FROM roots) AS roots, (SELECT count(*) FROM files) AS entries, (SELECT count(*) FROM dirs) AS directories""")
-def store_summary(spark, sf_dir):
-    return reports.store_summary(roots=roots(spark, sf_dir), entries=adapters.entries(spark, sf_dir, ["id"]), directories=adapters.directories(spark, sf_dir))
-
-
 @report(f"WITH {sql.ROOTS} SELECT root_id FROM roots ORDER BY root_id <= 2, root_id LIMIT 3")
 def fair_turn(spark, sf_dir):
     return reports.fair_turn(roots(spark, sf_dir).select(F.col("id").alias("root_id")), 2, 3)
@@ -612,4 +607,4 @@ def overlapping_directories(spark, sf_dir):
     return pairs.select(upper.alias("u")).groupBy(F.col("u.root_id").alias("root_id"), F.col("u.path").alias("upper")).agg(F.count("*").alias("lower_paths"))
 
 
-from cairn import ledger_reports, tree_reports  # noqa: E402, F401  (they register their reports)
+from cairn import ledger_reports, saved_reports, tree_reports  # noqa: E402, F401  (they register their reports)

@@ -34,3 +34,22 @@ def decode(token: str, inventory: str, minimum: int) -> tuple[int, int]:
     if (known, least) != (inventory, minimum):
         raise ValueError("the cursor is of another inventory or minimum")
     return size, id_
+
+
+#: Age that a page of findings has unless another is asked for; its cursors have a name of their own.
+DEFAULT_AGE, MAX_AGE = 90, 36_500
+
+
+def encode_finding(after: int, days: int = DEFAULT_AGE) -> str:
+    """Where the next page of findings begins; pages of another age have other cursors."""
+    return f"nm1:{after}" if days == DEFAULT_AGE else f"nm2:{days}:{after}"
+
+
+def decode_finding(token: str, days: int = DEFAULT_AGE) -> int:
+    """The last id of the page before; a cursor of another age, or one that ``encode_finding`` would not have made, is refused."""
+    if not 1 <= days <= MAX_AGE:
+        raise ValueError(f"days must be from 1 to {MAX_AGE}")
+    found = re.fullmatch("([1-9][0-9]{0,18})", token.rpartition(":")[2])
+    if not found or int(found[1]) >= 1 << 63 or encode_finding(int(found[1]), days) != token:
+        raise ValueError("not a cursor of this age")
+    return int(found[1])

@@ -39,3 +39,16 @@ def human_bytes(n: int) -> str:
             break
         value /= 1024
     return f"{n} B" if unit == "B" else f"{value:.1f} {unit}"
+
+
+UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
+
+
+def human_size(size: Column) -> Column:
+    """A size for people, as a column: whole bytes, else one digit after the point."""
+    nth = F.when(size < 1024, 0)
+    for i in range(1, len(UNITS) - 1):
+        nth = nth.when(size < 1024 ** (i + 1), i)
+    nth = nth.otherwise(len(UNITS) - 1)
+    value = F.format_string("%.1f", size.cast("double") / F.pow(F.lit(1024.0), nth))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(value, F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS]), (nth + 1).cast("int"))))

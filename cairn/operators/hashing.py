@@ -113,3 +113,37 @@ def fresh_comparison(jobs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(r) for r in RELATIONS])
     compared = jobs.where("role = 'copy'").join(keeper, "job_id", "left").withColumn("_rank", rank)
     return compared.groupBy("job_id").agg(F.count("*").alias("copies"), F.max("_rank").alias("_rank")).select("job_id", "copies", F.element_at(names, F.col("_rank") + 1).alias("relation"))
+
+
+def hash_snapshot(selections: DataFrame, work: DataFrame, attempts: DataFrame, budgets: DataFrame) -> DataFrame:
+    """What is saved of each selection of files to hash, if its rows agree with one another: else it is corrupt and the first reason is told.
+
+    ``selections`` has selection_id and targets, how many files it names; ``work`` (selection_id, work_id, status, size, durable_offset,
+    sha256), ``attempts`` (selection_id, work_id, day, reserved, status) and ``budgets`` (selection_id, day, total_reserved, clock).
+    A selection has ``MAX_SELECTION`` files at most; a file has one attempt, the last.
+    """
+    key = ["selection_id", "work_id"]
+    a = attempts.select(*key, F.col("day").alias("_day"), F.col("reserved").alias("_reserved"), F.col("status").alias("_attempt"))
+    b = budgets.select("selection_id", F.col("day").alias("_budget_day"), F.col("total_reserved").alias("_total"))
+    rows = work.join(a, key, "left").join(b, "selection_id", "left")
+    known = F.coalesce(F.col("status").isin("pending", "running", "complete", "blocked"), F.lit(False))
+    reason = (
+        F.when(~known, "status_unknown")
+        .when((F.col("durable_offset") < 0) | (F.col("durable_offset") > F.col("size")), "offset_outside_file")
+        .when((F.col("status") == "complete") & ((F.col("durable_offset") != F.col("size")) | F.coalesce(~F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(True))), "completed_without_digest")
+        .when((F.col("status") != "complete") & F.col("sha256").isNotNull(), "digest_before_completion")
+        .when((F.col("status") == "running") & F.coalesce(F.col("_attempt") != "reserved", F.lit(True)), "running_without_reservation")
+        .when(F.col("_day").isNotNull() & F.col("_total").isNull(), "attempt_without_budget")
+        .when((F.col("_day") > F.col("_budget_day")) | (F.col("_reserved") > F.col("_total")), "attempt_beyond_budget")
+    )
+    judged = rows.withColumn("_reason", reason)
+    n = lambda s: F.count_if(F.col("status") == s)
+    found = judged.groupBy("selection_id").agg(
+        F.count("*").alias("files"), *[n(s).alias(s) for s in ("pending", "running", "complete", "blocked")], F.coalesce(F.sum("durable_offset"), F.lit(0)).alias("durable_bytes"), F.coalesce(F.max("_total"), F.lit(0)).alias("reserved_bytes"),
+        F.min(F.when(F.col("_reason").isNotNull(), F.struct("work_id", "_reason"))).getField("_reason").alias("_reason"),
+    )
+    joined = selections.join(found, "selection_id", "left")
+    count = F.coalesce("files", F.lit(0))
+    reason = F.when((count != F.col("targets")) | (count > MAX_SELECTION), "files_do_not_match").otherwise(F.col("_reason"))
+    figures = ["files", "pending", "running", "complete", "blocked", "durable_bytes", "reserved_bytes"]
+    return joined.select("selection_id", F.when(reason.isNull(), "saved_hash_observations").otherwise("corrupt").alias("source"), reason.alias("reason"), *[F.when(reason.isNull(), F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in figures])

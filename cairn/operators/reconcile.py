@@ -23,6 +23,18 @@ def purge_subtrees(entries: DataFrame, tops: DataFrame) -> DataFrame:
     return entries.join(below, ["root_id", "id"], "left_anti").join(anchors, ["root_id", "path"], "left_anti")
 
 
+MAX_ROOTS = 128
+
+
+def admit_roots(wanted: DataFrame, saved: DataFrame, limit: int = MAX_ROOTS) -> DataFrame:
+    """``sync_roots`` where a store retains ``limit`` roots at most, disabled ones included: a request that would go beyond is refused as a whole."""
+    retained = saved.limit(limit + 1).count()
+    added = wanted.select("path").distinct().join(saved.select("path"), "path", "left_anti").limit(limit + 1).count()
+    if retained > limit or added and retained + added > limit:
+        raise ValueError(f"a store retains {limit} roots at most")
+    return sync_roots(wanted, saved)
+
+
 def sync_roots(wanted: DataFrame, saved: DataFrame) -> DataFrame:
     """Saved roots with those no longer wanted disabled, and new ones added."""
     w = wanted.select("path", F.lit(True).alias("_w"))
@@ -58,6 +70,13 @@ def edit_exclusions(saved: DataFrame, add: DataFrame, remove: DataFrame) -> Data
     return saved.select("path").union(add.select("path")).distinct().join(remove.select("path"), "path", "left_anti")
 
 
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two tables that one has more often than the other, and how much more often; nulls are equal. Counts meet, not the repeated rows."""
+    columns = a.columns
+    both = a.select(*columns, F.lit(1).alias("_n")).unionAll(b.select(*columns, F.lit(-1).alias("_n")))
+    return both.groupBy(*columns).agg(F.sum("_n").cast("long").alias("more")).where("more <> 0")
+
+
 def same_contents(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows, repeats included."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

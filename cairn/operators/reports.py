@@ -158,13 +158,16 @@ def root_diagnostics(roots: DataFrame, jobs: DataFrame) -> DataFrame:
     return joined.select("root_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pending", "running", "retried")])
 
 
-def store_summary(**relations: DataFrame) -> DataFrame:
-    """Counts of several relations in one row."""
-    out = None
-    for name, df in relations.items():
-        one = df.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+def store_summary(roots: DataFrame, entries: DataFrame, jobs: DataFrame, directories: DataFrame) -> DataFrame:
+    """Counts of a store in one row."""
+    row = lambda df, **counts: df.agg(*[c.alias(n) for n, c in counts.items()])
+    whole = F.col("complete") & (F.col("last_error") == "")
+    return (
+        row(roots, enabled_roots=F.count_if("enabled"))
+        .crossJoin(row(entries, entries=F.count("*"), skipped_entries=F.count_if(F.col("skip_reason") != "")))
+        .crossJoin(row(jobs, pending_jobs=F.count_if(F.col("status") == "pending"), running_jobs=F.count_if(F.col("status") == "running")))
+        .crossJoin(row(directories, complete_directories=F.count_if(whole), directory_errors=F.count_if(F.col("last_error") != "")))
+    )  # one row each
 
 
 def due_jobs(jobs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from cairn.shipping import ship
+
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
 # --- sessions of a growing counter ---------------------------------------------------------------
@@ -130,6 +132,7 @@ def folded(rows: DataFrame, key: str, order: list[str], values: list[str], outpu
     spills, and folded batch by batch with the key's state carried along: a task holds one batch and one
     state, however many rows a key has.
     """
+    ship(rows.sparkSession)
     kept = [key, *order]
     sorted_ = rows.select(*kept, *values).repartition(key).sortWithinPartitions(key, *order)
     schema = StructType([rows.schema[c] for c in kept] + output.fields)
@@ -201,3 +204,69 @@ def refresh_phases(events: DataFrame) -> DataFrame:
 
     output = StructType([StructField("phase", StringType()), StructField("qualification", StringType())])
     return folded(events, "root_id", ["at"], ["kind", "generation", "ok"], output, lambda: ("none", 0), step)
+
+
+# --- paced dispatch, records kept once -------------------------------------------------------------
+
+
+def dispatches(requests: DataFrame, key: str, interval_us: int, daily: int) -> DataFrame:
+    """Requests (key, ordinal, at_us) for one chunk of work each, decided one after the other: a pause after each, so many a day.
+
+    The day only goes forward: a clock that runs back keeps the saved day and is told last, whatever else
+    would defer the request.
+    """
+
+    def step(state: tuple, at: int) -> tuple[tuple, tuple]:
+        day, used, last, then = state
+        today = at // DAY_US
+        own, spent = (day, used) if day >= today else (today, 0)
+        reason = "cadence" if at < then else ""
+        reason = "daily_chunk_limit" if spent >= daily else reason
+        reason = "clock_rollback" if at < last else reason
+        if reason:
+            return state, (reason, spent)
+        return (own, spent + 1, at, at + interval_us), ("dispatched", spent + 1)
+
+    output = StructType([StructField("outcome", StringType()), StructField("used", LongType())])
+    return folded(requests, key, ["ordinal"], ["at_us"], output, lambda: (-1, 0, -(1 << 62), -(1 << 62)), step)
+
+
+MAX_DISMISSALS = 128
+
+
+def dismissal_history(requests: DataFrame, key: str = "store", capacity: int = MAX_DISMISSALS) -> DataFrame:
+    """Requests (store, ordinal, action, request_id) to dismiss a finding or undo that, and what becomes of each.
+
+    A store keeps ``capacity`` records, undone ones included. Saving one that is there changes nothing: one that was
+    undone stays undone. The state of a store is its records, so it is bounded.
+    """
+
+    def step(state: dict, action: str, request: str) -> tuple[dict, tuple]:
+        known = state.get(request)
+        if action == "undo":
+            if known is None:
+                return state, ("not_found", len(state))
+            state[request] = "undone"
+            return state, ("undone", len(state))
+        if known is None and len(state) >= capacity:
+            return state, ("capacity_reached", len(state))
+        state.setdefault(request, "dismissed")
+        return state, (state[request], len(state))
+
+    output = StructType([StructField("state", StringType()), StructField("records", LongType())])
+    return folded(requests, key, ["ordinal"], ["action", "request_id"], output, dict, step)
+
+
+def kept_selections(requests: DataFrame) -> DataFrame:
+    """Requests (store, ordinal, payload) to keep a selection: a store's first stands, the same again is the same, another conflicts."""
+    named = requests.withColumn("selection_id", F.sha2("payload", 256))
+    first = named.groupBy("store").agg(F.min(F.struct("ordinal", "selection_id")).alias("_first"))
+    state = F.when(F.col("ordinal") == F.col("_first.ordinal"), "created").when(F.col("selection_id") == F.col("_first.selection_id"), "existing").otherwise("conflict")
+    return named.join(first, "store").select("store", "ordinal", F.col("_first.selection_id").alias("selection_id"), state.alias("state"))
+
+
+def late_observations(observations: DataFrame, key: str, lateness_us: int) -> DataFrame:
+    """Observations (key, ordinal, at_us) in the order they came, with those too far behind the latest of their key told as rolled back instead of dropped."""
+    before = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    high = F.max("at_us").over(before)
+    return observations.select(key, "ordinal", "at_us", F.when(F.coalesce(F.col("at_us") < high - lateness_us, F.lit(False)), "clock_rollback").otherwise("accepted").alias("state"))

@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cairn.functions import paths
+from cairn.shipping import ship
 from cairn.sources.written import written
 
 #: Levels above a scope that are looked at.
@@ -265,6 +266,7 @@ def tree_digests(records: DataFrame) -> DataFrame:
     A digest is of one stream, so a tree is one task; its rows are sorted by Spark, which spills, and
     pass a hasher in batches. Records with a null are counted only.
     """
+    ship(records.sparkSession)
     framed = F.concat(F.octet_length("path").cast("string"), F.lit(":"), "path", F.octet_length("fields").cast("string"), F.lit(":"), "fields")
     rows = records.select("tree", "path", framed.alias("r")).repartition("tree").sortWithinPartitions("tree", "path", "r").select("tree", F.col("r").cast("binary").alias("r"))
     schema = StructType([records.schema["tree"], StructField("digest", StringType()), StructField("records", LongType())])
@@ -290,6 +292,14 @@ def tree_digests(records: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def stable_trees(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two passes over the same trees (records as ``tree_digests`` takes them): a digest stands only where both passes agree."""
+    a, b = tree_digests(first), tree_digests(second)
+    both = a.alias("a").join(b.alias("b"), "tree", "full")
+    same = F.coalesce((F.col("a.digest") == F.col("b.digest")) & (F.col("a.records") == F.col("b.records")), F.lit(False))
+    return both.select("tree", F.when(same, "metadata_observed").otherwise("tree_changed_during_check").alias("status"), F.when(same, F.col("a.digest")).alias("digest"), F.when(same, F.col("a.records")).alias("records"))
+
+
 def resolve_link(directory: Column, target: Column) -> Column:
     """Where a relative link leads inside its tree; null if it leaves the tree or is absolute."""
     steps = F.concat(F.when(directory == ".", F.array().cast("array<string>")).otherwise(F.split(directory, "/")), F.split(target, "/"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import digests
+from cairn.shipping import ship
 
 STEP = 1 << 20
 #: Windows, or whole files, that a task has at a time.
@@ -76,6 +77,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 def _dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
     """Rows dealt evenly; work, not files, decides how many tasks there are."""
+    ship(rows.sparkSession)
     return rows.repartition(tasks or max(1, min(100_000, -(-rows.count() // RANGES_OF_TASK))))
 
 
@@ -149,16 +151,18 @@ def hash_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str, tasks: int = 8) -> DataFrame:
-    """Rows (id, content) as files that executors write below a folder they share, with what a scan would save of each. A task run again writes the same files."""
+    """Rows (id, content, folder if there is one) as files that executors write below a folder they share, with what a scan would save of each. A task run again writes the same files."""
     ddl = "id long, path binary, size long, mtime_ns long, ctime_ns long, device string, inode string"
+    ship(rows.sparkSession)
     schema = _schema(ddl)
     top = os.fsencode(folder)
 
     def run(batches):
-        os.makedirs(top, exist_ok=True)
         for batch in batches:
-            for id_, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = os.path.join(top, b"f%d" % id_)
+            for id_, content, inner in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                folder = os.path.join(top, os.fsencode(inner))
+                os.makedirs(folder, exist_ok=True)
+                path = os.path.join(folder, b"f%d" % id_)
                 data = content or b""
                 if not os.path.exists(path):
                     own = b"%s.%d" % (path, os.getpid())
@@ -170,4 +174,5 @@ def write_files(rows: DataFrame, folder: str, tasks: int = 8) -> DataFrame:
                 values = (id_, path, found.st_size, found.st_mtime_ns, found.st_ctime_ns, str(found.st_dev), str(found.st_ino))
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    return rows.select("id", F.col("content").cast("binary").alias("content")).repartition(tasks).mapInArrow(run, ddl)
+    inner = F.col("folder") if "folder" in rows.columns else F.lit("")
+    return rows.select("id", F.col("content").cast("binary").alias("content"), inner.alias("folder")).repartition(tasks).mapInArrow(run, ddl)

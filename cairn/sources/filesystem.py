@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.shipping import ship
+
 #: Names whose contents are not listed.
 EXCLUDED_NAMES = (b".git", b".Trash", b".Trashes", b".snapshots", b"Backups.backupdb")
 #: Children of a directory that are told at once, and in one step; kinds of the rows that end a listing or say where it goes on.
@@ -76,6 +78,7 @@ def scan_tree(spark: SparkSession, root: str, store: str, parallel: int = 8, exc
     ``store``, so a scan that was broken off goes on from its last whole step, inside a large directory
     as well, and nothing is held in memory. ``steps`` ends a call after so many steps; a later call goes on.
     """
+    ship(spark)
     top, excluded = os.fsencode(root), frozenset(exclude)
     device = os.lstat(top).st_dev
 

@@ -19,6 +19,19 @@ def engine_images(responses: DataFrame) -> DataFrame:
     return rows.select("context", F.col("i.Id").alias("id"), F.concat_ws(",", F.array_sort(F.coalesce("i.RepoTags", F.array().cast("array<string>")))).alias("tags"), F.col("i.Created").alias("created"), "truncated")
 
 
+CONTAINERS = "array<struct<Id:string,Image:string,State:string,Created:bigint>>"
+#: States that an engine's container may have (fixed values).
+STATES = ("created", "running", "paused", "restarting", "removing", "exited", "dead")
+
+
+def engine_containers(responses: DataFrame) -> DataFrame:
+    """Ids, images, states and dates of an engine's containers from its response bodies (context, body); more than 128 are cut and marked."""
+    parsed = responses.withColumn("_c", F.from_json("body", CONTAINERS, {"mode": "FAILFAST"}))
+    rows = parsed.select("context", (F.size("_c") > MAX_OBJECTS).alias("truncated"), F.explode(F.slice("_c", 1, MAX_OBJECTS)).alias("c"))
+    state = F.when(F.col("c.State").isin(*STATES), F.col("c.State")).otherwise("unknown")
+    return rows.select("context", F.col("c.Id").alias("id"), F.col("c.Image").alias("image"), state.alias("state"), F.col("c.Created").alias("created"), "truncated")
+
+
 CACHE = "struct<BuildCache:array<struct<ID:string,Type:string,InUse:boolean,Shared:boolean,UsageCount:bigint>>>"
 #: Kinds of records that an engine's build cache may list (fixed values).
 CACHE_TYPES = ("internal", "frontend", "source.local", "source.git.checkout", "exec.cachemount", "regular")

@@ -282,7 +282,7 @@ def ancestor_chains(spark, sf_dir):
 
 # --- jobs, comparisons and metadata made of the other tables ----------------------------------------
 
-_JOBS = """jobs AS (SELECT o_orderkey AS id, o_custkey % 40 AS root_id, CASE o_orderkey % 4 WHEN 0 THEN 'reduce' WHEN 1 THEN 'retire' ELSE 'scan' END AS kind, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'done' ELSE 'running' END AS status,
+JOBS = """jobs AS (SELECT o_orderkey AS id, o_custkey % 40 AS root_id, CASE o_orderkey % 4 WHEN 0 THEN 'reduce' WHEN 1 THEN 'retire' ELSE 'scan' END AS kind, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'done' ELSE 'running' END AS status,
             o_custkey * 7 % 1000 AS due_at_ns, o_orderkey % 3 AS attempts FROM orders), r AS (SELECT i AS id, i % 5 <> 3 AS enabled FROM range(45) AS t(i))"""
 
 
@@ -296,13 +296,13 @@ def jobs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return work, spark.range(45).select("id", (F.col("id") % 5 != 3).alias("enabled"))
 
 
-@report(f"""WITH {_JOBS} SELECT r.id AS root_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (attempts > 1) AS retried FROM r LEFT JOIN jobs ON jobs.root_id = r.id GROUP BY r.id""")
+@report(f"""WITH {JOBS} SELECT r.id AS root_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (attempts > 1) AS retried FROM r LEFT JOIN jobs ON jobs.root_id = r.id GROUP BY r.id""")
 def root_diagnostics(spark, sf_dir):
     work, roots = jobs(spark, sf_dir)
     return reports.root_diagnostics(roots, work)
 
 
-@report(f"""WITH {_JOBS}, ready AS (SELECT jobs.*, row_number() OVER (PARTITION BY kind ORDER BY due_at_ns, jobs.id) AS nth, count(*) OVER (PARTITION BY kind) AS waiting FROM jobs JOIN r ON r.id = root_id WHERE enabled AND status = 'pending')
+@report(f"""WITH {JOBS}, ready AS (SELECT jobs.*, row_number() OVER (PARTITION BY kind ORDER BY due_at_ns, jobs.id) AS nth, count(*) OVER (PARTITION BY kind) AS waiting FROM jobs JOIN r ON r.id = root_id WHERE enabled AND status = 'pending')
     SELECT kind, due_at_ns, id AS job_id, waiting FROM ready WHERE nth = 1""")
 def due_jobs(spark, sf_dir):
     work, roots = jobs(spark, sf_dir)
