@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.evidence import differ
+
 MAX_SELECTION = 20
 
 
 def identity_evidence(work: DataFrame) -> DataFrame:
     """Work rows with what the whole selection says of their object: seen again, and in conflict with itself."""
     named = (F.col("device") != "") & (F.col("inode") != "")
-    evidence = F.struct("size", "allocated", "ctime_ns", "mtime_ns")
     digest = F.when(F.col("status") == "complete", F.col("sha256"))
     objects = work.where(named).groupBy("device", "inode").agg(
-        F.count("*").alias("_rows"), F.min(evidence).alias("_low"), F.max(evidence).alias("_high"), F.min(digest).alias("_d1"), F.max(digest).alias("_d2")
+        F.count("*").alias("_rows"), differ("size", "allocated", "ctime_ns", "mtime_ns").alias("_differ"), F.min(digest).alias("_d1"), F.max(digest).alias("_d2")
     )
-    objects = objects.select("device", "inode", (F.col("_rows") > 1).alias("repeated"), ((F.col("_low") != F.col("_high")) | F.coalesce(F.col("_d1") != F.col("_d2"), F.lit(False))).alias("conflicting"))
+    objects = objects.select("device", "inode", (F.col("_rows") > 1).alias("repeated"), (F.col("_differ") | F.coalesce(F.col("_d1") != F.col("_d2"), F.lit(False))).alias("conflicting"))
     return work.join(objects, ["device", "inode"], "left").na.fill(False, ["repeated", "conflicting"])
 
 
@@ -39,7 +40,8 @@ def hash_groups(work: DataFrame) -> DataFrame:
 def hash_members(work: DataFrame) -> DataFrame:
     """The members of each group of two or more with their object's qualifiers and the group's size; to be read by size downwards, digest and id."""
     done = identity_evidence(work).where("status = 'complete'")
-    groups = done.groupBy("size", "sha256").agg(F.count("*").alias("members")).where("members >= 2")
+    # how large a group is needs no evidence
+    groups = work.where("status = 'complete'").groupBy("size", "sha256").agg(F.count("*").alias("members")).where("members >= 2")
     return done.join(groups, ["size", "sha256"]).select("size", "sha256", "members", "file_id", "root_id", "repeated", "conflicting")
 
 
@@ -49,8 +51,7 @@ def identity_status(files: DataFrame, known: Column) -> DataFrame:
     Objects are reduced before they meet the files again; only those seen more than once do.
     """
     rows = files.withColumn("_known", known)
-    evidence = F.struct("ctime_ns", "mtime_ns", "size", "allocated")
-    objects = rows.where("_known").groupBy("device", "inode").agg(F.count("*").alias("_rows"), (F.min(evidence) != F.max(evidence)).alias("_differ")).where("_rows > 1")
+    objects = rows.where("_known").groupBy("device", "inode").agg(F.count("*").alias("_rows"), differ("ctime_ns", "mtime_ns", "size", "allocated").alias("_differ")).where("_rows > 1")
     joined = rows.join(objects, ["device", "inode"], "left")
     status = F.when(~F.col("_known"), "unknown").when(F.col("_differ"), "conflicting").when(F.col("_rows") > 1, "alias").otherwise("known")
     return joined.withColumn("identity_status", status).drop("_known", "_rows", "_differ")

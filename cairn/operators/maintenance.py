@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.functions.evidence import differ
 from cairn.sources.written import written
 
 #: What a scope is told of; all are sums over rows or over objects.
@@ -47,7 +48,7 @@ def _above(changes: DataFrame) -> DataFrame:
 
 def _figures(ledger: DataFrame) -> DataFrame:
     """What each object counts for in its scope."""
-    held = ledger.where("n > 0").groupBy(*OBJECT).agg(F.max("allocated").alias("_a"), F.sum("n").alias("_n"), (F.min(F.struct(*FIGURES)) != F.max(F.struct(*FIGURES))).alias("_differ"))
+    held = ledger.where("n > 0").groupBy(*OBJECT).agg(F.max("allocated").alias("_a"), F.sum("n").alias("_n"), differ(*FIGURES).alias("_differ"))
     return held.select(*OBJECT, F.lit(1).cast("long").alias("objects"), F.col("_a").alias("linked"), (F.col("_n") - 1).alias("repeated"), F.col("_differ").cast("long").alias("conflicting"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.functions.evidence import differ
 
 
 def absent_rows(entries: DataFrame, directories: DataFrame) -> DataFrame:
@@ -58,9 +59,8 @@ def compact(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = files.groupBy(*keys).agg(
         F.sum(F.when(ok, F.col("size")).otherwise(0)).alias("logical"), F.count_if(ok).alias("files"), F.count_if(ok & ~named).alias("unknown_inodes"), F.count_if(~ok).alias("skipped_files")
     )
-    figures = F.struct("allocated", "size")
     ledger = files.where(ok & named).groupBy(*keys, "device", "inode").agg(
-        F.max("allocated").alias("allocated"), F.max("size").alias("logical"), F.count("*").alias("paths"), (F.min(figures) != F.max(figures)).alias("conflicting")
+        F.max("allocated").alias("allocated"), F.max("size").alias("logical"), F.count("*").alias("paths"), differ("allocated", "size").alias("conflicting")
     )
     return totals, ledger
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions import cursors, paths
+from cairn.functions.evidence import differ
 
 PARENT_PASSES = ("unknown", "directory_error", "unconfirmed", "partial", "observed_in_completed_parent_pass")
 SAME_SIZE_OUTCOMES = ("disabled_root", "skipped", "generated_dependency", "compact_parent", "invalid_saved_path", "eligible")
@@ -78,9 +79,8 @@ def same_size_bands(files: DataFrame, minimum: int) -> DataFrame:
     ``files`` are those that ``eligible`` leaves.
     """
     rows = files.where(F.col("size") >= minimum).withColumn("_known", known_identity())
-    evidence = F.struct("ctime_ns", "mtime_ns", "allocated")
     objects = rows.groupBy("size", "_known", F.when(F.col("_known"), F.col("device")).alias("_d"), F.when(F.col("_known"), F.col("inode")).alias("_i")).agg(
-        F.count("*").alias("_rows"), F.min(evidence).alias("_low"), F.max(evidence).alias("_high")
+        F.count("*").alias("_rows"), differ("ctime_ns", "mtime_ns", "allocated").alias("_differ")
     )
     known = F.col("_known")
     return (
@@ -90,7 +90,7 @@ def same_size_bands(files: DataFrame, minimum: int) -> DataFrame:
             F.count_if(known).alias("known_objects"),
             F.sum(F.when(known, F.col("_rows") - 1).otherwise(0)).alias("repeated"),
             F.sum(F.when(~known, F.col("_rows")).otherwise(0)).alias("unknown"),
-            F.count_if(known & (F.col("_low") != F.col("_high"))).alias("conflicting"),
+            F.count_if(known & F.col("_differ")).alias("conflicting"),
         )
         .where("files >= 2")
     )

@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cairn.functions import paths
+from cairn.functions.evidence import differ
 from cairn.shipping import ship
 from cairn.sources.written import written
 
@@ -142,16 +143,16 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
         F.bool_or(live & stale).alias("_stale"),
         F.bool_or("_truncated").alias("truncated"),
     )
-    figures = F.struct("allocated", "size")
     objects = r.where(live & file & named).groupBy("root_id", "scope", "device", "inode").agg(
-        F.max("allocated").alias("a"), F.count("*").alias("n"), F.min(figures).alias("low"), F.max(figures).alias("high"), F.lit(False).alias("differ")
+        F.max("allocated").alias("a"), F.count("*").alias("n"), F.min("allocated").alias("low_a"), F.max("allocated").alias("high_a"), F.min("size").alias("low_s"), F.max("size").alias("high_s"), F.lit(False).alias("differ")
     )
     if ledger is not None:
         met = r.where(compact).select("root_id", "scope", "_path", F.col("_cg").alias("generation"))
         own = ledger.withColumn("_path", paths.as_text(F.col("parent")))
-        figures = F.struct("allocated", F.col("logical").alias("size"))
-        objects = objects.unionByName(met.join(own, ["root_id", "_path", "generation"]).select("root_id", "scope", "device", "inode", F.col("allocated").alias("a"), F.col("paths").alias("n"), figures.alias("low"), figures.alias("high"), F.col("conflicting").alias("differ")))
-    once = objects.groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.bool_or("differ") | (F.min("low") != F.max("high"))).alias("differ"))
+        bounds = [F.col(c).alias(f"{side}_{n}") for side in ("low", "high") for n, c in (("a", "allocated"), ("s", "logical"))]
+        objects = objects.unionByName(met.join(own, ["root_id", "_path", "generation"]).select("root_id", "scope", "device", "inode", F.col("allocated").alias("a"), F.col("paths").alias("n"), *bounds, F.col("conflicting").alias("differ")))
+    apart = (F.min("low_a") != F.max("high_a")) | (F.min("low_s") != F.max("high_s"))
+    once = objects.groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.bool_or("differ") | apart).alias("differ"))
     by_object = once.groupBy("root_id", "scope").agg(F.sum("a").alias("_linked"), F.sum(F.col("n") - 1).alias("repeated"), F.bool_or("differ").alias("_differ"))
     found = wanted.join(_chains(wanted, rows), ["root_id", "scope"], "left").join(by_row, ["root_id", "scope"], "left").join(by_object, ["root_id", "scope"], "left")
     if root_errors is not None:
@@ -172,9 +173,8 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
 
 def identity_reduction(rows: DataFrame, by: list[str]) -> DataFrame:
     """Objects of each scope counted once: allocated bytes, paths, repeats and conflicting objects."""
-    figures = F.struct("allocated", "logical")
     objects = rows.groupBy(*by, "device", "inode").agg(
-        F.max("allocated").alias("_a"), F.count("*").alias("_n"), F.sum("logical").alias("_l"), (F.min(figures) != F.max(figures)).alias("_differ")
+        F.max("allocated").alias("_a"), F.count("*").alias("_n"), F.sum("logical").alias("_l"), differ("allocated", "logical").alias("_differ")
     )
     return objects.groupBy(*by).agg(
         F.count("*").alias("objects"), F.sum("_a").alias("allocated_bytes"), F.sum("_l").alias("logical_bytes"), F.sum("_n").alias("paths"),
@@ -190,30 +190,38 @@ def scope_sizes(entries: DataFrame, directories: DataFrame, totals: DataFrame |
     """
     gone = directories.where("complete and last_error = ''").select("root_id", F.col("path").alias("parent"), F.col("generation").alias("_g"))
     rows = entries.join(gone, ["root_id", "parent"], "left").withColumn("live", ~F.coalesce(F.col("_g") != F.col("generation"), F.lit(False)))
-    named, live = F.col("inode") != "", F.col("live")
-    # everything of a directory is summed before its scopes are exploded
-    by_parent = rows.groupBy("root_id", "parent").agg(
-        F.count("*").alias("entries_examined"), F.count_if(~live).alias("excluded_entries"), F.count_if(live).alias("file_paths"), F.sum(F.when(live, F.col("size")).otherwise(0)).alias("logical_bytes"),
-        F.sum(F.when(live & ~named, F.col("allocated")).otherwise(0)).alias("loose"), F.count_if(live & ~named).alias("unknown_inodes"),
-        F.min(F.when(live, F.col("observed_at_ns"))).alias("oldest_ns"), F.max(F.when(live, F.col("observed_at_ns"))).alias("newest_ns"), F.lit(0).cast("long").alias("compacted_directories"),
+    named, live, zero, none = F.col("inode") != "", F.col("live"), F.lit(0).cast("long"), F.lit(None).cast("long")
+    one = lambda test: F.when(test, 1).otherwise(0).cast("long")
+    of = lambda test, c: F.when(test, F.col(c)).otherwise(0)
+    keyed = live & named
+    # one chain from rows to a directory's objects, to a scope's, to the scope; what has no object is summed under a null one
+    objects = rows.select(
+        "root_id", "parent", F.when(keyed, F.col("device")).alias("device"), F.when(keyed, F.col("inode")).alias("inode"), F.lit(1).cast("long").alias("entries_examined"), one(~live).alias("excluded_entries"), one(live).alias("file_paths"),
+        of(live, "size").alias("logical_bytes"), of(live & ~named, "allocated").alias("loose"), one(live & ~named).alias("unknown_inodes"), F.when(live, F.col("observed_at_ns")).alias("oldest_ns"), F.when(live, F.col("observed_at_ns")).alias("newest_ns"),
+        zero.alias("compacted_directories"), one(keyed).alias("n"), F.when(keyed, F.col("allocated")).alias("a"), F.when(keyed, F.col("allocated")).alias("low_a"), F.when(keyed, F.col("size")).alias("low_s"), F.when(keyed, F.col("size")).alias("high_s"),
     )
-    figures = [c for c in by_parent.columns if c not in ("root_id", "parent")]
-    objects = rows.where(live & named).groupBy("root_id", "parent", "device", "inode").agg(F.max("allocated").alias("a"), F.count("*").alias("n"), F.min(F.struct("allocated", "size")).alias("low"), F.max(F.struct("allocated", "size")).alias("high"))
     if totals is not None:
-        zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-        by_parent = by_parent.unionByName(
-            totals.select("root_id", "parent", zero.alias("entries_examined"), zero.alias("excluded_entries"), F.col("files").alias("file_paths"), F.col("logical").alias("logical_bytes"), zero.alias("loose"),
-                          "unknown_inodes", none.alias("oldest_ns"), none.alias("newest_ns"), F.lit(1).cast("long").alias("compacted_directories"))
-        )
-        objects = objects.unionByName(ledger.select("root_id", "parent", "device", "inode", F.col("allocated").alias("a"), F.col("paths").alias("n"), F.struct("allocated", F.col("logical").alias("size")).alias("low"), F.struct("allocated", F.col("logical").alias("size")).alias("high")))
+        text = lambda c: F.lit(None).cast(objects.schema[c].dataType).alias(c)
+        sums = totals.select(
+            "root_id", "parent", text("device"), text("inode"), zero.alias("entries_examined"), zero.alias("excluded_entries"), F.col("files").alias("file_paths"), F.col("logical").alias("logical_bytes"), zero.alias("loose"), "unknown_inodes",
+            none.alias("oldest_ns"), none.alias("newest_ns"), F.lit(1).cast("long").alias("compacted_directories"), zero.alias("n"), none.alias("a"), none.alias("low_a"), none.alias("low_s"), none.alias("high_s"),
+        )
+        seen = ledger.select(
+            "root_id", "parent", "device", "inode", *[zero.alias(c) for c in ("entries_examined", "excluded_entries", "file_paths", "logical_bytes", "loose", "unknown_inodes")], none.alias("oldest_ns"), none.alias("newest_ns"),
+            zero.alias("compacted_directories"), F.col("paths").alias("n"), F.col("allocated").alias("a"), F.col("allocated").alias("low_a"), F.col("logical").alias("low_s"), F.col("logical").alias("high_s"),
+        )
+        objects = objects.unionByName(sums).unionByName(seen)
+    added = ["entries_examined", "excluded_entries", "file_paths", "logical_bytes", "loose", "unknown_inodes", "compacted_directories", "n"]
+    least, most = ["oldest_ns", "low_a", "low_s"], ["newest_ns", "a", "high_s"]
+    merged = [F.sum(c).alias(c) for c in added] + [F.min(c).alias(c) for c in least] + [F.max(c).alias(c) for c in most]
+    by_parent = objects.groupBy("root_id", "parent", "device", "inode").agg(*merged)
     up = F.explode(F.concat(paths.ancestors(F.col("parent")), F.array(paths.as_text(F.col("parent"))))).alias("scope")
-    summed = lambda c: F.min(c) if c == "oldest_ns" else F.max(c) if c == "newest_ns" else F.sum(c)
-    sums = by_parent.select("root_id", up, *figures).groupBy("root_id", "scope").agg(*[summed(c).alias(c) for c in figures])
-    once = objects.select("root_id", up, "device", "inode", "a", "n", "low", "high").groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("differ"))
-    linked = once.groupBy("root_id", "scope").agg(F.sum("a").alias("a"), F.sum(F.col("n") - 1).alias("repeated"), F.count_if("differ").alias("conflicting"))
-    zero_if = lambda c: F.coalesce(c, F.lit(0))
-    return sums.join(linked, ["root_id", "scope"], "left").select(
-        "root_id", "scope", *[c for c in figures if c != "loose"], (F.col("loose") + zero_if("a")).alias("allocated_bytes"), zero_if("repeated").alias("repeated"), zero_if("conflicting").alias("conflicting")
+    by_scope = by_parent.select("root_id", up, "device", "inode", *added, *least, *most).groupBy("root_id", "scope", "device", "inode").agg(*merged)
+    told = ["entries_examined", "excluded_entries", "file_paths", "logical_bytes", "unknown_inodes", "compacted_directories"]
+    object_ = F.col("inode").isNotNull()
+    return by_scope.groupBy("root_id", "scope").agg(
+        *[F.sum(c).alias(c) for c in told[:5]], F.min("oldest_ns").alias("oldest_ns"), F.max("newest_ns").alias("newest_ns"), F.sum("compacted_directories").alias("compacted_directories"),
+        (F.sum("loose") + F.sum(F.when(object_, F.col("a")).otherwise(0))).alias("allocated_bytes"), F.sum(F.when(object_, F.col("n") - 1).otherwise(0)).alias("repeated"), F.count_if(object_ & ((F.col("low_a") != F.col("a")) | (F.col("low_s") != F.col("high_s")))).alias("conflicting"),
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import digests
+from cairn.functions.evidence import differ
 from cairn.shipping import ship
 
 STEP = 1 << 20
@@ -105,8 +106,7 @@ def sample_files(files: DataFrame, domain: str, window: int = digests.WINDOW, ta
     Equal digests do not mean equal files. Two rows that disagree about one object are both blocked
     before anything is read. An empty file has no window and the digest of its frame.
     """
-    state = F.struct("size", "mtime_ns", "ctime_ns")
-    objects = files.groupBy("device", "inode").agg((F.min(state) != F.max(state)).alias("_conflict"))
+    objects = files.groupBy("device", "inode").agg(differ("size", "mtime_ns", "ctime_ns").alias("_conflict"))
     judged = files.join(objects, ["device", "inode"], "left")
     plan = judged.where("not _conflict").select("id", "path", *EVIDENCE, F.explode_outer(digests.sample_windows(F.col("size"), window)).alias("w"))
     read = read_ranges(plan.where("w is not null").select("id", "path", F.col("w.start").alias("start"), F.col("w.length").alias("length"), *EVIDENCE), tasks)
