@@ -3,10 +3,13 @@
 The patterns give the base spans. Beside them every run of 20 or more key characters is a
 candidate: its encoding is inferred from its alphabet, and a chi-squared test of uniformity over
 that alphabet, a runs test about its median and a test of the correlation between neighbours are
-joined to one p-value for "random". A candidate that survives them is held against the corpus:
-the likelihood ratio of uniform symbols to the corpus' own letter frequencies bounds its p-value
-for "ordinary text", and the false-discovery rate over all candidates of its length class is held
-at ``FDR``. Only then, and where no base span lies, it is added with the kind ``random``.
+joined to one figure, the battery's p-value for "random symbols". Ordinary text fails it, so its
+p-value under "ordinary text" is how often runs of text reach that figure: the battery is applied to
+``DRAWS`` runs of the class' least length, drawn from the letters of the whole corpus, candidates
+left out, that belong to the encoding. These p-values, of all candidates of an encoding and length class, go to a step-up rule that
+holds the false-discovery rate at ``FDR``; shorter runs of text pass the battery more easily, so shorter
+classes demand more. What the rule discovers is added with the kind ``random`` where no base span lies.
+The likelihood ratio of uniform symbols to the corpus' letters is told beside it and decides nothing.
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans. Repeated rows are
 each scanned, and count each in the discovery rate. A very long text is scanned whole; it takes some
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -34,7 +38,9 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Lengths from which a length class begins.
 CLASSES = (20, 32, 48, 96)
-FDR, MIN_RANDOM = 0.01, 0.001
+FDR = 0.01
+#: Runs of text that the battery is applied to, for each encoding and length class.
+DRAWS = 40_000
 #: Width of the bins of -log10 p in which discoveries are counted.
 BIN = 0.25
 
@@ -105,6 +111,52 @@ def randomness(run: str, encoding: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def battery(x: np.ndarray, size: int) -> np.ndarray:
+    """``randomness`` of many runs of one length, as rows of ranks in an alphabet of so many symbols."""
+    rows, n = x.shape
+    erfc = np.vectorize(math.erfc, otypes=[float])
+    counts = np.bincount((np.arange(rows)[:, None] * size + x).ravel(), minlength=rows * size).reshape(rows, size)
+    chi, free = (counts.astype(float) ** 2).sum(1) * size / n - n, size - 1
+    uniform = 0.5 * erfc((np.cbrt(chi / free) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)) / math.sqrt(2))
+    high = x >= size / 2
+    up = high.sum(1)
+    mean = 2 * up * (n - up) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    some = spread > 0
+    run_p = np.where(some, erfc(np.abs(runs - mean) / np.sqrt(np.where(some, spread, 1)) / math.sqrt(2)), 2.0 ** (1 - n))
+    off = x - x.mean(1, keepdims=True)
+    power = (off**2).sum(1)
+    serial = np.where(power > 0, (off[:, 1:] * off[:, :-1]).sum(1) / np.where(power > 0, power, 1), 1.0)
+    serial_p = erfc(np.abs((serial + 1 / n) * math.sqrt(n)) / math.sqrt(2))
+    half = -sum(np.log(np.maximum(p, 1e-300)) for p in (uniform, run_p, serial_p))
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
+def null_figures(letters: dict[str, int]) -> dict[tuple[str, int], np.ndarray]:
+    """Sorted figures that the battery gives runs of ordinary text, by encoding and length class: letters drawn as often as the corpus has them, one added to each."""
+    out = {}
+    for name, ranks in RANK.items():
+        weight = np.ones(len(ranks))
+        for c, n in letters.items():
+            folded = {"-": "+", "_": "/"}.get(c, c) if name == "base64" else c.upper() if name == "base32" else c.lower()  # text may be all capitals
+            if folded in ranks:
+                weight[ranks[folded]] += n
+        rng = np.random.Generator(np.random.PCG64(10))
+        for k, length in enumerate(CLASSES):
+            figures = []
+            for _ in range(0, DRAWS, 5000):
+                x = np.searchsorted(np.cumsum(weight / weight.sum()), rng.random((5000, length)), side="right").clip(0, len(ranks) - 1)
+                figures.append(battery(x, len(ranks)))
+            out[name, k] = np.sort(np.concatenate(figures))
+    return out
+
+
+def text_p(figure: float, null: np.ndarray) -> float:
+    """How often ordinary text reaches a figure of the battery, the run itself counted."""
+    return (1 + len(null) - int(np.searchsorted(null, figure, side="left"))) / (1 + len(null))
+
+
 def evidence(run: str, encoding: str, frequency: dict[str, float]) -> float:
     """log10 of the likelihood ratio of uniform symbols to the corpus' letters.
 
@@ -120,9 +172,9 @@ def evidence(run: str, encoding: str, frequency: dict[str, float]) -> float:
     return ratio
 
 
-def letter_frequencies(docs: DataFrame) -> dict[str, float]:
-    """Share of each folded key character among those of all texts, one added to each."""
-    keys = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+def letter_counts(docs: DataFrame) -> dict[str, int]:
+    """How often each key character stands in ordinary text: in all texts, candidates left out."""
+    keys = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
     schema = "c string, n long"
     arrow = arrow_schema(schema)
 
@@ -132,34 +184,60 @@ def letter_frequencies(docs: DataFrame) -> dict[str, float]:
             for t in batch.column(0):
                 text = t.as_py()
                 if text:
-                    total += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+                    total += np.bincount(np.frombuffer(CANDIDATE.sub("", text).encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array([chr(i) for i in range(128)]), pa.array([int(v) for v in total[:128]])], schema=arrow)
 
-    found = Counter(dict.fromkeys(keys, 1))
-    for c, n in docs.select("text").mapInArrow(count, schema).groupBy("c").agg(F.sum("n")).collect():
-        if c.lower() in found:
-            found[c.lower()] += n
+    found = docs.select("text").mapInArrow(count, schema).groupBy("c").agg(F.sum("n")).collect()
+    return {c: n for c, n in found if c in keys}
+
+
+def letter_frequencies(letters: dict[str, int]) -> dict[str, float]:
+    """Share of each folded key character among those counted, one added to each."""
+    found = Counter(dict.fromkeys("abcdefghijklmnopqrstuvwxyz0123456789+/_=-", 1))
+    for c, n in letters.items():
+        found[c.lower()] += n
     total = sum(found.values())
     return {c: n / total for c, n in found.items()}
 
 
 def discoveries(bins: list[tuple[int, int, int]]) -> dict[int, int]:
-    """Least bin of each class from which candidates are discoveries, of (class, bin, candidates); bin -1 only counts among all."""
+    """Least bin of each class from which candidates are discoveries, of (class, bin, candidates)."""
     least = {}
     for cls in {c for c, _, _ in bins}:
         total, kept = sum(n for c, _, n in bins if c == cls), 0
-        for bin_, n in sorted(((b, n) for c, b, n in bins if c == cls and b >= 0), reverse=True):
+        for bin_, n in sorted(((b, n) for c, b, n in bins if c == cls), reverse=True):
             kept += n
             if 10 ** (-bin_ * BIN) * total <= FDR * kept:  # step-up rule at the bin's largest p-value
                 least[cls] = bin_
     return least
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order."""
+    starts, ends = [], []
+    for a, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether a span meets what is covered."""
+    starts, ends = taken
+    at = bisect_left(starts, end)
+    return at > 0 and ends[at - 1] > start
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and those added, as arrays of (start, end, kind)."""
-    frequency = letter_frequencies(docs)
+    """doc_id, base spans and those added, as arrays of (start, end, kind); the added ones' likelihood ratios in their order."""
+    letters = letter_counts(docs)
+    frequency = letter_frequencies(letters)
+    nulls = docs.sparkSession.sparkContext.broadcast(null_figures(letters))  # DRAWS figures for each of 16 classes
     span = "array<struct<start:int,end:int,kind:string>>"
-    schema = f"doc_id long, base {span}, candidates array<struct<start:int,end:int,cls:int,bin:int>>"
+    schema = f"doc_id long, base {span}, candidates array<struct<start:int,end:int,cls:int,bin:int,ratio:double>>"
     arrow = arrow_schema(schema)
 
     def find(batches):
@@ -169,28 +247,28 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = t.as_py() or ""
                 spans = base_spans(text)
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
-                own = []
+                own, taken = [], _merged(spans)
                 for m in CANDIDATE.finditer(text):
                     a, b = m.span()
                     run = m[0].rstrip("=")
-                    kind = encoding_of(run) if len(run) >= 20 and not any(x < b and a < y for x, y, _ in spans) else None
+                    kind = encoding_of(run) if len(run) >= 20 and not _meets(taken, a, b) else None
                     if kind is None:
                         continue
-                    # those that fail the battery keep bin -1: they count among the candidates, never among the discoveries
-                    bin_ = max(0, int(evidence(run, kind, frequency) // BIN)) if randomness(run, kind) >= MIN_RANDOM else -1
-                    own.append({"start": a, "end": b, "cls": sum(len(run) >= c for c in CLASSES), "bin": bin_})
+                    k = sum(len(run) >= c for c in CLASSES) - 1
+                    bin_ = int(-math.log10(text_p(randomness(run, kind), nulls.value[kind, k])) // BIN)
+                    own.append({"start": a, "end": b, "cls": list(RANK).index(kind) * len(CLASSES) + k, "bin": bin_, "ratio": round(evidence(run, kind, frequency), 2)})
                 candidates.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, arrow.field(1).type), pa.array(candidates, arrow.field(2).type)], schema=arrow)
 
     found = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, schema), "secret-spans")
-    bins = found.select(F.explode("candidates").alias("c")).groupBy("c.cls", "c.bin").count().collect()
+    nulls.destroy()  # the candidates are written
+    bins = found.select(F.explode("candidates").alias("c")).groupBy("c.cls", "c.bin").count().collect()  # 16 classes of some 20 bins
     least = discoveries([(b.cls, b.bin, b["count"]) for b in bins])
     if not least:
-        added = F.array().cast(span)
-    else:
-        passes = F.expr("filter(candidates, c -> " + " or ".join(f"(c.cls = {cls} and c.bin >= {b})" for cls, b in sorted(least.items())) + ")")
-        added = F.transform(passes, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind"))).cast(span)
-    return found.select("doc_id", "base", added.alias("added"))
+        return found.select("doc_id", "base", F.array().cast(span).alias("added"), F.array().cast("array<double>").alias("ratios"))
+    passes = F.expr("filter(candidates, c -> " + " or ".join(f"(c.cls = {cls} and c.bin >= {b})" for cls, b in sorted(least.items())) + ")")
+    added = F.transform(passes, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind"))).cast(span)
+    return found.select("doc_id", "base", added.alias("added"), F.transform(passes, lambda c: c["ratio"]).alias("ratios"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -210,4 +288,5 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         F.sha2(text(F.col("base")), 256).alias("base_sha256"),
         text(F.array_sort(ranked)).alias("spans"),
         F.size("added").cast("long").alias("n_random"),
+        F.array_join(F.transform("ratios", lambda r: F.format_number(r, 2)), ",").alias("ratios"),
     )
