@@ -30,6 +30,7 @@ empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
@@ -130,10 +131,12 @@ def _by_range(values: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
     return np.searchsorted(values, bounds)
 
 
-def _counted(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """Counts over all blocks for each block's vocabulary, by range; and sums for each range."""
-    share = "block string, range int, words binary, counts binary"
-    schema = arrow_schema(share)
+WORD_SHARE, GRAM_SHARE = "block string, range int, words binary, counts binary", "block string, order int, range int, keys binary, counts binary"
+
+
+def _word_shares(blocks: DataFrame, ranges: int) -> DataFrame:
+    """Each block's vocabulary by ranges of the hash."""
+    schema = arrow_schema(WORD_SHARE)
 
     def split(batches):
         for batch in batches:
@@ -143,6 +146,12 @@ def _counted(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
                 rows = [(block, r, packed(w), _zip(c)) for r, (w, c) in enumerate(zip(np.split(words, cut), np.split(counts, cut))) if len(w)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    return blocks.select("block", "words", "counts").mapInArrow(frugal(split), WORD_SHARE)
+
+
+def _counted(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts over all blocks for each block's vocabulary, by range; sums for each range; and the ranges' own words with their counts."""
+
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         own = [unpacked(w, np.uint64) for w in rows["words"]]
         every, at = np.unique(np.concatenate(own), return_inverse=True)
@@ -156,14 +165,20 @@ def _counted(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
                 "block": rows["block"], "range": rows["range"], "counts": back,
                 "tokens": np.where(first, int(sums.sum()), 0), "types": np.where(first, len(known), 0),
                 "growth": [growth if f else [0.0] * len(GROWTHS) for f in first],
+                "every": [packed(every[sums > 0]) if f and known.size else None for f in first], "sums": [_zip(sums[sums > 0]) if f else None for f in first],
             }
         )
 
-    out = "block string, range int, counts binary, tokens long, types long, growth array<double>"
-    counted = blocks.select("block", "words", "counts").mapInArrow(frugal(split), share).groupBy("range").applyInPandas(frugal(total), out)
+    out = "block string, range int, counts binary, tokens long, types long, growth array<double>, every binary, sums binary"
+    counted = _word_shares(blocks, ranges).groupBy("range").applyInPandas(frugal(total), out)
     counted = materialise(counted, "lm-counts")
     sums = counted.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), *[F.sum(F.element_at("growth", i + 1)).alias(f"g{i}") for i in range(len(GROWTHS))])
-    return counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "counts"))).alias("shares")), sums
+    return _by_block(counted, ["range", "counts"], "shares"), sums, counted.where("every is not null").select("range", "every", "sums")
+
+
+def _by_block(told: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """What the ranges tell a block, in the order of the hashes."""
+    return told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
 GROWTHS = [0.4 + 0.05 * i for i in range(13)]
@@ -182,10 +197,9 @@ def _grams(sizes: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> list[tup
     return [(two >> np.uint64(64 - GRAM_BITS), np.ones(len(word), bool)), (three >> np.uint64(64 - GRAM_BITS), inner)]
 
 
-def _levels(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """(block, order, levels by range) of each block's distinct n-grams in ascending order, and figures of each order."""
-    share = "block string, order int, range int, keys binary, counts binary"
-    schema = arrow_schema(share)
+def _gram_shares(blocks: DataFrame, ranges: int) -> DataFrame:
+    """Each block's distinct n-grams by order and ranges of the hash, with their training counts."""
+    schema = arrow_schema(GRAM_SHARE)
 
     def split(batches):
         for batch in batches:
@@ -201,6 +215,12 @@ def _levels(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
                     rows += [(block.as_py(), order, r, packed(k), _zip(c)) for r, (k, c) in enumerate(zip(np.split(own, cut), np.split(counts, cut))) if len(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
+    return blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(frugal(split), GRAM_SHARE)
+
+
+def _levels(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(block, order, levels by range) of each block's distinct n-grams in ascending order; figures of each order; and the filter's segments."""
+
     def quantise(rows: pd.DataFrame) -> pd.DataFrame:
         own = [unpacked(k, np.uint64) for k in rows["keys"]]
         every, at = np.unique(np.concatenate(own), return_inverse=True)
@@ -218,14 +238,16 @@ def _levels(blocks: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
         back = [_zip(found[at[e - len(k) : e]]) for e, k in zip(ends, own)]
         first = np.arange(len(rows)) == 0
         return pd.DataFrame(
-            {"block": rows["block"], "order": rows["order"], "range": rows["range"], "levels": back, "figures": [figures if f else [0.0] * len(figures) for f in first]}
+            {
+                "block": rows["block"], "order": rows["order"], "range": rows["range"], "levels": back, "figures": [figures if f else [0.0] * len(figures) for f in first],
+                "bits": [np.packbits(bits).tobytes() if f and len(bits) else None for f in first], "width": [len(bits) if f else 0 for f in first],
+            }
         )
 
-    out = "block string, order int, range int, levels binary, figures array<double>"
-    emitted = blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(frugal(split), share)
-    found = materialise(emitted.groupBy("order", "range").applyInPandas(frugal(quantise), out), "lm-levels")
+    out = "block string, order int, range int, levels binary, figures array<double>, bits binary, width long"
+    found = materialise(_gram_shares(blocks, ranges).groupBy("order", "range").applyInPandas(frugal(quantise), out), "lm-levels")
     figures = found.groupBy("order").agg(F.array(*[F.sum(F.element_at("figures", i + 1)) for i in range(3 + len(GROWTHS))]).alias("figures"))
-    return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("order", "range", "levels"))).alias("grams")), figures
+    return _by_block(found, ["order", "range", "levels"], "grams"), figures, found.where("bits is not null").select("order", "range", "bits", "width")
 
 
 def places(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
@@ -268,20 +290,93 @@ class Smoothing(NamedTuple):
         return np.where(context > 0, own + self.discount * known ** (self.growth - 1) * lower, lower)
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """Base and model log-probabilities of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+@dataclass
+class Model:
+    """What scoring needs of a training corpus: totals, the exact counts of its words, and the filter's segments, both by ranges of the hash."""
+
+    tokens: int
+    types: int
+    bigrams: Smoothing
+    trigrams: Smoothing
+    words: DataFrame
+    segments: DataFrame
+    word_ranges: int
+    gram_ranges: int
+    bytes: int
+
+
+def _fitted(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """A model, and its own documents' blocks with what the ranges told them while it was made."""
     total = input_bytes(docs, "text")
     blocks = _blocks(docs)
-    shares, sums = _counted(blocks, max(8, -(-total // RANGE_BYTES)))
+    word_ranges, gram_ranges = max(8, -(-total // RANGE_BYTES)), max(8, -(-total // GRAM_RANGE_BYTES))
+    shares, sums, words = _counted(blocks, word_ranges)
     sums = sums.first()
-    tokens, types = sums.tokens or 0, sums.types or 0
-    grams, figures = _levels(blocks, max(8, -(-total // GRAM_RANGE_BYTES)))
+    grams, figures, segments = _levels(blocks, gram_ranges)
     figures = {r.order: list(r.figures) for r in figures.collect()}  # a row for each order
     none = [0.0] * (3 + len(GROWTHS))
     bigrams = Smoothing.of(figures.get(2, none), [sums[f"g{i}"] or 0 for i in range(len(GROWTHS))])
     trigrams = Smoothing.of(figures.get(3, none), figures.get(2, none)[3:])
-    norm = tokens + 0.1 * (types + 1)
+    return Model(sums.tokens or 0, sums.types or 0, bigrams, trigrams, words, segments, word_ranges, gram_ranges, total), blocks, shares, grams
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of a corpus: of the documents whose id's checksum is not divisible by ten."""
+    return _fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))[0]
+
+
+def score_with(model: Model, docs: DataFrame) -> DataFrame:
+    """Scores of any documents by a model made before: words are looked up in its counts, n-grams probe its filter.
+
+    A range's segment meets the blocks' n-grams of that range; where there are more documents than the
+    model was made of, it meets them in several groups.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = _blocks(docs)
+    groups = max(1, -(-input_bytes(docs, "text") // max(model.bytes, 1)))
+
+    def met(shares: DataFrame, saved: DataFrame, keys: list[str], answer, out: str) -> DataFrame:
+        group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
+        asked = shares.withColumn("_group", group).groupBy(*keys, "_group")
+        held = saved.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy(*keys, "_group")
+        return asked.cogroup(held).applyInPandas(frugal(answer), out)
+
+    def count(rows: pd.DataFrame, saved: pd.DataFrame) -> pd.DataFrame:
+        every = unpacked(saved["every"].iloc[0], np.uint64) if len(saved) else np.empty(0, np.uint64)
+        sums = _unzip(saved["sums"].iloc[0], np.uint64) if len(saved) else np.empty(0, np.uint64)
+        back = []
+        for words in rows["words"]:
+            words = unpacked(words, np.uint64)
+            at = np.minimum(np.searchsorted(every, words), max(len(every) - 1, 0))
+            back.append(_zip(np.where(every[at] == words, sums[at], 0).astype(np.uint64) if len(every) else np.zeros(len(words), np.uint64)))
+        return pd.DataFrame({"block": rows["block"], "range": rows["range"], "counts": back})
+
+    def probe(rows: pd.DataFrame, saved: pd.DataFrame) -> pd.DataFrame:
+        back = []
+        for keys in rows["keys"]:
+            keys = unpacked(keys, np.uint64)
+            levels = level_of(keys, np.frombuffer(saved["bits"].iloc[0], np.uint8), int(saved["width"].iloc[0])) if len(saved) else np.zeros(len(keys), np.int64)
+            back.append(_zip(levels.astype(np.uint8)))
+        return pd.DataFrame({"block": rows["block"], "order": rows["order"], "range": rows["range"], "levels": back})
+
+    shares = met(_word_shares(blocks, model.word_ranges), model.words, ["range"], count, "block string, range int, counts binary")
+    grams = met(_gram_shares(blocks, model.gram_ranges), model.segments, ["order", "range"], probe, "block string, order int, range int, levels binary")
+    return _scored(model, blocks, _by_block(shares, ["range", "counts"], "shares"), _by_block(grams, ["order", "range", "levels"], "grams"))
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """Base and model log-probabilities of every document by the model of them all.
+
+    The same figures as ``score_with(fit(docs), docs)`` gives; here a segment is probed where it is made, so
+    that the n-grams travel once.
+    """
+    return _scored(*_fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+
+
+def _scored(model: Model, blocks: DataFrame, shares: DataFrame, grams: DataFrame) -> DataFrame:
+    """Scores of blocks whose words have their counts and n-grams their levels."""
+    tokens, bigrams, trigrams = model.tokens, model.bigrams, model.trigrams
+    norm = tokens + 0.1 * (model.types + 1)
     joined = blocks.drop("counts").join(shares, "block").join(grams, "block").select("doc_ids", "held", "sizes", "tokens", "words", F.col("shares.counts").alias("counts"), "grams")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     schema = arrow_schema(out)
