@@ -25,6 +25,12 @@ def pacing_cost(nbytes: Column, rate: int) -> Column:
     return F.ceil(nbytes.cast("decimal(38,0)") * 1_000_000_000 / rate).cast("long")
 
 
+def pacing_fits(least: Column, rate: int, window_ns: Column) -> Column:
+    """Whether the least read, of 64 bytes at most, takes no more than a quarter of the time left; nothing to read always fits. Null where the figures make no sense."""
+    sane = (least >= 0) & (least <= GRAIN) & (window_ns >= 0) & (window_ns <= 5_000_000_000)
+    return F.when(sane, (least == 0) | (pacing_cost(least, rate) <= F.floor(window_ns / 4)))
+
+
 def read_grant(wanted: Column, day_left: Column, lifetime_left: Column, file_left: Column) -> Column:
     """Bytes of one step; a step that does not finish its file ends on a whole grain."""
     most = F.least(wanted, day_left, lifetime_left, file_left, F.lit(STEP_BYTES))

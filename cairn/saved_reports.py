@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn import oracles as sql
 from cairn.functions import cursors, scalars
-from cairn.operators import hashing, history, reconcile, reports, rules, selection, sessions, tree
+from cairn.operators import hashing, history, reconcile, reports, rules, scanning, selection, sessions, tree
 from cairn.plans import store
 from cairn.registry import report
 from cairn.sources import adapters, content, filesystem, projects, schema
@@ -291,3 +291,73 @@ def scanned_files(spark, sf_dir):
     own = entries.join(listed, "path", "left")
     is_file = F.col("kind") == "file"
     return own.select(F.col("path").cast("string").alias("path"), "kind", F.when(is_file, F.col("size")).alias("size"), "skip_reason", (is_file | F.coalesce("_own", F.lit(False))).alias("listed"))
+
+
+# --- batches of listings, and copies hashed again --------------------------------------------------------
+
+_LISTED = """ls AS (SELECT root_id, path, 6 AS generation, id // 64 % 9 <> 2 AS complete, CASE WHEN id // 64 % 21 = 6 THEN 'listing failed' ELSE '' END AS fault, 1700000000000000007 AS at_ns FROM pe WHERE id > 0 AND id % 64 = 0 AND id // 64 % 3 = 0),
+    lc AS (SELECT e.root_id, e.parent, e.path, CASE WHEN e.id % 64 = 8 OR e.path LIKE '%/bin' THEN 'file' ELSE e.kind END AS kind, e.size + 1 AS size, e.skip_reason FROM pe e JOIN ls l ON l.root_id = e.root_id AND l.path = e.parent WHERE e.id % 5 <> 2
+           UNION ALL SELECT root_id, path, path || '/new', 'directory', 0, '' FROM ls),
+    good AS (SELECT * FROM ls WHERE fault = ''), told AS (SELECT c.*, g.generation FROM lc c JOIN good g ON g.root_id = c.root_id AND g.path = c.parent),
+    e2 AS (SELECT coalesce(t.root_id, e.root_id) AS root_id, coalesce(t.path, e.path) AS path, coalesce(t.parent, e.parent) AS parent, coalesce(t.kind, e.kind) AS kind, coalesce(t.generation, e.generation) AS generation FROM pe e FULL JOIN told t ON t.root_id = e.root_id AND t.path = e.path),
+    d2 AS (SELECT coalesce(l.root_id, d.root_id) AS root_id, coalesce(l.path, d.path) AS path, CASE WHEN l.path IS NULL OR l.fault <> '' THEN coalesce(d.generation, 0) ELSE l.generation END AS generation, CASE WHEN l.path IS NULL OR l.fault <> '' THEN coalesce(d.complete, FALSE) ELSE l.complete END AS complete, coalesce(l.fault, d.last_error) AS last_error
+           FROM pd d FULL JOIN ls l ON l.root_id = d.root_id AND l.path = d.path),
+    j1 AS (SELECT root_id, path FROM pe WHERE kind = 'directory' AND id % 7 = 1), j2 AS (SELECT * FROM j1 UNION ALL SELECT DISTINCT root_id, path FROM told WHERE kind = 'directory' AND skip_reason = '' AND (root_id, path) NOT IN (SELECT (root_id, path) FROM j1))"""
+
+
+def listed(spark, sf_dir) -> dict[str, DataFrame]:
+    """Every third project's folder listed anew: some children are gone, some directories became files, some listings failed or ended early."""
+    e, d = written(projects.entries(spark, sf_dir).drop("link"), "project-entries"), written(projects.passes(spark, sf_dir), "project-passes")
+    doc = F.expr("id div 64")
+    tops = e.where((F.col("id") > 0) & (F.col("id") % 64 == 0) & (doc % 3 == 0))
+    listings = tops.select("root_id", "path", F.lit(6).cast("long").alias("generation"), (doc % 9 != 2).alias("complete"), F.when(doc % 21 == 6, "listing failed").otherwise("").alias("fault"), F.lit(1_700_000_000_000_000_007).alias("at_ns"))
+    flat = (F.col("id") % 64 == 8) | F.endswith(F.col("path").cast("string"), F.lit("/bin"))
+    found = e.where("id % 5 <> 2").join(listings.select("root_id", F.col("path").alias("parent")), ["root_id", "parent"]).withColumns({"kind": F.when(flat, "file").otherwise(F.col("kind")), "size": F.col("size") + 1})
+    new = tops.withColumns({"parent": F.col("path"), "path": F.concat("path", F.lit(b"/new")), "size": F.lit(0).cast("long"), "skip_reason": F.lit("")})
+    children = found.unionByName(new).drop("generation", "observed_at_ns")
+    jobs = e.where("kind = 'directory' and id % 7 = 1").select("root_id", F.lit("scan").alias("kind"), "path")
+    revisions = e.select("root_id").distinct().withColumn("revision", F.col("root_id") * 10)
+    return scanning.commit_listings(listings, children, e, d, jobs, revisions) | {"before": e}
+
+
+@report(f"""WITH {PROJECTS}, {_LISTED} SELECT 'entries' AS relation, root_id, path, generation, kind AS state FROM e2 UNION ALL SELECT 'directories', root_id, path, generation, CASE WHEN last_error <> '' THEN last_error WHEN complete THEN 'complete' ELSE 'partial' END FROM d2
+    UNION ALL SELECT 'jobs', root_id, path, 0, 'scan' FROM j2 UNION ALL SELECT 'revisions', root_id, '', root_id * 10 + CASE WHEN root_id IN (SELECT root_id FROM good) THEN 1 ELSE 0 END, '' FROM (SELECT DISTINCT root_id FROM pe) UNION ALL SELECT 'reconcile', root_id, path, generation, '' FROM good WHERE complete""")
+def committed_listings(spark, sf_dir):
+    """Rows, passes, work, revisions and reconciliations after a batch of listings."""
+    after = listed(spark, sf_dir)
+    rows = lambda name, path, generation, state: after[name].select(F.lit(name).alias("relation"), F.col("root_id").cast("long").alias("root_id"), path.cast("string").alias("path"), generation.cast("long").alias("generation"), state.alias("state"))
+    none, zero, path, own = F.lit(""), F.lit(0), F.col("path"), F.col("generation")
+    passes = F.when(F.col("last_error") != "", F.col("last_error")).when(F.col("complete"), "complete").otherwise("partial")
+    return rows("entries", path, own, F.col("kind")).union(rows("directories", path, own, passes)).union(rows("jobs", path, zero, F.col("kind"))).union(rows("revisions", none, F.col("revision"), none)).union(rows("reconcile", path, own, none))
+
+
+@report(f"""WITH {PROJECTS}, {_LISTED}, due AS (SELECT g.root_id, g.path, g.generation FROM good g JOIN d2 d ON d.root_id = g.root_id AND d.path = g.path AND d.generation = g.generation AND d.complete AND d.last_error = '' WHERE g.complete),
+    ck AS (SELECT e.root_id, e.path, e.kind, e.generation <> u.generation AS absent FROM e2 e JOIN due u ON u.root_id = e.root_id AND u.path = e.parent)
+    SELECT root_id, path, NOT absent AS preserve_entry FROM ck c WHERE absent OR (kind <> 'directory' AND (EXISTS (SELECT 1 FROM d2 d WHERE d.root_id = c.root_id AND d.path = c.path) OR EXISTS (SELECT 1 FROM e2 x WHERE x.root_id = c.root_id AND starts_with(x.path, c.path || '/'))))""")
+def retired_subtrees(spark, sf_dir):
+    """What is to be retired after those listings: children that are gone, and what directories left that are none any more."""
+    after = listed(spark, sf_dir)
+    return as_path(scanning.retirements(after["entries"], after["directories"], after["reconcile"])).select(F.col("root_id").cast("long").alias("root_id"), "path", "preserve_entry")
+
+
+@report("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keeper, count(*) OVER (PARTITION BY coalesce(text, '')) AS n FROM documents),
+    f AS (SELECT *, doc_id % 11 = 5 AS gone, CASE WHEN doc_id % 7 = 3 THEN text || '!' ELSE text END AS now FROM d WHERE n > 1), k AS (SELECT keeper, gone AS k_gone, now AS k_now FROM f WHERE doc_id = keeper)
+    SELECT keeper AS job_id, count(*) AS copies, ['historical_hashes_match', 'historical_hashes_differ', 'incomplete', 'blocked'][max(CASE WHEN gone OR k_gone THEN 3 WHEN now <> k_now THEN 1 ELSE 0 END) + 1] AS relation FROM f JOIN k USING (keeper) WHERE doc_id <> keeper GROUP BY 1""")
+def fresh_copies(spark, sf_dir):
+    """Equal documents as a keeper and its copies, hashed again from their files: some changed since, some went after they were asked for."""
+    docs = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    groups = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("job_id"), F.count("*").alias("n")).where("n > 1")
+    jobs = written(docs.withColumn("sha", F.sha2("text", 256)).join(groups, "sha").select("job_id", "id", F.concat("text", F.when(F.col("id") % 7 == 3, "!").otherwise("")).alias("content")), "jobs")
+    folder = "/" + new_folder(spark, "copies").removeprefix("file:").lstrip("/")
+    files = written(content.write_files(jobs.select("id", "content"), folder), "copies-saved")
+    gone = F.concat("path", F.when(F.col("id") % 11 == 5, F.lit(b".gone")).otherwise(F.lit(b"")))
+    hashed = content.hash_files(files.withColumn("path", gone))
+    rows = jobs.drop("content").join(hashed, "id").select("job_id", F.when(F.col("id") == F.col("job_id"), "keeper").otherwise("copy").alias("role"), "status", "sha256")
+    return hashing.fresh_comparison(rows)
+
+
+@report("SELECT event_id, CASE WHEN event_id % 70 <= 64 AND event_id * 977 % 6000000000 <= 5000000000 THEN event_id % 70 = 0 OR cast(ceil(event_id % 70 * 1000000000 / 5000.0) AS BIGINT) <= event_id * 977 % 6000000000 // 4 END AS fits FROM events")
+def pacing_capacity(spark, sf_dir):
+    """Whether the least read of each event fits the time it has left."""
+    id_ = F.col("event_id")
+    return adapters.table(spark, sf_dir, "events").select("event_id", scalars.pacing_fits(id_ % 70, 5000, id_ * 977 % 6_000_000_000).alias("fits"))

@@ -18,45 +18,65 @@ from cairn.operators.sessions import QUALIFICATIONS, next_phase
 class LatestTable:
     """A table of the last row of each key, kept by micro-batch.
 
-    Keys are dealt to ``parts`` by their hash. A batch rewrites only the parts that it touches, each
-    as a folder named by part and batch, through Spark's committer. The current folder of a part is
-    the one of the highest batch with a ``_SUCCESS`` file, found in the store itself, so a table
-    opened again after a restart goes on from there. A batch run again after a failure starts from
-    the folders of earlier batches and writes its own again.
+    Keys are dealt to ``parts`` by their hash. A batch rewrites the parts that it touches, all in one write
+    of Spark's committer, into a folder named by the batch. The current folder of a part is that of the
+    highest batch that was written whole and holds it, found in the store itself, so a table opened again
+    after a restart goes on from there. A batch run again after a failure starts from the folders of
+    earlier batches and writes its own again. ``clean`` deletes what later batches have replaced.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], parts: int = 16):
         self.spark, self.path, self.key, self.order, self.parts = spark, path.rstrip("/"), key, order, parts
 
-    def _folders(self, before: int | None = None) -> dict[int, str]:
-        """Each part's last folder that was written whole, of batches before one."""
+    def _store(self):
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         root = hadoop.Path(self.path)
-        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found: dict[int, tuple[int, str]] = {}
+        return hadoop, root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _batches(self, before: int | None = None) -> dict[int, dict[int, str]]:
+        """Folders by part of the batches that were written whole, of those before one."""
+        hadoop, root, store = self._store()
+        found: dict[int, dict[int, str]] = {}
         for status in store.listStatus(root) if store.exists(root) else []:
-            name = status.getPath().getName()
-            match = re.fullmatch(r"part-(\d+)-batch-(\d+)", name)
-            if match and store.exists(hadoop.Path(status.getPath(), "_SUCCESS")) and (before is None or int(match[2]) < before):
-                found[int(match[1])] = max(found.get(int(match[1]), (-1, "")), (int(match[2]), f"{self.path}/{name}"))
-        return {part: folder for part, (_, folder) in found.items()}
+            match = re.fullmatch(r"batch-(\d+)", status.getPath().getName())
+            if match and (before is None or int(match[1]) < before) and store.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
+                names = [s.getPath().getName() for s in store.listStatus(status.getPath())]
+                found[int(match[1])] = {int(n[6:]): f"{self.path}/batch-{match[1]}/{n}" for n in names if n.startswith("_part=")}
+        return found
+
+    def _folders(self, before: int | None = None) -> dict[int, str]:
+        """Each part's last folder."""
+        found: dict[int, str] = {}
+        for _, own in sorted(self._batches(before).items()):
+            found |= own
+        return found
 
     def read(self, before: int | None = None) -> DataFrame | None:
-        folders = sorted(self._folders(before).values())
+        folders = [f for _, f in sorted(self._folders(before).items())]
         return self.spark.read.parquet(*folders) if folders else None
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
-        batch = batch.withColumn("_part", part).persist()
-        saved = self._folders(batch_id)
-        for (number,) in batch.select("_part").distinct().orderBy("_part").collect():  # ``parts`` rows at most
-            own = batch.where(F.col("_part") == number).drop("_part")
-            if number in saved:
-                merged = upsert(self.spark.read.schema(own.schema).parquet(saved[number]), own, self.key, self.order)
-            else:
-                merged = upsert(own, own.limit(0), self.key, self.order)
-            merged.write.mode("overwrite").parquet(f"{self.path}/part-{number:05d}-batch-{batch_id:010d}")
-        batch.unpersist()
+        batch = batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(part).distinct().collect()]  # ``parts`` numbers at most
+            if not touched:
+                return
+            folders = [f for p, f in sorted(self._folders(batch_id).items()) if p in touched]
+            saved = self.spark.read.schema(batch.schema).parquet(*folders) if folders else batch.limit(0)
+            merged = upsert(saved, batch, self.key, self.order).withColumn("_part", part)
+            merged.repartition(len(touched), "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/batch-{batch_id:010d}")
+        finally:
+            batch.unpersist()
+
+    def clean(self) -> int:
+        """Delete the folders that no part's current folder is; returns how many. Readers of an earlier state must be done."""
+        hadoop, _, store = self._store()
+        current = set(self._folders().values())
+        old = [f for own in self._batches().values() for f in own.values() if f not in current]
+        for folder in old:
+            store.delete(hadoop.Path(folder), True)
+        return len(old)
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
