@@ -44,7 +44,7 @@ def test_settings_are_read_strictly():
     assert found.roots == ("/home/u/work", "/data/x") and found.scan.work_seconds == 10 and found.scan.interval_seconds == 300
     bad = [
         "", "version = 2\nroots = ['/a']", "version = 1", "version = 1\nroots = []", "version = 1\nroots = ['a']", "version = 1\nroots = ['/a', '/a/b']", "version = 1\nroots = ['/a/b']\nexcludes = ['/a']", GOOD + "other = 1", GOOD + "work_seconds = 11",
-        GOOD.replace("10", "301"), GOOD.replace("10", "'x'"), GOOD.replace("10", "true"), GOOD + "max_state_bytes = 5", GOOD + "cpu_charge_seconds_per_day = 7", GOOD + "compact_inventory = true\nadaptive_revisits = true", "version = 1\nroots = ['/a\\u0000']", "version = 1\nroots = 5", "version = true\nroots = ['/a']",
+        GOOD.replace("10", "301"), GOOD.replace("10", "'x'"), GOOD.replace("10", "true"), GOOD + "max_state_bytes = 5", GOOD + "cpu_charge_seconds_per_day = 7", GOOD + "compact_inventory = true\nadaptive_revisits = true", 'version = 1\nroots = ["/a\\u0000"]', "version = 1\nroots = 5", "version = true\nroots = ['/a']",
     ]
     for text in bad:
         with pytest.raises(config.Refused):
