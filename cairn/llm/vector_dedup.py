@@ -115,11 +115,17 @@ def linked(quantiser: Quantiser, list_id: int, queries: np.ndarray, stored: np.n
     return np.concatenate([*found_q, empty]), np.concatenate([*found_s, empty])
 
 
-def _unit(raw, kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one. Each is first brought near one by a power of two, which changes no digit, so that squares neither overflow nor vanish."""
+    _, exponent = np.frexp(np.abs(x).max(1, initial=0))
+    x = np.ldexp(x, -exponent[:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _unit(raw, kind: str) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float))
+
+
 def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with the id of their first equal vector (null: never linked), and these firsts with their numbers."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -148,7 +154,7 @@ def _entries(firsts: DataFrame, quantiser, radius: float, kind: str) -> DataFram
             x = np.array(batch.column(2).to_pylist(), float)
             if not len(x):
                 continue
-            own, codes, error, probed = quantiser.value.encode(x / np.sqrt((x * x).sum(1))[:, None], radius)
+            own, codes, error, probed = quantiser.value.encode(unit(x), radius)
             reps, counts, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [r.astype(kind).tobytes() for r in x]
             rows = [(int(own[i]), True, int(own[i]), probed[i].astype("<i2").tobytes(), reps[i], counts[i], codes[i].tobytes(), float(error[i]), raw[i]) for i in range(len(x))]
             rows += [(int(p), False, int(own[i]), b"", reps[i], counts[i], b"", 0.0, raw[i]) for i in range(len(x)) for p in probed[i]]
@@ -212,7 +218,7 @@ def vector_links(firsts: DataFrame, threshold: float) -> DataFrame:
         own = firsts.where(F.size("v") == dims)
         total = own.count()
         sample = _sample(own, total)
-        sample /= np.sqrt((sample * sample).sum(1))[:, None]
+        sample = unit(sample)
         fitted = spark.sparkContext.broadcast(Quantiser(sample, min(MAX_LISTS, -(-total // LIST_SIZE))))
         entries = materialise(_entries(own, fitted, link_radius(threshold), kind), "vector-entries")
         blocks = entries.groupBy("list").agg(
