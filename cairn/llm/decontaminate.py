@@ -5,8 +5,9 @@ streamed through it; the state and the length of the longest match say, at every
 window of an item ends there and which items hold that window. Words inside such a window are hit.
 
 A window is ``WINDOW`` consecutive words of an item; a shorter item is one window. Items are
-streamed from a sorted table and the automaton is built for blocks of at most ``block_words``
-words, so what is broadcast has a bound; spans and items of the blocks are merged by document.
+streamed and the automaton is built for blocks that end with the item that reaches ``block_words``
+words, so what is broadcast has a bound, the longest item added. Where there are several blocks the
+documents are numbered and written once, and what the blocks tell is merged by number.
 
 Null, empty or wordless texts have no words and are clean. Null or wordless items are never found,
 nor are any in an empty table of items. Repeated rows are each judged. Null item ids are skipped.
@@ -19,12 +20,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema
+from cairn.llm.common import arrow_schema, materialise
 
 WINDOW = 10
 #: Item words of one automaton; measured, 200,000 take 134 MB in the driver and in each worker.
@@ -168,13 +170,13 @@ def contamination(docs: DataFrame, items: DataFrame, columns: list[str], window:
     """
     spark = docs.sparkSession
     out = f"`{name}_n_words` long, `{name}_spans` array<array<int>>, `{name}_items` array<string>"
-    found = []
-    for block in _blocks(items, block_words):
+
+    def scanned(rows: DataFrame, columns: list[str], block) -> DataFrame:
         shared = spark.sparkContext.broadcast(Automaton(block, window))
-        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", " + out
+        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", " + out
         arrow = arrow_schema(schema)
 
-        def scan(batches, shared=shared, arrow=arrow):
+        def scan(batches):
             automaton = shared.value
             for batch in batches:
                 counts, spans, names = [], [], []
@@ -190,27 +192,30 @@ def contamination(docs: DataFrame, items: DataFrame, columns: list[str], window:
                     schema=arrow,
                 )
 
-        found.append(docs.select(*columns, F.col("text").alias(f"{name}_text")).mapInArrow(scan, schema))
-    if len(found) == 1:
-        return found[0]
-    merged = found[0].withColumn(f"{name}_block", F.lit(0))
-    for i, part in enumerate(found[1:], 1):
-        merged = merged.union(part.withColumn(f"{name}_block", F.lit(i)))
-    return _merge(merged, columns, name)
+        return rows.select(*columns, F.col("text").alias(f"{name}_text")).mapInArrow(scan, schema)
 
+    blocks = _blocks(items, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if not second:
+        return scanned(docs, columns, first)
+    # several blocks tell of the same documents, which are numbered for that, whatever their columns hold
+    number = f"{name}_row"
+    rows = materialise(docs.select(*dict.fromkeys([*columns, "text"])).withColumn(number, F.monotonically_increasing_id()), "contamination-rows")
+    parts = None
+    for block in chain([first, second], blocks):
+        part = scanned(rows, [number], block)
+        parts = part if parts is None else parts.union(part)
+    return rows.select(number, *columns).join(_merge(parts, number, name), number).drop(number)
 
-def _merge(parts: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """One row for each document from its rows by block; equal documents stay apart by their number among equals."""
-    from pyspark.sql.window import Window
 
+def _merge(parts: DataFrame, number: str, name: str) -> DataFrame:
+    """One row for each document from its rows by block."""
     words, spans, items = f"{name}_n_words", f"{name}_spans", f"{name}_items"
-    nth = F.row_number().over(Window.partitionBy(*columns, f"{name}_block").orderBy(words))
     lists = F.array_sort(F.flatten(F.collect_list(spans)))
     last = lambda acc: F.element_at(acc, -1)
     longer = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], s[1]))))
     joined = F.aggregate(lists, F.array().cast("array<array<int>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.get(F.get(acc, F.size(acc) - 1), F.lit(1)) >= s[0]), longer(acc, s)).otherwise(F.concat(acc, F.array(s))))
-    grouped = parts.withColumn(f"{name}_nth", nth).groupBy(*columns, f"{name}_nth")
-    return grouped.agg(F.max(words).alias(words), joined.alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items)).drop(f"{name}_nth")
+    return parts.groupBy(number).agg(F.max(words).alias(words), joined.alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
 
 
 def hit_words(spans: str = "_spans"):
