@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
-from cairn.operators.reconcile import upsert
+from cairn.operators.reconcile import purge_subtrees, upsert
+from cairn.sources.written import written
 
 SCAN = "scan"
 
@@ -58,3 +59,19 @@ def retirements(entries: DataFrame, directories: DataFrame, tasks: DataFrame) ->
     found = children.withColumn("_top", paths.as_text(F.col("path"))).join(own, ["root_id", "path"], "left").join(held, ["root_id", "_top"], "left")
     left = (F.col("kind") != "directory") & (F.coalesce("_own", F.lit(False)) | F.coalesce("_below", F.lit(False)))
     return found.where(F.col("_absent") | left).select("root_id", "path", (~F.col("_absent")).alias("preserve_entry"))
+
+
+def retire_all(entries: DataFrame, directories: DataFrame, tasks: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Entries and passes after retirements until there are none: what is retired goes with all below it, an anchor that is preserved stays an entry.
+
+    Each round is written, so rounds do not pile up; purging can only take rows away, so they end.
+    """
+    for _ in range(most):
+        tops = written(retirements(entries, directories, tasks), "retirements")
+        if tops.isEmpty():
+            return entries, directories
+        marked = tops.select("root_id", "path", F.col("preserve_entry").alias("keep_anchor"))
+        entries = written(purge_subtrees(entries, marked), "retired-entries")
+        passes = directories.withColumn("id", F.struct("root_id", "path"))
+        directories = written(purge_subtrees(passes, marked.withColumn("keep_anchor", F.lit(False))).drop("id"), "retired-passes")
+    raise ValueError(f"retirements did not end in {most} rounds")

@@ -270,3 +270,42 @@ def late_observations(observations: DataFrame, key: str, lateness_us: int) -> Da
     before = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     high = F.max("at_us").over(before)
     return observations.select(key, "ordinal", "at_us", F.when(F.coalesce(F.col("at_us") < high - lateness_us, F.lit(False)), "clock_rollback").otherwise("accepted").alias("state"))
+
+
+LIFETIME_US = DAY_US
+
+
+def plan_history(requests: DataFrame, key: str = "plan_id", lifetime_us: int = LIFETIME_US) -> DataFrame:
+    """Requests (plan_id, ordinal, action, at_us) to save, approve, revoke or use a plan, and what becomes of each.
+
+    A plan is saved once and approved once, for ``lifetime_us``; approving it again changes nothing, not even when the
+    approval has run out. A revocation is for good. A plan can be used while it is approved.
+    """
+
+    def told(state: dict, at: int) -> str:
+        if "revoked" in state:
+            return "revoked"
+        if "approved" not in state:
+            return "pending"
+        return "approved" if at < state["approved"] + lifetime_us else "expired"
+
+    def step(state: dict, action: str, at: int) -> tuple[dict, tuple]:
+        if action == "save":
+            known = "saved" in state
+            state.setdefault("saved", at)
+            return state, (told(state, at), "existing" if known else "created")
+        if "saved" not in state:
+            return state, ("absent", "refused")
+        before = told(state, at)
+        if action == "approve" and before == "pending":
+            state["approved"] = at
+            return state, ("approved", "recorded")
+        if action == "revoke" and before in ("approved", "expired"):
+            state["revoked"] = at
+            return state, ("revoked", "recorded")
+        if action == "use":
+            return state, (before, "allowed" if before == "approved" else "refused")
+        return state, (before, "existing" if (action, before) in (("approve", "approved"), ("revoke", "revoked")) else "refused")
+
+    output = StructType([StructField("state", StringType()), StructField("result", StringType())])
+    return folded(requests, key, ["ordinal"], ["action", "at_us"], output, dict, step)

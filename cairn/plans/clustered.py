@@ -90,6 +90,21 @@ class ClusteredTable:
         met = self._met([(root, top)])
         return self._rows(self._files(met)).where((F.col("root_id") == root) & paths.in_subtree(F.col(self.column), top))
 
+    def subtrees(self, tops: DataFrame) -> DataFrame:
+        """Rows below several tops (root_id, path), each with its top in ``_top``; tops are taken ``MAX_TOPS`` at a time in their order."""
+        found, last = self._rows([]).withColumn("_top", F.lit(None).cast("binary")), None
+        while True:
+            rest = tops.select("root_id", "path").distinct()
+            rest = rest if last is None else rest.where((F.col("root_id") > last[0]) | ((F.col("root_id") == last[0]) & (F.col("path") > F.lit(last[1]))))
+            asked = [(r.root_id, bytes(r.path)) for r in rest.orderBy("root_id", "path").limit(MAX_TOPS).collect()]
+            if not asked:
+                return found
+            rows = self._rows(self._files(self._met(asked)))
+            held = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(t).alias("t")) for r, t in asked])
+            below = lambda o: (F.col("root_id") == o["r"]) & ((F.col(self.column) == o["t"]) | ((F.col(self.column) >= F.concat(o["t"], F.lit(b"/"))) & (F.col(self.column) < F.concat(o["t"], F.lit(b"0")))))
+            own = rows.withColumn("_o", F.explode(F.filter(held, below))).withColumn("_top", F.col("_o.t")).drop("_o")
+            found, last = found.unionByName(own), asked[-1]
+
     def purge(self, tops: DataFrame, keep_anchor: bool = False) -> dict[str, int]:
         """Without what lies below the tops (root_id, path) and, unless ``keep_anchor``, the tops themselves; returns how many files there were, were read and were written.
 

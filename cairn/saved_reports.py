@@ -12,8 +12,9 @@ from cairn import oracles as sql
 from cairn.functions import cursors, scalars
 from cairn.operators import hashing, history, reconcile, reports, rules, scanning, selection, sessions, tree
 from cairn.plans import store
+from cairn.plans.clustered import ClusteredTable
 from cairn.registry import report
-from cairn.sources import adapters, content, filesystem, projects, schema
+from cairn.sources import adapters, content, filesystem, metadata, projects, schema
 from cairn.sources.written import shared_folder, written
 from cairn.tree_reports import JOBS, NODE_SQL, PROJECTS, as_path, jobs
 
@@ -361,3 +362,55 @@ def pacing_capacity(spark, sf_dir):
     """Whether the least read of each event fits the time it has left."""
     id_ = F.col("event_id")
     return adapters.table(spark, sf_dir, "events").select("event_id", scalars.pacing_fits(id_ % 70, 5000, id_ * 977 % 6_000_000_000).alias("fits"))
+
+
+@report(f"""WITH {PROJECTS}, {_LISTED}, due AS (SELECT g.root_id, g.path, g.generation FROM good g JOIN d2 d ON d.root_id = g.root_id AND d.path = g.path AND d.generation = g.generation AND d.complete AND d.last_error = '' WHERE g.complete),
+    ck AS (SELECT e.root_id, e.path, e.kind, e.generation <> u.generation AS absent FROM e2 e JOIN due u ON u.root_id = e.root_id AND u.path = e.parent),
+    rt AS (SELECT root_id, path, NOT absent AS preserve FROM ck c WHERE absent OR (kind <> 'directory' AND (EXISTS (SELECT 1 FROM d2 d WHERE d.root_id = c.root_id AND d.path = c.path) OR EXISTS (SELECT 1 FROM e2 x WHERE x.root_id = c.root_id AND starts_with(x.path, c.path || '/')))))
+    SELECT 'entries' AS relation, root_id, path FROM e2 x WHERE NOT EXISTS (SELECT 1 FROM rt t WHERE t.root_id = x.root_id AND (starts_with(x.path, t.path || '/') OR (x.path = t.path AND NOT preserve)))
+    UNION ALL SELECT 'directories', root_id, path FROM d2 x WHERE NOT EXISTS (SELECT 1 FROM rt t WHERE t.root_id = x.root_id AND (x.path = t.path OR starts_with(x.path, t.path || '/')))""")
+def retired_inventory(spark, sf_dir):
+    """Rows and passes that are left once there is nothing more to retire."""
+    after = listed(spark, sf_dir)
+    entries, directories = scanning.retire_all(written(after["entries"], "entries"), written(after["directories"], "directories"), written(after["reconcile"], "tasks"))
+    rows = lambda name, df: as_path(df).select(F.lit(name).alias("relation"), F.col("root_id").cast("long").alias("root_id"), "path")
+    return rows("entries", entries).union(rows("directories", directories))
+
+
+_PLANNED = f"pq AS (SELECT user_id % 30 AS plan_id, event_id AS ordinal, ['save', 'approve', 'use', 'use', 'use', 'use', 'use', 'use'][event_id * 31 % 8 + 1] AS a, event_id % 97 = 11 AS v, epoch_us(ts) AS at_us FROM events), pr AS (SELECT plan_id, ordinal, CASE WHEN v THEN 'revoke' ELSE a END AS action, at_us FROM pq)"
+
+
+@report(f"""WITH {_PLANNED}, ps AS (SELECT plan_id, min(ordinal) AS s FROM pr WHERE action = 'save' GROUP BY 1), pa AS (SELECT p.plan_id, min(ordinal) AS a, min(at_us) AS a_us FROM pr p JOIN ps USING (plan_id) WHERE action = 'approve' AND ordinal > s GROUP BY 1),
+    pv AS (SELECT p.plan_id, min(ordinal) AS r FROM pr p JOIN pa USING (plan_id) WHERE action = 'revoke' AND ordinal > a GROUP BY 1), j AS (SELECT p.*, s, a, a_us, r, coalesce(ordinal > s, FALSE) AS known,
+      CASE WHEN coalesce(ordinal > r, FALSE) THEN 'revoked' WHEN NOT coalesce(ordinal > a, FALSE) THEN 'pending' WHEN at_us < a_us + {DAY} THEN 'approved' ELSE 'expired' END AS st FROM pr p LEFT JOIN ps USING (plan_id) LEFT JOIN pa USING (plan_id) LEFT JOIN pv USING (plan_id))
+    SELECT plan_id, ordinal, CASE WHEN action <> 'save' AND NOT known THEN 'absent' WHEN ordinal = a AND action = 'approve' THEN 'approved' WHEN ordinal = r AND action = 'revoke' THEN 'revoked' ELSE st END AS state,
+      CASE WHEN action = 'save' THEN CASE WHEN known THEN 'existing' ELSE 'created' END WHEN NOT known THEN 'refused' WHEN (action = 'approve' AND ordinal = a) OR (action = 'revoke' AND ordinal = r) THEN 'recorded' WHEN action = 'use' THEN CASE WHEN st = 'approved' THEN 'allowed' ELSE 'refused' END
+           WHEN (action = 'approve' AND st = 'approved') OR (action = 'revoke' AND st = 'revoked') THEN 'existing' ELSE 'refused' END AS result FROM j""")
+def plan_histories(spark, sf_dir):
+    """Events as requests about plans: saved once, approved once and for a day, revoked for good."""
+    id_ = F.col("event_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in ("save", "approve", *["use"] * 6)]), (id_ * 31 % 8 + 1).cast("int"))
+    requests = adapters.observations(spark, sf_dir).select((F.col("user_id") % 30).alias("plan_id"), id_.alias("ordinal"), F.when(id_ % 97 == 11, "revoke").otherwise(action).alias("action"), F.unix_micros("ts").alias("at_us"))
+    return sessions.plan_history(requests)
+
+
+@report("""SELECT n_nationkey AS context, 'c' || c_custkey AS id, 'i' || c_custkey % 9 AS image, CASE c_custkey % 8 WHEN 0 THEN 'running' WHEN 1 THEN 'exited' WHEN 2 THEN 'unknown' ELSE 'created' END AS state, c_custkey * 3 AS created, n > 128 AS truncated
+    FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) JOIN nation ON n_nationkey = c_nationkey WHERE nth <= 128""")
+def engine_containers(spark, sf_dir):
+    """An engine for each nation with its customers as containers."""
+    key = F.col("c_custkey")
+    state = F.when(key % 8 == 0, "running").when(key % 8 == 1, "exited").when(key % 8 == 2, "odd").otherwise("created")
+    item = F.struct(key, F.struct(F.concat(F.lit("c"), key.cast("string")).alias("Id"), F.concat(F.lit("i"), (key % 9).cast("string")).alias("Image"), state.alias("State"), (key * 3).alias("Created")).alias("c"))
+    bodies = adapters.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("context")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"])).alias("body"))  # a response's objects are one body
+    return metadata.engine_containers(bodies)
+
+
+@report(f"WITH {PROJECTS}, t AS (SELECT root_id, path FROM pe WHERE kind = 'directory' AND id > 0 AND id % 64 = 0 AND id // 64 % 60 = 7) SELECT t.path AS top, e.path, e.kind FROM t JOIN pe e ON e.root_id = t.root_id AND (e.path = t.path OR starts_with(e.path, t.path || '/'))")
+def clustered_subtrees(spark, sf_dir):
+    """Some projects read as subtrees of a relation in the order of its paths, each from the files that may hold it."""
+    e = projects.entries(spark, sf_dir).drop("link")
+    table = ClusteredTable(spark, new_folder(spark, "clustered"))
+    table.write(e, 32)
+    tops = table.read().where("kind = 'directory' and id > 0 and id % 64 = 0 and id div 64 % 60 = 7").select("root_id", "path")
+    found = table.subtrees(written(tops, "tops"))
+    return found.select(F.col("_top").cast("string").alias("top"), F.col("path").cast("string").alias("path"), "kind")

@@ -162,3 +162,14 @@ def test_purges_reach_every_relation_and_refuse_roots(spark, tmp_path):
     assert counts["entries"]["rewritten"] < counts["entries"]["files"]
     with pytest.raises(ValueError):
         tables_["entries"].purge(spark.createDataFrame([(1, bytearray(b"."))], "root_id long, path binary"))
+
+
+def test_several_subtrees_are_read_in_turns(spark, tmp_path, monkeypatch):
+    from cairn.plans import clustered as stored
+
+    monkeypatch.setattr(stored, "MAX_TOPS", 2)
+    table, rows = clustered(spark, tmp_path / "t")
+    tops = [(1, b"a/x"), (1, b"b"), (2, b"a"), (2, b"a/x/y"), (2, b"none")]
+    found = table.subtrees(spark.createDataFrame([(r, bytearray(t)) for r, t in tops], "root_id long, path binary"))
+    got = {(r.root_id, bytes(r._top), bytes(r.path)) for r in found.collect()}
+    assert got == {(r, t, p) for r, t in tops for _, p in below(rows, r, t)}

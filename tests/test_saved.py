@@ -136,3 +136,15 @@ def test_containers_of_an_engine(spark):
     body = json.dumps([{"Id": "c1", "Image": "i", "State": "running", "Created": 5}, {"Id": "c2", "Image": "j", "State": "weird", "Created": 6}])
     found = metadata.engine_containers(spark.createDataFrame([("x", body), ("y", "[]")], "context string, body string")).collect()
     assert [tuple(r) for r in found] == [("x", "c1", "i", "running", 5, False), ("x", "c2", "j", "unknown", 6, False)]
+
+
+def test_plans_are_approved_once_and_revoked_for_good(spark):
+    day = sessions.DAY_US
+    script = [
+        ("use", 0, "absent", "refused"), ("approve", 0, "absent", "refused"), ("save", 0, "pending", "created"), ("save", 0, "pending", "existing"), ("use", 0, "pending", "refused"), ("revoke", 0, "pending", "refused"), ("approve", 5, "approved", "recorded"),
+        ("approve", 9, "approved", "existing"), ("use", 9, "approved", "allowed"), ("use", day + 5, "expired", "refused"), ("approve", day + 6, "expired", "refused"), ("revoke", day + 7, "revoked", "recorded"), ("revoke", day + 8, "revoked", "existing"), ("use", 6, "revoked", "refused"),
+    ]
+    rows = [(p, i, action, at) for p in (1, 2) for i, (action, at, _, _) in enumerate(script)]
+    found = sessions.plan_history(spark.createDataFrame(rows, "plan_id long, ordinal long, action string, at_us long"))
+    for p in (1, 2):
+        assert [(r.state, r.result) for r in found.where(F.col("plan_id") == p).orderBy("ordinal").collect()] == [(s, r) for _, _, s, r in script]

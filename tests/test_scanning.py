@@ -50,3 +50,13 @@ def test_settings_are_read_strictly():
         with pytest.raises(config.Refused):
             config.load(text, "/home/u")
     assert config.load("version = 1\nroots = ['/a', '/a-old', '/b/../c/.']", "/h").roots == ("/a", "/a-old", "/c")
+
+
+def test_retirements_go_on_until_there_are_none(spark):
+    rows = [fx.entry(1, ".", "directory", generation=3), fx.entry(2, "gone", "directory", generation=2), fx.entry(3, "gone/a", "directory"), fx.entry(4, "gone/a/f"), fx.entry(5, "flat", generation=3), fx.entry(6, "flat/left", "directory"), fx.entry(7, "flat/left/f"), fx.entry(8, "gone!", generation=3)]
+    listed = [fx.listing(".", 3), fx.listing("gone"), fx.listing("gone/a"), fx.listing("flat/left"), fx.listing("other")]
+    tasks = spark.createDataFrame([(1, ".", 3)], "root_id long, path string, generation long").withColumn("path", F.col("path").cast("binary"))
+    left, kept = scanning.retire_all(entries(spark, rows), passes(spark, listed), tasks)
+    names = lambda df: {bytes(r.path).decode() for r in df.collect()}
+    assert names(left) == {".", "flat", "gone!"} and names(kept) == {".", "other"}
+    assert scanning.retirements(left, kept, tasks).isEmpty()
