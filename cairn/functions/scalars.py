@@ -56,5 +56,5 @@ def human_size(size: Column) -> Column:
     for i in range(1, len(UNITS) - 1):
         nth = nth.when(size < 1024 ** (i + 1), i)
     nth = nth.otherwise(len(UNITS) - 1)
-    value = F.format_string("%.1f", size.cast("double") / F.pow(F.lit(1024.0), nth))
+    value = F.format_string("%.1f", F.bround(size.cast("double") / F.pow(F.lit(1024.0), nth), 1))  # halves go to the even digit
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(value, F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS]), (nth + 1).cast("int"))))

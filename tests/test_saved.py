@@ -30,7 +30,7 @@ def test_a_store_of_roots_is_bounded_and_refuses_as_a_whole(spark):
 
 
 def test_sizes_for_people_agree_in_both_forms(spark):
-    sizes = [0, 1, 1023, 1024, 1536, 1 << 20, (1 << 30) - 1, 5 << 40, 3 << 60]
+    sizes = [0, 1, 1023, 1024, 1536, 1280, 1792, 12845056, 1 << 20, (1 << 30) - 1, 5 << 40, 3 << 60]
     found = spark.createDataFrame([(s,) for s in sizes], "s long").select("s", scalars.human_size(F.col("s")).alias("t")).collect()
     assert {r.s: r.t for r in found} == {s: scalars.human_bytes(s) for s in sizes}
 
