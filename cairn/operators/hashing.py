@@ -17,7 +17,8 @@ def identity_evidence(work: DataFrame) -> DataFrame:
     objects = work.where(named).groupBy("device", "inode").agg(
         F.count("*").alias("_rows"), differ("size", "allocated", "ctime_ns", "mtime_ns").alias("_differ"), F.min(digest).alias("_d1"), F.max(digest).alias("_d2")
     )
-    objects = objects.select("device", "inode", (F.col("_rows") > 1).alias("repeated"), (F.col("_differ") | F.coalesce(F.col("_d1") != F.col("_d2"), F.lit(False))).alias("conflicting"))
+    # an object seen once can neither repeat nor differ, so few objects meet the rows again
+    objects = objects.where("_rows > 1").select("device", "inode", F.lit(True).alias("repeated"), (F.col("_differ") | F.coalesce(F.col("_d1") != F.col("_d2"), F.lit(False))).alias("conflicting"))
     return work.join(objects, ["device", "inode"], "left").na.fill(False, ["repeated", "conflicting"])
 
 

@@ -21,6 +21,37 @@ def selection_check(saved: DataFrame, current: DataFrame, columns: list[str], ve
     return joined.select("target", status.alias("status"), F.concat_ws(",", "changes").alias("changes"))
 
 
+#: What a later observation of a dependency tree can differ in, in the order in which it is told, and the columns that each is of (fixed values).
+CHANGES = (
+    ("manifest_bytes_changed", ("manifest_bytes", "manifest_sha256")), ("lock_bytes_changed", ("lock_bytes", "lock_sha256")), ("input_summary_changed", ("lock_version", "locked_packages")),
+    ("tree_metadata_changed", ("metadata_sha256",)), ("tree_counts_changed", ("entries", "directories", "regular_files", "internal_links")),
+)
+
+
+def compare_observations(baseline: DataFrame, live: DataFrame) -> DataFrame:
+    """Each target (observation_id, finding_id) of a captured observation against a live one, with what changed in a fixed order, and the status of its observation.
+
+    A live target is ``observed`` or ``blocked`` with a code; one that is missing, or observed without its evidence, is
+    no evidence and leaves its whole observation so. Blocked outweighs changed.
+    """
+    key, columns = ["observation_id", "finding_id"], [c for _, own in CHANGES for c in own]
+    a = baseline.select(*key, F.struct(*columns).alias("a"))
+    b = live.select(*key, F.col("status").alias("_live"), F.col("code").alias("_code"), F.struct(*columns).alias("b"))
+    joined = a.join(b, key, "left")
+    whole = ~F.exists(F.array(*[F.col(f"b.{c}").isNull() for c in columns]), lambda missing: missing)
+    codes = F.array_compact(F.array(*[F.when(~F.struct(*[F.col(f"a.{c}") for c in own]).eqNullSafe(F.struct(*[F.col(f"b.{c}") for c in own])), name) for name, own in CHANGES]))
+    status = (
+        F.when(F.col("_live").isNull() | ~F.col("_live").isin("observed", "blocked") | ((F.col("_live") == "observed") & ~whole), "no_evidence")
+        .when(F.col("_live") == "blocked", "blocked")
+        .when(F.size(codes) > 0, "changed")
+        .otherwise("matches_observation")
+    )
+    judged = joined.select(*key, status.alias("status"), F.when(status == "blocked", F.col("_code")).alias("code"), F.when(status == "changed", F.array_join(codes, ",")).otherwise("").alias("changes"))
+    rank = F.array(*[F.lit(s) for s in ("matches_observation", "changed", "blocked", "no_evidence")])
+    overall = judged.groupBy("observation_id").agg(F.max(F.array_position(rank, F.col("status"))).alias("_r")).select("observation_id", F.element_at(rank, F.col("_r").cast("int")).alias("observation_status"))
+    return judged.join(overall, "observation_id")
+
+
 def plan_reviews(plans: DataFrame, approvals: DataFrame, revocations: DataFrame, now: int, lifetime: int) -> DataFrame:
     """State of each plan: revoked outweighs expired, expired approved, approved pending."""
     a = approvals.groupBy("plan_id").agg(F.min("approved_ns").alias("_a"))

@@ -414,3 +414,29 @@ def clustered_subtrees(spark, sf_dir):
     tops = table.read().where("kind = 'directory' and id > 0 and id % 64 = 0 and id div 64 % 60 = 7").select("root_id", "path")
     found = table.subtrees(written(tops, "tops"))
     return found.select(F.col("_top").cast("string").alias("top"), F.col("path").cast("string").alias("path"), "kind")
+
+
+_SEEN = """SELECT doc_id % 40 AS observation_id, doc_id AS finding_id, strlen(coalesce(text, '')) AS manifest_bytes, sha256(coalesce(text, '')) AS manifest_sha256, doc_id % 50 AS lock_bytes, sha256(source) AS lock_sha256, 3 AS lock_version, doc_id % 9 AS locked_packages, sha256(coalesce(lang, '')) AS metadata_sha256,
+    doc_id % 30 + 3 AS entries, doc_id % 30 AS directories, 2 AS regular_files, 1 AS internal_links FROM documents"""
+_CHANGED = ["doc_id % 11 = 3", "doc_id % 13 = 4", "doc_id % 17 = 5", "doc_id % 19 = 6", "doc_id % 23 = 7"]
+
+
+@report(f"""WITH b AS ({_SEEN}), j AS (SELECT observation_id, finding_id, CASE WHEN finding_id % 211 = 8 THEN 'no_evidence' WHEN finding_id % 67 = 9 THEN 'blocked' WHEN {' OR '.join(c.replace('doc_id', 'finding_id') for c in _CHANGED)} THEN 'changed' ELSE 'matches_observation' END AS status,
+      concat_ws(',', {', '.join(f"CASE WHEN {c.replace('doc_id', 'finding_id')} THEN '{name}' END" for c, (name, _) in zip(_CHANGED, history.CHANGES))}) AS changes FROM b)
+    SELECT observation_id, finding_id, status, CASE WHEN status = 'blocked' THEN 'tree_limit' END AS code, CASE WHEN status = 'changed' THEN changes ELSE '' END AS changes,
+           ['matches_observation', 'changed', 'blocked', 'no_evidence'][max(list_position(['matches_observation', 'changed', 'blocked', 'no_evidence'], status)) OVER (PARTITION BY observation_id)] AS observation_status FROM j""")
+def compared_observations(spark, sf_dir):
+    """Documents as captured targets of forty observations against live ones, of which some changed, were blocked or are missing."""
+    d, id_ = adapters.table(spark, sf_dir, "documents"), F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    long = lambda c: c.cast("long")
+    base = d.select(
+        (id_ % 40).alias("observation_id"), id_.alias("finding_id"), long(F.octet_length(text)).alias("manifest_bytes"), F.sha2(text, 256).alias("manifest_sha256"), long(id_ % 50).alias("lock_bytes"), F.sha2("source", 256).alias("lock_sha256"), F.lit(3).alias("lock_version"), long(id_ % 9).alias("locked_packages"),
+        F.sha2(F.coalesce("lang", F.lit("")), 256).alias("metadata_sha256"), long(id_ % 30 + 3).alias("entries"), long(id_ % 30).alias("directories"), long(F.lit(2)).alias("regular_files"), long(F.lit(1)).alias("internal_links"),
+    )
+    tests = [F.expr(c.replace("doc_id", "finding_id")) for c in _CHANGED]
+    more = lambda c, i: F.col(c) + F.when(tests[i], 1).otherwise(0)
+    live = base.where("finding_id % 211 <> 8").withColumns({"manifest_bytes": more("manifest_bytes", 0), "lock_bytes": more("lock_bytes", 1), "locked_packages": more("locked_packages", 2), "entries": more("entries", 4), "metadata_sha256": F.when(tests[3], "x").otherwise(F.col("metadata_sha256"))})
+    blocked = F.col("finding_id") % 67 == 9
+    live = live.select(*[F.when(~blocked | F.lit(c in ("observation_id", "finding_id")), F.col(c)).alias(c) for c in live.columns], F.when(blocked, "blocked").otherwise("observed").alias("status"), F.when(blocked, "tree_limit").otherwise("").alias("code"))
+    return history.compare_observations(base, live)

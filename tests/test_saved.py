@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import cursors, scalars
-from cairn.operators import hashing, reconcile, sessions, tree
+from cairn.operators import hashing, history, reconcile, sessions, tree
 from cairn.sources import metadata, schema
 
 
@@ -148,3 +148,17 @@ def test_plans_are_approved_once_and_revoked_for_good(spark):
     found = sessions.plan_history(spark.createDataFrame(rows, "plan_id long, ordinal long, action string, at_us long"))
     for p in (1, 2):
         assert [(r.state, r.result) for r in found.where(F.col("plan_id") == p).orderBy("ordinal").collect()] == [(s, r) for _, _, s, r in script]
+
+
+def test_changes_are_told_in_order_and_blocked_outweighs(spark):
+    columns = [c for _, own in history.CHANGES for c in own]
+    ddl = "observation_id long, finding_id long, " + ", ".join(f"{c} string" for c in columns)
+    base = spark.createDataFrame([(o, f, *"abcdefghijk"[: len(columns)]) for o, f in [(1, 1), (1, 2), (2, 1), (3, 1), (4, 1), (5, 1)]], ddl)
+    row = lambda o, f, status="observed", code="", **more: (o, f, *[more.get(c, v) for c, v in zip(columns, "abcdefghijk")], status, code)
+    none = dict.fromkeys(columns)
+    live = [row(1, 1), row(1, 2, internal_links="z", lock_sha256="z"), row(2, 1, "blocked", "tree_limit", **none), row(3, 1), row(5, 1, entries=None)]
+    found = history.compare_observations(base, spark.createDataFrame(live, ddl + ", status string, code string"))
+    assert {(r.observation_id, r.finding_id): (r.status, r.code, r.changes, r.observation_status) for r in found.collect()} == {
+        (1, 1): ("matches_observation", None, "", "changed"), (1, 2): ("changed", None, "lock_bytes_changed,tree_counts_changed", "changed"), (2, 1): ("blocked", "tree_limit", "", "blocked"),
+        (3, 1): ("matches_observation", None, "", "matches_observation"), (4, 1): ("no_evidence", None, "", "no_evidence"), (5, 1): ("no_evidence", None, "", "no_evidence"),
+    }
