@@ -1,7 +1,7 @@
 """Spelling variants: words at distance one, found by Levenshtein automata in compact tries.
 
-The vocabulary is sorted and cut into shards; a task builds each shard's trie, in depth-first order: a
-letter, the end of its subtree and the count of the word that ends there, some 13 bytes a node. Shards
+The vocabulary is sorted and cut into shards; a task builds each shard's trie, level by level: a
+letter, where the node's children begin and the count of the word that ends there, some 13 bytes a node. Shards
 are broadcast, as many at once as ``ROUND_BYTES`` allows. Every word's automaton is intersected with
 every shard depth-first: the set of states (letters read without error; letters read with one inserted,
 deleted or replaced) goes down with the letters, and a subtree is left when the set is empty. The
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections import Counter
 from itertools import accumulate
 
@@ -78,70 +80,93 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Words of Latin-1 letters in depth-first order; node 0 is the root."""
+    """Words of Latin-1 letters level by level, so that a node's children stand together; node 0 is the root.
 
-    def __init__(self, letters: bytes, ends, counts):
-        self.letters, self.ends, self.counts = letters, ends, counts
+    ``letters`` has each node's letter, ``first`` where its children begin, which is where those of the
+    node before it end, and ``counts`` that of the word that ends there.
+    """
+
+    def __init__(self, letters: bytes, first, counts):
+        self.letters, self.first, self.counts = letters, first, counts
 
     @classmethod
     def of(cls, words: list[bytes], counts: list[int]) -> Trie:
         """From words in ascending order, each once."""
-        letters, ends, own, path, before = bytearray(1), [0], [0], [0], b""
-        for word, n in zip(words, counts):
-            same = next((i for i, (a, b) in enumerate(zip(word, before)) if a != b), min(len(word), len(before)))
-            while len(path) > same + 1:
-                ends[path.pop()] = len(letters)
-            for c in word[same:]:
-                path.append(len(letters))
-                letters.append(c), ends.append(0), own.append(0)
-            own[path[-1]] = n
-            before = word
-        while path:
-            ends[path.pop()] = len(letters)
-        return cls(bytes(letters), ends, own)
+        letters, first, own, depth = bytearray(1), [], [0], 0
+        level = [(0, len(words))]  # the words below each node of a level
+        while level:
+            below = []
+            for low, high in level:
+                first.append(len(letters))
+                at = low
+                while at < high and len(words[at]) == depth:
+                    at += 1  # the word that ends at the node itself
+                while at < high:
+                    c, begin = words[at][depth], at
+                    while at < high and words[at][depth] == c:
+                        at += 1
+                    letters.append(c)
+                    own.append(counts[begin] if len(words[begin]) == depth + 1 else 0)
+                    below.append((begin, at))
+            level, depth = below, depth + 1
+        return cls(bytes(letters), [*first, len(letters)], own)
 
     def near(self, word: bytes) -> list[int]:
         """Nodes of the words at a distance of exactly one."""
-        letters, ends, counts, size = self.letters, self.ends, self.counts, len(word)
-        found, stack = [], [(1, ends[0], 0, True, 0)]
-        while stack:
-            # below a node: letters read, whether without error, and states with one error as bits:
-            # 1 for one letter less of the word read than of the trie, 2 for as many, 4 for one more
-            node, stop, depth, exact, states = stack.pop()
+        letters, first, counts, size = self.letters, self.first, self.counts, len(word)
+        find, found, stack = letters.find, [], []
+        # the way of the word itself: below each of its nodes one error may happen
+        node, depth = 0, 0
+        while True:
+            low, high = first[node], first[node + 1]
             here = word[depth] if depth < size else -1
             then = word[depth + 1] if depth + 1 < size else -1
-            last = word[depth - 1] if 0 < depth <= size else -1
-            while node < stop:
-                c = letters[node]
-                after = (states & 1 if c == last else 0) | (states & 2 if c == here else 0) | (states & 4 if c == then else 0)
-                if exact:
-                    after |= 1  # inserted
-                    if c != here and here >= 0:
-                        after |= 2  # replaced
-                    if c == then:
-                        after |= 4  # deleted
-                right = exact and c == here
-                end = ends[node]
-                if right or after:
-                    over = size - depth - 1  # letters of the word beyond the trie's
-                    if counts[node] and (over == -1 and after & 1 or over == 0 and after & 2 or over == 1 and (after & 4 or right)):
-                        found.append(node)
-                    if end > node + 1 and over >= -1:
-                        stack.append((node + 1, end, depth + 1, right, after))
-                node = end
-        return found
+            over, on = size - depth - 1, -1  # letters of the word beyond the trie's
+            for child in range(low, high):
+                c = letters[child]
+                # states with one error as bits: 1 for one letter less of the word read than of the trie, 2 for as many, 4 for one more
+                after = 1 if c == here else 3 if here >= 0 else 1
+                if c == then:
+                    after |= 4
+                if c == here:
+                    on = child
+                if counts[child] and (over == -1 or over == 0 and after & 2 or over == 1 and (after & 4 or c == here)):
+                    found.append(child)
+                if over >= 0:
+                    stack.append((child, depth + 1, after))
+            if on < 0:
+                break
+            node, depth = on, depth + 1
+        while stack:
+            node, depth, states = stack.pop()
+            low, high = first[node], first[node + 1]
+            if low == high:
+                continue
+            over, after = size - depth - 1, {}
+            if states & 1:
+                after[word[depth - 1]] = 1
+            if states & 2 and depth < size:
+                after[word[depth]] = after.get(word[depth], 0) | 2
+            if states & 4 and depth + 1 < size:
+                after[word[depth + 1]] = after.get(word[depth + 1], 0) | 4
+            for c, bits in after.items():
+                child = find(c, low, high)
+                if child >= 0:
+                    if counts[child] and (over == -1 and bits & 1 or over == 0 and bits & 2 or over == 1 and bits & 4):
+                        found.append(child)
+                    if over >= 0:
+                        stack.append((child, depth + 1, bits))
+        return list(set(found))  # a word with doubled letters is met on more than one way
 
     def word(self, node: int) -> bytes:
-        out, at, ends = bytearray(), 0, self.ends
-        while at != node:
-            at += 1
-            while ends[at] <= node:
-                at = ends[at]
-            out.append(self.letters[at])
-        return bytes(out)
+        out = bytearray()
+        while node:
+            out.append(self.letters[node])
+            node = bisect_right(self.first, node) - 1  # its parent: of the nodes that begin there, the last has the children
+        return bytes(out[::-1])
 
 
-SHARD = "shard string, bytes long, letters binary, ends binary, counts binary"
+SHARD = "shard string, bytes long, letters binary, first binary, counts binary"
 
 
 def _shards(words: DataFrame, nodes: int) -> DataFrame:
@@ -157,9 +182,8 @@ def _shards(words: DataFrame, nodes: int) -> DataFrame:
             nonlocal made
             made += 1
             trie = Trie.of(own, counts)
-            parts = [trie.letters, pa.array(trie.ends, pa.uint32()).buffers()[1].to_pybytes(), pa.array(trie.counts, pa.int64()).buffers()[1].to_pybytes()]
             n = len(trie.letters)
-            parts[1], parts[2] = parts[1][: 4 * n], parts[2][: 8 * n]
+            parts = [trie.letters, array("I", trie.first).tobytes(), array("q", trie.counts).tobytes()]
             row = [f"{TaskContext.get().partitionId():09d}-{made:09d}", 13 * n, *parts]
             own.clear(), counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
@@ -187,7 +211,7 @@ def _accepted(words: DataFrame, tries) -> DataFrame:
     schema = arrow_schema("word string, n_near long, less long, form string")
 
     def search(batches):
-        own = [Trie(letters, memoryview(ends).cast("I"), memoryview(counts).cast("q")) for letters, ends, counts in tries.value]
+        own = [Trie(letters, memoryview(first).cast("I"), memoryview(counts).cast("q")) for letters, first, counts in tries.value]
         for batch in batches:
             rows = []
             for word in batch.column(0).to_pylist():
@@ -218,7 +242,7 @@ def _neighbours(words: DataFrame, nodes: int, round_bytes: int) -> DataFrame:
     tables = []
     spread = words.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for names in rounds.values():
-        payload = [tuple(bytes(x) for x in r) for r in shards.where(F.col("shard").between(names[0], names[-1])).select("letters", "ends", "counts").collect()]
+        payload = [tuple(bytes(x) for x in r) for r in shards.where(F.col("shard").between(names[0], names[-1])).select("letters", "first", "counts").collect()]
         tries = spark.sparkContext.broadcast(payload)
         tables.append(materialise(_accepted(spread, tries), "spelling-near"))
         tries.destroy()
