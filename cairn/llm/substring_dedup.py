@@ -31,8 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_schema, discard, frugal, from_planes, input_bytes, materialise, packed, planes, unpacked
+from cairn.llm.common import arrow_schema, frugal, from_planes, input_bytes, materialise, packed, planes, unpacked
+from cairn.llm.jaccard import BLOCK_BYTES as PIECE_BYTES
 from cairn.llm.jaccard import mixed, word_hashes
+from cairn.llm.jaccard import _pieces as pieces
 
 WIDTH = 35
 #: Every difference modulo 13 is one of two members of the cover.
@@ -79,13 +81,39 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return materialise(docs.mapInArrow(frugal(pack), BLOCK), "substring-blocks")
 
 
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and the number of words of each; texts are hashed together up to a bound and longer ones in pieces, as hashing takes many times their bytes."""
+    hashes, counts, held, size = [], [], [], 0
+
+    def flush():
+        nonlocal size
+        if held:
+            found, numbers = word_hashes(held, fold=False)
+            hashes.append(found)
+            counts.append(numbers)
+            held.clear()
+            size = 0
+
+    for text in texts:
+        if size + len(text) > PIECE_BYTES:
+            flush()
+        if len(text) > PIECE_BYTES:
+            parts = [word_hashes([p], fold=False)[0] for p in pieces(text)]
+            hashes += parts
+            counts.append(np.array([sum(map(len, parts))]))
+        else:
+            held.append(text)
+            size += len(text)
+    flush()
+    return np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int64)
+
+
 class Block:
     """The words of a block's distinct texts, one after the other."""
 
     def __init__(self, owners, texts: bytes):
         self.texts = zstandard.decompress(texts).split(b"\n")
-        self.hashes, counts = word_hashes(self.texts, fold=False)
-        self.sizes = counts.astype(np.int64)
+        self.hashes, self.sizes = _hashed(self.texts)
         self.starts = np.cumsum(self.sizes) - self.sizes
         # words left in the text from each word on, and whether the text occurs again in the block
         self.left = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(len(self.hashes))

@@ -79,3 +79,13 @@ def test_every_window_that_occurs_again_is_a_candidate(parts, seed):
     windows = {i: tuple(words[i : i + WIDTH]) for i in np.flatnonzero(block.left >= WIDTH).tolist()}
     often = Counter(windows.values())
     assert {i for i, w in windows.items() if often[w] > 1} <= set(near.tolist())
+
+
+def test_texts_are_hashed_alike_in_pieces_and_together(monkeypatch):
+    texts = [t.encode() for t in ("", "a b c", prose(1, 400), "é x\u00a0y " * 50 + "end", "", prose(2, 3), "w" * 300 + " z")]
+    whole, counts = substring_dedup.word_hashes(texts, fold=False)
+    for piece in (1, 40, 333, 10**6):
+        monkeypatch.setattr(substring_dedup, "PIECE_BYTES", piece)
+        monkeypatch.setattr("cairn.llm.jaccard.BLOCK_BYTES", piece)
+        got, sizes = substring_dedup._hashed(texts)
+        assert (got == whole).all() and sizes.tolist() == counts.tolist()
