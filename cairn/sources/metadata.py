@@ -12,10 +12,11 @@ MAX_OBJECTS = 128
 IMAGES = "array<struct<Id:string,RepoTags:array<string>,Created:bigint,Size:bigint>>"
 
 
-def engine_images(responses: DataFrame) -> DataFrame:
-    """Ids, tags and dates of an engine's images from its response bodies (context, body); more than 128 are cut and marked."""
+def engine_images(responses: DataFrame, most: int | None = MAX_OBJECTS) -> DataFrame:
+    """Ids, tags and dates of an engine's images from its response bodies (context, body); of a body more than ``most`` are cut and marked, none without it."""
     parsed = responses.withColumn("images", F.from_json("body", IMAGES, {"mode": "FAILFAST"}))
-    rows = parsed.select("context", (F.size("images") > MAX_OBJECTS).alias("truncated"), F.explode(F.slice("images", 1, MAX_OBJECTS)).alias("i"))
+    many, told = (F.lit(False), F.col("images")) if most is None else (F.size("images") > most, F.slice("images", 1, most))
+    rows = parsed.select("context", many.alias("truncated"), F.explode(told).alias("i"))
     return rows.select("context", F.col("i.Id").alias("id"), F.concat_ws(",", F.array_sort(F.coalesce("i.RepoTags", F.array().cast("array<string>")))).alias("tags"), F.col("i.Created").alias("created"), "truncated")
 
 

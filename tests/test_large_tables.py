@@ -13,3 +13,10 @@ def test_times_beyond_64_bits_stay_exact(spark, tmp_path, name):
     assert found or name == "same_size_page_after"
     if name == "selection_bindings":
         assert {int(r.binding.split(":")[2]) for r in found} == {1_600_000_000_000_000_000 + i * 86_400_000_000_000 for i in range(88_228, 88_240, 2)}
+
+
+def test_all_images_of_an_engine_are_told(spark, tmp_path):
+    spark.createDataFrame([(i, 3 if i < 300 else 9) for i in range(310)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(3,), (4,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    found = catalogue.QUERIES["engine_images"](spark, str(tmp_path)).collect()
+    assert sorted((r.context, r.created, r.truncated) for r in found) == [(3, i * 10, False) for i in range(300)]
