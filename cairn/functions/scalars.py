@@ -50,11 +50,12 @@ def human_bytes(n: int) -> str:
 UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
 
 
-def human_size(size: Column) -> Column:
-    """A size for people, as a column: whole bytes, else one digit after the point."""
+def human_size(size: Column, largest: str = UNITS[-1]) -> Column:
+    """A size for people, as a column: whole bytes, else one digit after the point; no unit beyond the ``largest``."""
+    last = UNITS.index(largest)
     nth = F.when(size < 1024, 0)
-    for i in range(1, len(UNITS) - 1):
+    for i in range(1, last):
         nth = nth.when(size < 1024 ** (i + 1), i)
-    nth = nth.otherwise(len(UNITS) - 1)
+    nth = nth.otherwise(last)
     value = F.format_string("%.1f", F.bround(size.cast("double") / F.pow(F.lit(1024.0), nth), 1))  # halves go to the even digit
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(value, F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS]), (nth + 1).cast("int"))))

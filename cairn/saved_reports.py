@@ -265,7 +265,7 @@ def late_observations(spark, sf_dir):
 @report("SELECT p_partkey AS id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KiB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1f MiB', s / 1048576.0) ELSE printf('%.1f GiB', s / 1073741824.0) END AS size FROM (SELECT p_partkey, p_partkey * p_partkey * (p_partkey % 40) AS s FROM part)")
 def sizes_for_people(spark, sf_dir):
     size = F.col("p_partkey") * F.col("p_partkey") * (F.col("p_partkey") % 40)
-    return adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scalars.human_size(size).alias("size"))
+    return adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scalars.human_size(size, "GiB").alias("size"))
 
 
 @report(f"WITH {sql.entries()} SELECT id, size FROM files WHERE size >= 64 ORDER BY size DESC, id DESC LIMIT 20")

@@ -20,3 +20,9 @@ def test_all_images_of_an_engine_are_told(spark, tmp_path):
     spark.createDataFrame([(3,), (4,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
     found = catalogue.QUERIES["engine_images"](spark, str(tmp_path)).collect()
     assert sorted((r.context, r.created, r.truncated) for r in found) == [(3, i * 10, False) for i in range(300)]
+
+
+def test_sizes_for_people_end_with_gibibytes(spark, tmp_path):
+    spark.createDataFrame([(200_039,), (39,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.id: r.size for r in catalogue.QUERIES["sizes_for_people"](spark, str(tmp_path)).collect()}
+    assert found == {200_039: f"{200_039**2 * 39 / 2**30:.1f} GiB", 39: f"{39**3 / 1024:.1f} KiB"}
