@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.sources.written import written
 
-#: Tops that are purged at once; they are sent to the manifest and to the rows.
+#: Tops that are sent to the manifest to find the files that they meet; for more, all files are read.
 MAX_TOPS = 1000
 
 
@@ -90,41 +91,45 @@ class ClusteredTable:
         met = self._met([(root, top)])
         return self._rows(self._files(met)).where((F.col("root_id") == root) & paths.in_subtree(F.col(self.column), top))
 
+    def _near(self, tops: DataFrame) -> list[str]:
+        """Files that may hold something at or below the tops (root_id, path): pruned for some tops, all for many, which meet most files anyway."""
+        asked = [(r.root_id, bytes(r.path)) for r in tops.limit(MAX_TOPS + 1).collect()]
+        if not asked:
+            return []
+        return self._files(self._met(asked) if len(asked) <= MAX_TOPS else self.manifest())
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """Each row once for itself and for each directory above it, as text in ``_name``; so what lies below a top is found by an equi-join."""
+        path = F.col(self.column)
+        return rows.withColumn("_name", F.explode(F.concat(paths.ancestors(path), F.array(paths.as_text(path)))))
+
     def subtrees(self, tops: DataFrame) -> DataFrame:
-        """Rows below several tops (root_id, path), each with its top in ``_top``; tops are taken ``MAX_TOPS`` at a time in their order."""
-        found, last = self._rows([]).withColumn("_top", F.lit(None).cast("binary")), None
-        while True:
-            rest = tops.select("root_id", "path").distinct()
-            rest = rest if last is None else rest.where((F.col("root_id") > last[0]) | ((F.col("root_id") == last[0]) & (F.col("path") > F.lit(last[1]))))
-            asked = [(r.root_id, bytes(r.path)) for r in rest.orderBy("root_id", "path").limit(MAX_TOPS).collect()]
-            if not asked:
-                return found
-            rows = self._rows(self._files(self._met(asked)))
-            held = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(t).alias("t")) for r, t in asked])
-            below = lambda o: (F.col("root_id") == o["r"]) & ((F.col(self.column) == o["t"]) | ((F.col(self.column) >= F.concat(o["t"], F.lit(b"/"))) & (F.col(self.column) < F.concat(o["t"], F.lit(b"0")))))
-            own = rows.withColumn("_o", F.explode(F.filter(held, below))).withColumn("_top", F.col("_o.t")).drop("_o")
-            found, last = found.unionByName(own), asked[-1]
-
-    def purge(self, tops: DataFrame, keep_anchor: bool = False) -> dict[str, int]:
-        """Without what lies below the tops (root_id, path) and, unless ``keep_anchor``, the tops themselves; returns how many files there were, were read and were written.
-
-        A file that a top's range meets without holding any row of its subtree stays as it is.
+        """Rows at or below any number of tops (root_id, path), each with its top in ``_top``."""
+        asked = tops.select("root_id", "path").distinct()
+        known = asked.select("root_id", paths.as_text(F.col("path")).alias("_name"), F.col("path").alias("_top"))
+        rows = self._rows(self._near(asked))
+        return self._named(rows).join(known, ["root_id", "_name"]).select(*rows.columns, "_top")
+
+    def purge(self, tops: DataFrame, keep_anchor: bool | None = False) -> dict[str, int]:
+        """Without what lies below any number of tops (root_id, path) and, unless ``keep_anchor``, the tops themselves; with None their column of that name decides.
+
+        Returns how many files there were, were read and were written. A file that a top's range meets without holding any
+        row of its subtree stays as it is.
         """
-        asked = [(r.root_id, bytes(r.path)) for r in tops.select("root_id", "path").distinct().limit(MAX_TOPS + 1).collect()]
-        if not 1 <= len(asked) <= MAX_TOPS:
-            raise ValueError(f"1 to {MAX_TOPS} tops are needed")
-        if any(top == b"." for _, top in asked):
+        keep = F.col("keep_anchor") if keep_anchor is None else F.lit(keep_anchor)
+        asked = tops.select("root_id", "path", keep.alias("keep_anchor")).groupBy("root_id", "path").agg(F.bool_and("keep_anchor").alias("_keep"))
+        if asked.isEmpty():
+            raise ValueError("a top is needed")
+        if not asked.where(F.col("path") == F.lit(b".")).isEmpty():
             raise ValueError("a root is not purged as a subtree")
-        total, met = self.manifest().count(), self._files(self._met(asked))
-        rows = self._rows(met).withColumn("_file", F.input_file_name())
-        path, doomed = F.col(self.column), F.lit(False)
-        for root, top in asked:
-            below = (path >= F.lit(top + b"/")) & (path < F.lit(top + b"0"))
-            doomed = doomed | ((F.col("root_id") == root) & (below if keep_anchor else below | (path == F.lit(top))))
-        marked = rows.withColumn("_doomed", doomed)
-        hit = [r[0] for r in marked.where("_doomed").select("_file").distinct().collect()] if met else []  # of the files read
+        total, met = self.manifest().count(), self._near(asked)
+        known = asked.select("root_id", paths.as_text(F.col("path")).alias("_name"), "_keep")
+        below = (F.col("_name") != paths.as_text(F.col(self.column))) | ~F.col("_keep")
+        keys = self._named(self._rows(met).select("root_id", self.column, F.input_file_name().alias("_file")))
+        doomed = written(keys.join(known, ["root_id", "_name"]).where(below).select("root_id", self.column, "_file").distinct(), "doomed")
+        hit = [r[0] for r in doomed.select("_file").distinct().collect()]  # of the files read
         if hit:
-            kept = self._rows(hit).where(~doomed)
+            kept = self._rows(hit).join(doomed.select("root_id", self.column), ["root_id", self.column], "left_anti")
             renewed = self._write_rows(kept, len(hit))
             stays = self.manifest().where(~F.col("file").isin(hit)) if len(hit) <= 100 else self.manifest().join(self.spark.createDataFrame([(h,) for h in hit], "file string"), "file", "left_anti")
             self._publish(stays.select("file", "rows", "first_root", "first_path", "last_root", "last_path").unionByName(renewed))
@@ -137,16 +142,4 @@ def purge_relations(tables: dict[str, ClusteredTable], tops: DataFrame) -> dict[
     The other relations say what was found below a directory, so there the directory itself goes too. Entries go
     last: a purge that broke off is found again by the anchors that still stand.
     """
-    out = {}
-    for name in sorted(tables, key=lambda n: n == "entries"):
-        if name != "entries":
-            out[name] = tables[name].purge(tops)
-            continue
-        counts = {"files": tables[name].manifest().count(), "read": 0, "rewritten": 0}
-        for keep in (True, False):
-            own = tops.where(F.col("keep_anchor") == keep)
-            if not own.isEmpty():
-                found = tables[name].purge(own, keep)
-                counts = {"files": counts["files"], **{k: counts[k] + found[k] for k in ("read", "rewritten")}}
-        out[name] = counts
-    return out
+    return {n: tables[n].purge(tops, None if n == "entries" else False) for n in sorted(tables, key=lambda n: n == "entries")}

@@ -408,9 +408,9 @@ def engine_containers(spark, sf_dir):
 @report(f"WITH {PROJECTS}, t AS (SELECT root_id, path FROM pe WHERE kind = 'directory' AND id > 0 AND id % 64 = 0 AND id // 64 % 60 = 7) SELECT t.path AS top, e.path, e.kind FROM t JOIN pe e ON e.root_id = t.root_id AND (e.path = t.path OR starts_with(e.path, t.path || '/'))")
 def clustered_subtrees(spark, sf_dir):
     """Some projects read as subtrees of a relation in the order of its paths, each from the files that may hold it."""
-    e = projects.entries(spark, sf_dir).drop("link")
+    e = written(projects.entries(spark, sf_dir).drop("link"), "project-entries")
     table = ClusteredTable(spark, new_folder(spark, "clustered"))
-    table.write(e, 32)
+    table.write(e, max(32, e.count() // 200_000))
     tops = table.read().where("kind = 'directory' and id > 0 and id % 64 = 0 and id div 64 % 60 = 7").select("root_id", "path")
     found = table.subtrees(written(tops, "tops"))
     return found.select(F.col("_top").cast("string").alias("top"), F.col("path").cast("string").alias("path"), "kind")
