@@ -74,12 +74,22 @@ def _spark(text: str) -> str:
     return text.replace("//", "div")
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of every project with its own listing pass, before the rows above the projects."""
+#: Documents whose projects one task lays out; their columns are so narrow that Spark would leave all to a few tasks.
+TASK_DOCUMENTS = 20_000
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a project is made from: a document's number, root, source and size."""
     docs = adapters.table(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("src0")).alias("source"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
     )
-    docs = docs.join(adapters.roots(spark, sf_dir).select(F.col("id").alias("root_id"), "lang"), "lang")
+    return docs.join(adapters.roots(spark, sf_dir).select(F.col("id").alias("root_id"), "lang"), "lang")
+
+
+def _rows(docs: DataFrame, n: int) -> DataFrame:
+    """Every row of every project of ``n`` documents with its own listing pass, before the rows above the projects."""
+    spark = docs.sparkSession
+    docs = docs.repartition(max(spark.sparkContext.defaultParallelism, -(-n // TASK_DOCUMENTS)), "doc_id")
     cast = {"size": "bigint", "mtime": "bigint", "generation": "bigint", "own": "bigint"}
     items = []
     for nth, row in enumerate(LAYOUT):
@@ -91,15 +101,16 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("path", path).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
 
 
-def _above(rows: DataFrame) -> DataFrame:
+def _above(docs: DataFrame) -> DataFrame:
     """(root_id, path, parent) of the roots and the sources."""
-    sources = rows.select("root_id", F.col("source").alias("path"), F.lit(".").alias("parent")).distinct()
+    sources = docs.select("root_id", F.col("source").alias("path"), F.lit(".").alias("parent")).distinct()
     return sources.union(sources.select("root_id", F.lit("."), F.lit(".")).distinct())
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory rows of all projects, their sources and roots."""
-    rows = _rows(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    rows = _rows(docs, adapters.table(spark, sf_dir, "documents").count())
     number = lambda c: F.col(c).cast("long")
     own = rows.select(
         (F.col("doc_id") * 64 + F.col("nth")).cast("long").alias("id"), number("root_id").alias("root_id"), F.col("path").cast("binary").alias("path"), F.col("parent").cast("binary").alias("parent"), "kind",
@@ -108,7 +119,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     zero = F.lit(0).cast("long")
     id_ = -F.when(F.col("path") == ".", F.col("root_id")).otherwise(F.col("root_id") * 100_000 + 1 + F.substring("path", 4, 9).cast("long"))
-    above = _above(rows).select(
+    above = _above(docs).select(
         id_.cast("long").alias("id"), number("root_id").alias("root_id"), F.col("path").cast("binary").alias("path"), F.col("parent").cast("binary").alias("parent"), F.lit("directory").alias("kind"),
         zero.alias("size"), zero.alias("allocated"), F.lit(OLD).cast("long").alias("mtime_ns"), F.lit(OLD).cast("long").alias("ctime_ns"), F.lit("1").alias("device"),
         F.concat(F.lit("2"), F.lpad((-id_).cast("string"), 9, "0")).alias("inode"), F.lit(5).cast("long").alias("generation"), F.lit(OLD).cast("long").alias("observed_at_ns"), F.lit("").alias("skip_reason"), F.lit("").alias("link"),
@@ -118,9 +129,10 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing passes of the directories that have one."""
-    rows = _rows(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    rows = _rows(docs, adapters.table(spark, sf_dir, "documents").count())
     own = rows.where("kind = 'directory' and listed").select("root_id", "path", F.col("own").alias("generation"), "complete", F.col("error").alias("last_error"))
-    above = _above(rows).select("root_id", "path", F.lit(5).cast("long").alias("generation"), F.lit(True).alias("complete"), F.lit("").alias("last_error"))
+    above = _above(docs).select("root_id", "path", F.lit(5).cast("long").alias("generation"), F.lit(True).alias("complete"), F.lit("").alias("last_error"))
     both = own.unionByName(above)
     return both.select(F.col("root_id").cast("long").alias("root_id"), F.col("path").cast("binary").alias("path"), "generation", "complete", F.lit(CHECKED).cast("long").alias("checked_at_ns"), "last_error")
 

@@ -1,6 +1,7 @@
 """What only tables larger than the sample ones show: numbers beyond 64 bits, sizes beyond gibibytes, many objects and many subtrees."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn import catalogue
 
@@ -26,3 +27,27 @@ def test_sizes_for_people_end_with_gibibytes(spark, tmp_path):
     spark.createDataFrame([(200_039,), (39,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     found = {r.id: r.size for r in catalogue.QUERIES["sizes_for_people"](spark, str(tmp_path)).collect()}
     assert found == {200_039: f"{200_039**2 * 39 / 2**30:.1f} GiB", 39: f"{39**3 / 1024:.1f} KiB"}
+
+
+def test_any_number_of_subtrees_is_read_and_purged(spark, tmp_path):
+    from cairn.plans.clustered import MAX_TOPS, ClusteredTable
+
+    n = 2 * MAX_TOPS + 100
+    rows = spark.range(n).selectExpr("1L AS root_id", "explode(array('p' || id, 'p' || id || '/a', 'p' || id || '/a/b', 'p' || id || '!')) AS path").withColumn("path", F.col("path").cast("binary"))
+    table = ClusteredTable(spark, str(tmp_path / "t"))
+    table.write(rows, 4)
+    tops = spark.range(n - 1).selectExpr("1L AS root_id", "cast('p' || id AS binary) AS path", "id % 2 = 0 AS keep_anchor")
+    assert table.subtrees(tops).groupBy("_top").count().where("count = 3").count() == n - 1
+    assert table.purge(tops, None)["rewritten"] == 4
+    left = {bytes(r.path).decode() for r in table.read().collect()}
+    last = {f"p{n - 1}{end}" for end in ("", "/a", "/a/b")}
+    assert left == {f"p{i}!" for i in range(n)} | {f"p{i}" for i in range(0, n - 1, 2)} | last
+
+
+def test_projects_are_laid_out_in_enough_tasks(spark, monkeypatch):
+    from cairn.sources import projects
+
+    monkeypatch.setattr(projects, "TASK_DOCUMENTS", 20)  # of 200 documents
+    for made in (projects.entries, projects.passes):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [doc_id" in plan and ", 10" in plan and plan.count("Generate explode") == 1
