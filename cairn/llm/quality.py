@@ -7,8 +7,9 @@ before the last, which an n-gram shares with its context and with all its suffix
 more; the tables of orders one and two, 65,536 rows at most, go to every shard. Documents are packed
 into blocks of some megabytes; each block's distinct n-grams go to their shards, meet counts and
 contexts there, are interpolated, and come back to the block, where they add up to each document's
-perplexity. Blocks are dealt over salts and a shard's tables are repeated for each, so no task's
-share grows with the input.
+perplexity. Blocks are dealt over salts and a shard's tables are repeated for each; a larger model has
+more shards and as many salts fewer, so neither a task's share nor what is repeated for each block
+grows with the input, as far as 65,536 pairs of bytes can be dealt evenly.
 
 Blocks are packed twice, before and after their n-grams went out, so that texts are moved once; a
 block is named by its n-grams, and should the second reading cut other blocks, the documents are
@@ -16,8 +17,8 @@ written down first and read again.
 
 Per document this gives a perplexity for each byte, drawn towards the language's mean where the
 text is short, and a document is rejected beyond a limit set by the quantiles of all trusted
-documents of its language that the model was not trained on; only the training documents are a
-sample, with equal shares for the languages as far as they have them.
+documents of its language that the model was not trained on. A fifth of the trusted documents, told
+by a hash of their ids, is held for this; all others train.
 
 Bytes do not tell a fluent toxic text, so its words are read too: words are hashed into
 ``WORD_BUCKETS`` buckets, and those that documents labelled toxic hold significantly more often than
@@ -49,9 +50,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import arrow_schema, discard, from_planes, frugal, input_bytes, materialise, packed, planes, unpacked
 
 ORDER, CLASSES = 5, 256
-#: Four fifths of this many trusted documents train the model at most (in expectation: they are drawn by a hash).
-#: A fifth of all trusted documents never trains; these and all that were not drawn set the limits.
-TRUSTED_DOCUMENTS = 20_000
+#: Ids that are sent to every task, so that no text moves to meet its label; more of them meet the documents by a shuffled join.
+SENT_IDS = 4_000_000
 #: Held documents that a language's own limit needs.
 LEAST_HELD = 100
 #: Bytes that a short text is mixed with at its language's mean.
@@ -59,12 +59,11 @@ PRIOR_BYTES = 200
 #: The limit lies this many times as far from the median as the quantile does.
 QUANTILE, MARGIN = 0.01, 2.0
 BLOCK_BYTES, PIECE_BYTES = 1 << 21, 1 << 19
-#: Shards of the n-grams, and the input bytes whose blocks one shard serves in one task.
-SHARDS, SALT_BYTES = 61, 2 << 30
+#: Shards of the n-grams at least, the rows of the model that one holds, and the input bytes whose blocks one of so many shards serves in one task.
+SHARDS, SHARD_ROWS, SALT_BYTES = 61, 1_000_000, 2 << 30
 WORD_BUCKETS = 1 << 20
-#: Toxic documents that markers are taken from, in expectation, and the evidence (G squared) and weight that a marker needs;
-#: lighter words would add up in any long document.
-TOXIC_DOCUMENTS, MARKER_EVIDENCE, MARKER_WEIGHT = 20_000, 25.0, 4.0
+#: The evidence (G squared) and weight that a marker needs; lighter words would add up in any long document.
+MARKER_EVIDENCE, MARKER_WEIGHT = 25.0, 4.0
 TOXIC_QUANTILE, TOXIC_LEAST = 0.999, 3.0
 #: Documents read from a batch at once.
 SLICE = 512
@@ -226,9 +225,9 @@ class Model(NamedTuple):
     discounts: list[list[float]]
 
 
-def shard_of(grams):
-    """Shard of n-grams by the two bytes before the last; a prime modulus reads both."""
-    return grams // 256 % 65536 % SHARDS
+def shard_of(grams, shards: int = SHARDS):
+    """Shard of n-grams by the two bytes before the last; a prime factor in the modulus reads both."""
+    return grams // 256 % 65536 % shards
 
 
 def train(trusted: DataFrame) -> Model:
@@ -287,9 +286,8 @@ BLOCK = "block string, salt int, batch binary, grams binary"
 
 
 def _distinct(texts: list[bytes]) -> np.ndarray:
-    """Distinct n-grams of the texts by shard, ascending in each."""
-    found = np.unique(np.concatenate([np.empty(0, np.int64), *(pd.unique(grams) for grams, *_ in gram_pieces(texts))]))
-    return found[np.argsort(shard_of(found), kind="stable")]
+    """Distinct n-grams of the texts, ascending."""
+    return np.unique(np.concatenate([np.empty(0, np.int64), *(pd.unique(grams) for grams, *_ in gram_pieces(texts))]))
 
 
 #: Compression of the texts on their way; a fifth less than at the least level for a hundredth of a second a MB.
@@ -297,7 +295,7 @@ LEVEL = 6
 
 
 def _blocks(docs: DataFrame, at: int, salts: int) -> DataFrame:
-    """One row for each block: a name made of its distinct n-grams, its rows as an Arrow message, and these n-grams. The texts are column ``at``."""
+    """One row for each block: a name made of its distinct n-grams, its rows as an Arrow message, and these n-grams, packed. The texts are column ``at``."""
     schema = arrow_schema(BLOCK)
 
     def pack(batches):
@@ -311,7 +309,7 @@ def _blocks(docs: DataFrame, at: int, salts: int) -> DataFrame:
                     out.write_batch(h)
             grams = _distinct(texts)
             name = hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest()
-            row = [name, int(name[:8], 16) % salts, sink.getvalue().to_pybytes(), planes(grams)]
+            row = [name, int(name[:8], 16) % salts, sink.getvalue().to_pybytes(), packed(grams)]
             held, texts, size = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
@@ -334,7 +332,7 @@ def _blocks(docs: DataFrame, at: int, salts: int) -> DataFrame:
     return docs.mapInArrow(frugal(pack), BLOCK)
 
 
-def _shares(blocks: DataFrame) -> DataFrame:
+def _shares(blocks: DataFrame, shards: int) -> DataFrame:
     """(block, salt, shard, grams): each block's distinct n-grams by shard."""
     out = "block string, salt int, shard int, grams binary"
     schema = arrow_schema(out)
@@ -342,18 +340,21 @@ def _shares(blocks: DataFrame) -> DataFrame:
     def split(batches):
         for batch in batches:
             for block, salt, grams in zip(*(batch.column(i) for i in range(3))):
-                grams = from_planes(grams.as_py(), np.int64)
-                cut = np.searchsorted(shard_of(grams), np.arange(1, SHARDS))
+                grams = unpacked(grams.as_py(), np.int64)
+                own = shard_of(grams, shards)
+                order = np.argsort(own, kind="stable")
+                grams, cut = grams[order], np.searchsorted(own[order], np.arange(1, shards))
                 rows = [(block.as_py(), salt.as_py(), s, packed(g)) for s, g in enumerate(np.split(grams, cut)) if len(g)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return blocks.select("block", "salt", "grams").mapInArrow(frugal(split), out)
 
 
-def _returned(shares: DataFrame, model: Model, salts: int) -> DataFrame:
+def _returned(shares: DataFrame, model: Model, salts: int, shards: int) -> DataFrame:
     """(block, shares): the log-probabilities of each block's n-grams by shard, in their order."""
     common, found_discounts = model.common, model.discounts
-    tables = model.rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    shard = F.expr(f"cast((case when context then key else key div {CLASSES} end) % 65536 % {shards} as int)")
+    tables = model.rows.withColumn("shard", shard).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def look_up(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         tables = common | _tables(rows)
@@ -391,36 +392,37 @@ def log_sums(texts: list[bytes], grams: np.ndarray, logp: np.ndarray) -> np.ndar
 
 def _summed(docs: DataFrame, text: str, dropped: str, new: list[str], model: Model, buckets: np.ndarray, weights: np.ndarray) -> DataFrame:
     """The documents without column ``dropped``, with bytes, log-probability (null where their block was not met) and toxicity of their texts."""
-    salts, at = max(1, -(-input_bytes(docs, text) // SALT_BYTES)), docs.columns.index(text)
+    shards = SHARDS * max(1, -(-model.rows.count() // (SHARDS * SHARD_ROWS)))
+    salts, at = max(1, -(-input_bytes(docs, text) * SHARDS // (SALT_BYTES * shards))), docs.columns.index(text)
     blocks = _blocks(docs, at, salts)
-    met = blocks.select("block", "batch", "grams").join(_returned(_shares(blocks), model, salts), "block", "left").select("batch", "grams", "shares")
+    met = blocks.select("block", "batch").join(_returned(_shares(blocks, shards), model, salts, shards), "block", "left").select("batch", "shares")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(dropped).schema) + f", `{new[0]}` long, `{new[1]}` double, `{new[2]}` double"
     arrow = arrow_schema(out)
 
     def score(batches):
         for batch in batches:
-            for message, grams, shares in zip(*batch.columns):
-                grams = from_planes(grams.as_py(), np.int64)
-                logp = {s["shard"]: s["logp"] for s in shares.as_py() or []}  # equal blocks have one name and equal shares
-                logp = np.concatenate([from_planes(x, np.float32) for x in logp.values()]).astype(float) if logp else np.full(len(grams), np.nan)
-                order = np.argsort(grams)
-                grams, logp = grams[order], logp[order]
-                for own in pa.ipc.open_stream(message.as_buffer()):
-                    for begin in range(0, own.num_rows, SLICE):
-                        rows = own.slice(begin, SLICE)
-                        texts = [text_bytes(t) for t in rows.column(at).to_pylist()]
-                        sums = log_sums(texts, grams, logp)
-                        added = [pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, mask=np.isnan(sums)), pa.array(_toxicity(texts, buckets, weights))]
-                        yield pa.RecordBatch.from_arrays([*(rows.column(i).cast(arrow.field(i).type) for i in range(len(arrow) - 3)), *added], schema=arrow)
+            for message, shares in zip(*batch.columns):
+                held = [own.slice(begin, SLICE) for own in pa.ipc.open_stream(message.as_buffer()) for begin in range(0, own.num_rows, SLICE)]
+                grams = _distinct([text_bytes(t) for rows in held for t in rows.column(at).to_pylist()])  # made again: the texts are here, so they need not travel
+                logp = np.full(len(grams), np.nan)
+                found = {s["shard"]: s["logp"] for s in shares.as_py() or []}  # equal blocks have one name and equal shares
+                if found:
+                    logp[np.argsort(shard_of(grams, shards), kind="stable")] = np.concatenate([from_planes(x, np.float32) for x in found.values()])
+                for rows in held:
+                    texts = [text_bytes(t) for t in rows.column(at).to_pylist()]
+                    sums = log_sums(texts, grams, logp)
+                    added = [pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, mask=np.isnan(sums)), pa.array(_toxicity(texts, buckets, weights))]
+                    yield pa.RecordBatch.from_arrays([*(rows.column(i).cast(arrow.field(i).type) for i in range(len(arrow) - 3)), *added], schema=arrow)
 
     return met.mapInArrow(frugal(score), out)
 
 
-def scored(docs: DataFrame, labels: DataFrame, columns: list[str], trusted_documents: int = TRUSTED_DOCUMENTS, name: str = "") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, columns: list[str], trusted_documents: int | None = None, name: str = "") -> DataFrame:
     """``columns`` of each document with ``{name}_n_bytes``, ``_logp`` (mean for each byte, shrunk), ``_limit``, ``_toxic`` and ``_accepted``.
 
     ``labels`` has doc_id, quality and perhaps toxic; documents of quality 1 that are not toxic
-    are trusted. ``name`` keeps the new columns apart from others.
+    are trusted; four fifths of them train, or of ``trusted_documents`` of them if that is given.
+    ``name`` keeps the new columns apart from others.
     """
     spark = docs.sparkSession
     good = F.col("quality") == 1
@@ -429,12 +431,10 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], trusted_docum
     ids = labels.where(good & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
     trained = _training_ids(docs, ids, trusted_documents)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = read.join(F.broadcast(trained), F.col("doc_id") == F.col("_trusted"), "left_semi")  # trusted_documents ids in expectation
+    training = _of_ids(read, trained)
     model = train(training)
     bad = labels.where((F.col("toxic") == 1) if "toxic" in labels.columns else F.lit(False)).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_bad")).distinct()
-    rate = min(1.0, TOXIC_DOCUMENTS / max(1, bad.count()))
-    bad = materialise(bad.where(F.pmod(F.xxhash64("_bad"), F.lit(1 << 30)) < rate * (1 << 30)), "kn-toxic")
-    buckets, weights = markers(read.join(F.broadcast(bad), F.col("doc_id") == F.col("_bad"), "left_semi"), training)
+    buckets, weights = markers(_of_ids(read, materialise(bad, "kn-toxic")), training)
 
     keys = [f"{name}_id", f"{name}_lang", f"{name}_text"]
     carried = docs.select(*columns, *[F.col(c).cast(t).alias(k) for c, t, k in zip(("doc_id", "lang", "text"), ("long", "string", "string"), keys)])
@@ -449,7 +449,7 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], trusted_docum
 
     lang = F.col(keys[1])
     narrow = found.select(F.col(keys[0]).alias("_id"), lang.alias("lang"), F.col(f"{name}_n_bytes").alias("_n_bytes"), F.col(f"{name}_sum").alias("_sum"), F.col(f"{name}_toxic").alias("_toxic"))
-    held = narrow.join(ids, F.col("_id") == F.col("_trusted"), "left_semi").join(F.broadcast(trained), F.col("_id") == F.col("_trusted"), "left_anti")
+    held = narrow.join(ids, F.col("_id") == F.col("_trusted"), "left_semi").join(trained, F.col("_id") == F.col("_trusted"), "left_anti")
     held = materialise(held, "kn-held")
     limits, overall = _limits(held)
     most = max(TOXIC_LEAST, held.agg(F.percentile_approx("_toxic", TOXIC_QUANTILE, 100_000)).first()[0] or 0.0)
@@ -463,10 +463,18 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], trusted_docum
     )
 
 
-def _training_ids(docs: DataFrame, ids: DataFrame, trusted_documents: int) -> DataFrame:
-    """(_trusted): ids of the documents to train on, a number that the languages share as evenly as they can."""
+def _of_ids(read: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) whose id is in the one column of ``ids``."""
+    return read.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, F.col("doc_id") == F.col(ids.columns[0]), "left_semi")
+
+
+def _training_ids(docs: DataFrame, ids: DataFrame, trusted_documents: int | None) -> DataFrame:
+    """(_trusted): ids of the documents to train on: all that are not held, or a number that the languages share as evenly as they can."""
+    trains = F.crc32(F.col("_trusted").cast("string").cast("binary")) % 5 != 0
+    if trusted_documents is None:
+        return materialise(ids.where(trains), "kn-trained")
     rows = docs.select(F.col("doc_id").cast("long").alias("_trusted"), F.col("lang").cast("string").alias("lang")).join(ids, "_trusted")
-    rows = materialise(rows.where(F.crc32(F.col("_trusted").cast("string").cast("binary")) % 5 != 0), "kn-trusted")
+    rows = materialise(rows.where(trains), "kn-trusted")
     counts = sorted((r["count"], r.lang or "", r.lang) for r in rows.groupBy("lang").count().collect())
     left, rates = trusted_documents * 0.8, []
     for i, (n, _, lang) in enumerate(counts):
