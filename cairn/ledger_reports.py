@@ -226,8 +226,8 @@ def queue_positions(spark, sf_dir):
 
 
 def files(spark, sf_dir) -> DataFrame:
-    """The documents' texts as files below the shared folder."""
-    docs = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    """The documents' texts as files below the shared folder, a thousand ids in a folder."""
+    docs = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), F.expr("cast(doc_id div 1000 as string)").alias("folder"))
     folder = f"{shared_folder(spark).removeprefix('file:').rstrip('/')}/files-{uuid.uuid4().hex}"
     return written(content.write_files(docs, "/" + folder.lstrip("/")), "file-rows")
 

@@ -23,7 +23,9 @@ from cairn.shipping import ship
 
 STEP = 1 << 20
 #: Windows, or whole files, that a task has at a time.
-RANGES_OF_TASK = 1000
+RANGES_OF_TASK = 10_000
+#: Rows, and bytes of contents, that go back to Spark at once.
+ROWS_OF_BATCH, BYTES_OF_BATCH = 1000, 4 << 20
 EVIDENCE = ("size", "mtime_ns", "ctime_ns", "device", "inode")
 _RANGE = "id long, start long, length long, content binary, code string, requested long, read long"
 _WHOLE = "id long, sha256 string, code string, requested long, read long"
@@ -76,6 +78,24 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def _batches(rows, schema: pa.Schema):
+    """Rows (tuples) as record batches; a row is sent alone only if it is as large as a batch."""
+    held, size = [], 0
+    content = schema.get_field_index("content")
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[content] or b"") if content >= 0 else 0
+        if len(held) >= ROWS_OF_BATCH or size >= BYTES_OF_BATCH:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def _dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
     """Rows dealt evenly; work, not files, decides how many tasks there are."""
     ship(rows.sparkSession)
@@ -86,7 +106,7 @@ def read_ranges(ranges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Ranges (id, path, start, length and the saved evidence) with their bytes, or why they were blocked."""
     schema = _schema(_RANGE)
 
-    def run(batches):
+    def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 used, content, code = [0, 0], None, ""
@@ -94,8 +114,10 @@ def read_ranges(ranges: DataFrame, tasks: int | None = None) -> DataFrame:
                     content = b"".join(_pieces(row["path"], tuple(row[c] for c in EVIDENCE), row["start"], row["length"], used))
                 except Blocked as why:
                     code = str(why)
-                values = (row["id"], row["start"], row["length"], content, code, *used)
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+                yield row["id"], row["start"], row["length"], content, code, *used
+
+    def run(batches):
+        return _batches(read(batches), schema)
 
     return _dealt(ranges.select("id", "path", "start", "length", *EVIDENCE), tasks).mapInArrow(run, _RANGE)
 
@@ -134,7 +156,7 @@ def hash_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     schema = _schema(_WHOLE)
 
-    def run(batches):
+    def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 used, digest, code = [0, 0], hashlib.sha256(), ""
@@ -143,25 +165,33 @@ def hash_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
                         digest.update(data)
                 except Blocked as why:
                     code = str(why)
-                values = (row["id"], None if code else digest.hexdigest(), code, *used)
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+                yield row["id"], None if code else digest.hexdigest(), code, *used
+
+    def run(batches):
+        return _batches(read(batches), schema)
 
     found = _dealt(files.select("id", "path", *EVIDENCE), tasks).mapInArrow(run, _WHOLE)
     return found.select("id", F.when(F.col("code") == "", "complete").otherwise("blocked").alias("status"), "code", "sha256", "requested", "read")
 
 
-def write_files(rows: DataFrame, folder: str, tasks: int = 8) -> DataFrame:
-    """Rows (id, content, folder if there is one) as files that executors write below a folder they share, with what a scan would save of each. A task run again writes the same files."""
+def write_files(rows: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
+    """Rows (id, content, folder if there is one) as files that executors write below a folder they share, with what a scan would save of each. A task run again writes the same files.
+
+    Rows are written where they are read, so that contents do not move; ``tasks`` deals them anew.
+    """
     ddl = "id long, path binary, size long, mtime_ns long, ctime_ns long, device string, inode string"
     ship(rows.sparkSession)
     schema = _schema(ddl)
     top = os.fsencode(folder)
 
-    def run(batches):
+    def write(batches):
+        made = set()
         for batch in batches:
             for id_, content, inner in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 folder = os.path.join(top, os.fsencode(inner))
-                os.makedirs(folder, exist_ok=True)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 path = os.path.join(folder, b"f%d" % id_)
                 data = content or b""
                 if not os.path.exists(path):
@@ -171,8 +201,11 @@ def write_files(rows: DataFrame, folder: str, tasks: int = 8) -> DataFrame:
                     os.utime(own, ns=(id_ * 10**9, id_ * 10**9))
                     os.replace(own, path)
                 found = os.stat(path)
-                values = (id_, path, found.st_size, found.st_mtime_ns, found.st_ctime_ns, str(found.st_dev), str(found.st_ino))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+                yield id_, path, found.st_size, found.st_mtime_ns, found.st_ctime_ns, str(found.st_dev), str(found.st_ino)
+
+    def run(batches):
+        return _batches(write(batches), schema)
 
     inner = F.col("folder") if "folder" in rows.columns else F.lit("")
-    return rows.select("id", F.col("content").cast("binary").alias("content"), inner.alias("folder")).repartition(tasks).mapInArrow(run, ddl)
+    found = rows.select("id", F.col("content").cast("binary").alias("content"), inner.alias("folder"))
+    return (found.repartition(tasks) if tasks else found).mapInArrow(run, ddl)
