@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import os
 import stat
 from collections.abc import Iterator
@@ -15,8 +14,10 @@ from cairn.shipping import ship
 
 #: Names whose contents are not listed.
 EXCLUDED_NAMES = (b".git", b".Trash", b".Trashes", b".snapshots", b"Backups.backupdb")
-#: Children of a directory that are told at once, and in one step; kinds of the rows that end a listing or say where it goes on.
+#: Children of a directory that are told at once, and of one piece of work; kinds of the rows that end a listing or say where it goes on.
 BATCH, STEP, LISTING, CURSOR = 128, 100_000, "listing", "cursor"
+#: Directories, and places inside directories, that a task has at a time where there are many.
+PLACES_OF_TASK = 64
 FIELDS = pa.schema(
     [
         ("path", pa.binary()), ("parent", pa.binary()), ("kind", pa.string()), ("size", pa.int64()), ("allocated", pa.int64()), ("mtime_ns", pa.int64()),
@@ -40,43 +41,68 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
 
 
-def list_directory(top: bytes, directory: bytes, device: int, excluded: frozenset[bytes], after: bytes = b"", limit: int | None = None) -> Iterator[list[tuple]]:
-    """Rows of the children of one directory whose names follow ``after``, ``limit`` of them, in batches of ``BATCH`` by name.
+def list_directory(top: bytes, directory: bytes, device: int, excluded: frozenset[bytes], limit: int | None = None) -> Iterator[list[tuple]]:
+    """Rows of the children of one directory, ``limit`` of them, in batches of ``BATCH``.
 
-    Then one of kind ``listing`` that tells the fault, if any, in its skip_reason, or one of kind
-    ``cursor`` with the last name if more follow. Names are told apart in one reading of the directory;
-    only those of the batch are held.
+    Then one of kind ``listing`` that tells the fault, if any, in its skip_reason. Where more children follow there
+    are rows of kind ``cursor`` instead, each with the names of ``limit`` of them for ``list_names``. A directory
+    is read once, in its own order, and no more names than ``limit`` are held.
     """
-    fault, names = "", []
+    names, first, fault = [], None, ""
     try:
         with os.scandir(os.path.join(top, directory)) as found:
-            later = (entry.name for entry in found if entry.name > after)
-            names = heapq.nsmallest(limit + 1, later) if limit else sorted(later)
+            for entry in found:
+                if limit and len(names) == limit:
+                    if first is None:
+                        first = names
+                    else:
+                        yield [_cursor(directory, names)]
+                    names = []
+                names.append(entry.name)
     except OSError as failed:
         fault = os.strerror(failed.errno) if failed.errno else "listing failed"
-    more = bool(limit) and len(names) > limit
-    rows = []
-    for name in names[:limit] if limit else names:
-        try:
-            rows.append(observe(top, name if directory == b"." else directory + b"/" + name, device, excluded))
-        except FileNotFoundError:  # gone since it was listed
-            continue
-        if len(rows) >= BATCH:
-            yield rows
-            rows = []
-    if more:
-        yield [*rows, (directory, names[limit - 1], CURSOR, None, None, None, None, None, None, "")]
-    else:
-        yield [*rows, (directory, b"", LISTING, None, None, None, None, None, None, fault)]
+    if first is not None:
+        yield [_cursor(directory, names, True, fault)]
+    yield from _observed(top, directory, names if first is None else first, device, excluded)
+    if first is None:
+        yield [_end(directory, fault)]
+
+
+def list_names(top: bytes, directory: bytes, names: bytes, device: int, excluded: frozenset[bytes], last: bool, fault: str) -> Iterator[list[tuple]]:
+    """Rows of the children that a cursor names, and of kind ``listing`` after the last cursor of a directory."""
+    yield from _observed(top, directory, names.split(b"/"), device, excluded)
+    if last:
+        yield [_end(directory, fault)]
+
+
+def _cursor(directory: bytes, names: list[bytes], last: bool = False, fault: str = "") -> tuple:
+    return (directory, b"/".join(names), CURSOR, int(last), None, None, None, None, None, fault)
+
+
+def _end(directory: bytes, fault: str) -> tuple:
+    return (directory, b"", LISTING, None, None, None, None, None, None, fault)
+
+
+def _observed(top: bytes, directory: bytes, names: list[bytes], device: int, excluded: frozenset[bytes]) -> Iterator[list[tuple]]:
+    for at in range(0, len(names), BATCH):
+        rows = []
+        for name in names[at : at + BATCH]:
+            try:
+                rows.append(observe(top, name if directory == b"." else directory + b"/" + name, device, excluded))
+            except FileNotFoundError:  # gone since it was listed
+                continue
+        yield rows
 
 
 def scan_tree(spark: SparkSession, root: str, store: str, parallel: int = 8, exclude: tuple[bytes, ...] = (), step: int | None = STEP, steps: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Entries and listing passes of everything below a root that executors can reach.
 
     The work of a step is directories, and places inside directories: at most ``step`` children of each
-    are told, and where more follow a cursor is left for the next step. Steps are written below
-    ``store``, so a scan that was broken off goes on from its last whole step, inside a large directory
-    as well, and nothing is held in memory. ``steps`` ends a call after so many steps; a later call goes on.
+    are told. A directory with more is read once; the names of the others are left as places for the next
+    step, so there are twice as many steps as levels at most, however large a directory is. Steps are
+    written below ``store``, so a scan that was broken off goes on from its last whole step, inside a
+    large directory as well, and nothing is held in memory. ``steps`` ends a call after so many steps; a
+    later call goes on. ``parallel`` is the least number of tasks of a step.
     """
     ship(spark)
     top, excluded = os.fsencode(root), frozenset(exclude)
@@ -84,23 +110,26 @@ def scan_tree(spark: SparkSession, root: str, store: str, parallel: int = 8, exc
 
     def list_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for directory, after in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for rows in list_directory(top, directory, device, excluded, after, step):
+            for directory, names, last, fault in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                found = list_directory(top, directory, device, excluded, step) if names is None else list_names(top, directory, names, device, excluded, bool(last), fault)
+                for rows in found:
                     yield _batch(rows)
 
     hadoop = spark._jvm.org.apache.hadoop.fs
-    work, folders, begun = spark.createDataFrame([(bytearray(b"."), bytearray(b""))], "path binary, after binary"), [], 0
+    work, folders, begun = spark.createDataFrame([(bytearray(b"."), None, None, None)], "path binary, names binary, last long, fault string"), [], 0
+    places = 1
     while steps is None or begun < steps:
         folder = f"{store.rstrip('/')}/step-{len(folders):06d}"
         done = hadoop.Path(folder, "_SUCCESS")
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            work.repartition(parallel).mapInArrow(list_step, DDL).write.mode("overwrite").parquet(folder)
+            work.repartition(max(parallel, min(100_000, -(-places // PLACES_OF_TASK)))).mapInArrow(list_step, DDL).write.mode("overwrite").parquet(folder)
             begun += 1
         folders.append(folder)
         found = spark.read.schema(DDL).parquet(folder)
-        below = found.where((F.col("kind") == "directory") & (F.col("skip_reason") == "")).select("path", F.lit(b"").alias("after"))
-        work = below.union(found.where(F.col("kind") == CURSOR).select("path", F.col("parent").alias("after")))
-        if work.isEmpty():
+        below = found.where((F.col("kind") == "directory") & (F.col("skip_reason") == "")).select("path", F.lit(None).cast("binary").alias("names"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("fault"))
+        work = below.union(found.where(F.col("kind") == CURSOR).select("path", F.col("parent").alias("names"), F.col("size").alias("last"), F.col("skip_reason").alias("fault")))
+        places = work.count()
+        if not places:
             break
     rows = spark.read.schema(DDL).parquet(*folders)
     passes = rows.where(F.col("kind") == LISTING).select("path", (F.col("skip_reason") == "").alias("complete"), F.col("skip_reason").alias("last_error"))

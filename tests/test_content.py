@@ -90,3 +90,32 @@ def test_a_scan_goes_on_inside_a_directory(spark, tmp_path, monkeypatch):
     assert {bytes(r.path) for r in passes.where("complete").collect()} == {b".", b"big", b"big/sub"}
     again, _ = filesystem.scan_tree(spark, str(top), store, 2, step=10)  # nothing is left to do
     assert again.count() == len(paths)
+
+
+def test_a_large_directory_is_read_once_and_told_in_few_steps(spark, tmp_path, monkeypatch):
+    top, store = tmp_path / "tree", str(tmp_path / "store")
+    (top / "big").mkdir(parents=True)
+    for i in range(103):
+        (top / "big" / f"{i:03d}").write_text("x")
+    entries, passes = filesystem.scan_tree(spark, str(top), store, 2, step=5)
+    assert sorted(bytes(r.path) for r in entries.collect()) == [b"big"] + [b"big/%03d" % i for i in range(103)]
+    assert {bytes(r.path) for r in passes.where("complete").collect()} == {b".", b"big"} and passes.count() == 2
+    assert len(list((tmp_path / "store").glob("step-*"))) == 3
+    listed, plain = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda *a: listed.append(a) or plain(*a))
+    rows = [r for batch in filesystem.list_directory(os.fsencode(top), b"big", os.lstat(top).st_dev, frozenset(), 5) for r in batch]
+    assert len(listed) == 1 and sum(r[2] == "file" for r in rows) == 5 and sum(r[1].count(b"/") + 1 for r in rows if r[2] == filesystem.CURSOR) == 98
+    assert [r[3] for r in rows if r[2] == filesystem.CURSOR] == [0] * 19 + [1]
+
+
+def test_contents_do_not_move_and_rows_go_back_in_batches(spark, tmp_path):
+    rows = spark.range(2500).select("id", F.encode(F.concat(F.lit("x"), "id"), "utf-8").alias("content"), F.expr("cast(id div 1000 as string)").alias("folder"))
+    written = content.write_files(rows, str(tmp_path))
+    assert "Exchange" not in written._jdf.queryExecution().toString()
+    saved_rows = written.localCheckpoint()
+    assert {r.id: bytes(r.path) for r in saved_rows.collect()} == {i: os.fsencode(f"{tmp_path}/{i // 1000}/f{i}") for i in range(2500)}
+    found = content.read_ranges(saved_rows.withColumns({"start": F.lit(0).cast("long"), "length": F.col("size")}))
+    assert {r.id: bytes(r.content) for r in found.collect()} == {i: b"x%d" % i for i in range(2500)}
+    values = [(i, 0, 1, b"y" * (1 + (i == 3) * content.BYTES_OF_BATCH), "", 1, 1) for i in range(2500)]
+    batches = list(content._batches(values, content._schema(content._RANGE)))
+    assert [b.num_rows for b in batches] == [4, 1000, 1000, 496] and sum((b.column(0).to_pylist() for b in batches), []) == list(range(2500))
