@@ -18,6 +18,8 @@ from cairn.sources.written import written
 
 #: Levels above a scope that are looked at.
 ANCESTORS = 256
+#: Rows of scopes, each row once for each scope above it, that a task sorts where only the first of a scope are kept.
+ROWS_OF_TASK = 100_000
 #: Figures of a measured scope.
 MEASURES = (
     "entries_examined", "excluded_entries", "file_paths", "logical_bytes", "allocated_bytes", "unknown_inodes", "repeated", "unconfirmed", "skipped_entries", "incomplete_directories",
@@ -77,11 +79,12 @@ def _chains(scopes: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def _first_rows(rows: DataFrame, limit: int) -> DataFrame:
+def _first_rows(rows: DataFrame, limit: int, tasks: int) -> DataFrame:
     """The first rows of each scope by path and whether more follow; parts of a scope are cut before the scope is gathered."""
     order = [F.asc("_path")]
-    part = Window.partitionBy("root_id", "scope", F.pmod(F.xxhash64("_path"), F.lit(64))).orderBy(*order)
-    few = rows.withColumn("_nth", F.row_number().over(part)).where(F.col("_nth") <= limit + 1)
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64("_path"), F.lit(64))).repartition(tasks, "root_id", "scope", "_share")
+    few = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("root_id", "scope", "_share").orderBy(*order))).where(F.col("_nth") <= limit + 1)
+    few = few.drop("_share").repartition(tasks, "root_id", "scope")
     ranked = few.withColumn("_nth", F.row_number().over(Window.partitionBy("root_id", "scope").orderBy(*order))).where(F.col("_nth") <= limit + 1)
     return ranked.withColumn("_truncated", F.max("_nth").over(Window.partitionBy("root_id", "scope")) > limit).where(F.col("_nth") <= limit).drop("_nth")
 
@@ -112,7 +115,12 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
     kept = ["root_id", "_path", "kind", "size", "allocated", "device", "inode", "skip_reason", "observed_at_ns", "own_complete", "own_error", "own_checked_ns", "parent_partial", "missing_at", "gone_at", "unsure_at", "_cg", *[f"_c_{c}" for c in compacted]]
     above = F.posexplode(F.concat(paths.ancestors(F.col("path")), F.array("_path"))).alias("_level", "scope")
     r = rows.select(*kept, above).join(wanted, ["root_id", "scope"]).withColumn("_truncated", F.lit(False))
-    r = _first_rows(r, entry_limit) if entry_limit else r
+    dealt = lambda df: df
+    if entry_limit:  # no scope is large any more: tasks are as many as the rows need, and the cut is made once for all that is told of it
+        ways = rows.agg(F.coalesce(F.sum(F.size(paths.ancestors(F.col("path"))) + 1), zero)).first()[0]
+        tasks = max(1, min(100_000, -(-ways // ROWS_OF_TASK)))
+        dealt = lambda df: df.repartition(tasks, "root_id", "scope")
+        r = dealt(written(_first_rows(r, entry_limit, tasks), "first-rows"))
     # only what lies below the scope counts, and of what is gone only what no missing row cuts off
     r = r.withColumns({"excluded": F.col("gone_at") > F.greatest("_level", "missing_at"), "confirmed": F.col("unsure_at") <= F.col("_level")})
     live, file, directory, inside = ~F.col("excluded"), F.col("kind") == "file", F.col("kind") == "directory", F.col("_path") != F.col("scope")
@@ -152,9 +160,9 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
         bounds = [F.col(c).alias(f"{side}_{n}") for side in ("low", "high") for n, c in (("a", "allocated"), ("s", "logical"))]
         objects = objects.unionByName(met.join(own, ["root_id", "_path", "generation"]).select("root_id", "scope", "device", "inode", F.col("allocated").alias("a"), F.col("paths").alias("n"), *bounds, F.col("conflicting").alias("differ")))
     apart = (F.min("low_a") != F.max("high_a")) | (F.min("low_s") != F.max("high_s"))
-    once = objects.groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.bool_or("differ") | apart).alias("differ"))
+    once = dealt(objects).groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.bool_or("differ") | apart).alias("differ"))
     by_object = once.groupBy("root_id", "scope").agg(F.sum("a").alias("_linked"), F.sum(F.col("n") - 1).alias("repeated"), F.bool_or("differ").alias("_differ"))
-    found = wanted.join(_chains(wanted, rows), ["root_id", "scope"], "left").join(by_row, ["root_id", "scope"], "left").join(by_object, ["root_id", "scope"], "left")
+    found = dealt(wanted).join(dealt(_chains(wanted, rows)), ["root_id", "scope"], "left").join(by_row, ["root_id", "scope"], "left").join(by_object, ["root_id", "scope"], "left")
     if root_errors is not None:
         found = found.join(root_errors.select("root_id", F.lit(True).alias("_root_error")).distinct(), "root_id", "left")
     else:

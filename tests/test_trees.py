@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import paths
 from cairn.operators import reconcile, reports, rules, tree
 from tests import fixtures as fx
 
@@ -111,3 +112,15 @@ def test_build_trees_hide_confirmed_files_only(spark):
     inside = roots.withColumn("path", F.lit(b"/w/target/x"))
     assert verdicts(base, roots=inside)[20] == "retained_unrecognized"
     assert verdicts(base, [fx.entry(30, "p/target/debug/deps/target", "directory")])[20] == "excluded"  # the outermost counts
+
+
+def test_the_first_rows_of_scopes_are_dealt_by_their_number(spark, monkeypatch):
+    e, d = entries(spark, fx.TREE), passes(spark, fx.TREE_PASSES)
+    scopes = e.select("root_id", paths.as_text(F.col("parent")).alias("scope")).distinct()
+    plain = tree.measure_directories(e, d, scopes, entry_limit=3).collect()
+    dealt, first = [], tree._first_rows
+    monkeypatch.setattr(tree, "ROWS_OF_TASK", 2)
+    monkeypatch.setattr(tree, "_first_rows", lambda rows, limit, tasks: (dealt.append(tasks), first(rows, limit, tasks))[1])
+    assert sorted(map(str, tree.measure_directories(e, d, scopes, entry_limit=3).collect())) == sorted(map(str, plain))
+    ways = e.agg(F.sum(F.size(paths.ancestors(F.col("path"))) + 1)).first()[0]
+    assert dealt == [-(-ways // 2)] and ways > len(fx.TREE)
