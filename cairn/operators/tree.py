@@ -18,8 +18,13 @@ from cairn.sources.written import written
 
 #: Levels above a scope that are looked at.
 ANCESTORS = 256
-#: Rows of scopes, each row once for each scope above it, that a task sorts where only the first of a scope are kept.
+#: Rows that a task looks at where they are dealt by path, and rows of scopes, each row once for each scope above it, where only the first of a scope are kept.
 ROWS_OF_TASK = 100_000
+#: Parts by path, four to a task's rows, as a row takes its levels along; beyond them parts grow.
+MAX_PARTS = 10_000
+#: Kinds of rows, and why a scope is unknown, as numbers.
+OTHER, FILE, DIRECTORY = 0, 1, 2
+NOT_OBSERVED, NOT_A_DIRECTORY, ABSENT = 1, 2, 3
 #: Figures of a measured scope.
 MEASURES = (
     "entries_examined", "excluded_entries", "file_paths", "logical_bytes", "allocated_bytes", "unknown_inodes", "repeated", "unconfirmed", "skipped_entries", "incomplete_directories",
@@ -27,111 +32,185 @@ MEASURES = (
 )
 
 
-def _marked(entries: DataFrame, directories: DataFrame) -> DataFrame:
-    """Each row with the deepest levels on its way from the root at which a row is missing, gone, or not sure.
+def _levels(path: Column) -> Column:
+    """A relative path's way from the root ``.`` down to itself, all as text."""
+    below = F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda i: F.call_function("substring_index", path, F.lit("/"), i))
+    return F.when(path == ".", F.array(F.lit("."))).otherwise(F.concat(F.array(F.lit(".")), below))
+
+
+def _up(path: Column) -> Column:
+    """The directory right above a relative path, as text; null for the root."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(path != ".", F.when(name == path, ".").otherwise(F.substr(path, F.lit(1), F.length(path) - F.length(name) - 1)))
+
+
+def _key(path: str) -> Column:
+    """Text by whose order what lies below a directory stands together, right after the directory."""
+    return F.concat(F.col("root_id").cast("string"), F.when(F.col(path) == ".", "").otherwise(F.concat(F.lit("\x00"), F.replace(F.col(path), F.lit("/"), F.lit("\x00")))))
+
+
+def _bounds(rows: DataFrame) -> list[str]:
+    """Keys that cut the rows into parts of about equal size; they are drawn, as Spark draws those of a range, and only say where a row is looked at."""
+    n = rows.count()
+    parts = min(MAX_PARTS, -(-n // max(1, ROWS_OF_TASK // 4)))
+    if parts < 2:
+        return []
+    keys = sorted(r[0] for r in rows.select(_key("_path")).sample(min(1.0, 40 * parts / n), 1).collect())
+    return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+
+
+def _dealt(records: DataFrame, bounds: list[str]) -> DataFrame:
+    """Records dealt by ranges of their keys, with copies of those at a directory in each later part that holds something below it."""
+    if not bounds:
+        return records.withColumns({"_part": F.lit(0), "_native": F.lit(True)}).repartition(1, "_part")
+    cuts, key = F.array(*[F.lit(b) for b in bounds]), F.col("_key")
+    steps = F.array(*[F.lit(2**i) for i in range(len(bounds).bit_length() - 1, -1, -1)])
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at))
+    # a directory has rows in a later part only if that part's first key lies below it
+    tops = records.sparkSession.createDataFrame([(b, i) for i, b in enumerate(bounds, 1)], "_bound string, _later int").withColumn("_names", F.split("_bound", "\x00"))
+    above = tops.where(F.size("_names") > 1).select("_later", F.explode(F.transform(F.sequence(F.lit(1), F.size("_names") - 1), lambda i: F.array_join(F.slice("_names", 1, i), "\x00"))).alias("_key"))
+    later = above.groupBy("_key").agg(F.collect_list("_later").alias("_later"))
+    found = records.withColumn("_key", _key("_path")).join(F.broadcast(later), "_key", "left")  # as many as parts and levels above them
+    copies = F.concat(F.array(part), F.coalesce("_later", F.array().cast("array<int>")))
+    return found.select(*records.columns, F.posexplode(copies).alias("_nth", "_part")).withColumn("_native", F.col("_nth") == 0).drop("_nth").repartition(len(bounds) + 1, "_part")
+
+
+def _marked(entries: DataFrame, directories: DataFrame, scopes: DataFrame | None, totals: DataFrame | None, ledger: DataFrame | None) -> DataFrame:
+    """Each row, identity of a ledger and scope with what the levels on the way to it say.
 
     Levels count from the root's 0 down to the row itself. A level is gone where its parent is no
     directory or the listing of its parent was completed without it, and sure where that listing
     confirms it. Only the immediate parent row decides: a level whose parent row is missing is
     neither gone by its parent's kind nor confirmed, and what is gone above a missing row does not
-    reach below it.
-    """
-    passes = directories.select(
-        "root_id", paths.as_text(F.col("path")).alias("_p"), F.col("generation").alias("_pg"), F.col("complete").alias("_pc"), (F.col("last_error") != "").alias("_pe"), F.col("checked_at_ns").alias("_pt")
-    )
-    rows = entries.withColumn("_path", paths.as_text(F.col("path"))).withColumn("_up", F.try_element_at(paths.ancestors(F.col("path")), F.lit(-1)))
-    parents = rows.select("root_id", F.col("_path").alias("_up"), F.col("kind").alias("_uk"), (F.col("skip_reason") != "").alias("_us"))
-    own = passes.select("root_id", F.col("_p").alias("_path"), F.col("_pg").alias("own_generation"), F.col("_pc").alias("own_complete"), F.col("_pe").alias("own_error"), F.col("_pt").alias("own_checked_ns"))
-    above = passes.withColumnRenamed("_p", "_up")
-    nodes = rows.join(parents, ["root_id", "_up"], "left").join(above, ["root_id", "_up"], "left").join(own, ["root_id", "_path"], "left")
-    gone = F.coalesce((F.col("_uk") != "directory"), F.lit(False)) | F.coalesce(F.col("_pc") & ~F.col("_pe") & (F.col("_pg") != F.col("generation")), F.lit(False))
-    sure = F.coalesce((F.col("_uk") == "directory") & ~F.col("_us") & (F.col("_pg") == F.col("generation")), F.lit(False))
-    nodes = nodes.withColumn("gone", gone).withColumn("sure", sure).withColumn("parent_partial", F.coalesce(~F.col("_pc") | F.col("_pe"), F.lit(False)))
-    levels = nodes.select("root_id", "id", F.posexplode(F.concat(paths.ancestors(F.col("path")), F.array("_path"))).alias("_level", "_path"))
-    known = nodes.select("root_id", "_path", F.lit(True).alias("there"), "gone", "sure")
-    at = lambda condition: F.coalesce(F.max(F.when(condition, F.col("_level"))), F.lit(-1))
-    marks = levels.join(known, ["root_id", "_path"], "left").groupBy("root_id", "id").agg(
-        at(F.col("there").isNull()).alias("missing_at"), at(F.coalesce("gone", F.lit(False))).alias("gone_at"), at(~F.coalesce("sure", F.lit(False))).alias("unsure_at")
-    )
-    return nodes.join(marks, ["root_id", "id"])
-
+    reach below it. Files of a directory with ``totals`` are not there.
 
-def _chains(scopes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each scope's way up to its root: why it is unknown, if it is, and whether a level makes it partial or stale.
+    A scope's ``reason`` is that of the deepest level that leaves it unknown; beyond ``ANCESTORS`` levels
+    the walk is given up as partial.
 
-    The walk goes from the scope upwards and ends at the first level that leaves it unknown; beyond
-    ``ANCESTORS`` levels it is given up as partial.
+    Rows, passes, totals and identities are moved once, to parts by their place in the tree, and meet there: each
+    directory asks for its levels, and its files learn from it.
     """
-    path = F.col("scope").cast("binary")
-    levels = scopes.select("root_id", "scope", F.posexplode(F.concat(paths.ancestors(path), F.array("scope"))).alias("_level", "_path"), F.size(paths.ancestors(path)).alias("_depth"))
-    inner = F.col("_path") != "."
-    absent = inner & F.coalesce(F.col("_pc") & ~F.col("_pe") & (F.col("_pg") != F.col("generation")), F.lit(False))
-    reason = F.when(F.col("id").isNull(), "not_observed").when(F.col("kind") != "directory", "not_a_directory").when(absent, "absent_from_parent_listing")
-    unlisted = F.coalesce(F.col("own_checked_ns"), F.lit(0)) == 0
-    partial = (F.col("skip_reason") != "") | F.coalesce("_pe", F.lit(False)) | unlisted | (inner & ~F.coalesce("_pc", F.lit(False)))
-    stale = (~unlisted & (F.col("observed_at_ns") > F.col("own_checked_ns"))) | (inner & (F.col("generation") != F.coalesce("_pg", F.lit(0))))
-    near = F.col("_depth") - F.col("_level") < ANCESTORS
-    flags = rows.select("root_id", "_path", "id", "kind", "skip_reason", "generation", "observed_at_ns", "own_checked_ns", "_pc", "_pe", "_pg")
-    judged = levels.where(near).join(flags, ["root_id", "_path"], "left").withColumn("_reason", reason)
-    return judged.groupBy("root_id", "scope").agg(
-        F.max(F.when(F.col("_reason").isNotNull(), F.struct("_level", "_reason"))).getField("_reason").alias("unknown_reason"),
-        (F.bool_or(partial) | (F.max("_depth") >= ANCESTORS)).alias("_chain_partial"), F.bool_or(stale).alias("_chain_stale"),
+    kind = F.when(F.col("kind") == "file", FILE).when(F.col("kind") == "directory", DIRECTORY).otherwise(OTHER)
+    rows = entries.select(
+        "root_id", paths.as_text(F.col("path")).alias("_path"), kind.alias("kind"), "size", "allocated", "device", "inode", "generation", "observed_at_ns", (F.col("skip_reason") != "").alias("skip"),
     )
+    bounds = _bounds(rows)
+    records = rows.withColumn("_there", F.lit(True)).unionByName(
+        directories.select("root_id", paths.as_text(F.col("path")).alias("_path"), F.col("generation").alias("_pg"), F.col("complete").alias("_pc"), (F.col("last_error") != "").alias("_pe"), F.col("checked_at_ns").alias("_pt")),
+        allowMissingColumns=True,
+    )
+    compacted = ["logical", "files", "unknown_inodes", "skipped_files"]
+    if totals is not None:
+        sums = totals.groupBy("root_id", "parent").agg(F.max("generation").alias("_cg"), *[F.sum(F.when(F.col("generation") > 0, F.col(c)).otherwise(0)).alias(f"_c_{c}") for c in compacted])
+        records = records.unionByName(sums.withColumn("_path", paths.as_text(F.col("parent"))).drop("parent"), allowMissingColumns=True)
+    else:
+        records = records.withColumns({c: F.lit(None).cast("long") for c in ["_cg", *[f"_c_{c}" for c in compacted]]})
+    records = records.withColumns({"_wanted": F.lit(None).cast("boolean"), "_object": F.lit(None).cast("string")})
+    if scopes is not None:
+        records = records.unionByName(scopes.select("root_id", F.col("scope").alias("_path"), F.lit(True).alias("_wanted")), allowMissingColumns=True)
+    numbers = {c: F.lit(None).cast("long") for c in ("_low_a", "_low_s", "_high_s", "_n")}
+    records = records.withColumns({**numbers, "_differ": F.lit(None).cast("boolean")})
+    if ledger is not None and totals is not None:
+        met = ledger.join(totals.where("generation > 0").select("root_id", "parent", "generation").distinct(), ["root_id", "parent", "generation"], "left_semi")
+        name = F.concat_ws("\x00", F.col("generation").cast("string"), "device", "inode")
+        records = records.unionByName(
+            met.select("root_id", paths.as_text(F.col("parent")).alias("_path"), name.alias("_object"), "device", "inode", "allocated", F.col("allocated").alias("_low_a"), F.col("logical").alias("_low_s"), F.col("logical").alias("_high_s"), F.col("paths").alias("_n"), F.col("conflicting").alias("_differ")),
+            allowMissingColumns=True,
+        )
+    dealt = _dealt(records, bounds)
+    # a directory that is only named by the rows in it is a node as well
+    values = [c for c in dealt.columns if c not in ("root_id", "_path", "_object", "_part")]
+    up = _up(F.col("_path"))
+    roles = F.when(F.col("_there") & up.isNotNull(), F.array(F.col("_path"), up)).otherwise(F.array("_path"))
+    spread = dealt.withColumns({"_nth": F.lit(0)}).select(*dealt.columns, F.posexplode(roles).alias("_nth", "_at"))
+    own = spread.select("_part", "root_id", F.col("_at").alias("_path"), "_object", *[F.when(F.col("_nth") == 0, F.col(c)).alias(c) for c in values], (F.col("_nth") == 1).alias("_named"))
+    nodes = own.groupBy("_part", "root_id", "_path", "_object").agg(*[F.max(c).alias(c) for c in values], F.bool_or("_named").alias("_named"))
+    nodes = nodes.withColumns({"_there": F.coalesce("_there", F.lit(False)), "_native": F.coalesce("_native", F.lit(False)), "_wanted": F.coalesce("_wanted", F.lit(False)), "_levels": _levels(F.col("_path"))})
+    leaf = F.col("_object").isNull() & F.col("_there") & (F.col("kind") != DIRECTORY) & (F.col("_path") != ".")
+    asks = F.col("_object").isNull() & (F.col("_named") | F.col("_wanted") | ~leaf)
+    last = 2**31 - 1
+    asked = F.transform("_levels", lambda p, i: F.struct(i.cast("int").alias("level"), p.alias("at"), F.col("_path").alias("home"), F.lit(False).alias("self")))
+    itself = F.struct(F.lit(last).alias("level"), F.col("_path").alias("at"), F.when(leaf, up).otherwise(F.col("_path")).alias("home"), F.lit(True).alias("self"))
+    held = [c for c in nodes.columns if c not in ("_part", "root_id", "_levels")]
+    split = nodes.withColumn("_ask", F.explode(F.concat(F.array(itself), F.when(asks, asked).otherwise(F.array().cast("array<struct<level:int,at:string,home:string,self:boolean>>"))))).select("_part", "root_id", "_ask.*", *held)
+    split = split.select("_part", "root_id", "level", "at", "home", "self", *[F.when(F.col("self"), F.col(c)).alias(c) for c in held])
+    fact = F.struct("_there", "kind", "skip", "generation", "observed_at_ns", "_pg", "_pc", "_pe", "_pt", F.col("_cg").isNotNull().alias("compact"))
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = to_here(Window.partitionBy("_part", "root_id", "at").orderBy(F.desc("level"), F.asc("_object")))
+    known = split.withColumn("_f", F.first(F.when(F.col("self") & F.col("_object").isNull(), fact), ignorenulls=True).over(at))
+    steps = Window.partitionBy("_part", "root_id", "home").orderBy("level")
+    before = lambda c: F.lag(c).over(steps)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    f, step = (lambda c: F.col("_f").getField(c)), ~F.col("self")
+    known = known.withColumn("_here", yes(f("_there")) & ~yes((f("kind") == FILE) & before(f("compact"))))
+    here = lambda c: F.when(F.col("_here"), f(c))
+    known = known.withColumns({"_uk": before(here("kind")), "_us": before(here("skip")), "_upg": before(f("_pg")), "_upc": before(f("_pc")), "_upe": before(f("_pe"))})
+
+    def judged(uk, us, pg, pc, pe, generation):
+        """Whether a level is gone, is sure and has a parent that was listed in part."""
+        absent = yes(pc & ~pe & (pg != generation))
+        return yes(uk != DIRECTORY) | absent, yes((uk == DIRECTORY) & ~us & (pg == generation)), yes(~pc | pe), absent
+
+    gone, sure, part_listed, absent = judged(F.col("_uk"), F.col("_us"), F.col("_upg"), F.col("_upc"), F.col("_upe"), here("generation"))
+    inner = F.col("level") > 0
+    reason = F.when(~F.col("_here"), NOT_OBSERVED).when(f("kind") != DIRECTORY, NOT_A_DIRECTORY).when(inner & absent, ABSENT)
+    unlisted = F.coalesce(f("_pt"), F.lit(0)) == 0
+    partial = here("skip") | yes(F.col("_upe")) | unlisted | (inner & ~yes(F.col("_upc")))
+    stale = (~unlisted & (here("observed_at_ns") > f("_pt"))) | (inner & (here("generation") != F.coalesce("_upg", F.lit(0))))
+    judged_steps = known.withColumns({"_gone": F.col("_here") & gone, "_sure": F.col("_here") & sure, "_reason": reason, "_partial": yes(partial), "_stale": yes(stale), "_listed_in_part": part_listed})
+    so_far = to_here(steps)
+    deepest = lambda test: F.coalesce(F.max(F.when(step & test, F.col("level"))).over(so_far), F.lit(-1))
+    home = F.struct("level", here("kind").alias("kind"), here("skip").alias("skip"), f("_pg").alias("pg"), f("_pc").alias("pc"), f("_pe").alias("pe"), f("compact").alias("compact"), F.col("_listed_in_part").alias("in_part"))
+    depth = F.size(F.split("home", "/")) - F.when(F.col("home") == ".", 1).otherwise(0)
+    near = step & (depth - F.col("level") < ANCESTORS)
+    told = judged_steps.withColumns({
+        "missing_at": deepest(~F.col("_here")), "gone_at": deepest(F.col("_gone")), "unsure_at": deepest(~F.col("_sure")), "_home": F.last(F.when(step, home), ignorenulls=True).over(so_far),
+        "_why": F.max(F.when(near & F.col("_reason").isNotNull(), F.col("level") * 4 + F.col("_reason"))).over(so_far) % 4,
+        "_chain_partial": F.max(F.when(near, F.col("_partial"))).over(so_far), "_chain_stale": F.max(F.when(near, F.col("_stale"))).over(so_far),
+    }).where("self")
+    h = lambda c: F.col("_home").getField(c)
+    below = yes(leaf)
+    own_gone, own_sure, own_part, _ = judged(h("kind"), h("skip"), h("pg"), h("pc"), h("pe"), F.col("generation"))
+    mine = h("level") + 1
+    left_out = below & (F.col("kind") == FILE) & yes(h("compact"))
+    scope = F.col("_wanted") if scopes is not None else F.col("_named") | F.col("_cg").isNotNull() | (F.col("_there") & (F.col("kind") == DIRECTORY))
+    kept = told.select(
+        "_part", "root_id", "_path", "home", (F.col("_native") & ((F.col("_there") & ~left_out) | (F.col("_object").isNotNull() & yes(h("kind") == DIRECTORY)))).alias("counted"), F.col("_object").isNotNull().alias("identity"),
+        (scope & F.col("_object").isNull()).alias("is_scope"), "kind", "size", "allocated", "device", "inode", "observed_at_ns", yes(F.col("skip")).alias("skip"), F.col("_pc").alias("own_complete"), F.col("_pe").alias("own_error"), F.col("_pt").alias("own_checked_ns"),
+        F.when(below, own_part).otherwise(h("in_part")).alias("parent_partial"), "missing_at", F.when(below & own_gone, mine).otherwise(F.col("gone_at")).alias("gone_at"), F.when(below & ~own_sure, mine).otherwise(F.col("unsure_at")).alias("unsure_at"),
+        F.coalesce("_cg", F.lit(0).cast("long")).alias("_cg"), *[F.coalesce(f"_c_{c}", F.lit(0).cast("long")).alias(f"_c_{c}") for c in compacted], "_low_a", "_low_s", "_high_s", "_n", "_differ",
+        F.when(left_out, NOT_OBSERVED).when(below, NOT_A_DIRECTORY).otherwise(F.col("_why")).cast("int").alias("reason"), (yes(F.col("_chain_partial")) | (depth >= ANCESTORS)).alias("chain_partial"), yes(F.col("_chain_stale")).alias("chain_stale"),
+    )
+    return kept.where("counted or is_scope")
 
 
 def _first_rows(rows: DataFrame, limit: int, tasks: int) -> DataFrame:
-    """The first rows of each scope by path and whether more follow; parts of a scope are cut before the scope is gathered."""
+    """The first rows of each scope by path and whether more follow; what a part holds of a scope is cut before it is moved."""
     order = [F.asc("_path")]
-    dealt = rows.withColumn("_share", F.pmod(F.xxhash64("_path"), F.lit(64))).repartition(tasks, "root_id", "scope", "_share")
-    few = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("root_id", "scope", "_share").orderBy(*order))).where(F.col("_nth") <= limit + 1)
-    few = few.drop("_share").repartition(tasks, "root_id", "scope")
+    few = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("root_id", "scope", "_part").orderBy(*order))).where(F.col("_nth") <= limit + 1)
+    few = few.repartition(tasks, "root_id", "scope")
     ranked = few.withColumn("_nth", F.row_number().over(Window.partitionBy("root_id", "scope").orderBy(*order))).where(F.col("_nth") <= limit + 1)
     return ranked.withColumn("_truncated", F.max("_nth").over(Window.partitionBy("root_id", "scope")) > limit).where(F.col("_nth") <= limit).drop("_nth")
 
 
-def measure_directories(entries: DataFrame, directories: DataFrame, scopes: DataFrame, root_errors: DataFrame | None = None, totals: DataFrame | None = None, ledger: DataFrame | None = None, entry_limit: int | None = None) -> DataFrame:
-    """Sizes below each scope (root_id, scope as text) with their status, each linked object counted once.
+def _scoped(rows: DataFrame) -> DataFrame:
+    """Each counted row once for each scope it lies in, with whether the scope leaves it out and whether all between them is sure."""
+    levels = F.posexplode(_levels(F.col("home"))).alias("level", "scope")
+    return rows.where("counted").select("*", levels).withColumns({"excluded": F.col("gone_at") > F.greatest("level", "missing_at"), "confirmed": F.col("unsure_at") <= F.col("level"), "_truncated": F.lit(False)})
 
-    Rows that a completed listing says are gone are counted as examined and excluded only. A scope
-    that is not there, or above which something is no directory or gone, is ``unknown`` with null
-    sizes and the reason. ``root_errors`` names roots whose scopes are stale. ``totals`` and ``ledger``
-    are what ``compact`` left of compacted directories: they replace the files there, and their
-    identities meet those of ordinary files; where one holds files without identity, allocated bytes
-    are unknown. ``entry_limit`` measures the first rows of each scope by path only, and says so.
-    Sizes that overflow raise.
-    """
-    if totals is not None:
-        gone = totals.select("root_id", "parent", F.lit(True).alias("_compact")).distinct()
-        entries = entries.join(gone, ["root_id", "parent"], "left").where("kind <> 'file' or _compact is null").drop("_compact")
-    rows = _marked(entries, directories)
+
+def _sums(r: DataFrame) -> DataFrame:
+    """Figures of scopes that need no identities."""
     zero = F.lit(0).cast("long")
-    compacted = ["logical", "files", "unknown_inodes", "skipped_files"]
-    if totals is not None:
-        rows = rows.join(totals.select("root_id", paths.as_text(F.col("parent")).alias("_path"), F.col("generation").alias("_cg"), *[F.col(c).alias(f"_c_{c}") for c in compacted]), ["root_id", "_path"], "left")
-    else:
-        rows = rows.withColumns({"_cg": zero} | {f"_c_{c}": zero for c in compacted})
-    rows = written(rows, "measured-rows")
-    wanted = scopes.select("root_id", "scope").distinct()
-    kept = ["root_id", "_path", "kind", "size", "allocated", "device", "inode", "skip_reason", "observed_at_ns", "own_complete", "own_error", "own_checked_ns", "parent_partial", "missing_at", "gone_at", "unsure_at", "_cg", *[f"_c_{c}" for c in compacted]]
-    above = F.posexplode(F.concat(paths.ancestors(F.col("path")), F.array("_path"))).alias("_level", "scope")
-    r = rows.select(*kept, above).join(wanted, ["root_id", "scope"]).withColumn("_truncated", F.lit(False))
-    dealt = lambda df: df
-    if entry_limit:  # no scope is large any more: tasks are as many as the rows need, and the cut is made once for all that is told of it
-        ways = rows.agg(F.coalesce(F.sum(F.size(paths.ancestors(F.col("path"))) + 1), zero)).first()[0]
-        tasks = max(1, min(100_000, -(-ways // ROWS_OF_TASK)))
-        dealt = lambda df: df.repartition(tasks, "root_id", "scope")
-        r = dealt(written(_first_rows(r, entry_limit, tasks), "first-rows"))
-    # only what lies below the scope counts, and of what is gone only what no missing row cuts off
-    r = r.withColumns({"excluded": F.col("gone_at") > F.greatest("_level", "missing_at"), "confirmed": F.col("unsure_at") <= F.col("_level")})
-    live, file, directory, inside = ~F.col("excluded"), F.col("kind") == "file", F.col("kind") == "directory", F.col("_path") != F.col("scope")
+    live, file, directory, inside = ~F.col("excluded"), F.col("kind") == FILE, F.col("kind") == DIRECTORY, F.col("_path") != F.col("scope")
     incomplete, failed = directory & ~F.coalesce("own_complete", F.lit(False)), directory & F.coalesce("own_error", F.lit(False))
-    compact = live & directory & (F.coalesce("_cg", zero) > 0)
+    compact = live & directory & (F.col("_cg") > 0)
     of = lambda c: F.when(compact, F.col(f"_c_{c}")).otherwise(0)
-    partial = (F.col("skip_reason") != "") | incomplete | failed | (F.col("parent_partial") & inside) | (of("unknown_inodes") > 0) | (of("skipped_files") > 0)
+    partial = F.col("skip") | incomplete | failed | (F.col("parent_partial") & inside) | (of("unknown_inodes") > 0) | (of("skipped_files") > 0)
     stale = (~F.col("confirmed") & inside) | (directory & F.coalesce((F.col("own_checked_ns") > 0) & (F.col("observed_at_ns") > F.col("own_checked_ns")), F.lit(False)))
     named = (F.col("device") != "") & (F.col("inode") != "")
     total = lambda c: F.coalesce(F.sum(c), zero)
-    by_row = r.groupBy("root_id", "scope").agg(
+    return r.groupBy("root_id", "scope").agg(
         F.count("*").alias("entries_examined"),
         F.count_if("excluded").alias("excluded_entries"),
         (F.count_if(live & file) + total(of("files"))).alias("file_paths"),
@@ -140,7 +219,7 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
         (F.count_if(live & file & ~named) + total(of("unknown_inodes"))).alias("unknown_inodes"),
         F.bool_or(of("unknown_inodes") > 0).alias("_unknown"),
         F.count_if(live & ~F.col("confirmed") & inside).alias("unconfirmed"),
-        (F.count_if(live & (F.col("skip_reason") != "")) + total(of("skipped_files"))).alias("skipped_entries"),
+        (F.count_if(live & F.col("skip")) + total(of("skipped_files"))).alias("skipped_entries"),
         F.count_if(live & incomplete).alias("incomplete_directories"),
         F.count_if(live & failed).alias("directory_errors"),
         F.count_if(compact).alias("compacted_directories"),
@@ -151,30 +230,65 @@ def measure_directories(entries: DataFrame, directories: DataFrame, scopes: Data
         F.bool_or(live & stale).alias("_stale"),
         F.bool_or("_truncated").alias("truncated"),
     )
-    objects = r.where(live & file & named).groupBy("root_id", "scope", "device", "inode").agg(
-        F.max("allocated").alias("a"), F.count("*").alias("n"), F.min("allocated").alias("low_a"), F.max("allocated").alias("high_a"), F.min("size").alias("low_s"), F.max("size").alias("high_s"), F.lit(False).alias("differ")
+
+
+def _linked(r: DataFrame) -> DataFrame:
+    """Figures of scopes that count each object once, from their files and the identities of compacted directories."""
+    named = (F.col("device") != "") & (F.col("inode") != "")
+    met = ~F.col("excluded") & (F.col("identity") | (F.col("kind") == FILE) & named)
+    own = lambda c, other: F.when(F.col("identity"), F.col(c)).otherwise(F.col(other))
+    objects = r.where(met).groupBy("root_id", "scope", "device", "inode").agg(
+        F.max("allocated").alias("a"), F.sum(F.when(F.col("identity"), F.col("_n")).otherwise(1)).alias("n"), F.min("allocated").alias("low_a"),
+        F.min(own("_low_s", "size")).alias("low_s"), F.max(own("_high_s", "size")).alias("high_s"), F.bool_or(F.coalesce("_differ", F.lit(False))).alias("differ"),
     )
-    if ledger is not None:
-        met = r.where(compact).select("root_id", "scope", "_path", F.col("_cg").alias("generation"))
-        own = ledger.withColumn("_path", paths.as_text(F.col("parent")))
-        bounds = [F.col(c).alias(f"{side}_{n}") for side in ("low", "high") for n, c in (("a", "allocated"), ("s", "logical"))]
-        objects = objects.unionByName(met.join(own, ["root_id", "_path", "generation"]).select("root_id", "scope", "device", "inode", F.col("allocated").alias("a"), F.col("paths").alias("n"), *bounds, F.col("conflicting").alias("differ")))
-    apart = (F.min("low_a") != F.max("high_a")) | (F.min("low_s") != F.max("high_s"))
-    once = dealt(objects).groupBy("root_id", "scope", "device", "inode").agg(F.max("a").alias("a"), F.sum("n").alias("n"), (F.bool_or("differ") | apart).alias("differ"))
-    by_object = once.groupBy("root_id", "scope").agg(F.sum("a").alias("_linked"), F.sum(F.col("n") - 1).alias("repeated"), F.bool_or("differ").alias("_differ"))
-    found = dealt(wanted).join(dealt(_chains(wanted, rows)), ["root_id", "scope"], "left").join(by_row, ["root_id", "scope"], "left").join(by_object, ["root_id", "scope"], "left")
+    apart = (F.col("low_a") != F.col("a")) | (F.col("low_s") != F.col("high_s"))
+    return objects.groupBy("root_id", "scope").agg(F.sum("a").alias("_linked"), F.sum(F.col("n") - 1).alias("repeated"), F.bool_or(F.col("differ") | apart).alias("_differ"))
+
+
+def measure_directories(entries: DataFrame, directories: DataFrame, scopes: DataFrame | None = None, root_errors: DataFrame | None = None, totals: DataFrame | None = None, ledger: DataFrame | None = None, entry_limit: int | None = None) -> DataFrame:
+    """Sizes below each scope (root_id, scope as text) with their status, each linked object counted once.
+
+    Without ``scopes`` every directory, and every parent that has no row, is one. A root has one row for a path.
+    Rows that a completed listing says are gone are counted as examined and excluded only. A scope
+    that is not there, or above which something is no directory or gone, is ``unknown`` with null
+    sizes and the reason. ``root_errors`` names roots whose scopes are stale. ``totals`` and ``ledger``
+    are what ``compact`` left of compacted directories: they replace the files there, and their
+    identities meet those of ordinary files; where one holds files without identity, allocated bytes
+    are unknown. ``entry_limit`` measures the first rows of each scope by path only, and says so.
+    Sizes that overflow raise.
+
+    Rows stand in the order of their paths where they are counted, so that a task adds up most scopes
+    before anything is moved.
+    """
+    rows = written(_marked(entries, directories, scopes, totals, ledger), "measured-rows", compression="zstd")
+    zero = F.lit(0).cast("long")
+    chains = rows.where("is_scope").groupBy("root_id", F.col("_path").alias("scope")).agg(F.max("reason").alias("_why"), F.bool_or("chain_partial").alias("_chain_partial"), F.bool_or("chain_stale").alias("_chain_stale"))
+    scoped = _scoped(rows)
+    by_row, by_object = _sums(scoped.where("not identity")), _linked(scoped)
+    if entry_limit:  # scopes of more rows are few or many: theirs are cut and added up anew
+        by_row = written(by_row, "scope-sums", compression="zstd")
+        large = written(by_row.where(F.col("entries_examined") > entry_limit).select("root_id", "scope"), "large-scopes")
+        ways = rows.where("counted and not identity").agg(F.coalesce(F.sum(F.size(_levels(F.col("_path")))), zero)).first()[0]
+        tasks = max(1, min(100_000, -(-ways // ROWS_OF_TASK)))
+        held = scoped.join(large, ["root_id", "scope"])
+        first = written(_first_rows(held.where("not identity"), entry_limit, tasks), "first-rows", compression="zstd")
+        met = held.where("identity").join(first.select("root_id", "scope", "_path"), ["root_id", "scope", "_path"], "left_semi")
+        by_row = by_row.where(F.col("entries_examined") <= entry_limit).unionByName(_sums(first))
+        by_object = by_object.join(large, ["root_id", "scope"], "left_anti").unionByName(_linked(first.unionByName(met)))
+    found = chains.join(by_row, ["root_id", "scope"], "left").join(by_object, ["root_id", "scope"], "left")
     if root_errors is not None:
         found = found.join(root_errors.select("root_id", F.lit(True).alias("_root_error")).distinct(), "root_id", "left")
     else:
         found = found.withColumn("_root_error", F.lit(False))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    known = F.col("unknown_reason").isNull() & F.col("entries_examined").isNotNull()
+    unknown_reason = F.when(F.col("_why") == NOT_OBSERVED, "not_observed").when(F.col("_why") == NOT_A_DIRECTORY, "not_a_directory").when(F.col("_why") == ABSENT, "absent_from_parent_listing")
+    known = F.col("_why").isNull() & F.col("entries_examined").isNotNull()
     stale, partial = F.col("_stale") | yes("_differ") | yes("_root_error") | yes("_chain_stale"), F.col("_partial") | F.col("truncated") | yes("_chain_partial")
     status = F.when(~known, "unknown").when(stale, "stale").when(partial, "partial").otherwise("recorded_complete")
     only = lambda c: F.when(known, c)
     plain = [c for c in MEASURES if c not in ("allocated_bytes", "repeated")]
     return found.select(
-        "root_id", "scope", status.alias("status"), "unknown_reason", *[only(F.col(c)).alias(c) for c in plain],
+        "root_id", "scope", status.alias("status"), unknown_reason.alias("unknown_reason"), *[only(F.col(c)).alias(c) for c in plain],
         only(F.when(~F.col("_unknown"), F.col("_loose") + F.coalesce("_linked", zero))).alias("allocated_bytes"), only(F.coalesce("repeated", zero)).alias("repeated"),
     )
 

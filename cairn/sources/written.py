@@ -22,9 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """The rows of a table, written to the shared folder and read from there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -124,3 +124,39 @@ def test_the_first_rows_of_scopes_are_dealt_by_their_number(spark, monkeypatch):
     assert sorted(map(str, tree.measure_directories(e, d, scopes, entry_limit=3).collect())) == sorted(map(str, plain))
     ways = e.agg(F.sum(F.size(paths.ancestors(F.col("path"))) + 1)).first()[0]
     assert dealt == [-(-ways // 2)] and ways > len(fx.TREE)
+
+
+#: Names around the separator in the order of bytes, a missing parent, and levels that are gone.
+ODD_TREE = [
+    fx.entry(1, ".", "directory"), fx.entry(2, "a", "directory"), fx.entry(3, "a!", size=3), fx.entry(4, "a-b", "directory"), fx.entry(5, "a-b/f", size=5, inode="7"), fx.entry(6, "a/c", "directory", generation=9), fx.entry(7, "a/c/d", "directory"),
+    fx.entry(8, "a/c/d/f", size=7, inode="7"), fx.entry(9, "a/none/f", size=9), fx.entry(10, "a0", size=11), fx.entry(11, "é", "directory"), fx.entry(12, "é/è", "directory"), fx.entry(13, "é/è/f", size=13, inode="7"), fx.entry(14, "x"), fx.entry(15, "x/y", size=15),
+]
+ODD_PASSES = [fx.listing(p) for p in (".", "a", "a-b", "a/c", "a/c/d", "é", "é/è")]
+
+
+def _odd_tree(spark):
+    text = lambda c: paths.as_text(F.col(c)).alias("scope")
+    e, d = entries(spark, ODD_TREE), passes(spark, ODD_PASSES)
+    return e, d, e.select("root_id", text("parent")).union(e.where("kind = 'directory'").select("root_id", text("path")))
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_measures_do_not_depend_on_the_parts_of_a_tree(spark, monkeypatch, limit):
+    e, d, scopes = _odd_tree(spark)
+    whole = {r.scope: r for r in tree.measure_directories(e, d, scopes, entry_limit=limit).collect()}
+    latin = lambda s: s.encode().decode("latin-1")
+    assert {s: r.unknown_reason for s, r in whole.items() if r.status == "unknown"} == {"a/c": "absent_from_parent_listing", "a/c/d": "absent_from_parent_listing", "a/none": "not_observed", "x": "not_a_directory"}
+    assert (whole["a"].entries_examined, whole["a"].truncated, whole[latin("é")].logical_bytes) == ((3, True, 13) if limit else (5, False, 13))
+    if not limit:
+        assert (whole["."].entries_examined, whole["."].excluded_entries, whole["."].file_paths, whole["."].repeated) == (15, 4, 6, 1)
+    monkeypatch.setattr(tree, "ROWS_OF_TASK", 8)
+    assert sorted(map(str, tree.measure_directories(e, d, scopes, entry_limit=limit).collect())) == sorted(map(str, whole.values()))
+    assert sorted(map(str, tree.measure_directories(e, d, entry_limit=limit).collect())) == sorted(map(str, whole.values()))
+
+
+def test_only_scopes_of_more_rows_are_cut(spark, monkeypatch):
+    e, d, scopes = _odd_tree(spark)
+    cut, first = [], tree._first_rows
+    monkeypatch.setattr(tree, "_first_rows", lambda rows, limit, tasks: (cut.extend(r.scope for r in rows.select("scope").distinct().collect()), first(rows, limit, tasks))[1])
+    tree.measure_directories(e, d, scopes, entry_limit=4).collect()
+    assert sorted(cut) == [".", "a"]
