@@ -154,6 +154,18 @@ def test_measures_do_not_depend_on_the_parts_of_a_tree(spark, monkeypatch, limit
     assert sorted(map(str, tree.measure_directories(e, d, entry_limit=limit).collect())) == sorted(map(str, whole.values()))
 
 
+def test_rows_are_added_up_before_scopes_are_moved(spark):
+    e, d, scopes = _odd_tree(spark)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        plan = tree.measure_directories(e, d, scopes)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    moved = [below for line, below in zip(plan, plan[1:]) if "Exchange hashpartitioning" in line]
+    assert moved and all("HashAggregate" in line for line in moved)
+
+
 def test_only_scopes_of_more_rows_are_cut(spark, monkeypatch):
     e, d, scopes = _odd_tree(spark)
     cut, first = [], tree._first_rows
